@@ -69,10 +69,10 @@ class Attached:
 
 
 def attach_completions(requests: DataFrame, completions: DataFrame, key: str = "request_id",
-                       seq: str = "seq") -> Attached:
+                       seq: str | list[str] = "seq") -> Attached:
     """First completion per request (lowest ``seq``; retries may repeat a
     request) joined onto the requests; requests without one are pending."""
-    first = dedupe_first(completions, [key], [seq])
+    first = dedupe_first(completions, [key], [seq] if isinstance(seq, str) else list(seq))
     joined = requests.join(first, key, "left")
     has = F.col("generation").isNotNull()
     return Attached(joined.filter(has), requests.join(first.select(key), key, "left_anti"))

@@ -76,7 +76,8 @@ def backend_counts(spark, sf_dir):
          CAST(floor(l_quantity) AS BIGINT) AS prompt_tokens, CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS completion_tokens
   FROM lineitem
 ), first AS (
-  SELECT request_id, arg_min(prompt_tokens, seq) AS prompt_tokens, arg_min(completion_tokens, seq) AS completion_tokens
+  SELECT request_id, arg_min(prompt_tokens, (seq, prompt_tokens, completion_tokens)) AS prompt_tokens,
+         arg_min(completion_tokens, (seq, prompt_tokens, completion_tokens)) AS completion_tokens
   FROM comp GROUP BY request_id
 )
 SELECT persona_seed, count(*) AS n_requests, count(first.request_id) AS n_attached,
@@ -91,9 +92,10 @@ def completion_attach(spark, sf_dir):
     comp = t.lineitem.select(F.md5(F.col("l_orderkey").cast("string")).alias("request_id"),
                              F.col("l_linenumber").cast("bigint").alias("seq"),
                              F.lit("ok").alias("generation"),
-                             F.col("l_quantity").cast("bigint").alias("prompt_tokens"),
-                             (F.col("l_extendedprice").cast("bigint") % 1000).alias("completion_tokens"))
-    a = W.attach_completions(req, comp)
+                             F.floor("l_quantity").cast("bigint").alias("prompt_tokens"),
+                             (F.floor("l_extendedprice").cast("bigint") % 1000).alias("completion_tokens"))
+    # (order, line number) repeats in lineitem: tie-break on the token values
+    a = W.attach_completions(req, comp, seq=["seq", "prompt_tokens", "completion_tokens"])
     att = a.attached.groupBy("persona_seed").agg(
         F.count("*").alias("n_attached"),
         F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
