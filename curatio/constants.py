@@ -109,3 +109,28 @@ NEXT_DIALOGUE_TEMPLATE = (
     "information, the last topic of conversation, the experience and the current topic of conversation.\n"
 )
 NLI_HYPOTHESIS = "This sentence is about {key}."
+# relation -> narrative sentence form
+SENTENCE_FORMS = {
+    "routine": "My name is {name}. {demo_sent} {persona_attr} I regularly {commonsense}.",
+    "characteristic": "My name is {name}. {demo_sent} {persona_attr} I {commonsense}.",
+    "experience": "My name is {name}. I {commonsense}. Now, {demo_sent} {persona_attr}",
+    "goal": "My name is {name}. {demo_sent} {persona_attr} I plan {commonsense}.",
+    "relationship": "My name is {name}. {demo_sent} {persona_attr} So, I {commonsense}.",
+}
+# relation -> system message of the commonsense request
+COMMONSENSE_SYSTEM = {
+    "characteristic": "Your task is to infer a character trait of the person in the given sentence, something that sets them apart from others.",
+    "experience": "Your task is to infer what the person in the given sentence has done in the past, something that sets them apart from others.",
+    "goal": "Your task is to infer what the person in the given sentence will do or achieve in the future, something that sets them apart from others.",
+    "relationship": "Your task is to infer a relationship that the person in the given sentence has with other people or social groups, something that sets them apart from others.",
+    "routine": "Your task is to infer what the person in the given sentence regularly or consistently does, something that sets them apart from others.",
+}
+# commonsense extraction: text the request puts before the answer, and the answer marker
+COMMONSENSE_LEAD = {
+    "routine": "{demo} {attr} I regularly ",
+    "characteristic": "{demo} {attr} I ",
+    "experience": " Now, {demo} {attr}",
+    "goal": "{demo} {attr} I plan ",
+    "relationship": "{demo} {attr} So, I ",
+}
+COMMONSENSE_MARK = {"goal": "I plan ", "relationship": "So, I ", "routine": "I regularly "}
