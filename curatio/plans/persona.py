@@ -64,3 +64,78 @@ def persona_parse(gen: DataFrame, generation_col: str = "generation", target_key
         "exact:discard_result": F.count_if(F.col("matched") & ~exact_cond),
     }).unionByName(report(unique, "persona", {"duplication:unique_result": F.count("*")}))
     return PersonaParse(pieces, regex.accepted, regex.rejected, exact.accepted, exact.rejected, unique, rep)
+
+
+# ---- C1 requests ------------------------------------------------------------------------
+
+def _age_columns(seed, keys):
+    from curatio import constants as K
+    from curatio.functions.draws import draw
+    lo_arr = F.array(*[F.lit(int(r.split("-")[0])) for r in K.AGE_RANGES])
+    hi_arr = F.array(*[F.lit(int(r.split("-")[1])) for r in K.AGE_RANGES])
+    ai = (draw(seed, "age_range", len(K.AGE_RANGES), *keys) + 1).cast("int")
+    lo, hi = F.element_at(lo_arr, ai), F.element_at(hi_arr, ai)
+    return (lo + draw(seed, "age", hi - lo + 1, *keys)).cast("bigint")
+
+
+def persona_requests(categories: DataFrame, countries: DataFrame, excluded: list[str] | None = None,
+                     seed: int = 42, trials: int | None = None, prompts_per_trial: int | None = None) -> DataFrame:
+    """(category, entity_key) × demographic trials × few-shot prompts.
+
+    ``countries``: ``(country_idx, country, alpha2)`` with dense ``country_idx``
+    0..n-1 (J3 lookup by equi-join). One demographic draw per (category, trial),
+    shared by its prompts; trials past 70% draw a residence different from the
+    birthplace (O5). Fan-out uses generator columns, not cross joins.
+    """
+    from curatio import constants as K
+    from curatio.functions.draws import draw
+    excluded = K.EXCLUDED_CATEGORIES if excluded is None else excluded
+    trials = trials or K.DEMOGRAPHIC_TRIAL
+    prompts_per_trial = prompts_per_trial or K.PERSONA_RELATIONS_TRIALS
+    n = countries.select(F.count("*")).scalar()
+    keys = ["category", "trial"]
+    x = categories.filter(~F.col("category").isin(*excluded)) \
+        .withColumn("trial", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))))
+    a = draw(seed, "birthplace", n, *keys)
+    b = F.when(F.col("trial") > 0.7 * trials, (a + 1 + draw(seed, "residence", n - 1, *keys)) % n).otherwise(a)
+    x = x.withColumn("age", _age_columns(seed, keys)) \
+        .withColumn("gender", F.element_at(F.array(*[F.lit(g) for g in K.GENDERS]),
+                                           (draw(seed, "gender", len(K.GENDERS), *keys) + 1).cast("int"))) \
+        .withColumn("_b", a).withColumn("_r", b)
+    cb = countries.select(F.col("country_idx").alias("_b"), F.col("country").alias("birthplace"),
+                          F.col("alpha2").alias("birthplace_alpha2"))
+    cr = countries.select(F.col("country_idx").alias("_r"), F.col("country").alias("residence"),
+                          F.col("alpha2").alias("residence_alpha2"))
+    x = x.join(cb, "_b").join(cr, "_r").drop("_b", "_r")
+    x = x.withColumn("prompt", T.render(K.PERSONA_TEMPLATE, age="age", gender="gender", birthplace="birthplace",
+                                        residence="residence", target_persona_category="category",
+                                        target_persona_entity="entity_key"))
+    return x.withColumn("prompt_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(prompts_per_trial - 1).cast("bigint"))))
+
+
+def few_shot_blocks(pool: DataFrame, seed: int = 42, n_prompts: int | None = None, k: int = 30,
+                    row_id: str = "row_id") -> DataFrame:
+    """F2 + A8 + W6 + O7: per (category, key) and prompt index, a seeded shuffle of
+    the key's pool rows cut to ``k`` lines ``i. sentence (Key: Value)``.
+
+    ``row_number() <= k`` compiles to a partial WindowGroupLimit before the
+    shuffle, so each map task ships at most ``k`` rows per group."""
+    from pyspark.sql import Window
+    from curatio import constants as K
+    from curatio.functions.draws import order_key
+    n_prompts = n_prompts or K.PERSONA_RELATIONS_TRIALS
+    key_norm = normalise_entity_key("key")
+    p = pool.filter(F.lower("attr") == F.lower(key_norm)) \
+        .withColumn("prompt_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_prompts - 1).cast("bigint"))))
+    p = p.withColumn("_o", order_key(seed, "fewshot", "category", "key", "prompt_idx", row_id))
+    w = Window.partitionBy("category", "key", "prompt_idx").orderBy("_o")
+    p = p.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k)
+    line = F.concat(F.col("_i").cast("string"), F.lit(". "), F.col("sentence"), F.lit(" ("),
+                    T.title_case(key_norm), F.lit(": "), T.title_case("value"), F.lit(")"))
+    g = p.groupBy("category", "key", "prompt_idx").agg(
+        F.count("*").alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", line.alias("l")))), lambda e: e["l"]),
+                     "\n").alias("_lines"))
+    return g.withColumn("block", T.render(K.FEW_SHOT_TEMPLATE, persona_category="category",
+                                          persona_entity_key=T.title_case(normalise_entity_key("key")),
+                                          persona_sentences="_lines")).drop("_lines")

@@ -113,3 +113,83 @@ SELECT 'persona' AS stage, metric, CAST(value AS BIGINT) AS value FROM (
 )""")
 def persona_parse_report(spark, sf_dir):
     return _parse(spark, sf_dir).report
+
+
+# ---- C1 requests / few-shot blocks ------------------------------------------------------
+from curatio import constants as K  # noqa: E402
+from curatio.functions.draws import sql_draw, sql_order_key  # noqa: E402
+from curatio.plans.persona import few_shot_blocks, persona_requests as _persona_requests  # noqa: E402
+from curatio.standins import sqlutil as S  # noqa: E402
+
+# stand-in exclusion list: part types play the categories, so the excluded names are part types
+EXCLUDED_TYPES = ["PROMO"]
+
+
+def _countries(t):
+    return t.nation.select(F.col("n_nationkey").cast("bigint").alias("country_idx"), F.col("n_name").alias("country"),
+                           F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("alpha2"))
+
+
+_K = ("category", "trial")
+_N = "(SELECT count(*) FROM nation)"
+_AI = sql_draw(42, "age_range", len(K.AGE_RANGES), *_K)
+_LO = [int(r.split("-")[0]) for r in K.AGE_RANGES]
+_HI = [int(r.split("-")[1]) for r in K.AGE_RANGES]
+
+
+@query("persona_requests", f"""WITH cats AS (
+  SELECT DISTINCT p_type AS category, 'brand' AS entity_key FROM part WHERE p_type NOT IN ({", ".join(S.lit(x) for x in EXCLUDED_TYPES)})
+), tr AS (SELECT c.*, CAST(t AS BIGINT) AS trial FROM cats c, range(0, {K.DEMOGRAPHIC_TRIAL}) r(t)),
+d AS (
+  SELECT *, CAST({S.arr(_LO)}[{_AI} + 1] + {sql_draw(42, 'age', f'{S.arr(_HI)}[{_AI} + 1] - {S.arr(_LO)}[{_AI} + 1] + 1', *_K)} AS BIGINT) AS age,
+    {S.arr(K.GENDERS)}[{sql_draw(42, 'gender', len(K.GENDERS), *_K)} + 1] AS gender,
+    {sql_draw(42, 'birthplace', _N, *_K)} AS b,
+    CASE WHEN trial > {0.7 * K.DEMOGRAPHIC_TRIAL} THEN ({sql_draw(42, 'birthplace', _N, *_K)} + 1 + {sql_draw(42, 'residence', _N + ' - 1', *_K)}) % {_N}
+         ELSE {sql_draw(42, 'birthplace', _N, *_K)} END AS r
+  FROM tr
+), c AS (SELECT n_nationkey AS idx, n_name AS country, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS alpha2 FROM nation),
+j AS (
+  SELECT d.*, cb.country AS birthplace, cb.alpha2 AS birthplace_alpha2, cr.country AS residence, cr.alpha2 AS residence_alpha2
+  FROM d JOIN c cb ON cb.idx = d.b JOIN c cr ON cr.idx = d.r
+)
+SELECT category, entity_key, trial, CAST(p AS BIGINT) AS prompt_idx, age, gender, birthplace, residence,
+  birthplace_alpha2, residence_alpha2,
+  {S.render(K.PERSONA_TEMPLATE, age='age', gender='gender', birthplace='birthplace', residence='residence', target_persona_category='category', target_persona_entity='entity_key')} AS prompt
+FROM j, range(0, {K.PERSONA_RELATIONS_TRIALS}) q(p)""")
+def persona_requests(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    cats = t.part.select(F.col("p_type").alias("category")).distinct().withColumn("entity_key", F.lit("brand"))
+    r = _persona_requests(cats, _countries(t), excluded=EXCLUDED_TYPES)
+    return r.select("category", "entity_key", "trial", "prompt_idx", "age", "gender", "birthplace", "residence",
+                    "birthplace_alpha2", "residence_alpha2", "prompt")
+
+
+def _pool(part):
+    return part.select(F.col("p_type").alias("category"), F.lit("brand").alias("key"),
+                       F.when(F.col("p_size") % 5 == 0, "model").otherwise("Brand").alias("attr"),
+                       F.concat(F.lit("I like the "), "p_name", F.lit(" from "), "p_brand").alias("sentence"),
+                       F.col("p_brand").alias("value"), F.col("p_partkey").alias("row_id"))
+
+
+# Python str.title() of the single-token values here ('brand', 'Brand#12') is first letter up, rest down
+_TITLE = "upper(substr({x}, 1, 1)) || lower(substr({x}, 2))"
+
+
+@query("few_shot_block", f"""WITH pool AS (
+  SELECT p_type AS category, 'brand' AS key, CASE WHEN p_size % 5 = 0 THEN 'model' ELSE 'Brand' END AS attr,
+         'I like the ' || p_name || ' from ' || p_brand AS sentence, p_brand AS value, p_partkey AS row_id FROM part
+), x AS (
+  SELECT pool.*, CAST(p AS BIGINT) AS prompt_idx FROM pool, range(0, {K.PERSONA_RELATIONS_TRIALS}) q(p)
+  WHERE lower(attr) = lower(key)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY category, key, prompt_idx
+                               ORDER BY {sql_order_key(42, 'fewshot', 'category', 'key', 'prompt_idx', 'row_id')}) AS i
+  FROM x
+)
+SELECT category, prompt_idx, count(*) AS n_lines,
+  {S.render(K.FEW_SHOT_TEMPLATE, persona_category='category', persona_entity_key=_TITLE.format(x='max(key)'),
+            persona_sentences="string_agg(CAST(i AS VARCHAR) || '. ' || sentence || ' (' || " + _TITLE.format(x='key') + " || ': ' || " + _TITLE.format(x='value') + " || ')', chr(10) ORDER BY i)")} AS block
+FROM r WHERE i <= 30 GROUP BY category, key, prompt_idx""")
+def few_shot_block(spark, sf_dir):
+    b = few_shot_blocks(_pool(Tables(spark, sf_dir).part))
+    return b.select("category", "prompt_idx", "n_lines", "block")
