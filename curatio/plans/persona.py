@@ -139,3 +139,38 @@ def few_shot_blocks(pool: DataFrame, seed: int = 42, n_prompts: int | None = Non
     return g.withColumn("block", T.render(K.FEW_SHOT_TEMPLATE, persona_category="category",
                                           persona_entity_key=T.title_case(normalise_entity_key("key")),
                                           persona_sentences="_lines")).drop("_lines")
+
+
+# ---- C6 album list ------------------------------------------------------------------------
+
+ALBUM_ITEM_RE = r"(?d)^(.*) [\(|\[]Category: (.*)[\)|\]]"
+
+
+@dataclass
+class AlbumParse:
+    items: DataFrame      # every piece: matched, image_description, image_category, kept (instance has ≥ 1 match)
+    albums: DataFrame     # kept instances with ``album ARRAY<STRUCT<image_description, image_category>>``
+    report: DataFrame
+
+
+def album_parse(gen: DataFrame, key: list[str], generation_col: str = "generation", n: int = 5) -> AlbumParse:
+    """C6 parse: split on ``\\n1.``…``\\n5.`` (X1), match ``desc (Category: cat)`` (X3),
+    keep an instance iff at least one piece matched; rejects are still reported."""
+    from pyspark.sql import Window
+    p = explode_list(gen, generation_col, n)
+    c = F.col("piece")
+    p = p.withColumn("matched", c.rlike(ALBUM_ITEM_RE)) \
+        .withColumn("image_description", F.regexp_extract(c, ALBUM_ITEM_RE, 1)) \
+        .withColumn("image_category", F.regexp_extract(c, ALBUM_ITEM_RE, 2))
+    p = p.withColumn("kept", F.max(F.col("matched").cast("int")).over(Window.partitionBy(*key)) == 1)
+    albums = p.filter("matched").groupBy(*key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("piece_idx", "image_description", "image_category"))),
+        lambda e: F.struct(e["image_description"].alias("image_description"),
+                           e["image_category"].alias("image_category"))).alias("album"))
+    rep = report(p, "album", {
+        "total_num": F.count_distinct(*[F.col(k) for k in key]) * n,
+        "regex:parsed_result": F.count_if(F.col("matched") & F.col("kept")),
+        "regex:discard_result": F.count_if(~F.col("matched")),
+        "instances_kept": F.count_distinct(F.when(F.col("kept"), F.struct(*[F.col(k) for k in key]))),
+    })
+    return AlbumParse(p, albums, rep)

@@ -193,3 +193,62 @@ FROM r WHERE i <= 30 GROUP BY category, key, prompt_idx""")
 def few_shot_block(spark, sf_dir):
     b = few_shot_blocks(_pool(Tables(spark, sf_dir).part))
     return b.select("category", "prompt_idx", "n_lines", "block")
+
+
+# ---- C6 album lists: 5 consecutive parts form one album list ------------------------------
+from curatio.plans.persona import album_parse  # noqa: E402
+
+
+def _album_gen(part):
+    m = F.col("p_size") % 4
+    item = (F.when(m == 0, F.concat(F.lit("A photo of a "), "p_name", F.lit(" (Category: "), "p_type", F.lit(")")))
+            .when(m == 1, F.concat(F.lit("A picture of "), "p_name", F.lit(" [Category: "), F.lower("p_type"),
+                                   F.lit("]")))
+            .when(m == 2, F.concat(F.lit("Just "), "p_name"))
+            .otherwise(F.concat(F.lit("A "), "p_name", F.lit(" (Type: "), "p_type", F.lit(")"))))
+    items = part.select((F.col("p_partkey") / 5).cast("bigint").alias("list_id"),
+                        (F.col("p_partkey") % 5 + 1).alias("pos"), item.alias("piece"))
+    line = F.when(F.col("pos") == 1, F.col("piece")).otherwise(
+        F.concat(F.lit("\n"), F.col("pos").cast("string"), F.lit(". "), F.col("piece")))
+    return items.groupBy("list_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "").alias("generation"))
+
+
+ALBUM_SPLIT_SQL = "|".join([f"\\n{i}. " for i in range(1, 6)] + [f"\\n{i}." for i in range(1, 6)])
+ALBUM_RE_SQL = r"^(.*) [\(|\[]Category: (.*)[\)|\]]"
+ALBUM_SQL = f"""agen AS (
+  SELECT CAST(p_partkey // 5 AS BIGINT) AS list_id,
+    string_agg(CASE WHEN p_partkey % 5 = 0 THEN piece ELSE chr(10) || CAST(p_partkey % 5 + 1 AS VARCHAR) || '. ' || piece END,
+               '' ORDER BY p_partkey % 5) AS generation
+  FROM (SELECT p_partkey, CASE p_size % 4
+      WHEN 0 THEN 'A photo of a ' || p_name || ' (Category: ' || p_type || ')'
+      WHEN 1 THEN 'A picture of ' || p_name || ' [Category: ' || lower(p_type) || ']'
+      WHEN 2 THEN 'Just ' || p_name
+      ELSE 'A ' || p_name || ' (Type: ' || p_type || ')' END AS piece FROM part) GROUP BY 1
+), aarr AS (SELECT list_id, regexp_split_to_array(generation, '{ALBUM_SPLIT_SQL}') AS a FROM agen),
+apieces AS (
+  SELECT list_id, CAST(i - 1 AS BIGINT) AS piece_idx, a[i] AS piece,
+         regexp_matches(a[i], '{ALBUM_RE_SQL}') AS matched,
+         regexp_extract(a[i], '{ALBUM_RE_SQL}', 1) AS image_description,
+         regexp_extract(a[i], '{ALBUM_RE_SQL}', 2) AS image_category
+  FROM aarr, LATERAL (SELECT unnest(generate_series(1, len(a))) AS i)
+), aitems AS (SELECT *, bool_or(matched) OVER (PARTITION BY list_id) AS kept FROM apieces)"""
+
+
+@query("album_list_parse", f"""WITH {ALBUM_SQL}
+SELECT list_id, piece_idx, CAST(matched AS BIGINT) AS matched, image_description, image_category,
+       CAST(kept AS BIGINT) AS kept FROM aitems""")
+def album_list_parse(spark, sf_dir):
+    r = album_parse(_album_gen(Tables(spark, sf_dir).part), ["list_id"])
+    return r.items.select("list_id", F.col("piece_idx").cast("bigint"), F.col("matched").cast("bigint"),
+                          "image_description", "image_category", F.col("kept").cast("bigint"))
+
+
+@query("album_report", f"""WITH {ALBUM_SQL}
+SELECT 'album' AS stage, metric, CAST(value AS BIGINT) AS value FROM (
+  SELECT 'total_num' AS metric, count(DISTINCT list_id) * 5 AS value FROM aitems
+  UNION ALL SELECT 'regex:parsed_result', count(*) FILTER (WHERE matched AND kept) FROM aitems
+  UNION ALL SELECT 'regex:discard_result', count(*) FILTER (WHERE NOT matched) FROM aitems
+  UNION ALL SELECT 'instances_kept', count(DISTINCT list_id) FILTER (WHERE kept) FROM aitems)""")
+def album_report(spark, sf_dir):
+    return album_parse(_album_gen(Tables(spark, sf_dir).part), ["list_id"]).report
