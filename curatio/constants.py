@@ -134,3 +134,31 @@ COMMONSENSE_LEAD = {
     "relationship": "{demo} {attr} So, I ",
 }
 COMMONSENSE_MARK = {"goal": "I plan ", "relationship": "So, I ", "routine": "I regularly "}
+
+# ---- fixed values: face attribute sentence ------------------------------------------
+STYLE_TYPES = ["full-body", "upper body", "portrait", "headshot", "nearly full-body"]
+# attribute keys read per category, in this order
+HUMAN_ATTR_KEY_ORDER = {
+    "body shape": ["body shape"],
+    "background": ["background"],
+    "hair": ["hair style", "hair color", "hair length"],
+    "special clothings": ["sleeve length", "type"],
+    "one-piece outfits": ["shoulder exposure level", "length", "collar shape", "sleeve length", "material", "pattern", "type"],
+    "tops": ["graphic", "color", "collar shape", "top length", "sleeve length", "material", "pattern", "type"],
+    "coats": ["graphic", "color", "collar shape", "coat length", "material", "pattern", "type"],
+    "bottoms": ["graphic", "color", "bottom shape", "length", "material", "pattern", "type"],
+    "shoes": ["color", "boots length", "material", "pattern", "type"],
+    "bags": ["material", "type"],
+    "hats": ["material", "type"],
+    "belts": ["material"],
+    "scarf": ["material", "pattern"],
+    "headband": ["material", "pattern"],
+    "headscarf": ["material", "pattern"],
+    "veil": ["material", "pattern"],
+    "socks": ["material", "pattern"],
+    "ties": ["material", "pattern"],
+}
+# word appended after a category's values
+HUMAN_ATTR_SUFFIX = {"hair": " hair", "belts": " belt", "scarf": " scarf", "headband": " headband",
+                     "headscarf": " headscarf", "veil": " veil", "socks": " socks", "ties": " tie"}
+HUMAN_ATTR_SKIPPED = ["face", "overall-style"]
