@@ -344,3 +344,103 @@ def image_requests(spark, sf_dir):
                           F.col("utterance_id").cast("string"), F.col("item_pos").cast("string"))).alias("image_uuid"),
         F.lit("dialogue").alias("origin"), "unique_id", F.col("sh_description").alias("image_description"))
     return album.unionByName(dia)
+
+
+# ---- C8 parse: dialogue generations as Python-literal text ------------------------------
+from curatio.plans import dialogue as DG  # noqa: E402
+
+
+def _esc(c):
+    """Python single-quoted literal body of a text."""
+    c = F.replace(T.col_(c), F.lit("\\"), F.lit("\\\\"))
+    c = F.replace(c, F.lit("'"), F.lit("\\'"))
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _esc_sql(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n'), chr(13), '\\r')"
+
+
+def _session_literal(utt, item, wrap):
+    g = utt.groupBy("unique_id", "session_number", "conv_id").agg(
+        F.count("*").alias("n_turns"),
+        F.array_join(E.nest_sorted(["utterance_id", "item_pos"], item), ", ").alias("body"))
+    lit = wrap(F.col("body"))
+    gen = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("```json\n"), lit, F.lit("\n```"))).otherwise(lit)
+    return g.withColumn("generation", gen)
+
+
+def literal_generations(utt):
+    d = (F.col("conv_id") + F.col("session_number")) % 6
+    item = F.concat(F.lit("{'utterance_id': "), F.col("utterance_id").cast("string"),
+                    F.lit(", 'speaker': '"), _esc("speaker_raw"), F.lit("', 'utterance': '"), _esc("utterance"),
+                    F.lit("', 'sharing_info': "), F.when(d == 2, F.lit("None")).otherwise(F.lit("{}")), F.lit("}"))
+    wrap = lambda b: (F.when(d == 0, F.concat(F.lit("["), b, F.lit(", true]")))
+                      .when(d == 1, F.concat(F.lit("["), b, F.lit(",]")))
+                      .when(d == 3, F.concat(F.lit("{'dialogue': ["), b, F.lit("]}")))
+                      .when(d == 4, F.concat(F.lit("["), b))
+                      .otherwise(F.concat(F.lit("["), b, F.lit("]"))))
+    return _session_literal(utt, item, wrap)
+
+
+@query("literal_parse", f"""WITH {UTT_SQL},
+s AS (SELECT unique_id, session_number, max(conv_id) AS conv_id, count(*) AS n_turns FROM utt GROUP BY 1, 2)
+SELECT unique_id, session_number,
+  CASE WHEN (conv_id + session_number) % 6 IN (0, 4) THEN 'syntax:fail'
+       WHEN (conv_id + session_number) % 6 = 3 OR n_turns = 1 THEN 'parse:fail' ELSE 'ok' END AS verdict,
+  CASE WHEN (conv_id + session_number) % 6 IN (0, 4) THEN NULL
+       WHEN (conv_id + session_number) % 6 = 3 THEN 'dict' ELSE 'list' END AS shape,
+  CAST(CASE WHEN (conv_id + session_number) % 6 IN (0, 3, 4) THEN -1 ELSE n_turns END AS BIGINT) AS n_items
+FROM s""")
+def literal_parse(spark, sf_dir):
+    gens = literal_generations(utterances(Tables(spark, sf_dir).conversations))
+    r = DG.dialogue_parse(gens).annotated
+    return r.select("unique_id", "session_number", "verdict", "shape", F.col("n_items").cast("bigint"))
+
+
+def _full_sharing():
+    return F.concat(F.lit("{'rationale': '"), _esc("sh_rationale"), F.lit("', 'image_description': '"),
+                    _esc("sh_description"), F.lit("', 'image_source': '"), F.col("sh_source"),
+                    F.lit("', 'keywords': '"), _esc("sh_keywords"), F.lit("'"),
+                    F.when(F.col("sh_id").isNotNull(),
+                           F.concat(F.lit(", 'image_id_from_mobile': '"), _esc("sh_id"), F.lit("'"))).otherwise(""),
+                    F.lit("}"))
+
+
+def validation_generations(utt):
+    e = (F.col("conv_id") * 3 + F.col("session_number")) % 5
+    no_kw = F.concat(F.lit("{'rationale': '"), _esc("sh_rationale"), F.lit("', 'image_description': '"),
+                     _esc("sh_description"), F.lit("', 'image_source': '"), F.col("sh_source"), F.lit("'}"))
+    sharing = (F.when(e == 0, F.lit("{}")).when(e == 1, no_kw)
+               .when(e == 2, F.concat(F.lit("["), _full_sharing(),
+                                      F.lit(", {'rationale': 'r', 'image_description': '', 'image_source': ''}]")))
+               .otherwise(_full_sharing()))
+    speaker = F.when((e == 3) & (F.col("utterance_id") == 0), F.lit("")) \
+        .otherwise(F.concat(F.lit(", 'speaker': '"), _esc("speaker_raw"), F.lit("'")))
+    item = F.concat(F.lit("{'utterance_id': "), F.col("utterance_id").cast("string"), speaker,
+                    F.lit(", 'utterance': '"), _esc("utterance"), F.lit("', 'sharing_info': "), sharing, F.lit("}"))
+    return _session_literal(utt, item, lambda b: F.concat(F.lit("["), b, F.lit("]")))
+
+
+VALIDATE_SQL = f"""WITH {UTT_SQL},
+s AS (
+  SELECT unique_id, session_number, max(conv_id) AS conv_id, count(*) AS n_turns,
+    sum(CASE WHEN sh_rationale = '' AND sh_description = '' AND sh_source = '' AND sh_keywords = '' AND coalesce(sh_id, '') = '' THEN 1 ELSE 0 END) AS n_empty,
+    sum(CASE WHEN sh_rationale <> '' AND sh_description = '' AND sh_source = '' AND sh_keywords = '' AND coalesce(sh_id, '') = '' THEN 1 ELSE 0 END) AS n_rat
+  FROM utt GROUP BY 1, 2
+), v AS (
+  SELECT *, CASE WHEN n_turns = 1 THEN 'parse:fail' WHEN (conv_id * 3 + session_number) % 5 IN (1, 2, 3) THEN 'key:fail'
+                 ELSE 'ok' END AS verdict FROM s
+)
+SELECT unique_id, session_number, verdict, CAST(n_turns AS BIGINT) AS n_items,
+  CAST(CASE WHEN verdict = 'ok' AND (conv_id * 3 + session_number) % 5 = 4 THEN n_empty ELSE 0 END AS BIGINT) AS n_all_empty,
+  CAST(CASE WHEN verdict = 'ok' AND (conv_id * 3 + session_number) % 5 = 4 THEN n_rat ELSE 0 END AS BIGINT) AS n_only_rationale
+FROM v"""
+
+
+@query("dialogue_validate", VALIDATE_SQL)
+def dialogue_validate(spark, sf_dir):
+    gens = validation_generations(utterances(Tables(spark, sf_dir).conversations))
+    r = DG.sharing_stats(DG.dialogue_parse(gens).annotated)
+    return r.select("unique_id", "session_number", "verdict", F.col("n_items").cast("bigint"),
+                    F.col("n_all_empty").cast("bigint"), F.col("n_only_rationale").cast("bigint"))
