@@ -1,3 +1,32 @@
-"""Driver queries (stand-ins)."""
+"""Streaming ingest query: the dialogue-validation generations are written as JSON
+files (4 files) into a fresh folder under the shared checkpoint folder and ingested
+one file per micro-batch; the accumulated output must equal the batch query."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from curatio.plans import dialogue as DG
+from curatio.session import scratch_path
+from curatio.sources.testdata import Tables
+from curatio.standins.dialogue import VALIDATE_SQL, utterances, validation_generations
+from curatio.standins.registry import query
+from curatio.streaming.ingest import ingest
+
+SCHEMA = "unique_id string, session_number bigint, conv_id bigint, generation string"
+
+
+def _parse(batch):
+    r = DG.sharing_stats(DG.dialogue_parse(batch).annotated)
+    return r.select("unique_id", "session_number", "verdict", F.col("n_items").cast("bigint"),
+                    F.col("n_all_empty").cast("bigint"), F.col("n_only_rationale").cast("bigint"))
+
+
+@query("stream_ingest_parse", VALIDATE_SQL)
+def stream_ingest_parse(spark, sf_dir):
+    base = scratch_path(spark, "ingest")
+    gens = validation_generations(utterances(Tables(spark, sf_dir).conversations))
+    gens.select("unique_id", "session_number", "conv_id", "generation") \
+        .repartition(4, "unique_id").write.mode("overwrite").json(f"{base}/in")
+    out = ingest(spark, f"{base}/in", SCHEMA, f"{base}/out", f"{base}/checkpoint", _parse)
+    return out.drop("batch_id")
