@@ -68,3 +68,16 @@ def strict_drop(df: DataFrame, cols: list[str], strict: bool = True) -> DataFram
 def prefix_columns(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
     """P5: rename ``cols`` to ``prefix + col`` (we use '_' rather than ':')."""
     return df.select(*[F.col(c).alias(prefix + c) if c in cols else F.col(c) for c in df.columns])
+
+
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter that stays where it is written.
+
+    ``df.filter`` on a column computed by a large expression is pushed below the
+    projections with every alias substituted, duplicating the computation into
+    scans and join conditions (and past the 64 KB code-method limit). An
+    ``explode`` of a 0/1-element array is not a predicate the optimizer moves, so
+    the expression is evaluated once, here. Same rows as ``df.filter(cond)``."""
+    tag = "_keep"
+    return df.withColumn(tag, F.explode(F.filter(F.array(F.lit(True)), lambda _: F.coalesce(cond, F.lit(False))))) \
+        .drop(tag)

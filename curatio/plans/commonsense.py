@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curatio import constants as K
 from curatio.functions import text as T
 from curatio.functions.draws import draw
-from curatio.operators.core import dedupe_first, report
+from curatio.operators.core import dedupe_first, keep_where, report
 from curatio.operators.position import positions
 
 
@@ -32,17 +32,23 @@ def commonsense_requests(persona: DataFrame, attr_col: str = "sent") -> DataFram
 
     The relation list is a generator column (``explode`` of a literal array) —
     the fan-out stays inside the scan's stage, no cross join or shuffle."""
-    x = persona.withColumn("relation", F.explode(F.array(*[F.lit(r) for r in K.RELATIONS])))
-    demo = demo_sentence()
+    # the demo sentence is its own column: five template branches reference it
+    x = persona.withColumn("relation", F.explode(F.array(*[F.lit(r) for r in K.RELATIONS]))) \
+        .withColumn("_demo", demo_sentence())
+    demo = F.col("_demo")
     rel = F.col("relation")
     prompt = by_relation(rel, {r: T.render(t, demo_sent=demo, persona_attr=attr_col)
                                for r, t in K.COMMONSENSE_TEMPLATES.items()})
     system = by_relation(rel, {r: F.lit(m) for r, m in K.COMMONSENSE_SYSTEM.items()})
-    return x.withColumn("commonsense_prompt", prompt).withColumn("commonsense_system_message", system)
+    return x.withColumn("commonsense_prompt", prompt).withColumn("commonsense_system_message", system).drop("_demo")
 
 
-def extract_commonsense(gen: Column, relation: Column, lead: Column) -> Column:
-    """The parsed fact, NULL when the source would fail (empty text)."""
+def with_commonsense(df: DataFrame, gen_col: str, rel_col: str, lead_col: str, out_col: str = "parsed") -> DataFrame:
+    """Add the parsed fact; NULL where the source would fail (empty text).
+
+    Shared pieces (marker cut, lead removal) are separate columns so each is
+    computed once and the generated code stays small enough to compile."""
+    gen, relation, lead = F.col(gen_col), F.col(rel_col), F.col(lead_col)
     mark = by_relation(relation, {r: F.lit(m) for r, m in K.COMMONSENSE_MARK.items()})
     after_mark = by_relation(relation, {r: F.substring_index(gen, m, -1) for r, m in K.COMMONSENSE_MARK.items()})
     starts_i = gen.startswith("I ")
@@ -51,12 +57,14 @@ def extract_commonsense(gen: Column, relation: Column, lead: Column) -> Column:
                 F.when(starts_i, F.substring_index(before_now, "I ", -1)).otherwise(before_now))
          .when(mark.isNotNull() & gen.contains(mark), after_mark)
          .when(starts_i, F.substring_index(gen, "I ", -1)))
-    r0 = F.replace(gen, lead, F.lit(""))
+    x = df.withColumn("_p", p).withColumn("_r0", F.replace(gen, lead, F.lit("")))
+    r0 = F.col("_r0")
     lead_case = (F.when(r0 == "", F.lit(None).cast("string"))
                  .when(relation == "experience", F.substring_index(T.drop_final_dot(r0), "I ", -1))
                  .otherwise(T.drop_final_dot(r0)))
-    return (F.when(gen.contains(lead), lead_case).when(gen == "", F.lit(None).cast("string"))
-            .otherwise(T.drop_final_dot(F.coalesce(F.nullif(p, F.lit("")), gen))))
+    parsed = (F.when(gen.contains(lead), lead_case).when(gen == "", F.lit(None).cast("string"))
+              .otherwise(T.drop_final_dot(F.coalesce(F.nullif(F.col("_p"), F.lit("")), gen))))
+    return x.withColumn(out_col, parsed).drop("_p", "_r0")
 
 
 def lead_text(relation: Column, demo: Column, attr: Column) -> Column:
@@ -75,14 +83,15 @@ def commonsense_parse(gen: DataFrame, generation_col: str = "generation", attr_c
                       order: list[str] | None = None) -> CommonsenseParse:
     """C3 parse: extraction rules per relation, then first-wins dedupe on
     ``(sent, relation, parsed)`` (A3)."""
-    lead = lead_text(F.col("relation"), demo_sentence(), F.col(attr_col))
-    x = gen.withColumn("parsed", extract_commonsense(F.col(generation_col), F.col("relation"), lead))
-    ok = x.filter(F.col("parsed").isNotNull())
+    x = gen.withColumn("_demo", demo_sentence()) \
+        .withColumn("_lead", lead_text(F.col("relation"), F.col("_demo"), F.col(attr_col)))
+    x = with_commonsense(x, generation_col, "relation", "_lead").drop("_lead", "_demo")
+    ok = keep_where(x, F.col("parsed").isNotNull())
     uniq = dedupe_first(ok, [attr_col, "relation", "parsed"], order or ["seq"])
     rep = report(x, "commonsense", {"total": F.count("*"), "parsed": F.count_if(F.col("parsed").isNotNull()),
                                     "empty": F.count_if(F.col("parsed").isNull())}) \
         .unionByName(report(uniq, "commonsense", {"unique": F.count("*")}))
-    return CommonsenseParse(ok, x.filter(F.col("parsed").isNull()), uniq, rep)
+    return CommonsenseParse(ok, keep_where(x, F.col("parsed").isNull()), uniq, rep)
 
 
 def pick_names(people: DataFrame, pool: DataFrame, seed: int, key_cols: list[str],
@@ -102,9 +111,9 @@ def pick_names(people: DataFrame, pool: DataFrame, seed: int, key_cols: list[str
 
 def narrative_requests(ck: DataFrame, attr_col: str = "sent") -> DataFrame:
     """C4: relation-dependent sentence form with the drawn name → narrative prompt."""
-    demo = demo_sentence()
+    ck = ck.withColumn("_demo", demo_sentence())
     form = by_relation(F.col("relation"), {
-        r: T.render(t, name="name", demo_sent=demo, persona_attr=attr_col, commonsense="parsed")
+        r: T.render(t, name="name", demo_sent=F.col("_demo"), persona_attr=attr_col, commonsense="parsed")
         for r, t in K.SENTENCE_FORMS.items()})
     return ck.withColumn("sentence_form", form) \
-        .withColumn("narrative_prompt", T.render(K.NARRATIVE_TEMPLATE, sentence=F.col("sentence_form")))
+        .withColumn("narrative_prompt", T.render(K.NARRATIVE_TEMPLATE, sentence=F.col("sentence_form"))).drop("_demo")

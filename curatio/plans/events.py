@@ -34,15 +34,29 @@ def repair_edge(edge_map: Column) -> Column:
 
 
 def graph_is_valid(nodes: Column, repair: bool = True) -> Column:
-    """every node has the 4 node keys; every non-root node (id ≠ 1) has the 4 edge keys."""
-    def node_ok(m):
-        edge = F.from_json(m["caused_by"], "map<string,string>")
-        edge = repair_edge(edge) if repair else edge
+    """every node has the 4 node keys; every non-root node (id ≠ 1) has the 4 edge keys.
+
+    With ``repair`` (P7) an edge key also counts when only its ``caused_by_*``
+    spelling is present — exactly the keys ``repair_edge`` would produce, without
+    rebuilding the map. Each node's edge map is parsed once (``transform`` first)."""
+    wrong = {v: k for k, v in EDGE_KEY_REPAIRS.items()}
+    pairs = F.transform(nodes, lambda m: F.struct(m.alias("m"),
+                                                  F.from_json(m["caused_by"], "map<string,string>").alias("e")))
+
+    def node_ok(x):
+        m, e = x["m"], x["e"]
         has_node = F.forall(F.array(*[F.lit(k) for k in NODE_KEYS]), lambda k: F.map_contains_key(m, k))
-        has_edge = F.forall(F.array(*[F.lit(k) for k in EDGE_KEYS]),
-                            lambda k: F.coalesce(F.map_contains_key(edge, k), F.lit(False)))
+        edge_checks = []
+        for k in EDGE_KEYS:
+            c = F.map_contains_key(e, k)
+            if repair:
+                c = c | F.map_contains_key(e, wrong[k])
+            edge_checks.append(F.coalesce(c, F.lit(False)))
+        has_edge = edge_checks[0]
+        for c in edge_checks[1:]:
+            has_edge = has_edge & c
         return has_node & ((m["id"] == "1") | has_edge)
-    return F.forall(nodes, node_ok)
+    return F.forall(pairs, node_ok)
 
 
 @dataclass

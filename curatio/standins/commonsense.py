@@ -64,8 +64,10 @@ def commonsense_cross(spark, sf_dir):
 
 def _generations(p: DataFrame) -> DataFrame:
     rel = F.element_at(F.array(*[F.lit(r) for r in K.RELATIONS]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    p = p.withColumn("relation", rel)
-    lead = C.lead_text(F.col("relation"), C.demo_sentence(), F.col("sent"))
+    p = p.withColumn("relation", rel) \
+        .withColumn("_demo", C.demo_sentence()) \
+        .withColumn("_lead", C.lead_text(F.col("relation"), F.col("_demo"), F.col("sent")))
+    lead = F.col("_lead")
     mark = C.by_relation(F.col("relation"), {r: F.lit(m) for r, m in K.COMMONSENSE_MARK.items()})
     v = (F.col("c_custkey") / 5).cast("bigint") % 6
     gen = (F.when(v == 0, F.concat(lead, F.lit("enjoy hiking.")))
@@ -73,7 +75,7 @@ def _generations(p: DataFrame) -> DataFrame:
            .when(v == 2, F.concat(F.lit("Sure! "), F.coalesce(mark, F.lit("I ")), F.lit("visit my family often."))))
     gen = (gen.when(v == 3, F.lit("I moved abroad. Now, I am settled.")).when(v == 4, F.lit(""))
            .otherwise(F.concat(F.lit("Being "), F.col("c_name"), F.lit("."))))
-    return p.withColumn("generation", gen).withColumn("seq", F.col("c_custkey"))
+    return p.withColumn("generation", gen).withColumn("seq", F.col("c_custkey")).drop("_lead", "_demo")
 
 
 _LEAD_SQL = S.case("relation", {r: S.render(t, demo=DEMO_SQL, attr="sent") for r, t in K.COMMONSENSE_LEAD.items()})
