@@ -162,3 +162,12 @@ HUMAN_ATTR_KEY_ORDER = {
 HUMAN_ATTR_SUFFIX = {"hair": " hair", "belts": " belt", "scarf": " scarf", "headband": " headband",
                      "headscarf": " headscarf", "veil": " veil", "socks": " socks", "ties": " tie"}
 HUMAN_ATTR_SKIPPED = ["face", "overall-style"]
+# name inference prompt for an empty speaker; keyword → image description prompt
+INFER_SPEAKER_TEMPLATE = (
+    'Dialogue:\n{dialogue}\n\nGiven the dialogue, your job is to infer the speaker name (i.e., <SPEAKER>) when the '
+    '"speaker" field is empty. What is the most appropriate speaker name among "AI Assistant" and "User"?\nAnswer: '
+)
+KEYWORD_DESCRIPTION_TEMPLATE = (
+    "Keywords: {keywords}\n\nGiven the keywords, your job is to generate a relevant concise image description, "
+    "starting with an image of or a photo of.\nImage Description: "
+)

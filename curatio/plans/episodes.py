@@ -171,3 +171,28 @@ def assemble_episodes(utter: DataFrame, persona_cols: list[str]) -> DataFrame:
     return sess.groupBy("unique_id").agg(
         *[F.min_by(c, "session_number").alias(c) for c in persona_cols],
         nest_sorted(["session_number"], F.struct("session_number", "dialogue")).alias("sessions"))
+
+
+# ---- C17 / C18 request tables -------------------------------------------------------------
+
+def speaker_fix_requests(utter: DataFrame) -> DataFrame:
+    """C17: one name-inference prompt per utterance with an empty speaker: the
+    session's earlier turns as ``speaker: text`` (``[Sharing Image]`` when the turn
+    carries any sharing value), then ``<SPEAKER>: [Sharing Image]``. A window over
+    one session's earlier turns (a session is one generated dialogue)."""
+    from pyspark.sql import Window
+    has = F.col("sh_shape") != "none"
+    line = F.concat(F.col("speaker_raw"), F.lit(": "),
+                    F.when(has, F.lit("[Sharing Image]")).otherwise(F.col("utterance")))
+    w = Window.partitionBy("unique_id", "session_number").orderBy(*ITEM_ORDER[1:]) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    x = utter.withColumn("_before", F.collect_list(line).over(w))
+    dialogue = F.array_join(F.concat(F.col("_before"), F.array(F.lit("<SPEAKER>: [Sharing Image]"))), "\n")
+    return x.filter(F.col("speaker_raw") == "").withColumn(
+        "prompt", T.render(K.INFER_SPEAKER_TEMPLATE, dialogue=dialogue)).drop("_before")
+
+
+def keyword_description_requests(items: DataFrame) -> DataFrame:
+    """Internet images with keywords but no description → description prompt."""
+    return items.filter(F.col("sharing_class") == 4) \
+        .withColumn("prompt", T.render(K.KEYWORD_DESCRIPTION_TEMPLATE, keywords="sh_keywords"))

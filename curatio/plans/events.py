@@ -121,3 +121,22 @@ def interval_parts(c) -> tuple[Column, Column]:
 def date_of(c) -> Column:
     """``yyyy.MM.dd`` text → DATE (NULL when malformed)."""
     return F.to_date(F.try_to_timestamp(T.col_(c), F.lit("yyyy.MM.dd")))
+
+
+def event_requests(narr: DataFrame, name_col: str = "name", narrative_col: str = "narrative") -> DataFrame:
+    """C5 requests."""
+    from curatio import constants as K
+    return narr.withColumn("event_prompt", T.render(K.EVENT_TEMPLATE, name=name_col, event=narrative_col))
+
+
+def session_requests(sessions: DataFrame) -> DataFrame:
+    """C8/C8b requests for every session at once: session 1 uses the first-session
+    template, later sessions the next-session one with the earlier events'
+    history, the previous date, the interval and the experience."""
+    from curatio import constants as K
+    common = dict(name="name", age="age", gender="gender", birthplace="birthplace", residence="residence",
+                  mobile_device="mobile_device", date="date", event="event")
+    first = T.render(K.FIRST_DIALOGUE_TEMPLATE, **common)
+    nxt = T.render(K.NEXT_DIALOGUE_TEMPLATE, history_event="history_before", time_interval="time_interval",
+                   last_date="last_date", experience="experience", **common)
+    return sessions.withColumn("dialogue_prompt", F.when(F.col("session_number") == 1, first).otherwise(nxt))
