@@ -72,7 +72,8 @@ def topk_per_source(queries: DataFrame, db: DataFrame, k: int = 5, q_block: int
     blocks = counts.withColumn("_nb", F.ceil(F.col("_n") / db_block).cast("bigint")) \
         .withColumn("_off", F.coalesce(F.sum("_nb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     nb_total = blocks.select(F.sum("_nb")).scalar()
-    d = db.join(blocks.select("source", "_nb", "_off"), "source") \
+    # one row per source: broadcast (bounded by the number of sources), data streams
+    d = db.join(F.broadcast(blocks.select("source", "_nb", "_off")), "source") \
         .withColumn("_b", F.col("_off") + F.pmod(F.xxhash64("vec_id"), F.col("_nb"))) \
         .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint")))) \
         .withColumn("pair", F.col("_qb") * nb_total + F.col("_b")) \

@@ -60,8 +60,14 @@ def positions(df: DataFrame, order: list[str], bucket: Column, group: list[str]
         wg = Window.partitionBy(*group) if group else Window.partitionBy()
         offsets = offsets.withColumn(size_col, F.sum("_cnt").over(wg))
     offsets = offsets.drop("_cnt")
+    # Ungrouped, the offsets table has at most one row per bucket (a proven bound):
+    # broadcast it so the data keeps streaming in parallel. Grouped, it can be as
+    # large as the number of groups, so force a shuffle join; either way the data
+    # ends up partitioned by (group, bucket) for the numbering window, never by
+    # the single-partition offsets side.
+    side = F.broadcast(offsets) if not group else offsets.hint("shuffle_merge")
     inner = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    out = b.join(offsets, [*group, "_bucket"]) \
+    out = b.join(side, [*group, "_bucket"]) \
         .withColumn(pos_col, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
     return out.drop("_bucket", "_off")
 

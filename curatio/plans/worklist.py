@@ -72,10 +72,12 @@ def attach_completions(requests: DataFrame, completions: DataFrame, key: str = "
                        seq: str | list[str] = "seq") -> Attached:
     """First completion per request (lowest ``seq``; retries may repeat a
     request) joined onto the requests; requests without one are pending."""
-    first = dedupe_first(completions, [key], [seq] if isinstance(seq, str) else list(seq))
+    first = dedupe_first(completions, [key], [seq] if isinstance(seq, str) else list(seq)) \
+        .withColumn("_has", F.lit(True))
+    # one left join serves both outputs (the two filters share the join's exchanges)
     joined = requests.join(first, key, "left")
-    has = F.col("generation").isNotNull()
-    return Attached(joined.filter(has), requests.join(first.select(key), key, "left_anti"))
+    has = F.col("_has").isNotNull()
+    return Attached(joined.filter(has).drop("_has"), joined.filter(~has).select(*requests.columns))
 
 
 def token_usage(attached: DataFrame, by: list[str]) -> DataFrame:
