@@ -8,7 +8,8 @@ Stand-in mapping (identical in Spark and in the SQL below):
   'User' / '' by ``turn % 4``; assistant → the 18 assistant spellings in turn;
   system → an unknown name);
 - utterance text is the whole ``text`` ('' when ``length(text) % 9 = 0``);
-- one sharing item per turn whose class is planted by ``k = (7*conv_id + turn) % 8``;
+- one sharing item per turn whose class is planted by ``k = (7*conv_id + turn) % 8``
+  (descriptions and keywords are the whole turn text);
   sharing shape ``other`` when ``(conv_id + turn) % 16 = 15`` (turn dropped);
 - initial album: ``conv_id % 4`` entries ``photo <i> of <name>``.
 """
@@ -31,7 +32,6 @@ def utterances(conv: DataFrame) -> DataFrame:
     cid, turn, role, text = F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")
     name = F.concat(F.lit("Person"), cid.cast("string"))
     k = (cid * 7 + turn) % 8
-    first_word = F.substring_index(text, " ", 1)
     speaker = (F.when(role == "user", F.when(turn % 4 == 0, name).when(turn % 4 == 1, "user")
                       .when(turn % 4 == 2, "User").otherwise(""))
                .when(role == "assistant", F.element_at(F.array(*[F.lit(s) for s in K.ASSISTANT_SPEAKERS]),
@@ -49,10 +49,10 @@ def utterances(conv: DataFrame) -> DataFrame:
         speaker.alias("speaker_raw"),
         F.when(F.length(text) % 9 == 0, "").otherwise(text).alias("utterance"),
         F.when(k == 0, "").otherwise(F.concat(F.lit("to show "), role)).alias("sh_rationale"),
-        F.when(k == 5, F.substring_index(text, ".", 1))
-         .when(k == 6, F.concat(F.lit("a photo of "), first_word)).otherwise("").alias("sh_description"),
+        F.when(k == 5, text)
+         .when(k == 6, F.concat(F.lit("a photo of "), text)).otherwise("").alias("sh_description"),
         F.when(k.isin(2, 4, 5, 7), "mobile").when(k.isin(3, 6), "internet").otherwise("").alias("sh_source"),
-        F.when(k == 3, first_word).otherwise("").alias("sh_keywords"),
+        F.when(k == 3, text).otherwise("").alias("sh_keywords"),
         F.when(k == 2, ((F.length(text) % 7) - 2).cast("string"))
          .when(k.isin(4, 5), K.NEW_ADDED_IMAGE)
          .when(k == 7, F.when(F.length(text) % 3 == 0, "").when(F.length(text) % 3 == 1, K.NEW_IMAGE_ADDED)
@@ -86,9 +86,9 @@ UTT_SQL = f"""utt0 AS (
               ELSE 'Narrator' END AS speaker_raw,
     CASE WHEN length(text) % 9 = 0 THEN '' ELSE text END AS utterance,
     CASE WHEN k = 0 THEN '' ELSE 'to show ' || role END AS sh_rationale,
-    CASE WHEN k = 5 THEN split_part(text, '.', 1) WHEN k = 6 THEN 'a photo of ' || split_part(text, ' ', 1) ELSE '' END AS sh_description,
+    CASE WHEN k = 5 THEN text WHEN k = 6 THEN 'a photo of ' || text ELSE '' END AS sh_description,
     CASE WHEN k IN (2, 4, 5, 7) THEN 'mobile' WHEN k IN (3, 6) THEN 'internet' ELSE '' END AS sh_source,
-    CASE WHEN k = 3 THEN split_part(text, ' ', 1) ELSE '' END AS sh_keywords,
+    CASE WHEN k = 3 THEN text ELSE '' END AS sh_keywords,
     CASE WHEN k = 2 THEN CAST(length(text) % 7 - 2 AS VARCHAR)
          WHEN k IN (4, 5) THEN 'new added image'
          WHEN k = 7 THEN CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN 'new image added' ELSE 'abc' END

@@ -27,7 +27,7 @@ def router_outputs(docs):
            .when(m == 4, F.lit("Module: Image Database Retrieval"))
            .when(m == 5, F.concat(F.lit(f"Module: Web Search\n{MARK} "), text))
            .when(m == 6, F.lit("Module: Text-to-Image Generator"))
-           .otherwise(F.concat(F.lit("Module: "), F.substring_index(text, " ", 1))))
+           .otherwise(F.concat(F.lit("Module: "), text)))
     return docs.select("doc_id", gen.alias("generation"))
 
 
@@ -64,7 +64,7 @@ _IMG = f"""CASE WHEN len(string_split(d, '[img]')) = 1 THEN d || ' [img]'
     WHEN 4 THEN 'Module: Image Database Retrieval'
     WHEN 5 THEN 'Module: Web Search' || chr(10) || '{MARK} ' || text
     WHEN 6 THEN 'Module: Text-to-Image Generator'
-    ELSE 'Module: ' || split_part(text, ' ', 1) END AS generation FROM documents
+    ELSE 'Module: ' || text END AS generation FROM documents
 ), g1 AS (SELECT doc_id, {_G} AS g FROM g0),
 g2 AS (
   SELECT *, contains(g, '{P}') AS pers, regexp_matches(g, '{_RE}') AS matched,

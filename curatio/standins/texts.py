@@ -46,14 +46,13 @@ def sample_n(spark, sf_dir):
 
 def _tagged(d):
     m = F.col("doc_id") % 3
-    return d.select("doc_id", F.when(m == 0, F.concat(F.lit("<RET> <h>"), F.substring_index("text", ".", 1),
-                                                       F.lit("</h> trailing")))
+    return d.select("doc_id", F.when(m == 0, F.concat(F.lit("<RET> <h>"), "text", F.lit("</h> trailing")))
                     .when(m == 1, F.concat(F.lit("prefix <h>a</h> <h>"), "text", F.lit("</h>")))
                     .otherwise(F.concat(F.lit("<RET><h>first</h><h> "), "text", F.lit(" </h> end"))).alias("output"))
 
 
 @query("ret_tag_extract", f"""WITH t AS (
-  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<RET> <h>' || split_part(text, '.', 1) || '</h> trailing'
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<RET> <h>' || text || '</h> trailing'
                                  WHEN 1 THEN 'prefix <h>a</h> <h>' || text || '</h>'
                                  ELSE '<RET><h>first</h><h> ' || text || ' </h> end' END AS output FROM documents
 )
