@@ -85,3 +85,108 @@ def topk_per_source(queries: DataFrame, db: DataFrame, k: int = 5, q_block: int
     local = q.groupBy("pair").cogroup(d.groupBy("pair")).applyInPandas(_block_topk(k), schema=_OUT)
     wr = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(wr).cast("bigint")).filter(F.col("rank") <= k)
+
+
+# ---- IVF (cell) index with an exact bound ------------------------------------------------
+
+def _keyed_scan(q: DataFrame, d: DataFrame, keys: list[str], k: int, q_block: int, d_block: int) -> DataFrame:
+    """Local top-k per (qid, source) of every query row against the vectors that
+    share its ``keys``. A key with many vectors or many queries is cut into
+    sub-blocks (sizes from per-key counts, small tables broadcast by bound)."""
+    dc = d.groupBy(*keys).agg(F.ceil(F.count("*") / d_block).cast("bigint").alias("_nd"))
+    qc = q.groupBy(*keys).agg(F.ceil(F.count("*") / q_block).cast("bigint").alias("_nq"))
+    sizes = dc.join(qc, keys)
+    dd = d.join(F.broadcast(sizes), keys) \
+        .withColumn("_ds", F.pmod(F.xxhash64("vec_id"), F.col("_nd"))) \
+        .withColumn("_qs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq") - 1)))
+    qq = q.join(F.broadcast(sizes), keys) \
+        .withColumn("_qs", F.pmod(F.xxhash64("qid"), F.col("_nq"))) \
+        .withColumn("_ds", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nd") - 1)))
+    gk = [*keys, "_qs", "_ds"]
+    return qq.select(*gk, "qid", "qvec").groupBy(*gk).cogroup(
+        dd.select(*gk, *[c for c in ("source",) if c not in gk], "vec_id",
+                  F.col("vec").cast("array<double>").alias("vec")).groupBy(*gk)
+    ).applyInPandas(_block_topk_multi(k), schema=_OUT)
+
+
+def _block_topk_multi(k: int):
+    """Like ``_block_topk`` but the vector block may mix sources (one top-k per source)."""
+    single = _block_topk(k)
+
+    def fn(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(d) == 0:
+            return pd.DataFrame({c: [] for c in _OUT.names})
+        return pd.concat([single(q, part) for _, part in d.groupby("source", sort=False)], ignore_index=True)
+    return fn
+
+
+def topk_ivf(queries: DataFrame, db: DataFrame, k: int = 5, cells: int | None = None, nprobe: int = 4,
+             seed: int = 42, q_block: int = 4096, d_block: int = 16384) -> DataFrame:
+    """J10 through a cell index, returning the *exact* top-k per (query, source).
+
+    1. Cells: ``pyspark.ml`` KMeans over the vectors (distributed, iterative);
+       per (source, cell) the radius ``r = max ||x - c||``.
+    2. Probe: each query scans its ``nprobe`` best cells by ``q·c`` (an Arrow
+       UDF against the centre matrix, whose size is cells × dim).
+    3. Bound: with ``τ`` the k-th best score found for (query, source) (−∞ if
+       fewer than k), any other cell of that source with ``q·c + r ≥ τ`` may
+       hold a better vector (``q·x ≤ q·c + ||q||·||x−c||``, unit ``q``), so it is
+       scanned as well. Nothing is capped: the result equals brute force.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = db.sparkSession
+    n = db.count()
+    cells = cells or max(1, min(4096, int(math.sqrt(max(n, 1)))))
+    dv = db.withColumn("_f", array_to_vector(F.col("vec").cast("array<double>")))
+    model = KMeans(k=cells, seed=seed, maxIter=8, initMode="random", featuresCol="_f",
+                   predictionCol="cell").fit(dv)
+    centers = np.array(model.clusterCenters(), dtype=np.float64)          # cells × dim (bounded)
+    cen = spark.createDataFrame([(i, centers[i].tolist()) for i in range(len(centers))],
+                                "cell int, center array<double>")
+    # the index table (vector → cell) is read by three passes: materialise it once
+    # (reliable checkpoint in the shared spark.checkpoint.dir, survives executor loss)
+    from curatio.session import checkpoint_dir
+    checkpoint_dir(spark)
+    assigned = model.transform(dv).select("source", "vec_id", "vec", F.col("cell").cast("int")).checkpoint()
+    dist = F.sqrt(F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), "center", lambda a, b: (a - b) * (a - b)),
+                              F.lit(0.0).cast("double"), lambda acc, x: acc + x))
+    radius = assigned.join(F.broadcast(cen), "cell").groupBy("source", "cell").agg(F.max(dist).alias("r"))
+
+    cmat = centers
+
+    @F.pandas_udf(Ty.ArrayType(Ty.DoubleType()))
+    def cell_scores(qv: pd.Series) -> pd.Series:
+        m = np.vstack(qv.to_numpy()).astype(np.float64) @ cmat.T
+        return pd.Series(list(m))
+
+    qs = queries.withColumn("_cs", cell_scores("qvec"))
+    ranked = F.transform(F.array_sort(F.transform(F.col("_cs"), lambda s, i: F.struct((-s).alias("neg"), i.alias("cell")))),
+                         lambda e: e["cell"])
+    probe = qs.select("qid", "qvec", F.explode(F.slice(ranked, 1, nprobe)).alias("cell"))
+    first = _keyed_scan(probe, assigned, ["cell"], k, q_block, d_block)
+    wr = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "vec_id")
+    # ≤ k rows per (query, source): small; read twice (τ and the final union)
+    first_top = first.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k).checkpoint()
+    tau = first_top.groupBy("qid", "source").agg(
+        F.when(F.count("*") >= k, F.min("score")).alias("tau"))
+    # every (query, source, cell) still able to beat τ, excluding cells already probed.
+    # The (source, cell, r) list is bounded by sources × cells: one scalar value; each
+    # query filters it against its own τ map (joined 1:1 on qid) before exploding, so
+    # only cells that can still win become rows.
+    all_cells = radius.agg(F.collect_list(F.struct("source", "cell", "r"))).scalar()
+    tau_map = tau.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("source", "tau"))).alias("_tau"))
+    probed = F.slice(ranked, 1, nprobe)
+    eps = 1e-9   # rounding slack: only ever adds cells
+    t = F.col("_tau")
+    extra = qs.select("qid", "qvec", "_cs", probed.alias("_probed")).join(tau_map, "qid", "left") \
+        .withColumn("_all", all_cells) \
+        .select("qid", "qvec", F.explode(F.filter("_all", lambda c: ~F.array_contains(F.col("_probed"), c["cell"])
+                                                  & (F.element_at(t, c["source"]).isNull()
+                                                     | (F.get(F.col("_cs"), c["cell"]) + c["r"] + eps
+                                                        >= F.element_at(t, c["source"]))))).alias("_c")) \
+        .select("qid", "qvec", F.col("_c.source").alias("source"), F.col("_c.cell").alias("cell"))
+    second = _keyed_scan(extra, assigned, ["source", "cell"], k, q_block, d_block)
+    allc = first_top.drop("rank").unionByName(second)
+    return allc.withColumn("rank", F.row_number().over(wr).cast("bigint")).filter(F.col("rank") <= k)

@@ -113,6 +113,18 @@ def retrieve_topk(spark, sf_dir):
                                                         F.round("score", 6).alias("score"))
 
 
+def _retrieve_ivf(spark, sf_dir):
+    """C14 through the cell index (KMeans cells, nprobe=2, then every cell whose
+    bound can still beat the k-th score): same rows as the exact query."""
+    emb = Tables(spark, sf_dir).embeddings
+    db = _image_db(emb)
+    queries = emb.select(F.col("vec_id").alias("qid"), knn.l2_normalise(F.col("embedding")).alias("qvec"))
+    top = knn.topk_ivf(queries, db.select("source", "vec_id", "vec"), k=5, nprobe=2)
+    paths = db.select("source", "vec_id", "image_path")
+    return top.join(paths, ["source", "vec_id"]).select("qid", "source", "rank", "vec_id", "image_path",
+                                                        F.round("score", 6).alias("score"))
+
+
 def _keys(conv):
     k = F.col("conv_id") * 8 + F.col("turn")
     kind = k % 3
@@ -173,3 +185,11 @@ def catalog_union(spark, sf_dir):
     emb = _image_db(t.embeddings).select("source", F.col("image_path").alias("path"),
                                          F.col("vec_id").cast("string").alias("key"))
     return I.image_catalog([web, docs, emb])
+
+
+def _register_ivf():
+    from curatio.standins.registry import QUERIES
+    query("retrieve_topk_ivf", QUERIES["retrieve_topk"][1])(_retrieve_ivf)
+
+
+_register_ivf()

@@ -166,3 +166,20 @@ def test_dedupe_first_same_under_repartition(spark):
     a = sorted(dedupe_first(df, ["k"], ["seq"]).collect())
     b = sorted(dedupe_first(df.repartition(7), ["k"], ["seq"]).collect())
     assert a == b and all(r["seq"] == r["k"] for r in a)
+
+
+def test_ivf_equals_exact(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(6, 8))
+    d = np.vstack([centers[i % 6] + 0.3 * rng.normal(size=8) for i in range(400)])
+    d = (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
+    src = ["a" if i % 3 else "b" for i in range(400)]
+    db = spark.createDataFrame([(src[i], i, d[i].tolist()) for i in range(400)],
+                               "source string, vec_id long, vec array<float>")
+    q = rng.normal(size=(30, 8))
+    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    qs = spark.createDataFrame([(i, q[i].tolist()) for i in range(30)], "qid long, qvec array<double>")
+    exact = sorted((r["qid"], r["source"], r["rank"], r["vec_id"]) for r in knn.topk_per_source(qs, db, k=5).collect())
+    for cells, nprobe in [(8, 1), (20, 2), (3, 3)]:
+        ivf = knn.topk_ivf(qs, db, k=5, cells=cells, nprobe=nprobe, q_block=7, d_block=50).collect()
+        assert sorted((r["qid"], r["source"], r["rank"], r["vec_id"]) for r in ivf) == exact, (cells, nprobe)
