@@ -71,3 +71,36 @@ def attach_faces(episodes: DataFrame, pool: DataFrame, seed: int = 42, id_col: s
                                                 F.col("birthplace"), style_draw(seed, id_col))
                      .alias("face_description"), face_path(root, F.col(id_col)).alias("face_image_path"))
     return episodes.join(faces, id_col)
+
+
+def attribute_sentence_strict(attr_json: Column, age: Column, gender: Column, birthplace: Column,
+                              style: Column) -> Column:
+    """P11 first variant (C7 face requests): NULL where the source fails (a category
+    without a key order, or ``hair`` with ``wears``); present values are kept even
+    when empty (``None`` for a JSON null); exactly one trailing character is cut."""
+    m = F.from_json(attr_json, ATTR_MAP_TYPE)
+    order = F.create_map(*[x for cat, keys in K.HUMAN_ATTR_KEY_ORDER.items()
+                           for x in (F.lit(cat), F.array(*[F.lit(k) for k in keys]))])
+    suffix = F.create_map(*[x for cat, s in K.HUMAN_ATTR_SUFFIX.items() for x in (F.lit(cat), F.lit(s))])
+    entries = F.filter(F.map_entries(m), lambda e: ~e["key"].isin(*K.HUMAN_ATTR_SKIPPED))
+    invalid = F.exists(entries, lambda e: ~F.map_contains_key(order, e["key"])
+                       | ((e["key"] == "hair") & F.map_contains_key(e["value"], "wears")))
+
+    def piece(e):
+        keys = F.filter(F.coalesce(order[e["key"]], F.array().cast("array<string>")),
+                        lambda k: F.map_contains_key(e["value"], k))
+        vals = F.transform(keys, lambda k: F.concat(F.lit(" "), F.coalesce(e["value"][k], F.lit("None"))))
+        return F.concat(F.array_join(vals, ""), F.coalesce(suffix[e["key"]], F.lit("")), F.lit(","))
+    head = F.concat(F.lit("A "), style, F.lit(" shot, a "), age.cast("string"), F.lit("-years-old "),
+                    F.lower(gender), F.lit(" from "), birthplace, F.lit(","))
+    body = F.concat(head, F.array_join(F.transform(entries, piece), ""))
+    return F.when(invalid, F.lit(None).cast("string")).otherwise(
+        F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(".")))
+
+
+def face_requests(people: DataFrame, pool: DataFrame, seed: int = 42, id_col: str = "id",
+                  pool_key: str = "attr_id") -> DataFrame:
+    """Each persona row gets a sampled attribute row (J5) and its strict sentence."""
+    z = zip_sample(people, pool, seed, id_col, pool_key)
+    return z.withColumn("face_prompt", attribute_sentence_strict(
+        F.col("attributes"), F.col("age"), F.col("gender"), F.col("birthplace"), style_draw(seed, id_col)))

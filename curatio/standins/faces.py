@@ -85,3 +85,41 @@ def attach_faces(spark, sf_dir):
                 "age", "gender", "birthplace")
     out = FA.attach_faces(ep, attribute_pool(t.part), 42)
     return out.select("o_orderkey", "unique_id", "face_image_path", "face_description")
+
+
+def attribute_pool_strict(part):
+    """Pool for the strict variant: only known categories, no ``wears``; empty belt
+    material kept as a value; shoes only when ``p_size % 3 <> 0``."""
+    w1 = F.substring_index("p_name", " ", 1)
+    w2 = F.substring_index(F.substring_index("p_name", " ", 2), " ", -1)
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    js = F.concat(
+        F.lit('{"face": {"shape": "oval"}, "hair": {"hair color": '), q(w1), F.lit(', "hair style": "short"'),
+        F.lit('}, "tops": {"type": '), q(F.lower("p_type")), F.lit(', "color": '), q(w1),
+        F.lit(', "material": ""}, "belts": {"material": '),
+        q(F.when(F.col("p_size") % 5 == 0, F.lit("")).otherwise(F.lit("leather"))), F.lit("}"),
+        F.when(F.col("p_size") % 3 != 0, F.concat(F.lit(', "shoes": {"type": '), q(w2), F.lit(', "color": '), q(w1),
+                                                  F.lit("}"))).otherwise(F.lit("")),
+        F.lit("}"))
+    return part.select(F.col("p_partkey").alias("attr_id"), js.alias("attributes"))
+
+
+STRICT_SQL = f"""'A ' || style || ' shot, a ' || CAST(age AS VARCHAR) || '-years-old ' || lower(gender)
+  || ' from ' || birthplace || ','
+  || ' short ' || {_W1} || ' hair,'
+  || ' ' || {_W1} || '  ' || lower(p_type) || ','
+  || CASE WHEN p_size % 5 = 0 THEN '  belt,' ELSE ' leather belt,' END
+  || CASE WHEN p_size % 3 <> 0 THEN ' ' || {_W1} || ' ' || {_W2} || ',' ELSE '' END"""
+
+
+@query("face_sentences", f"""WITH {PEOPLE_SQL},
+ids AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS unique_id, age, gender, birthplace FROM people),
+{_zip_sql('ids')}
+SELECT unique_id, p_partkey AS attr_id, left({STRICT_SQL}, length({STRICT_SQL}) - 1) || '.' AS face_prompt FROM z""")
+def face_sentences(spark, sf_dir):
+    """C7 face requests (strict variant of the attribute sentence)."""
+    t = Tables(spark, sf_dir)
+    ids = people(t).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("unique_id"),
+                           "age", "gender", "birthplace")
+    r = FA.face_requests(ids, attribute_pool_strict(t.part), 42, "unique_id")
+    return r.select("unique_id", "attr_id", "face_prompt")

@@ -183,3 +183,34 @@ def test_ivf_equals_exact(spark):
     for cells, nprobe in [(8, 1), (20, 2), (3, 3)]:
         ivf = knn.topk_ivf(qs, db, k=5, cells=cells, nprobe=nprobe, q_block=7, d_block=50).collect()
         assert sorted((r["qid"], r["source"], r["rank"], r["vec_id"]) for r in ivf) == exact, (cells, nprobe)
+
+
+def py_attr_strict(attr, age, gender, birthplace, style):
+    t = f"A {style} shot, a {age}-years-old {gender.lower()} from {birthplace},"
+    for cat, a in attr.items():
+        if cat in K.HUMAN_ATTR_SKIPPED:
+            continue
+        if cat not in K.HUMAN_ATTR_KEY_ORDER or (cat == "hair" and "wears" in a):
+            return None
+        for k in K.HUMAN_ATTR_KEY_ORDER[cat]:
+            if k in a:
+                t += f" {a[k]}"
+        t += K.HUMAN_ATTR_SUFFIX.get(cat, "") + ","
+    return t[:-1] + "."
+
+
+def test_attribute_sentence_strict_random(spark):
+    rng = random.Random(13)
+    cats = list(K.HUMAN_ATTR_KEY_ORDER) + ["face", "overall-style", "gloves"]
+    rows = []
+    for i in range(300):
+        attr = {}
+        for cat in rng.sample(cats, rng.randint(0, 5)):
+            keys = K.HUMAN_ATTR_KEY_ORDER.get(cat, ["x"]) + (["wears"] if rng.random() < 0.1 else [])
+            attr[cat] = {k: rng.choice(["", "red", None]) for k in rng.sample(keys, rng.randint(0, len(keys)))}
+        rows.append((i, json.dumps(attr), 40, "Female", "Chile", "headshot"))
+    df = spark.createDataFrame(rows, "i int, a string, age int, gender string, bp string, style string")
+    got = df.orderBy("i").select(FA.attribute_sentence_strict(F.col("a"), F.col("age"), F.col("gender"),
+                                                              F.col("bp"), F.col("style"))).collect()
+    for (i, a, age, g, bp, st), r in zip(rows, got):
+        assert r[0] == py_attr_strict(json.loads(a), age, g, bp, st), a
