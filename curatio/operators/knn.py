@@ -42,6 +42,9 @@ _OUT = Ty.StructType([
 ])
 
 
+_Q_CHUNK = 256
+
+
 def _block_topk(k: int):
     def fn(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(d) == 0:
@@ -49,14 +52,21 @@ def _block_topk(k: int):
         qm = np.vstack(q["qvec"].to_numpy()).astype(np.float64)
         dm = np.vstack(d["vec"].to_numpy()).astype(np.float64)
         vid = d["vec_id"].to_numpy(np.int64)
-        scores = qm @ dm.T
+        qids = q["qid"].to_numpy(np.int64)
         kk = min(k, dm.shape[0])
-        # rank by (score desc, vec_id asc); exact ties kept deterministic
-        order = np.lexsort((np.broadcast_to(vid, scores.shape), -scores), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(len(q)), kk)
-        cols = order.reshape(-1)
-        return pd.DataFrame({"qid": q["qid"].to_numpy(np.int64)[rows], "source": d["source"].iloc[0],
-                             "vec_id": vid[cols], "score": scores[rows, cols]})
+        out_q, out_v, out_s = [], [], []
+        # queries in chunks: the score matrix held at once is chunk × block, not block × block
+        for lo in range(0, len(qm), _Q_CHUNK):
+            scores = qm[lo:lo + _Q_CHUNK] @ dm.T
+            # rank by (score desc, vec_id asc); exact ties kept deterministic
+            order = np.lexsort((np.broadcast_to(vid, scores.shape), -scores), axis=1)[:, :kk]
+            rows = np.repeat(np.arange(scores.shape[0]), kk)
+            cols = order.reshape(-1)
+            out_q.append(qids[lo:lo + _Q_CHUNK][rows])
+            out_v.append(vid[cols])
+            out_s.append(scores[rows, cols])
+        return pd.DataFrame({"qid": np.concatenate(out_q), "source": d["source"].iloc[0],
+                             "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
     return fn
 
 

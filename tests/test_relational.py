@@ -214,3 +214,19 @@ def test_attribute_sentence_strict_random(spark):
                                                               F.col("bp"), F.col("style"))).collect()
     for (i, a, age, g, bp, st), r in zip(rows, got):
         assert r[0] == py_attr_strict(json.loads(a), age, g, bp, st), a
+
+
+def test_topk_many_queries_per_block(spark):
+    """More queries in one block than the in-task chunk (256): chunks must agree with brute force."""
+    rng = np.random.default_rng(5)
+    d = rng.normal(size=(120, 6)).astype(np.float32)
+    db = spark.createDataFrame([("s", i, d[i].tolist()) for i in range(120)],
+                               "source string, vec_id long, vec array<float>")
+    q = rng.normal(size=(700, 6))
+    qs = spark.createDataFrame([(i, q[i].tolist()) for i in range(700)], "qid long, qvec array<double>")
+    got = sorted((r["qid"], r["rank"], r["vec_id"]) for r in knn.topk_per_source(qs, db, k=3).collect())
+    exp = []
+    for qi in range(700):
+        sc = sorted((-(q[qi] @ d[i].astype(np.float64)), i) for i in range(120))[:3]
+        exp += [(qi, rank + 1, i) for rank, (_, i) in enumerate(sc)]
+    assert got == sorted(exp)
