@@ -112,3 +112,12 @@ def ret_tag_extract(c) -> Column:
     c = col_(c)
     return F.when(c.contains("<RET>"),
                   py_strip(F.substring_index(F.substring_index(c, "<h>", -1), "</h>", 1))).otherwise(c)
+
+
+def repair_utf8(binary_col) -> Column:
+    """Text from raw bytes, invalid UTF-8 sequences replaced (U+FFFD)."""
+    return F.make_valid_utf8(col_(binary_col).cast("string"))
+
+
+def is_valid_utf8(binary_col) -> Column:
+    return F.is_valid_utf8(col_(binary_col).cast("string"))

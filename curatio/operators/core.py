@@ -81,3 +81,14 @@ def keep_where(df: DataFrame, cond: Column) -> DataFrame:
     tag = "_keep"
     return df.withColumn(tag, F.explode(F.filter(F.array(F.lit(True)), lambda _: F.coalesce(cond, F.lit(False))))) \
         .drop(tag)
+
+
+def observe_report(df: DataFrame, stage: str, metrics: dict[str, Column]):
+    """K4 without an extra pass: metrics ride along the next action on ``df``.
+
+    Returns ``(df_observed, read)``; after an action on ``df_observed`` (e.g. the
+    stage's write), ``read()`` gives ``{metric: value}``."""
+    from pyspark.sql import Observation
+    obs = Observation(stage)
+    observed = df.observe(obs, *[m.alias(name) for name, m in metrics.items()])
+    return observed, (lambda: dict(obs.get))

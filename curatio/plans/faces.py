@@ -45,10 +45,16 @@ def style_draw(seed, *keys) -> Column:
                         (draw(seed, "style", len(K.STYLE_TYPES), *keys) + 1).cast("int"))
 
 
-def zip_sample(people: DataFrame, pool: DataFrame, seed: int, people_key: str, pool_key: str) -> DataFrame:
+def zip_sample(people: DataFrame, pool: DataFrame, seed: int, people_key: str, pool_key: str,
+               strict: bool = False) -> DataFrame:
     """``random.sample(pool, n)`` zipped with the people: both sides are put in a
     seeded order, numbered with skew-safe global positions, and equi-joined on the
-    position. People beyond the pool size find no partner (the source raises)."""
+    position. People beyond the pool size find no partner; ``strict`` raises instead,
+    as the source does (two counts, returned as numbers)."""
+    if strict:
+        n_people, n_pool = people.count(), pool.count()
+        if n_people > n_pool:
+            raise ValueError(f"sample larger than population: {n_people} > {n_pool}")
     pk = people.withColumn("_o", order_key(seed, "zip_people", people_key))
     qk = pool.withColumn("_o", order_key(seed, "zip_pool", pool_key))
     pp = positions(pk, ["_o"], hex_bucket("_o", 3), pos_col="_pos").drop("_o")

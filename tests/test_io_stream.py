@@ -65,3 +65,24 @@ def test_stream_ingest_is_idempotent(spark, tmp_dir):
     spark.range(40, 45).select(F.col("id"), (F.col("id") % 3).alias("g")).write.mode("append").json(src)
     third = ingest(spark, src, "id long, g long", out, ck, parse)
     assert third.count() == 45 and third.select("id").distinct().count() == 45
+
+
+def test_list_images_and_utf8(spark, tmp_dir):
+    from curatio.functions.text import is_valid_utf8, repair_utf8
+    os.makedirs(os.path.join(tmp_dir, "imgs", "a"))
+    for name in ("a/1.jpg", "2.jpg", "3.png"):
+        with open(os.path.join(tmp_dir, "imgs", name), "wb") as f:
+            f.write(b"\xff\xd8")
+    paths = sorted(os.path.basename(r["path"]) for r in io.list_images(spark, os.path.join(tmp_dir, "imgs")).collect())
+    assert paths == ["1.jpg", "2.jpg"]
+    df = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"bad\xff"),)], "b binary")
+    rows = df.select(repair_utf8("b").alias("t"), is_valid_utf8("b").alias("v")).collect()
+    assert rows[0]["t"] == "ok" and rows[0]["v"] and not rows[1]["v"] and rows[1]["t"] == "bad�"
+
+
+def test_observe_report(spark):
+    from curatio.operators.core import observe_report
+    df = spark.range(10)
+    obs_df, read = observe_report(df, "s", {"n": F.count("*"), "odd": F.count_if(F.col("id") % 2 == 1)})
+    obs_df.write.format("noop").mode("overwrite").save()
+    assert read() == {"n": 10, "odd": 5}
