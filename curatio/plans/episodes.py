@@ -196,3 +196,48 @@ def keyword_description_requests(items: DataFrame) -> DataFrame:
     """Internet images with keywords but no description → description prompt."""
     return items.filter(F.col("sharing_class") == 4) \
         .withColumn("prompt", T.render(K.KEYWORD_DESCRIPTION_TEMPLATE, keywords="sh_keywords"))
+
+
+# ---- W9 / U3 / J7 / X23 / P6: album ids, uuids and the export form ---------------------
+
+def enumerate_album(album: Column) -> Column:
+    """``[{image_id: i, image_description}]`` from a list of descriptions/structs."""
+    return F.transform(album, lambda x, i: F.struct(i.alias("image_id"), x.alias("image_description")))
+
+
+def extend_album(pool: Column, new: Column) -> Column:
+    """Album list + newly added images (order kept)."""
+    return F.concat(pool, new)
+
+
+def album_uuids(album: DataFrame) -> DataFrame:
+    """X19 for album entries: one uuid per ``(unique_id, pos)``; if the same
+    ``(image_id, description)`` key repeats, the later entry's uuid wins (J7)."""
+    from curatio.functions.draws import stable_id
+    a = album.withColumn("image_uuid", stable_id("unique_id", F.lit("album"), "pos"))
+    return a.groupBy("unique_id", "pos", "description").agg(F.max_by("image_uuid", "pos").alias("image_uuid"))
+
+
+def session_album_uuids(sessions: DataFrame, album: DataFrame) -> DataFrame:
+    """Each session's starting album (entries ``pos < n_start``) annotated with the
+    album uuid by an equi-join on ``(unique_id, pos)``. The prefix is generated per
+    session (``sequence``), the reference's own output size — no session × album pairing."""
+    s = sessions.select("unique_id", "session_number",
+                        F.explode(F.when(F.col("n_start") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n_start") - 1))
+                                  .otherwise(F.array().cast("array<bigint>"))).alias("pos"))
+    return s.join(album_uuids(album), ["unique_id", "pos"])
+
+
+def annotate_dialogue(items: DataFrame) -> DataFrame:
+    """X23 (as rows): each sharing item that becomes an image request gets its own
+    ``image_uuid`` — every list item, a dict item only when it has a description
+    (rules 1-2 leave no sharing). Album entries are annotated separately (J7)."""
+    from curatio.functions.draws import stable_id
+    own = stable_id("unique_id", "session_number", "utterance_id", "item_pos")
+    is_req = (F.col("sh_shape") == "list") | (~F.col("sharing_class").isin(1, 2) & (F.col("sh_description") != ""))
+    return items.withColumn("image_uuid", F.when(is_req, own))
+
+
+def export_episodes(episodes: DataFrame, cols: list[str]) -> DataFrame:
+    """Nested columns as JSON text (typed ``to_json``, not a Python repr)."""
+    return episodes.select(*[F.to_json(c).alias(c) if c in cols else F.col(c) for c in episodes.columns])

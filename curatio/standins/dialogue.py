@@ -444,3 +444,49 @@ def dialogue_validate(spark, sf_dir):
     r = DG.sharing_stats(DG.dialogue_parse(gens).annotated)
     return r.select("unique_id", "session_number", "verdict", F.col("n_items").cast("bigint"),
                     F.col("n_all_empty").cast("bigint"), F.col("n_only_rationale").cast("bigint"))
+
+
+# ---- J7 / W9 / X23 / P6 -------------------------------------------------------------------
+
+@query("session_album_uuids", f"""WITH {ALBUM_SQL},
+per AS (
+  SELECT unique_id, session_number, max(n0) AS n0, sum(CASE WHEN sharing_class = 6 THEN 1 ELSE 0 END) AS added
+  FROM items GROUP BY 1, 2
+), per2 AS (
+  SELECT *, CAST(n0 + coalesce(sum(added) OVER (PARTITION BY unique_id ORDER BY session_number
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_start FROM per
+)
+SELECT p.unique_id, p.session_number, a.pos, a.description,
+       md5(p.unique_id || '|album|' || CAST(a.pos AS VARCHAR)) AS image_uuid
+FROM per2 p JOIN album a ON a.unique_id = p.unique_id AND a.pos < p.n_start""")
+def session_album_uuids(spark, sf_dir):
+    st = _album(spark, sf_dir)
+    return E.session_album_uuids(st.sessions, st.album).select("unique_id", "session_number", "pos", "description",
+                                                               "image_uuid")
+
+
+@query("episodes_export", f"""WITH {ALBUM_SQL}, {FINAL_SQL},
+ann AS (
+  SELECT *, CASE WHEN sharing_class NOT IN (1, 2) AND final_description <> ''
+                 THEN md5(unique_id || '|' || CAST(session_number AS VARCHAR) || '|' || CAST(utterance_id AS VARCHAR)
+                          || '|' || CAST(item_pos AS VARCHAR)) ELSE '' END AS image_uuid
+  FROM final
+), sess AS (
+  SELECT unique_id, session_number,
+         list({{'utterance_id': utterance_id, 'speaker': coalesce(speaker, '?'), 'utterance': final_utterance,
+                'image_description': final_description, 'image_uuid': image_uuid}} ORDER BY utterance_id, item_pos) AS dialogue
+  FROM ann GROUP BY 1, 2
+)
+SELECT unique_id, CAST(to_json(list({{'session_number': session_number, 'dialogue': dialogue}} ORDER BY session_number)) AS VARCHAR) AS episode
+FROM sess GROUP BY unique_id""")
+def episodes_export(spark, sf_dir):
+    """Episodes with per-item image uuids, nested and written as JSON text."""
+    x = E.annotate_dialogue(_final_items(spark, sf_dir))
+    utt = F.struct("utterance_id", F.coalesce("speaker", F.lit("?")).alias("speaker"), "utterance",
+                   F.col("sh_description").alias("image_description"),
+                   F.coalesce("image_uuid", F.lit("")).alias("image_uuid"))
+    sess = x.groupBy("unique_id", "session_number").agg(
+        E.nest_sorted(["utterance_id", "item_pos"], utt).alias("dialogue"))
+    ep = sess.groupBy("unique_id").agg(
+        E.nest_sorted(["session_number"], F.struct("session_number", "dialogue")).alias("episode"))
+    return E.export_episodes(ep, ["episode"])

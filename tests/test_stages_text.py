@@ -122,3 +122,9 @@ def test_speakers(spark):
     ans = spark.createDataFrame([("User",), ("ai assistant",), ("TOM",), ("x",)], "a string")
     got = [r[0] for r in ans.select(E.inferred_speaker("a", F.lit("Tom"))).collect()]
     assert got == ["Tom", "AI Assistant", "Tom", None]
+
+
+def test_enumerate_and_extend_album(spark):
+    df = spark.createDataFrame([(["a", "b"], ["c"])], "pool array<string>, new array<string>")
+    r = df.select(E.enumerate_album(E.extend_album(F.col("pool"), F.col("new"))).alias("x")).first()["x"]
+    assert [(e["image_id"], e["image_description"]) for e in r] == [(0, "a"), (1, "b"), (2, "c")]
