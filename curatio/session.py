@@ -53,3 +53,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/curatio-{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Settings for a large cluster (hundreds of TB): start from many shuffle partitions and
+# let AQE coalesce them to the advisory size, split skewed partitions, and read files in
+# splits that keep each map task's input near the same size. Pass to
+# ``SparkSession.builder.config(map=CLUSTER_CONF)`` or spark-submit ``--conf``.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.session.timeZone": "UTC",
+}
