@@ -17,14 +17,8 @@ from curatio.plans.worklist import shard
 
 
 def py_sharding(items, k):
-    q, r = divmod(len(items), k)
-    out = []
-    for i in range(k):
-        s = i * q + min(i, r)
-        e = s + q + (1 if i < r else 0)
-        if items[s:e]:
-            out.append(items[s:e])
-    return out
+    """Balanced contiguous split, independent model: numpy's array_split, empties dropped."""
+    return [list(c) for c in np.array_split(np.array(items, dtype=np.int64), k) if len(c)]
 
 
 def test_shards_match_reference_rule(spark):
@@ -131,16 +125,14 @@ def test_zip_sample_is_a_bijection(spark):
 
 
 def py_attr_sentence(attr, age, gender, birthplace, style):
-    parts = [f"A {style} shot, a {age}-years-old {gender.lower()} from {birthplace},"]
-    for cat, a in attr.items():
-        if cat in K.HUMAN_ATTR_SKIPPED or (cat == "hair" and "wears" in a):
-            continue
-        for k in K.HUMAN_ATTR_KEY_ORDER.get(cat, []):
-            if a.get(k):
-                parts.append(f" {a[k]}")
-        parts[-1] += K.HUMAN_ATTR_SUFFIX.get(cat, "")
-        parts[-1] += ","
-    return "".join(parts).rstrip(",") + "."
+    """Rule model (second variant): one segment per kept category, commas squeezed at the end."""
+    import re as _re
+    keep = [(c, a) for c, a in attr.items()
+            if c not in K.HUMAN_ATTR_SKIPPED and not (c == "hair" and "wears" in a)]
+    segs = ["".join(" " + a[key] for key in K.HUMAN_ATTR_KEY_ORDER.get(c, []) if a.get(key))
+            + K.HUMAN_ATTR_SUFFIX.get(c, "") + "," for c, a in keep]
+    head = "A %s shot, a %s-years-old %s from %s," % (style, age, gender.lower(), birthplace)
+    return _re.sub(",+$", "", head + "".join(segs)) + "."
 
 
 def test_attribute_sentence_random(spark):
@@ -186,17 +178,15 @@ def test_ivf_equals_exact(spark):
 
 
 def py_attr_strict(attr, age, gender, birthplace, style):
-    t = f"A {style} shot, a {age}-years-old {gender.lower()} from {birthplace},"
-    for cat, a in attr.items():
-        if cat in K.HUMAN_ATTR_SKIPPED:
-            continue
-        if cat not in K.HUMAN_ATTR_KEY_ORDER or (cat == "hair" and "wears" in a):
-            return None
-        for k in K.HUMAN_ATTR_KEY_ORDER[cat]:
-            if k in a:
-                t += f" {a[k]}"
-        t += K.HUMAN_ATTR_SUFFIX.get(cat, "") + ","
-    return t[:-1] + "."
+    """Rule model (first variant): None when a category is unknown or hair has 'wears';
+    present values kept even if empty; the final character replaced by '.'."""
+    cats = {c: a for c, a in attr.items() if c not in K.HUMAN_ATTR_SKIPPED}
+    if any(c not in K.HUMAN_ATTR_KEY_ORDER or (c == "hair" and "wears" in a) for c, a in cats.items()):
+        return None
+    body = "".join("".join(" %s" % (a[key],) for key in K.HUMAN_ATTR_KEY_ORDER[c] if key in a)
+                   + K.HUMAN_ATTR_SUFFIX.get(c, "") + "," for c, a in cats.items())
+    text = "A %s shot, a %s-years-old %s from %s,%s" % (style, age, gender.lower(), birthplace, body)
+    return text[:-1] + "."
 
 
 def test_attribute_sentence_strict_random(spark):

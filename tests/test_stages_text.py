@@ -11,29 +11,34 @@ from curatio.plans import episodes as E
 from curatio.plans import images as I
 
 
-def py_commonsense(gen, rel, lead):
-    marks = {"goal": "I plan ", "relationship": "So, I ", "routine": "I regularly "}
+# rule table: marker whose last occurrence starts the answer, per relation
+_MARK = {"goal": "I plan ", "relationship": "So, I ", "routine": "I regularly "}
+
+
+def _after_last(text, sep):
+    return text.rsplit(sep, 1)[-1]
+
 
-    def nodot(s):
-        return s[:-1] if s.endswith(".") else s
+def py_commonsense(gen, rel, lead):
+    """Rule model of the extraction; None marks the rows the source cannot parse."""
+    unfinal = (lambda t: t[:-1] if t[-1:] == "." else t)
     if lead in gen:
-        r = gen.replace(lead, "")
-        if r == "":
+        rest = "".join(gen.split(lead))
+        if not rest:
             return None
-        r = nodot(r)
-        return r.split("I ")[-1] if rel == "experience" else r
-    if gen == "":
+        rest = unfinal(rest)
+        return _after_last(rest, "I ") if rel == "experience" else rest
+    if not gen:
         return None
-    p = None
+    cut = None
     if rel == "experience" and " Now, " in gen:
-        p = gen.split(" Now, ")[0]
-        if gen.startswith("I "):
-            p = p.split("I ")[-1]
-    elif rel in marks and marks[rel] in gen:
-        p = gen.split(marks[rel])[-1]
-    elif gen.startswith("I "):
-        p = gen.split("I ")[-1]
-    return nodot(p or gen)
+        head = gen.partition(" Now, ")[0]
+        cut = _after_last(head, "I ") if gen[:2] == "I " else head
+    elif _MARK.get(rel) and _MARK[rel] in gen:
+        cut = _after_last(gen, _MARK[rel])
+    elif gen[:2] == "I ":
+        cut = _after_last(gen, "I ")
+    return unfinal(cut if cut else gen)
 
 
 def test_commonsense_extraction_random(spark):
@@ -54,14 +59,15 @@ def test_commonsense_extraction_random(spark):
 
 
 def py_img(text):
-    parts = text.split("[img]")
-    if len(parts) == 1:
-        out = text + " [img]"
-    elif len(parts) == 2:
-        out = text
-    else:
-        out = "[img]".join(parts[:2]) + " ".join(p.strip() for p in parts[2:])
-    return out.replace("[img]", "img")
+    """Rule model of the trigger repair: keep text up to the second tag, squeeze the rest."""
+    n = text.count("[img]")
+    if n == 0:
+        text = text + " [img]"
+    elif n > 1:
+        first, _, rest = text.partition("[img]")
+        second, _, tail = rest.partition("[img]")
+        text = first + "[img]" + second + " ".join(piece.strip() for piece in tail.split("[img]"))
+    return text.replace("[img]", "img")
 
 
 def test_img_repair_random(spark):
@@ -75,25 +81,24 @@ def test_img_repair_random(spark):
 
 
 def py_route(gen):
-    import re
-    g = gen.replace("Module:", "").strip()
+    """Rule model of the router parse, via str methods rather than a regex."""
     P = "Personalized Text-to-Image Generator"
-    names = [P, "Image Database Retrieval", "Web Search"]
+    order = [P, "Image Database Retrieval", "Web Search"]
+    g = gen.replace("Module:", "").strip()
+    mark = "\nModified Image Description:"
     if P in g:
-        m = re.search(r"(?P<module>.*)\nModified Image Description:\s*(?P<description>.*)", g, re.DOTALL)
-        if not m:
+        if mark not in g:
             return None, None, "no_description"
-        mod = next((n for n in names if n in m["module"]), None)
-        if mod is None:
+        module_part, _, desc = g.rpartition(mark)
+        found = [name for name in order if name in module_part]
+        if not found:
             return None, None, "no_module"
-        return K.MODULE_CODES[mod], py_img(m["description"]), None
+        return K.MODULE_CODES[found[0]], py_img(desc.lstrip()), None
     if "Modified Image Description" in g:
-        g = g.split("Modified Image Description: ")[0].strip()
-    for n in names:
-        if n in g:
-            g = n
-            break
-    return K.MODULE_CODES.get(g, "t2i"), "", None
+        g = g.partition("Modified Image Description: ")[0].strip()
+    found = [name for name in order if name in g]
+    label = found[0] if found else g
+    return K.MODULE_CODES.get(label, "t2i"), "", None
 
 
 def test_route_parse_cases(spark):
