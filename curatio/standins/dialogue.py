@@ -214,11 +214,25 @@ RULE_SQL = f"""CASE WHEN speaker_raw = name THEN 'owner'
   WHEN speaker_raw = '' THEN 'infer' ELSE 'unknown' END"""
 
 
+def _request_id() -> F.Column:
+    from curatio.functions.draws import stable_id
+    return stable_id("unique_id", "session_number", "utterance_id", "item_pos")
+
+
 def _speaker(utt: DataFrame) -> DataFrame:
+    """X11 for known spellings; empty speakers go through C17: request rows, a
+    completions table keyed by request id (stand-in answers), J13 attach, X12 map."""
+    from curatio.plans.worklist import attach_completions
     norm = E.normalise_speaker("speaker_raw", "name")
-    inferred = E.inferred_speaker(_inference_answer(), F.col("name"))
-    return utt.withColumn("speaker_rule", E.speaker_rule("speaker_raw", "name")) \
-        .withColumn("speaker", F.when(F.col("speaker_raw") == "", inferred).otherwise(norm))
+    x = utt.withColumn("request_id", _request_id())
+    req = x.filter(F.col("speaker_raw") == "").select("request_id", "name", "conv_id")
+    comp = req.select("request_id", F.lit(0).alias("seq"), _inference_answer().alias("generation"))
+    answers = attach_completions(req.drop("conv_id"), comp).attached \
+        .select("request_id", E.inferred_speaker(F.col("generation"), F.col("name")).alias("_inferred"))
+    x = x.join(answers, "request_id", "left")
+    return x.withColumn("speaker_rule", E.speaker_rule("speaker_raw", "name")) \
+        .withColumn("speaker", F.when(F.col("speaker_raw") == "", F.col("_inferred")).otherwise(norm)) \
+        .drop("_inferred", "request_id")
 
 
 @query("speaker_normalise", f"""WITH {UTT_SQL}
@@ -285,12 +299,20 @@ def summary_requests(spark, sf_dir):
 def _final_items(spark, sf_dir) -> DataFrame:
     """Items after the cascade: speaker resolved, description resolved (rule 3 via
     the album, rule 4 via a keyword-description completion, C18)."""
+    from curatio.plans.worklist import attach_completions
     st = _album(spark, sf_dir)
-    x = _speaker(st.items)
+    x = _speaker(st.items).withColumn("request_id", _request_id())
+    # Keyword-description requests answered by a completions table (stand-in answers), J13 attach
+    req = E.keyword_description_requests(x).select("request_id", "sh_keywords")
+    comp = req.select("request_id", F.lit(0).alias("seq"),
+                      F.concat(F.lit("an image of "), F.col("sh_keywords")).alias("generation"))
+    described = attach_completions(req.select("request_id"), comp).attached \
+        .select("request_id", F.col("generation").alias("_generated"))
+    x = x.join(described, "request_id", "left")
     desc = (F.when(F.col("sharing_class") == 3, F.coalesce("resolved_description", "sh_description"))
-            .when(F.col("sharing_class") == 4, F.concat(F.lit("an image of "), F.col("sh_keywords")))
+            .when(F.col("sharing_class") == 4, F.col("_generated"))
             .otherwise(F.col("sh_description")))
-    return x.withColumn("sh_description", desc) \
+    return x.withColumn("sh_description", desc).drop("_generated", "request_id") \
         .withColumn("utterance", E.fill_non_verbal("utterance", ~F.col("sharing_class").isin(1, 2)))
 
 
