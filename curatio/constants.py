@@ -171,3 +171,11 @@ KEYWORD_DESCRIPTION_TEMPLATE = (
     "Keywords: {keywords}\n\nGiven the keywords, your job is to generate a relevant concise image description, "
     "starting with an image of or a photo of.\nImage Description: "
 )
+# persona request system message; {example} is a few-shot block
+PERSONA_SYSTEM_MESSAGE = (
+    'Based on the given persona category, entity key, and user\'s profile information (i.e., age, gender, '
+    'nationality), your job is to generate 30 persona sentences and corresponding persona entity values in the '
+    'format "<persona sentence> (<entity key>: <entity value>)." You should generate very specific persona '
+    'sentences and entity values. The persona sentence can express a positive sentiment (like) or a negative one '
+    '(dislike). \n\nFor example, \n\n{example}'
+)

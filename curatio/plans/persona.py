@@ -174,3 +174,26 @@ def album_parse(gen: DataFrame, key: list[str], generation_col: str = "generatio
         "instances_kept": F.count_distinct(F.when(F.col("kept"), F.struct(*[F.col(k) for k in key]))),
     })
     return AlbumParse(p, albums, rep)
+
+
+def attach_system_messages(requests: DataFrame, blocks: DataFrame, seed: int = 42,
+                           n_blocks: int | None = None) -> DataFrame:
+    """C1 system messages: each request (category, trial, prompt_idx) draws one pool
+    key and one of that key's ``n_blocks`` pre-shuffled few-shot blocks, rendered into
+    the fixed system-message format. Keys are numbered by a seeded order (skew-safe
+    positions); both picks are equi-joins on drawn indexes."""
+    from curatio import constants as K
+    from curatio.functions.draws import draw, order_key
+    from curatio.operators.position import hex_bucket, positions
+    n_blocks = n_blocks or K.PERSONA_RELATIONS_TRIALS
+    keys = blocks.select(F.col("category").alias("fewshot_category"), F.col("key").alias("fewshot_key")).distinct() \
+        .withColumn("_o", order_key(seed, "fewshot_keys", "fewshot_category", "fewshot_key"))
+    keys = positions(keys, ["_o"], hex_bucket("_o", 3), pos_col="_kidx").drop("_o")
+    n_keys = keys.select(F.count("*")).scalar()
+    r = requests.withColumn("_kidx", draw(seed, "fewshot_key", n_keys, "category", "trial", "prompt_idx")) \
+        .withColumn("fewshot_block", draw(seed, "fewshot_block", n_blocks, "category", "trial", "prompt_idx"))
+    b = blocks.select(F.col("category").alias("fewshot_category"), F.col("key").alias("fewshot_key"),
+                      F.col("prompt_idx").alias("fewshot_block"), "block")
+    out = r.join(keys, "_kidx").join(b, ["fewshot_category", "fewshot_key", "fewshot_block"])
+    return out.withColumn("system_message", T.render(K.PERSONA_SYSTEM_MESSAGE, example="block")) \
+        .drop("_kidx", "block")

@@ -252,3 +252,44 @@ SELECT 'album' AS stage, metric, CAST(value AS BIGINT) AS value FROM (
   UNION ALL SELECT 'instances_kept', count(DISTINCT list_id) FILTER (WHERE kept) FROM aitems)""")
 def album_report(spark, sf_dir):
     return album_parse(_album_gen(Tables(spark, sf_dir).part), ["list_id"]).report
+
+
+# ---- C1 system messages: few-shot block per request ---------------------------------------
+from curatio.plans.persona import attach_system_messages  # noqa: E402
+
+def _blocks_cte() -> str:
+    from curatio.standins.registry import QUERIES
+    sql = QUERIES["few_shot_block"][1]
+    # the few-shot query without its final projection of `key`: re-select with the key kept
+    return sql.replace("SELECT category, prompt_idx, count(*) AS n_lines,", "SELECT category, key, prompt_idx, count(*) AS n_lines,")
+
+
+_RK = ("category", "trial", "prompt_idx")
+
+
+@query("persona_system_messages", f"""WITH blocks AS ({_blocks_cte()}),
+keys AS (
+  SELECT category AS fewshot_category, key AS fewshot_key,
+         row_number() OVER (ORDER BY {sql_order_key(42, 'fewshot_keys', 'category', 'key')}) - 1 AS kidx
+  FROM (SELECT DISTINCT category, key FROM blocks)
+), req AS (
+  SELECT c.category, CAST(t AS BIGINT) AS trial, CAST(p AS BIGINT) AS prompt_idx
+  FROM (SELECT DISTINCT p_type AS category FROM part WHERE p_type NOT IN ({", ".join(S.lit(x) for x in EXCLUDED_TYPES)})) c,
+       range(0, {K.DEMOGRAPHIC_TRIAL}) r(t), range(0, {K.PERSONA_RELATIONS_TRIALS}) q(p)
+), pick AS (
+  SELECT *, {sql_draw(42, 'fewshot_key', '(SELECT count(*) FROM keys)', *_RK)} AS kidx,
+         {sql_draw(42, 'fewshot_block', K.PERSONA_RELATIONS_TRIALS, *_RK)} AS fewshot_block FROM req
+)
+SELECT pick.category, pick.trial, pick.prompt_idx, keys.fewshot_category, keys.fewshot_key, pick.fewshot_block,
+       {S.render(K.PERSONA_SYSTEM_MESSAGE, example='blocks.block')} AS system_message
+FROM pick JOIN keys ON keys.kidx = pick.kidx
+JOIN blocks ON blocks.category = keys.fewshot_category AND blocks.key = keys.fewshot_key AND blocks.prompt_idx = pick.fewshot_block""")
+def persona_system_messages(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    cats = t.part.select(F.col("p_type").alias("category")).distinct().filter(~F.col("category").isin(*EXCLUDED_TYPES))
+    req = cats.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(K.DEMOGRAPHIC_TRIAL - 1).cast("bigint")))) \
+        .withColumn("prompt_idx", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                       F.lit(K.PERSONA_RELATIONS_TRIALS - 1).cast("bigint"))))
+    out = attach_system_messages(req, few_shot_blocks(_pool(t.part)))
+    return out.select("category", "trial", "prompt_idx", "fewshot_category", "fewshot_key", "fewshot_block",
+                      "system_message")
