@@ -92,3 +92,13 @@ def observe_report(df: DataFrame, stage: str, metrics: dict[str, Column]):
     obs = Observation(stage)
     observed = df.observe(obs, *[m.alias(name) for name, m in metrics.items()])
     return observed, (lambda: dict(obs.get))
+
+
+def spread_null_key(key: Column, *salt: Column | str) -> Column:
+    """A left-join key whose NULLs are replaced by distinct negative values.
+
+    In a shuffle join every NULL key hashes to the same reducer; when most rows have
+    no lookup (NULL), that one task gets most of the data. The negatives never
+    match a real (non-negative) key, so the join result is unchanged."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in salt]
+    return F.coalesce(key.cast("bigint"), -1 - F.pmod(F.xxhash64(*cols), F.lit(1 << 40)))

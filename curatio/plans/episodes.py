@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from curatio import constants as K
 from curatio.functions import text as T
+from curatio.operators.core import spread_null_key
 
 ITEM_ORDER = ["session_number", "utterance_id", "item_pos"]
 
@@ -114,8 +115,10 @@ def album_state(items: DataFrame, initial: DataFrame) -> AlbumState:
     x = x.withColumn("_kind", F.when(is3, kind)).withColumn("_ref", F.when(is3, ref))
     idx = F.when(F.col("_ref") < 0, F.col("len_before") + F.col("_ref")).otherwise(F.col("_ref"))
     x = x.withColumn("ref_idx", F.when((idx >= 0) & (idx < F.col("len_before")), idx))
-    look = album.select("unique_id", F.col("pos").alias("ref_idx"), F.col("description").alias("resolved_description"))
-    x = x.join(look, ["unique_id", "ref_idx"], "left")
+    look = album.select("unique_id", F.col("pos").alias("_rk"), F.col("description").alias("resolved_description"))
+    # most items have no reference: spread their NULL key so no reducer gets them all
+    x = x.withColumn("_rk", spread_null_key(F.col("ref_idx"), "unique_id", *ITEM_ORDER)) \
+        .join(look, ["unique_id", "_rk"], "left").drop("_rk")
     status = (F.when(~is3, F.lit(None).cast("string")).when(F.col("_kind") != "ref", F.col("_kind"))
               .when(F.col("ref_idx").isNotNull(), "resolved").otherwise("out_of_range"))
     x = x.withColumn("ref_status", status).drop("_kind", "_ref")

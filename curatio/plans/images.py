@@ -78,10 +78,12 @@ def resolve_image_keys(keys: DataFrame, images: DataFrame, pages: DataFrame, fac
     kind = F.when(k.startswith("url:"), "url").when(k.startswith("face:"), "face").otherwise("image")
     ident = F.when(k.startswith("url:"), F.substring_index(k, "url:", -1)) \
         .when(k.startswith("face:"), F.substring_index(k, "face:", -1)).otherwise(k)
-    x = keys.withColumn("kind", kind).withColumn("_id", ident.try_cast("bigint"))
+    from curatio.operators.core import spread_null_key
+    # unparsable ids (NULL) get spread negative keys: no hot reducer, still no match
+    x = keys.withColumn("kind", kind).withColumn("_id", spread_null_key(ident.try_cast("bigint"), key_col))
     parts = []
     for name, target in (("url", pages), ("face", faces), ("image", images)):
-        t = target.select(F.col("id").alias("_id"), F.col("location").alias("resolved"))
+        t = target.select(F.col("id").cast("bigint").alias("_id"), F.col("location").alias("resolved"))
         parts.append(x.filter(F.col("kind") == name).join(t, "_id", "left"))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.withColumn("status", F.when(F.col("resolved").isNull(), "dangling").otherwise("resolved")).drop("_id")
