@@ -34,8 +34,10 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int) -> Column:
     """
     probs = [i / buckets for i in range(1, buckets)]
     splits = sorted(set(df.approxQuantile(col, probs, 1.0 / (4 * buckets)))) if probs else []
-    if not splits:
-        return F.lit(0).cast("bigint")
+    # with no split point the bucket is 0 for every row, but it must stay an expression
+    # of the row: a folded constant would turn the offsets join into a nested-loop join
+    # and the numbering window into a single partition
+    splits = splits or [float("inf")]
     arr = F.array(*[F.lit(float(s)) for s in splits])
     x = F.col(col).cast("double")
     return F.size(F.filter(arr, lambda s: s <= x)).cast("bigint")
