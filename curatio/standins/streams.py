@@ -30,3 +30,26 @@ def stream_ingest_parse(spark, sf_dir):
         .repartition(4, "unique_id").write.mode("overwrite").json(f"{base}/in")
     out = ingest(spark, f"{base}/in", SCHEMA, f"{base}/out", f"{base}/checkpoint", _parse)
     return out.drop("batch_id")
+
+
+from curatio.plans.persona import persona_parse  # noqa: E402
+from curatio.standins.persona import PIECES_SQL, persona_generations  # noqa: E402
+from curatio.streaming.ingest import ingest_unique  # noqa: E402
+
+
+def _accept(batch):
+    r = persona_parse(batch)
+    return r.exact.select("sent", "key", "value", "seq", "piece_idx")
+
+
+@query("stream_persona_unique", f"""WITH {PIECES_SQL}
+SELECT DISTINCT sent FROM exact""")
+def stream_persona_unique(spark, sf_dir):
+    """Persona completions arrive as 4 files, one per micro-batch; a sentence is
+    accepted once over all batches (cross-batch first-wins via left_anti)."""
+    base = scratch_path(spark, "persona-ingest")
+    gens = persona_generations(Tables(spark, sf_dir).part)
+    gens.repartition(4, "seq").write.mode("overwrite").json(f"{base}/in")
+    out = ingest_unique(spark, f"{base}/in", "seq bigint, generation string, persona_entity_key string",
+                        f"{base}/out", f"{base}/checkpoint", _accept, ["sent"], ["seq", "piece_idx"])
+    return out.select("sent")

@@ -43,3 +43,34 @@ def accepted_once(accumulated: DataFrame, keys: list[str], order: list[str]) ->
 def stamp(df: DataFrame) -> DataFrame:
     """Record the ingest time of a batch (kept out of keys, so replays stay identical)."""
     return df.withColumn("ingested_at", F.current_timestamp())
+
+
+def ingest_unique(spark: SparkSession, in_dir: str, schema: StructType | str, out_dir: str, checkpoint: str,
+                  parse: Callable[[DataFrame], DataFrame], keys: list[str], order: list[str],
+                  fmt: str = "json", max_files_per_trigger: int = 1) -> DataFrame:
+    """Like ``ingest`` but a key is accepted at most once over all batches (A2/A3).
+
+    Each micro-batch keeps its first row per key, then drops keys already accepted by
+    *earlier* batches (``left_anti`` against the output folders with a smaller
+    ``batch_id``). A replayed batch ignores its own earlier attempt, so a crash and
+    replay writes the same rows again into the same folder."""
+    from curatio.operators.core import dedupe_first
+    out = out_dir.rstrip("/")
+    stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger) \
+        .load(in_dir)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        fresh = dedupe_first(parse(batch), keys, order)
+        try:
+            prior = spark.read.parquet(out).filter(F.col("batch_id") < batch_id).select(*keys)
+            fresh = fresh.join(prior, keys, "left_anti")
+        except Exception as e:  # noqa: BLE001 - first batch: no output folder yet
+            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) \
+                    and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)

@@ -86,3 +86,17 @@ def test_observe_report(spark):
     obs_df, read = observe_report(df, "s", {"n": F.count("*"), "odd": F.count_if(F.col("id") % 2 == 1)})
     obs_df.write.format("noop").mode("overwrite").save()
     assert read() == {"n": 10, "odd": 5}
+
+
+def test_ingest_unique_across_batches(spark, tmp_dir):
+    from curatio.streaming.ingest import ingest_unique
+    src = os.path.join(tmp_dir, "in")
+    spark.range(30).select((F.col("id") % 10).alias("k"), F.col("id").alias("seq")).repartition(3) \
+        .write.json(src)
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    first = ingest_unique(spark, src, "k long, seq long", out, ck, lambda b: b, ["k"], ["seq"])
+    assert first.count() == 10 and first.select("k").distinct().count() == 10
+    spark.range(100, 105).select((F.col("id") % 12).alias("k"), F.col("id").alias("seq")) \
+        .write.mode("append").json(src)                     # keys 4..8 repeat, none new below 10
+    again = ingest_unique(spark, src, "k long, seq long", out, ck, lambda b: b, ["k"], ["seq"])
+    assert again.count() == again.select("k").distinct().count() == 10
