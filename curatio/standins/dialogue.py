@@ -219,13 +219,16 @@ def _request_id() -> F.Column:
     return stable_id("unique_id", "session_number", "utterance_id", "item_pos")
 
 
-def _speaker(utt: DataFrame) -> DataFrame:
+def _speaker(utt: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """X11 for known spellings; empty speakers go through C17: request rows, a
-    completions table keyed by request id (stand-in answers), J13 attach, X12 map."""
+    completions table keyed by request id (stand-in answers), J13 attach, X12 map.
+    ``base`` is the cheap raw utterance table the requests are cut from (so a
+    heavier processed ``utt`` is not evaluated twice)."""
     from curatio.plans.worklist import attach_completions
     norm = E.normalise_speaker("speaker_raw", "name")
     x = utt.withColumn("request_id", _request_id())
-    req = x.filter(F.col("speaker_raw") == "").select("request_id", "name", "conv_id")
+    src = x if base is None else base.withColumn("request_id", _request_id())
+    req = src.filter(F.col("speaker_raw") == "").select("request_id", "name", "conv_id")
     comp = req.select("request_id", F.lit(0).alias("seq"), _inference_answer().alias("generation"))
     answers = attach_completions(req.drop("conv_id"), comp).attached \
         .select("request_id", E.inferred_speaker(F.col("generation"), F.col("name")).alias("_inferred"))
@@ -296,14 +299,18 @@ def summary_requests(spark, sf_dir):
                              dialogue="dialogue").alias("prompt"))
 
 
-def _final_items(spark, sf_dir) -> DataFrame:
+def _final_items(spark, sf_dir, st=None) -> DataFrame:
     """Items after the cascade: speaker resolved, description resolved (rule 3 via
-    the album, rule 4 via a keyword-description completion, C18)."""
+    the album, rule 4 via a keyword-description completion, C18). Request tables are
+    cut from the raw utterances; the album pipeline is evaluated once."""
     from curatio.plans.worklist import attach_completions
-    st = _album(spark, sf_dir)
-    x = _speaker(st.items).withColumn("request_id", _request_id())
+    st = st or _album(spark, sf_dir)
+    raw = utterances(Tables(spark, sf_dir).conversations).filter(F.col("sh_shape") != "other") \
+        .withColumn("sharing_class", E.sharing_class())
+    x = _speaker(st.items, base=raw).withColumn("request_id", _request_id())
     # Keyword-description requests answered by a completions table (stand-in answers), J13 attach
-    req = E.keyword_description_requests(x).select("request_id", "sh_keywords")
+    req = E.keyword_description_requests(raw.withColumn("request_id", _request_id())) \
+        .select("request_id", "sh_keywords")
     comp = req.select("request_id", F.lit(0).alias("seq"),
                       F.concat(F.lit("an image of "), F.col("sh_keywords")).alias("generation"))
     described = attach_completions(req.select("request_id"), comp).attached \
@@ -357,7 +364,7 @@ SELECT md5(unique_id || '|' || CAST(session_number AS VARCHAR) || '|' || CAST(ut
 FROM final WHERE sharing_class NOT IN (1, 2) AND final_description <> ''""")
 def image_requests(spark, sf_dir):
     st = _album(spark, sf_dir)
-    x = _final_items(spark, sf_dir)
+    x = _final_items(spark, sf_dir, st)
     album = st.album.select(F.md5(F.concat_ws("|", "unique_id", F.lit("album"), F.col("pos").cast("string")))
                             .alias("image_uuid"), F.lit("album").alias("origin"), "unique_id",
                             F.col("description").alias("image_description"))
