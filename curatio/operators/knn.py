@@ -192,11 +192,13 @@ def topk_ivf(queries: DataFrame, db: DataFrame, k: int = 5, cells: int | None =
     t = F.col("_tau")
     extra = qs.select("qid", "qvec", "_cs", probed.alias("_probed")).join(tau_map, "qid", "left") \
         .withColumn("_all", all_cells) \
-        .select("qid", "qvec", F.explode(F.filter("_all", lambda c: ~F.array_contains(F.col("_probed"), c["cell"])
-                                                  & (F.element_at(t, c["source"]).isNull()
-                                                     | (F.get(F.col("_cs"), c["cell"]) + c["r"] + eps
-                                                        >= F.element_at(t, c["source"]))))).alias("_c")) \
-        .select("qid", "qvec", F.col("_c.source").alias("source"), F.col("_c.cell").alias("cell"))
-    second = _keyed_scan(extra, assigned, ["source", "cell"], k, q_block, d_block)
+        .select("qid", "qvec", F.explode(F.array_distinct(F.transform(
+            F.filter("_all", lambda c: ~F.array_contains(F.col("_probed"), c["cell"])
+                     & (F.element_at(t, c["source"]).isNull()
+                        | (F.get(F.col("_cs"), c["cell"]) + c["r"] + eps >= F.element_at(t, c["source"])))),
+            lambda c: c["cell"]))).alias("cell"))
+    # one row per (query, cell) however many sources need the cell: the cell scan yields a
+    # top-k per source anyway (a superset of the needed candidates, still exact)
+    second = _keyed_scan(extra, assigned, ["cell"], k, q_block, d_block)
     allc = first_top.drop("rank").unionByName(second)
     return allc.withColumn("rank", F.row_number().over(wr).cast("bigint")).filter(F.col("rank") <= k)
