@@ -46,7 +46,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="curatio-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/S3/…) on a cluster; "
+                             "intermediate tables and checkpoints must survive executor loss")
+        conf = tempfile.mkdtemp(prefix="curatio-ckpt-")   # local mode only (tests, bench)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
 
