@@ -21,12 +21,14 @@ BACKENDS = {
 # order in which the router output is searched for a module name
 ROUTER_SEARCH_ORDER = ["Personalized Text-to-Image Generator", "Image Database Retrieval", "Web Search"]
 ROUTER_DESCRIPTION_MARK = "Modified Image Description:"
-# artifact folder per backend; file name "<i>:<uuid>.png" for generators, "<uuid>" dir for web
+# artifact folder per backend; file name "<i>:<uuid>.png" for generators, "<uuid>" dir for web.
+# One sub-folder per persona seed, "<prefix><seed>" (the prefix is a parameter of artifact_path)
 ARTIFACT_ROOTS = {
     "sdxl-lightning": "generated_image/plan-and-execute/sdxl",
     "photomaker": "generated_image/plan-and-execute/generator",
     "bing": "generated_image/plan-and-execute/web_searcher",
 }
+ARTIFACT_SEED_PREFIX = "seed_"
 
 # ---- fixed values: commonsense relations ----------------------------------------
 RELATIONS = ["characteristic", "experience", "goal", "relationship", "routine"]

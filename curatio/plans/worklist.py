@@ -20,15 +20,17 @@ def backend_of(module_col: str | Column) -> Column:
     return expr
 
 
-def artifact_path(backend: Column | str, seed: Column | str, uuid: Column | str, idx: int = 0) -> Column:
-    """Where a backend stores the artifact of one request (NULL for the image DB)."""
+def artifact_path(backend: Column | str, seed: Column | str, uuid: Column | str, idx: int = 0,
+                  seed_prefix: str = K.ARTIFACT_SEED_PREFIX) -> Column:
+    """Where a backend stores the artifact of one request (NULL for the image DB):
+    ``<root>/<seed_prefix><seed>/<idx>:<uuid>.png`` (a ``<uuid>`` folder for web search)."""
     backend = F.col(backend) if isinstance(backend, str) else backend
     seed = (F.col(seed) if isinstance(seed, str) else seed).cast("string")
     uuid = F.col(uuid) if isinstance(uuid, str) else uuid
     out = F.lit(None).cast("string")
     for b, root in K.ARTIFACT_ROOTS.items():
         leaf = uuid if b == "bing" else F.concat(F.lit(f"{idx}:"), uuid, F.lit(".png"))
-        out = F.when(backend == b, F.concat(F.lit(f"{root}/stark_"), seed, F.lit("/"), leaf)).otherwise(out)
+        out = F.when(backend == b, F.concat(F.lit(f"{root}/{seed_prefix}"), seed, F.lit("/"), leaf)).otherwise(out)
     return out
 
 

@@ -40,9 +40,9 @@ WORKLIST_SQL = f"""WITH req AS (
   SELECT image_uuid, image_alignment_module, persona_seed, backend,
     CASE WHEN backend = 'image_db' THEN 'untouched' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'pending' END AS status,
     CASE backend
-      WHEN 'sdxl-lightning' THEN 'generated_image/plan-and-execute/sdxl/stark_' || persona_seed || '/0:' || image_uuid || '.png'
-      WHEN 'photomaker' THEN 'generated_image/plan-and-execute/generator/stark_' || persona_seed || '/0:' || image_uuid || '.png'
-      WHEN 'bing' THEN 'generated_image/plan-and-execute/web_searcher/stark_' || persona_seed || '/' || image_uuid
+      WHEN 'sdxl-lightning' THEN 'generated_image/plan-and-execute/sdxl/seed_' || persona_seed || '/0:' || image_uuid || '.png'
+      WHEN 'photomaker' THEN 'generated_image/plan-and-execute/generator/seed_' || persona_seed || '/0:' || image_uuid || '.png'
+      WHEN 'bing' THEN 'generated_image/plan-and-execute/web_searcher/seed_' || persona_seed || '/' || image_uuid
     END AS artifact_path
   FROM b
 )"""
