@@ -140,3 +140,11 @@ def session_requests(sessions: DataFrame) -> DataFrame:
     nxt = T.render(K.NEXT_DIALOGUE_TEMPLATE, history_event="history_before", time_interval="time_interval",
                    last_date="last_date", experience="experience", **common)
     return sessions.withColumn("dialogue_prompt", F.when(F.col("session_number") == 1, first).otherwise(nxt))
+
+
+def session_requests_for(sessions: DataFrame, graph_key: list[str], target_session: int) -> DataFrame:
+    """C8 as the source runs it: one target session ``n`` at a time, only for graphs
+    with at least ``n`` events (F5); the stage is empty when no graph is that long.
+    A graph has a row with ``session_number = n`` exactly when it has ≥ n events, so
+    the eligibility test is this filter (no size aggregate, no join)."""
+    return session_requests(sessions.filter(F.col("session_number") == target_session))

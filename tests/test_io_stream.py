@@ -100,3 +100,33 @@ def test_ingest_unique_across_batches(spark, tmp_dir):
         .write.mode("append").json(src)                     # keys 4..8 repeat, none new below 10
     again = ingest_unique(spark, src, "k long, seq long", out, ck, lambda b: b, ["k"], ["seq"])
     assert again.count() == again.select("k").distinct().count() == 10
+
+
+def test_whole_text_image_db_and_rejects(spark, tmp_dir):
+    t = os.path.join(tmp_dir, "tpl.txt")
+    with open(t, "w") as f:
+        f.write("line one\nline two {x}\n")
+    rows = io.read_whole_text(spark, t).collect()
+    assert len(rows) == 1 and rows[0]["value"] == "line one\nline two {x}\n"
+    for src, n in (("cc", 3), ("rc", 2)):
+        spark.range(n).select(F.col("id").alias("vec_id")).write.parquet(os.path.join(tmp_dir, src))
+    db = io.read_image_db(spark, {"cc": os.path.join(tmp_dir, "cc"), "rc": os.path.join(tmp_dir, "rc")})
+    assert sorted((r["source"], r["vec_id"]) for r in db.collect()) == \
+        [("cc", 0), ("cc", 1), ("cc", 2), ("rc", 0), ("rc", 1)]
+    df = spark.createDataFrame([(1, None), (2, "syntax:fail"), (3, "key:fail")], "id int, reject_reason string")
+    out = os.path.join(tmp_dir, "rej")
+    io.write_rejects(df, out)
+    back = spark.read.parquet(out)
+    assert sorted((r["id"], r["reject_reason"]) for r in back.collect()) == [(2, "syntax:fail"), (3, "key:fail")]
+
+
+def test_session_requests_for_target(spark):
+    from curatio.plans.events import session_requests_for
+    rows = [(g, n, f"e{g}{n}", f"2024.01.0{n}", f"d{n-1}", "", "1 day", "x") for g, m in ((1, 3), (2, 5)) for n in range(1, m + 1)]
+    df = spark.createDataFrame(rows, "g int, session_number int, event string, date string, last_date string, "
+                                     "history_before string, time_interval string, experience string")
+    for c in ("name", "age", "gender", "birthplace", "residence", "mobile_device"):
+        df = df.withColumn(c, F.lit("v"))
+    got = session_requests_for(df, ["g"], 4).collect()
+    assert [(r["g"], r["session_number"]) for r in got] == [(2, 4)]
+    assert session_requests_for(df, ["g"], 6).count() == 0
