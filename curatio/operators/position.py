@@ -14,6 +14,7 @@ positions (no ``monotonically_increasing_id`` or partition ids involved).
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,35 +26,43 @@ def hex_bucket(c: Column | str, digits: int = 4) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint")
 
 
-def quantile_bucket(df: DataFrame, col: str, buckets: int) -> Column:
+def quantile_bucket(df: DataFrame, col: str, buckets: int):
     """Monotone bucket of a numeric order key from approximate quantiles.
 
     ``approxQuantile`` returns ``buckets - 1`` numbers to the driver (bounded by
-    the bucket count, not the data). The bucket is the number of split points
-    ``<=`` the value, computed with a sorted ``array`` literal and ``filter``.
+    the bucket count, not the data). Rows are placed with ``Bucketizer`` (a JVM
+    binary search over the split points; the bucket = number of split points
+    ``<=`` the value). Returned as a frame → frame step for ``positions``: with no
+    split point every row is in bucket 0, yet the bucket stays a per-row value, so
+    the offsets join remains an equi-join and the numbering window stays
+    partitioned. (An array ``filter`` lambda over a derived column hit a Spark
+    attribute-binding failure in grouped plans; the Bucketizer form does not.)
     """
+    from pyspark.ml.feature import Bucketizer
     probs = [i / buckets for i in range(1, buckets)]
     splits = sorted(set(df.approxQuantile(col, probs, 1.0 / (4 * buckets)))) if probs else []
-    # with no split point the bucket is 0 for every row, but it must stay an expression
-    # of the row: a folded constant would turn the offsets join into a nested-loop join
-    # and the numbering window into a single partition
-    splits = splits or [float("inf")]
-    arr = F.array(*[F.lit(float(s)) for s in splits])
-    x = F.col(col).cast("double")
-    return F.size(F.filter(arr, lambda s: s <= x)).cast("bigint")
+    inner = [float(x) for x in splits if math.isfinite(x)] or [sys.float_info.max]   # ≥ 1 interior split
+    edges = [float("-inf")] + inner + [float("inf")]
+
+    def add(frame: DataFrame) -> DataFrame:
+        x = frame.withColumn("_qb_in", F.col(col).cast("double"))
+        out = Bucketizer(splits=edges, inputCol="_qb_in", outputCol="_qb_out", handleInvalid="keep").transform(x)
+        return out.withColumn("_bucket", F.col("_qb_out").cast("bigint")).drop("_qb_in", "_qb_out")
+    return add
 
 
 def default_buckets(rows: int, per_bucket: int = 200_000) -> int:
     return max(1, min(1 << 16, math.ceil(rows / per_bucket)))
 
 
-def positions(df: DataFrame, order: list[str], bucket: Column, group: list[str] | None = None,
+def positions(df: DataFrame, order: list[str], bucket, group: list[str] | None = None,
               pos_col: str = "pos", size_col: str | None = None) -> DataFrame:
     """Add 0-based ``pos_col`` = rank of the row by ``order`` within ``group``
     (whole frame when ``group`` is empty); ``order`` must be unique within a group
-    and ``bucket`` non-decreasing in ``order``. ``size_col`` adds the group size."""
+    and ``bucket`` (a Column, or a frame → frame step adding ``_bucket`` such as
+    ``quantile_bucket``) non-decreasing in ``order``. ``size_col`` adds the group size."""
     group = list(group or [])
-    b = df.withColumn("_bucket", bucket)
+    b = df.withColumn("_bucket", bucket) if isinstance(bucket, Column) else bucket(df)
     counts = b.groupBy(*group, "_bucket").agg(F.count("*").alias("_cnt"))
     w = Window.partitionBy(*group).orderBy("_bucket") if group else Window.orderBy("_bucket")
     offsets = counts.withColumn("_off", F.coalesce(

@@ -95,7 +95,7 @@ def commonsense_parse(gen: DataFrame, generation_col: str = "generation", attr_c
 
 
 def pick_names(people: DataFrame, pool: DataFrame, seed: int, key_cols: list[str],
-               pool_key: list[str], pool_order: str, pool_bucket: Column) -> DataFrame:
+               pool_key: list[str], pool_order: str, pool_bucket) -> DataFrame:
     """A uniform draw from the name pool of the person's (country, gender).
 
     Pool members are numbered within their pool by a skew-safe position (a huge

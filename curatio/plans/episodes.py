@@ -78,7 +78,7 @@ def album_reference() -> tuple[Column, Column]:
     rid = F.col("sh_id")
     kind = (F.when((rid == "") | (rid == K.NEW_IMAGE_ADDED), "kept")
             .when(rid.rlike(INT_TEXT), "ref").otherwise("bad_id"))
-    return kind, F.when(kind == "ref", F.trim(rid).cast("bigint"))
+    return kind, F.when(kind == "ref", F.trim(rid).try_cast("bigint"))
 
 
 # ---- §8.6 album state ------------------------------------------------------------------

@@ -115,7 +115,7 @@ INTERVAL_RE = r"(\d+) (hour|day|week|month|year)"
 def interval_parts(c) -> tuple[Column, Column]:
     """``'<n> <unit>'`` → (n, unit)."""
     c = T.col_(c)
-    return (F.regexp_extract(c, INTERVAL_RE, 1).cast("bigint"), F.regexp_extract(c, INTERVAL_RE, 2))
+    return (F.regexp_extract(c, INTERVAL_RE, 1).try_cast("bigint"), F.regexp_extract(c, INTERVAL_RE, 2))
 
 
 def date_of(c) -> Column:

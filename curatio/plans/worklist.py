@@ -88,7 +88,7 @@ def token_usage(attached: DataFrame, by: list[str]) -> DataFrame:
                                      F.sum("completion_tokens").cast("bigint").alias("completion_tokens"))
 
 
-def shard(df: DataFrame, order: list[str], bucket: Column, k: int = K.DEFAULT_SHARDS,
+def shard(df: DataFrame, order: list[str], bucket, k: int = K.DEFAULT_SHARDS,
           col: str = "chunk_idx") -> DataFrame:
     """Contiguous balanced shards 0..k-1 by ``order`` (first ``n % k`` one row longer);
     empty shards never appear because only shards with rows exist."""
@@ -102,7 +102,7 @@ def resume_filter(df: DataFrame, last_saved: Column | int, col: str = "chunk_idx
     return df.filter(F.col(col) > last)
 
 
-def seed_buckets(df: DataFrame, order: list[str], bucket: Column, size: int = K.PERSONA_SEED_SIZE) -> DataFrame:
+def seed_buckets(df: DataFrame, order: list[str], bucket, size: int = K.PERSONA_SEED_SIZE) -> DataFrame:
     """K6 + O2: seeded shuffle order → global position → ``persona_seed = pos div size``."""
     p = positions(df, order, bucket, pos_col="pos")
     return p.withColumn("persona_seed", (F.col("pos") / size).cast("bigint"))
