@@ -18,6 +18,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+# Ship this module's functions to Python workers by value: a worker whose path does
+# not include the package (e.g. a driver started from another folder) can still run them.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference pickling
+    pass
+
 LITERAL_SCHEMA = Ty.StructType([
     Ty.StructField("shape", Ty.StringType()), Ty.StructField("js", Ty.StringType()),
     Ty.StructField("err", Ty.StringType()), Ty.StructField("id_int", Ty.BooleanType()),
