@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import fingerprints, mixing, quality_rules, url_filter
+from curatio.llm import fingerprints, mixing, quality_classifier, quality_rules, simhash, url_filter
 from curatio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr(fingerprints.as_text("edited_fp")).alias("edited_fingerprint"),
                        F.expr(fingerprints.likeness("fp", "edited_fp")).alias("near_edited"),
                        F.expr(fingerprints.likeness("fp", "next_fp")).alias("near_next"))
+
+
+def remainder(key: str, n: int):
+    """crc32 of the key as text, modulo n (a null key counts as the empty text)."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_classifier.classify(docs, labels, train_filter=remainder("doc_id", 5) != 0) \
+        .select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
