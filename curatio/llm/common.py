@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,22 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds about ``max_bytes`` of text (column ``text``), one row at least."""
+def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int, column: int | str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each holds about ``max_bytes`` of text (in ``column``), one row at least."""
     for b in batches:
         if not b.num_rows:
             continue
         size = np.concatenate([[0], np.cumsum(np.asarray(
-            pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0), dtype=np.int64))])
+            pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0), dtype=np.int64))])
         lo = 0
         while lo < b.num_rows:
             hi = int(np.searchsorted(size, size[lo] + max_bytes, side="right")) - 1
             hi = min(b.num_rows, max(lo + 1, hi))
             yield b.slice(lo, hi - lo)
             lo = hi
-
-
-def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """List column from flat values and per-row counts."""
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
