@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, url_filter
+from curatio.llm import (chunk_dedup, fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_codec,
+                         simhash, url_filter)
 from curatio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
     return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+@query("op4_chunk_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "text")
