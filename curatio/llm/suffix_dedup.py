@@ -11,8 +11,9 @@ the 100 bytes from the anchor on, all that a string holding the anchor can cover
    go on, one row per different surrounding; all others are done.
 3. Those surroundings are fetched from the texts and sorted by (gram, bytes from the anchor on): the
    suffix array of the anchors. A stack scan over the common prefixes of neighbours yields the interval
-   tree; in each interval the members are split by the bytes before the anchor, and a group that is right-
-   and left-diverse is a maximal repeat, reported with all its members: all but the first are repeats.
+   tree; in each interval the same scan over the bytes before the anchors, backwards, yields the left
+   extensions. A group that is right- and left-diverse is a maximal repeat, reported with all its members:
+   all but the first are repeats.
 4. A gram with over ``group_limit`` different surroundings is not held by a task: its rows pass through,
    and the 100-byte windows around them are compared by a pre-aggregated minimum per window hash.
 
@@ -24,7 +25,6 @@ counts as the smallest; an empty table gives an empty result; further columns ar
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -235,7 +235,7 @@ def intervals(prefix: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     (length, first, last) of suffixes with a common prefix of ``least`` or more, children before parents."""
     stack: list[list[int]] = []                          # [length, first]
     for i in range(1, len(prefix) + 1):
-        now = prefix[i] if i < len(prefix) else 0
+        now = prefix[i] if i < len(prefix) else -1
         first = i - 1
         while stack and stack[-1][0] > now:
             length, first = stack.pop()
@@ -248,20 +248,17 @@ def maximal_repeats(before: list[bytes], onward: list[bytes], least: int = MATCH
                     gram: int = GRAM) -> Iterator[tuple[int, int, list[int]]]:
     """(left, right, members) of every maximal repeat of ``least`` bytes or more around the anchors of one gram.
 
-    The anchors are sorted by ``onward``. In an interval with common prefix ``right`` the members are grouped by the
-    ``least - right`` bytes before them; a group whose members also share a longer prefix belongs to a child.
+    The anchors are sorted by ``onward``. The members of an interval with common prefix ``right`` are sorted by the
+    bytes before them (backwards), whose intervals give every left extension of ``least - right`` bytes or more;
+    a group whose members also share a longer prefix belongs to a child.
     """
     prefix = [0] + [_common(a, b) for a, b in zip(onward, onward[1:])]
     for right, first, last in intervals(prefix, gram):
-        need = max(0, least - right)
-        groups = defaultdict(list)
-        for m in range(first, last + 1):
-            if len(before[m]) >= need:
-                groups[before[m][:need]].append(m)
-        for members in groups.values():
-            if len(members) > 1 and _common(onward[members[0]], onward[members[-1]]) == right:
-                # Left extension: as long as all members have the same byte before them.
-                left = _common(min(before[m] for m in members), max(before[m] for m in members))
+        order = sorted(range(first, last + 1), key=before.__getitem__)
+        back = [-1] + [_common(before[a], before[b]) for a, b in zip(order, order[1:])]
+        for left, lo, hi in intervals(back, max(0, least - right)):
+            members = order[lo:hi + 1]
+            if _common(onward[min(members)], onward[max(members)]) == right:
                 yield left, right, members
 
 
