@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import (chunk_dedup, fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_codec,
+from curatio.llm import (attention_lm, chunk_dedup, fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_codec,
                          simhash, suffix_dedup, url_filter)
 from curatio.llm.common import table
 
@@ -104,3 +104,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_attention_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return attention_lm.score(docs, held_out=remainder("doc_id", 7) == 2)
