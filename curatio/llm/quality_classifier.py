@@ -63,11 +63,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.ListArray.from_arrays(sizes, flat)], names=[*b.schema.names[:-1], "x"])
 
 
-def vectors(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, x) of every row, stored."""
-    src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = src.schema["key"].dataType.simpleString()
-    return stored(src.mapInArrow(_vectors, f"key {kind}, x array<double>"), "quality")
+def vectors(docs: DataFrame, key: str, text_col: str, carry: dict | None = None) -> DataFrame:
+    """(key, carried columns {name: Column}, x) of every row, stored."""
+    src = docs.select(F.col(key).alias("key"), *[c.alias(n) for n, c in (carry or {}).items()],
+                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    return stored(src.mapInArrow(_vectors, f"{kinds}, x array<double>"), "quality")
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 5, pairs_per_row: int = PAIRS_PER_ROW,
@@ -116,8 +117,9 @@ def scored(vecs: DataFrame, model: tuple[np.ndarray, float], cut: float = CUT) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text",
-             label: str = "quality", train_filter=None, cut: float = CUT) -> DataFrame:
-    """(key, score, predicted) of every row of ``docs``; ``train_filter`` (a condition on the label rows) limits learning."""
-    vecs = vectors(docs, key, text_col)
+             label: str = "quality", train_filter=None, cut: float = CUT, carry: dict | None = None) -> DataFrame:
+    """(key, carried columns, score, predicted) of every row of ``docs``; ``train_filter`` (a condition on the label
+    rows) limits learning."""
+    vecs = vectors(docs, key, text_col, carry)
     usable = labels.filter(train_filter) if train_filter is not None else labels
-    return scored(vecs, train(vecs, usable, key, label), cut).select(F.col("key").alias(key), "score", "predicted")
+    return scored(vecs, train(vecs, usable, key, label), cut).select(F.col("key").alias(key), *(carry or ()), "score", "predicted")

@@ -203,7 +203,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT, carry: dict | None = None) -> DataFrame:
-    """(key, carried columns, fp, component_id): component_id is the smallest key reachable over links.
+    """(key, carried columns, fp, root, component_id): component_id is the smallest key reachable over links, root a
+    number of the component that is never null.
 
     ``carry``: {name: Column of ``docs``} that go along with the key.
     """
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     roots = stored(components(links(classes.select("fp"), list_limit, max_bits)), "roots")
     owner = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(owner.join(ids, "root").select("fp", "component_id"), "members")
+    named = stored(owner.join(ids, "root").select("fp", "root", "component_id"), "members")
     return fps.join(named, "fp")
 
 
