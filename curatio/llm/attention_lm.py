@@ -40,10 +40,10 @@ from curatio.llm.sentencepiece_codec import default_model, read_model
 
 CONTEXT, STRIDE = 8, 24
 LENGTH = CONTEXT + STRIDE
-SLOTS, CLASSES, WIDTH = 2048, 128, 16       # frequent subwords (the rest share one more slot), output classes, embedding
-TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 2, 3, 64, 0.01
+SLOTS, CLASSES, WIDTH = 2048, 64, 16       # frequent subwords (the rest share one more slot), output classes, embedding
+TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 2, 2, 64, 0.01
 PULL = 3.0                                   # weight of the single counts in the smoothed pair counts
-SLICE = 8 << 20
+SLICE = 4 << 20
 PACK = 8                                     # bits for the count in a posting
 DOC, WORD, SUBWORD, PAIR, WINDOW = range(5)
 
@@ -89,17 +89,18 @@ def _processor(model):
 
 
 def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """(id, held, text) -> rows (slice, kind, h, n, items, id, held) of DOC, WORD, SUBWORD and WINDOW."""
+    """(id, held, text) -> rows (slice, kind, h, n, items, id, held, window) of the kinds above."""
     sp = _processor(model)
     end = sp.eos_id()
 
-    def rows(slice_id, what, h, n, items=None, ids=None, held=None):
+    def rows(slice_id, what, h, n, items=None, ids=None, held=None, window=None):
         k = len(h)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(k, slice_id)), pa.array(np.full(k, what, dtype=np.int32)), pa.array(h), pa.array(n),
              items if items is not None else pa.nulls(k, pa.list_(pa.int32())),
-             ids if ids is not None else pa.nulls(k, kind), held if held is not None else pa.nulls(k, pa.bool_())],
-            names=["slice", "kind", "h", "n", "items", "id", "held"])
+             ids if ids is not None else pa.nulls(k, kind), held if held is not None else pa.nulls(k, pa.bool_()),
+             window if window is not None else pa.nulls(k, pa.binary())],
+            names=["slice", "kind", "h", "n", "items", "id", "held", "window"])
 
     for b in text_slices(batches, SLICE):
         texts = b.column("text").to_pylist()
@@ -128,18 +129,26 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
         h = np.array([*map(digest, t.words), digest(b"\n")], dtype=np.uint64)       # no word holds a line end
         yield rows(slice_id, WORD, h.view(np.int64), trained, items)
 
-        ids, first = t.subwords(end)
-        size = np.diff(np.append(first, len(ids)))
-        of = np.repeat(np.arange(docs), size)
-        n = np.bincount(ids[~held[of]], minlength=1)
+        # Subwords and neighbouring pairs, counted by word: inside words from the word counts, between words by token.
+        weight = np.repeat(trained[:-1], t.n_pieces)
+        n = np.bincount(t.pieces, weights=weight, minlength=end + 1).astype(np.int64)
+        n[end] += trained[-1]
         seen = np.flatnonzero(n)
-        if len(seen):
-            yield rows(slice_id, SUBWORD, seen.astype(np.int64), n[seen].astype(np.int64))
-        before = np.concatenate([[end], ids[:-1]])
-        before[first] = end
-        pair, n = np.unique((before.astype(np.int64) << 20 | ids)[~held[of]], return_counts=True)
+        yield rows(slice_id, SUBWORD, seen.astype(np.int64), n[seen])
+        inner = np.ones(len(t.pieces), dtype=bool)
+        inner[t.piece_start] = False
+        head, tail = np.append(t.pieces[t.piece_start], end), np.append(t.pieces[t.piece_start + t.n_pieces - 1], end)
+        seq = np.insert(t.word, np.cumsum(t.n_words), len(t.words))                  # with an end after each text
+        before = np.concatenate([[len(t.words)], seq[:-1]])
+        learn = ~np.repeat(held, t.n_words + 1)
+        outer, k = np.unique(tail[before[learn]].astype(np.int64) << 20 | head[seq[learn]], return_counts=True)
+        at = np.flatnonzero(inner & (weight > 0))
+        pair, where = np.unique(np.concatenate([outer, t.pieces[at - 1].astype(np.int64) << 20 | t.pieces[at]]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([k, weight[at]]), minlength=len(pair)).astype(np.int64)
         if len(pair):
-            yield rows(slice_id, PAIR, pair, n.astype(np.int64))
+            yield rows(slice_id, PAIR, pair, n)
+        ids, first = t.subwords(end)
+        size = np.diff(np.append(first, len(ids)))
         # Windows of the training documents, at places drawn from a hash of the document's first subwords and size.
         windows = []
         for d in np.flatnonzero(~held).tolist():
@@ -148,9 +157,9 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
             draw = xxhash.xxh3_64_intdigest(own[:64].tobytes(), s)
             for k in range(TRAIN_WINDOWS):
                 at = (draw >> (20 * k)) % max(1, len(own) - LENGTH)
-                windows.append(own[at:at + LENGTH + 1].tolist())
+                windows.append(own[at:at + LENGTH + 1].astype(np.int32).tobytes())
         if windows:
-            yield rows(slice_id, WINDOW, np.arange(len(windows)), np.zeros(len(windows), dtype=np.int64), pa.array(windows, pa.list_(pa.int32())))
+            yield rows(slice_id, WINDOW, np.arange(len(windows)), np.zeros(len(windows), dtype=np.int64), window=pa.array(windows, pa.binary()))
 
 
 class Model:
@@ -209,31 +218,35 @@ class Model:
             self.w[k] = np.asarray(flat[at:at + n], dtype=np.float32).reshape(self.w[k].shape)
             at += n
 
-    def forward(self, x: np.ndarray, valid: np.ndarray, skip: int = 0):
+    def tables(self) -> dict[str, np.ndarray]:
+        """What every slot's embedding turns into, so that a position is a lookup."""
+        t = {k: self.embed @ self.w[k] for k in "QKVS"}
+        t["Z"] = t["S"] @ self.w["O"] + self.w["B"] + self.prior
+        t["Q"] *= np.float32(1 / math.sqrt(WIDTH))
+        return t
+
+    def forward(self, t: dict[str, np.ndarray], x: np.ndarray, valid: np.ndarray, skip: int = 0):
         """``x`` (windows, positions) slots, ``valid`` keys; class logits of the positions from ``skip`` on, and the parts."""
-        w = self.w
-        e = self.embed[x]
-        q, k, v = e[:, skip:] @ w["Q"], e @ w["K"], e @ w["V"]
         n = x.shape[1]
         gap = np.arange(skip, n)[:, None] - np.arange(n)[None, :]
-        bias = np.where(gap >= 0, w["D"][np.abs(gap)], np.float32(-1e4)).astype(np.float32)
+        bias = np.where(gap >= 0, self.w["D"][np.abs(gap)], np.float32(-1e4)).astype(np.float32)
+        q, k, v = t["Q"][x[:, skip:]], t["K"][x], t["V"][x]
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / math.sqrt(WIDTH))
         a += bias
         a += np.where(valid, np.float32(0), np.float32(-1e4))[:, None, :]
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
-        h = e[:, skip:] @ w["S"] + a @ v
-        z = h @ w["O"]
-        z += w["B"]
-        z += self.prior[x[:, skip:]]
-        return z, (e, q, k, v, a, h, gap)
+        z = (a @ v) @ self.w["O"]
+        z += t["Z"][x[:, skip:]]
+        return z, (q, k, v, a, gap)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over valid positions (keys and targets share ``valid``)."""
-        w = self.w
-        z, (e, q, k, v, a, h, gap) = self.forward(x, valid)
+        w, t = self.w, self.tables()
+        z, (q, k, v, a, gap) = self.forward(t, x, valid)
+        e = self.embed[x]
+        h = t["S"][x] + a @ v
         z -= z.max(axis=2, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=2, keepdims=True)
@@ -248,8 +261,7 @@ class Model:
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
         total, ok = ds.sum(axis=0), gap >= 0
         g["D"] = np.bincount(gap[ok], weights=total[ok], minlength=LENGTH).astype(np.float32)
-        ds *= np.float32(1 / math.sqrt(WIDTH))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq, dk = ds @ k * np.float32(1 / math.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q
         for name, d in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = np.tensordot(e, d, axes=([0, 1], [0, 1]))
         return g
@@ -278,24 +290,26 @@ class Model:
         slot, prev = self.slot[ids], self.slot[before]
         cls = self.of[slot]
         out = np.zeros(len(ids), dtype=np.float32)
+        tables, ones = self.tables(), np.ones(CLASSES, dtype=np.float32)
         for lo in range(0, len(text), 512):
             t, j = text[lo:lo + 512], k[lo:lo + 512]
             rel = (j * STRIDE)[:, None] + np.arange(-CONTEXT, STRIDE)[None, :]
             valid = (rel >= 0) & (rel < size[t][:, None])
             at = first[t][:, None] + np.clip(rel, 0, size[t][:, None] - 1)
-            z, _ = self.forward(prev[at], valid, CONTEXT)
+            z, _ = self.forward(tables, prev[at], valid, CONTEXT)
             where, ok = at[:, CONTEXT:], valid[:, CONTEXT:]
             chosen = np.take_along_axis(z, cls[where][:, :, None], axis=2)[:, :, 0]
             np.exp(z, out=z)
-            out[where[ok]] = (chosen - np.log(z @ np.ones(CLASSES, dtype=np.float32)))[ok]
+            out[where[ok]] = (chosen - np.log(z @ ones))[ok]
         out += self.follow[prev, slot] - self.prior[prev, cls] + self.share[ids]     # the subword's share of its class
         return np.add.reduceat(out.astype(np.float64), first) / math.log(10) if len(first) else np.zeros(0)
 
 
-def _slots(items: list[list[int]], slot: np.ndarray) -> np.ndarray:
-    out = np.full((len(items), LENGTH + 1), -1, dtype=np.int32)
-    for i, row in enumerate(items):
-        out[i, :len(row)] = slot[row]
+def _slots(windows: list[bytes], slot: np.ndarray) -> np.ndarray:
+    out = np.full((len(windows), LENGTH + 1), -1, dtype=np.int32)
+    for i, row in enumerate(windows):
+        ids = np.frombuffer(row, dtype=np.int32)
+        out[i, :len(ids)] = slot[ids]
     return out
 
 
@@ -320,14 +334,14 @@ def fit(gathered: DataFrame, n_pieces: int, end: int, rounds: int = ROUNDS) -> M
         return out
 
     model = Model(counts, pairs, end)
-    windows = gathered.filter(F.col("kind") == WINDOW).select("items")
-    dealt = stored(windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("items")), "windows")
+    windows = gathered.filter(F.col("kind") == WINDOW).select("window")
+    dealt = stored(windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("window")), "windows")
     fixed = spark.sparkContext.broadcast(model.__dict__)
     for _ in range(rounds):
         now = model.flat()
 
         def local(batches):
-            rows = [r for b in batches for r in b.column("items").to_pylist()]
+            rows = [r for b in batches for r in b.column("window").to_pylist()]
             if rows:
                 own = Model.__new__(Model)
                 own.__dict__.update(fixed.value)
@@ -373,7 +387,7 @@ def score(docs: DataFrame, key: str = "doc_id", text_col: str = "text", held_out
     if pa.types.is_string(kind):
         src = src.withColumn("id", F.col("id").cast("string"))
     gathered = stored(src.mapInArrow(lambda it: _gather(it, tokenizer, kind),
-                                     f"slice bigint, kind int, h bigint, n bigint, items array<int>, id {src.schema['id'].dataType.simpleString()}, held boolean"),
+                                     f"slice bigint, kind int, h bigint, n bigint, items array<int>, id {src.schema['id'].dataType.simpleString()}, held boolean, window binary"),
                       "gathered")
     weights = spark.sparkContext.broadcast(fit(gathered, sp.get_piece_size(), sp.eos_id()).__dict__)
     sums, n, v = base_scores(gathered)

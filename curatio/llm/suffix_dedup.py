@@ -38,7 +38,7 @@ from curatio.llm.common import stored, text_slices
 MATCH, GRAM = 100, 32
 BEFORE = MATCH - GRAM                       # bytes before an anchor that a string holding it can cover
 GROUP_LIMIT = 20_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 NO_KEY = -(1 << 63)
 OFF = (1 << 31) - 1
 POS = (1 << 24) - 1
@@ -93,8 +93,8 @@ def _parts(texts: list[bytes]) -> Iterator[list[tuple[int, int, int, int, int]]]
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (gram, around, key, place, again): an anchor whose surroundings are the first of their kind in
-    the slice; the others as one row per text with the list of their places. place = crc32 of the text, offset."""
+    """(key, text) -> (gram, around, key, place, again): the anchors; ``again``: the slice has equal surroundings earlier
+    (such rows go to any task). place = crc32 of the text, offset."""
     names = ["gram", "around", "key", "place", "again"]
     digest = xxhash.xxh3_64_intdigest
     for b in text_slices(batches, SLICE):
@@ -123,34 +123,23 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = np.concatenate([[True], (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])])
             lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
             again = (key != key[lead]) | (place != place[lead])
-            yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (gram, around, key, place)]
-                                             + [pa.nulls(int(head.sum()), pa.list_(pa.int64()))], names=names)
-            if again.any():
-                yield _lists(key[again], place[again], names)
-
-
-def _lists(key: np.ndarray, place: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    cut = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(place >> 31) != 0)) + 1])
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), pa.array(place))
-    spread = (key[cut].astype(np.uint64) * np.uint64(MULT)).view(np.int64) ^ place[cut]      # any value: these rows go anywhere
-    return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(key[cut]), pa.array(place[cut]), lists], names=names)
+            keep = head | again                                              # a repeated row's anchors are there once
+            gram = np.where(again, (key.astype(np.uint64) * np.uint64(MULT)).view(np.int64) ^ place, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, around, key, place, again)], names=names)
 
 
 FULL, NEED, HOT = 0, 1, 2
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, around, key, place) -> (gram, key, places, kind): repeats in full, surroundings to compare."""
-    names = ["gram", "key", "places", "kind"]
+    """Rows sorted by (gram, around, key, place) -> (gram, key, place, kind): repeats in full, surroundings to compare."""
+    names = ["gram", "key", "place", "kind"]
     held = [np.zeros(0, dtype=np.int64)] * 4
     hot_gram = None
 
     def rows(gram, key, place, kind):
-        n = len(gram)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(place))
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), lists, pa.array(np.full(n, kind, dtype=np.int32))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(place),
+                                           pa.array(np.full(len(gram), kind, dtype=np.int32))], names=names)
 
     def done(cols, hot):
         """``cols`` hold whole (gram, around) runs; whole grams unless ``hot`` names the one that goes on."""
@@ -174,16 +163,14 @@ def _second_pass(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.R
     for b in batches:
         if not b.num_rows:
             continue
-        lists = b.column("again")
-        passing = lists.is_valid()
-        if pa.compute.any(passing).as_py():
-            p = b.filter(passing)
-            yield pa.RecordBatch.from_arrays([p.column("gram"), p.column("key"), p.column("again"),
-                                              pa.array(np.full(p.num_rows, FULL, dtype=np.int32))], names=names)
-            b = b.filter(pa.compute.invert(passing))
-            if not b.num_rows:
+        again = b.column("again").to_numpy(zero_copy_only=False)
+        new = [b.column(c).to_numpy() for c in ("gram", "around", "key", "place")]
+        if again.any():
+            yield rows(new[0][again], new[2][again], new[3][again], FULL)
+            new = [c[~again] for c in new]
+            if not len(new[0]):
                 continue
-        cols = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("gram", "around", "key", "place"))]
+        cols = [np.concatenate([h, c]) for h, c in zip(held, new)]
         cut = int(np.searchsorted(cols[0], cols[0][-1]))                     # the last gram may go on
         yield from done([c[:cut] for c in cols], hot_gram)
         held = [c[cut:] for c in cols]
@@ -319,14 +306,14 @@ def _dealt(df: DataFrame, *order: str) -> DataFrame:
 
 
 def repeats(src: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of (key, crc, text): full repeats (key, places), members of maximal repeats (gram, number, key, place, left,
+    """Of (key, crc, text): full repeats (key, place), members of maximal repeats (gram, number, key, place, left,
     right, first), and repeated windows of long groups (key, place)."""
     rows = src.select("key", "text").mapInArrow(
-        _first_pass, "gram bigint, around bigint, key bigint, place bigint, again array<bigint>")
+        _first_pass, "gram bigint, around bigint, key bigint, place bigint, again boolean")
     split = _dealt(rows, "gram", "around", "key", "place").mapInArrow(
-        lambda it: _second_pass(it, group_limit), "gram bigint, key bigint, places array<bigint>, kind int")
+        lambda it: _second_pass(it, group_limit), "gram bigint, key bigint, place bigint, kind int")
     split = stored(split, "anchors")
-    needs = split.filter(F.col("kind") != FULL).select("key", F.get("places", F.lit(0)).alias("place"), "gram", "kind")
+    needs = split.filter(F.col("kind") != FULL).select("key", "place", "gram", "kind")
     per_text = needs.groupBy("key", F.shiftright("place", 31).alias("crc")).agg(F.collect_list(F.struct(
         "gram", F.col("place").bitwiseAND(F.lit(OFF).cast("bigint")).alias("off"), "kind")).alias("needs"))
     # one row per (key, text): a repeated row would send its surroundings twice, which changes nothing but the size
@@ -339,7 +326,7 @@ def repeats(src: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame,
         _windows, "w1 bigint, w2 bigint, key bigint, place bigint")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "place")).alias("least"), F.count("*").alias("n")).filter("n > 1")
     later = windows.join(least, ["w1", "w2"]).filter("struct(key, place) != least").select("key", "place")
-    return split.filter(F.col("kind") == FULL).select("key", "places"), members, later
+    return split.filter(F.col("kind") == FULL).select("key", "place"), members, later
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -358,7 +345,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     full, members, windows = repeats(src, group_limit)
     off = F.col("place").bitwiseAND(F.lit(OFF).cast("bigint"))
     crc = F.shiftright("place", 31).alias("crc")
-    marks = full.select("key", F.explode("places").alias("place")).select("key", crc, off.alias("at"), F.lit(BEFORE).alias("l"), F.lit(MATCH).alias("r")) \
+    marks = full.select("key", crc, off.alias("at"), F.lit(BEFORE).alias("l"), F.lit(MATCH).alias("r")) \
         .unionByName(members.filter("NOT first").select("key", crc, off.alias("at"), F.col("left").cast("int").alias("l"), F.col("right").cast("int").alias("r"))) \
         .unionByName(windows.select("key", crc, off.alias("at"), F.lit(0).alias("l"), F.lit(MATCH).alias("r")))
     spans = marks.groupBy("key", "crc").agg(F.collect_set(F.struct("at", "l", "r")).alias("marks"))
