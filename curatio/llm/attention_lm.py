@@ -28,6 +28,7 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,31 +43,67 @@ CONTEXT, STRIDE = 8, 24
 LENGTH = CONTEXT + STRIDE
 SLOTS, CLASSES, WIDTH = 2048, 64, 16       # frequent subwords (the rest share one more slot), output classes, embedding
 TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 2, 2, 64, 0.01
+HIDDEN = np.float32(-60)                     # a masked key's weight is exp(-60) at most
 PULL = 3.0                                   # weight of the single counts in the smoothed pair counts
 SLICE = 4 << 20
+MEMO = 300_000                               # words remembered by a worker
 PACK = 8                                     # bits for the count in a posting
 DOC, WORD, SUBWORD, PAIR, WINDOW = range(5)
 
 
+class Words:
+    """Numbers and subword ids of the words met so far; starts anew beyond ``MEMO`` words."""
+
+    def __init__(self, processor):
+        self.processor = processor
+        self.clear()
+
+    def clear(self):
+        self.ids: dict = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.n = np.zeros(0, dtype=np.int64)                     # subwords of each word
+        self.pieces = np.zeros(0, dtype=np.int32)                # of all words, one after the other
+        self.hashes = np.zeros(0, dtype=np.uint64)
+
+    def learn(self):
+        """Subwords and hashes of the words that came since the last call."""
+        new = list(self.ids)[len(self.n):]
+        if new:
+            found = self.processor.encode([w.decode() for w in new], num_threads=1)
+            n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            pieces = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(n.sum()))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
+            self.n, self.pieces = np.append(self.n, n), np.append(self.pieces, pieces)
+            self.hashes = np.append(self.hashes, hashes)
+        self.start = np.cumsum(self.n) - self.n
+
+
 class Tokens:
-    """Words and subwords of a slice of texts, as flat arrays."""
+    """Words and subwords of a slice of texts, as flat arrays; word numbers are the slice's own."""
 
-    def __init__(self, texts: list[str | None], processor):
-        ids: dict = defaultdict()
-        ids.default_factory = ids.__len__
+    def __init__(self, texts: list[str | None], words: Words):
+        if len(words.ids) > MEMO:
+            words.clear()
         flat, sizes = [], []
+        number = words.ids.__getitem__
         for t in texts:
             w = (t or "").encode().lower().split()           # bytes: A-Z only, ASCII blanks only
             sizes.append(len(w))
-            flat.extend(map(ids.__getitem__, w))
-        self.words = list(ids)
-        self.word = np.array(flat, dtype=np.int64)           # word number of each token, ends left out
+            flat.extend(map(number, w))
+        words.learn()
+        memo = np.array(flat, dtype=np.int64)
+        seen = np.zeros(len(words.n), dtype=bool)
+        seen[memo] = True
+        own = np.flatnonzero(seen)
+        self.word = (np.cumsum(seen) - 1)[memo]              # word number of each token, ends left out
+        self.hashes = words.hashes[own]
         self.n_words = np.array(sizes, dtype=np.int64)
         self.doc = np.repeat(np.arange(len(texts)), self.n_words)
-        pieces = processor.encode([w.decode() for w in self.words], num_threads=1) if self.words else []
-        self.n_pieces = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        self.pieces = np.fromiter((i for p in pieces for i in p), dtype=np.int32, count=int(self.n_pieces.sum()))
-        self.piece_start = np.cumsum(self.n_pieces) - self.n_pieces
+        self.n_pieces = words.n[own]
+        ends = np.cumsum(self.n_pieces)
+        self.piece_start = ends - self.n_pieces
+        total = int(ends[-1]) if len(ends) else 0
+        self.pieces = words.pieces[np.arange(total) + np.repeat(words.start[own] - self.piece_start, self.n_pieces)]
 
     def subwords(self, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first place of each text) of all subwords, each text closed by ``end``."""
@@ -80,18 +117,18 @@ class Tokens:
         return out.astype(np.int32), np.cumsum(size) - size
 
 
-def _processor(model):
-    """The tokenizer of a broadcast model, made once per worker process and kept on the broadcast."""
-    if not hasattr(model, "processor"):
+def _words(model) -> Words:
+    """The tokenizer of a broadcast model and its memo, made once per worker process and kept on the broadcast."""
+    if not hasattr(model, "words"):
         import sentencepiece
-        model.processor = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-    return model.processor
+        model.words = Words(sentencepiece.SentencePieceProcessor(model_proto=model.value))
+    return model.words
 
 
 def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """(id, held, text) -> rows (slice, kind, h, n, items, id, held, window) of the kinds above."""
-    sp = _processor(model)
-    end = sp.eos_id()
+    words = _words(model)
+    end = words.processor.eos_id()
 
     def rows(slice_id, what, h, n, items=None, ids=None, held=None, window=None):
         k = len(h)
@@ -110,23 +147,22 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
             name.update(f"{i}:".encode())
             name.update((t or "").encode())
         slice_id = np.int64(name.intdigest() - (1 << 63))
-        t = Tokens(texts, sp)
+        t = Tokens(texts, words)
         docs = len(texts)
         crc = np.array([zlib.crc32((x or "").encode()) for x in texts], dtype=np.uint32).view(np.int32)
         yield rows(slice_id, DOC, np.arange(docs), t.n_words + 1, pa.ListArray.from_arrays(
             pa.array(np.arange(docs + 1, dtype=np.int32)), pa.array(crc)), b.column("id"), b.column("held"))
 
         # Postings: (word, document) pairs with counts; a count over 255 takes several entries.
-        word = np.concatenate([t.word, np.full(docs, len(t.words))])                  # the end is the last word
+        word = np.concatenate([t.word, np.full(docs, len(t.hashes))])                 # the end is the last word
         pair, count = np.unique(word * docs + np.concatenate([t.doc, np.arange(docs)]), return_counts=True)
         extra = np.repeat(np.arange(len(pair)), (count - 1) // 255 + 1)
         step = np.minimum(255, count[extra] - 255 * (np.arange(len(extra)) - np.searchsorted(extra, extra)))
         which, doc = pair[extra] // docs, pair[extra] % docs
-        trained = np.bincount(which, weights=step * ~held[doc], minlength=len(t.words) + 1).astype(np.int64)
-        offsets = np.searchsorted(which, np.arange(len(t.words) + 2)).astype(np.int32)
+        trained = np.bincount(which, weights=step * ~held[doc], minlength=len(t.hashes) + 1).astype(np.int64)
+        offsets = np.searchsorted(which, np.arange(len(t.hashes) + 2)).astype(np.int32)
         items = pa.ListArray.from_arrays(pa.array(offsets), pa.array((doc << PACK | step).astype(np.int32)))
-        digest = xxhash.xxh3_64_intdigest
-        h = np.array([*map(digest, t.words), digest(b"\n")], dtype=np.uint64)       # no word holds a line end
+        h = np.append(t.hashes, np.uint64(xxhash.xxh3_64_intdigest(b"\n")))          # no word holds a line end
         yield rows(slice_id, WORD, h.view(np.int64), trained, items)
 
         # Subwords and neighbouring pairs, counted by word: inside words from the word counts, between words by token.
@@ -138,8 +174,8 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
         inner = np.ones(len(t.pieces), dtype=bool)
         inner[t.piece_start] = False
         head, tail = np.append(t.pieces[t.piece_start], end), np.append(t.pieces[t.piece_start + t.n_pieces - 1], end)
-        seq = np.insert(t.word, np.cumsum(t.n_words), len(t.words))                  # with an end after each text
-        before = np.concatenate([[len(t.words)], seq[:-1]])
+        seq = np.insert(t.word, np.cumsum(t.n_words), len(t.hashes))                  # with an end after each text
+        before = np.concatenate([[len(t.hashes)], seq[:-1]])
         learn = ~np.repeat(held, t.n_words + 1)
         outer, k = np.unique(tail[before[learn]].astype(np.int64) << 20 | head[seq[learn]], return_counts=True)
         at = np.flatnonzero(inner & (weight > 0))
@@ -229,24 +265,29 @@ class Model:
         """``x`` (windows, positions) slots, ``valid`` keys; class logits of the positions from ``skip`` on, and the parts."""
         n = x.shape[1]
         gap = np.arange(skip, n)[:, None] - np.arange(n)[None, :]
-        bias = np.where(gap >= 0, self.w["D"][np.abs(gap)], np.float32(-1e4)).astype(np.float32)
+        bias = np.where(gap >= 0, self.w["D"][np.abs(gap)], HIDDEN).astype(np.float32)
         q, k, v = t["Q"][x[:, skip:]], t["K"][x], t["V"][x]
         a = q @ k.transpose(0, 2, 1)
         a += bias
-        a += np.where(valid, np.float32(0), np.float32(-1e4))[:, None, :]
-        a -= a.max(axis=2, keepdims=True)
+        if not valid.all():
+            some = ~valid.all(axis=1)
+            a[some] += np.where(valid[some], np.float32(0), HIDDEN)[:, None, :]
+        np.clip(a, HIDDEN, -HIDDEN, out=a)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        z = (a @ v) @ self.w["O"]
+        total = a.sum(axis=2, keepdims=True)
+        o = a @ v
+        o /= total
+        z = o @ self.w["O"]
         z += t["Z"][x[:, skip:]]
-        return z, (q, k, v, a, gap)
+        return z, (q, k, v, a, total, o, gap)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over valid positions (keys and targets share ``valid``)."""
         w, t = self.w, self.tables()
-        z, (q, k, v, a, gap) = self.forward(t, x, valid)
+        z, (q, k, v, a, total, o, gap) = self.forward(t, x, valid)
+        a /= total
         e = self.embed[x]
-        h = t["S"][x] + a @ v
+        h = t["S"][x] + o
         z -= z.max(axis=2, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=2, keepdims=True)
@@ -259,8 +300,8 @@ class Model:
         dv = a.transpose(0, 2, 1) @ dh
         da = dh @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        total, ok = ds.sum(axis=0), gap >= 0
-        g["D"] = np.bincount(gap[ok], weights=total[ok], minlength=LENGTH).astype(np.float32)
+        each, ok = ds.sum(axis=0), gap >= 0
+        g["D"] = np.bincount(gap[ok], weights=each[ok], minlength=LENGTH).astype(np.float32)
         dq, dk = ds @ k * np.float32(1 / math.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q
         for name, d in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = np.tensordot(e, d, axes=([0, 1], [0, 1]))
@@ -291,13 +332,12 @@ class Model:
         cls = self.of[slot]
         out = np.zeros(len(ids), dtype=np.float32)
         tables, ones = self.tables(), np.ones(CLASSES, dtype=np.float32)
-        for lo in range(0, len(text), 512):
-            t, j = text[lo:lo + 512], k[lo:lo + 512]
+        for lo in range(0, len(text), 128):                                 # few enough to stay in a core's cache
+            t, j = text[lo:lo + 128], k[lo:lo + 128]
             rel = (j * STRIDE)[:, None] + np.arange(-CONTEXT, STRIDE)[None, :]
-            valid = (rel >= 0) & (rel < size[t][:, None])
             at = first[t][:, None] + np.clip(rel, 0, size[t][:, None] - 1)
-            z, _ = self.forward(tables, prev[at], valid, CONTEXT)
-            where, ok = at[:, CONTEXT:], valid[:, CONTEXT:]
+            z, _ = self.forward(tables, prev[at], rel >= 0, CONTEXT)        # what follows a text is masked as later anyway
+            where, ok = at[:, CONTEXT:], rel[:, CONTEXT:] < size[t][:, None]
             chosen = np.take_along_axis(z, cls[where][:, :, None], axis=2)[:, :, 0]
             np.exp(z, out=z)
             out[where[ok]] = (chosen - np.log(z @ ones))[ok]
@@ -398,10 +438,10 @@ def score(docs: DataFrame, key: str = "doc_id", text_col: str = "text", held_out
         .agg(F.min("n_tokens").alias("n_tokens"), F.min("known").alias("n_known"), F.min("logs").alias("logs"))   # repeated rows are equal
 
     def run(batches):
-        sp, m = _processor(tokenizer), Model.__new__(Model)
+        words, m = _words(tokenizer), Model.__new__(Model)
         m.__dict__.update(weights.value)
         for b in text_slices(batches, SLICE // 2):
-            ids, first = Tokens(b.column("text").to_pylist(), sp).subwords(sp.eos_id())
+            ids, first = Tokens(b.column("text").to_pylist(), words).subwords(words.processor.eos_id())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held"), b.column("crc"), pa.array(m.score(ids, first))],
                                              names=["id", "held", "crc", "score"])
 

@@ -38,7 +38,7 @@ from curatio.llm.common import stored, text_slices
 MATCH, GRAM = 100, 32
 BEFORE = MATCH - GRAM                       # bytes before an anchor that a string holding it can cover
 GROUP_LIMIT = 20_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 NO_KEY = -(1 << 63)
 OFF = (1 << 31) - 1
 POS = (1 << 24) - 1
@@ -343,18 +343,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     """(key, n_bytes, n_removed, spans [(from, to)], kept binary) of every row of ``docs``."""
     src = _keyed(docs, key, text_col)
     full, members, windows = repeats(src, group_limit)
-    off = F.col("place").bitwiseAND(F.lit(OFF).cast("bigint"))
+    # A mark is one number: place in the text, bytes before it, bytes from it on.
+    off = F.shiftleft(F.col("place").bitwiseAND(F.lit(OFF).cast("bigint")), 16)
     crc = F.shiftright("place", 31).alias("crc")
-    marks = full.select("key", crc, off.alias("at"), F.lit(BEFORE).alias("l"), F.lit(MATCH).alias("r")) \
-        .unionByName(members.filter("NOT first").select("key", crc, off.alias("at"), F.col("left").cast("int").alias("l"), F.col("right").cast("int").alias("r"))) \
-        .unionByName(windows.select("key", crc, off.alias("at"), F.lit(0).alias("l"), F.lit(MATCH).alias("r")))
-    spans = marks.groupBy("key", "crc").agg(F.collect_set(F.struct("at", "l", "r")).alias("marks"))
+    whole, onward = F.lit(BEFORE << 8 | MATCH), F.lit(MATCH)
+    marks = full.select("key", crc, off.bitwiseOR(whole).alias("mark")) \
+        .unionByName(members.filter("NOT first").select(
+            "key", crc, off.bitwiseOR(F.shiftleft("left", 8)).bitwiseOR(F.col("right")).alias("mark"))) \
+        .unionByName(windows.select("key", crc, off.bitwiseOR(onward).alias("mark")))
+    spans = marks.groupBy("key", "crc").agg(F.collect_list("mark").alias("marks"))
 
     def cut(batches):
         for b in text_slices(batches, SLICE):
             size, gone, spans_out, kept = [], [], [], []
             for text, ms in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("marks").to_pylist()):
-                own = _merged([(max(0, m["at"] - m["l"]), min(len(text), m["at"] + m["r"])) for m in ms or ()])
+                own = _merged([(max(0, (m >> 16) - (m >> 8 & 255)), min(len(text), (m >> 16) + (m & 255))) for m in ms or ()])
                 keep, last = [], 0
                 for x, y in own:
                     keep.append(text[last:x])
