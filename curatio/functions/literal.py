@@ -30,7 +30,7 @@ except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference
 
 LITERAL_SCHEMA = Ty.StructType([
     Ty.StructField("shape", Ty.StringType()), Ty.StructField("js", Ty.StringType()),
-    Ty.StructField("err", Ty.StringType()), Ty.StructField("id_int", Ty.BooleanType()),
+    Ty.StructField("err", Ty.StringType()), Ty.StructField("id_int", Ty.ArrayType(Ty.BooleanType())),
 ])
 
 
@@ -43,7 +43,7 @@ def _shape(v) -> str:
 
 
 def parse_one(text):
-    """``(shape, json, error, root ids are ints)`` of one literal text."""
+    """``(shape, json, error, per list element: is its ``id`` an int)`` of one literal text."""
     if text is None:
         return None, None, "null", None
     try:
@@ -56,7 +56,7 @@ def parse_one(text):
         return None, None, f"syntax:{type(e).__name__}", None
     id_int = None
     if isinstance(v, list):
-        id_int = all(isinstance(x, dict) and isinstance(x.get("id", 0), int) for x in v)
+        id_int = [isinstance(x, dict) and type(x.get("id")) is int for x in v]
     return _shape(v), js, None, id_int
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 def hex_bucket(c: Column | str, digits: int = 4) -> Column:
     """Monotone bucket of an md5-hex order key (uniform by construction)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint")
+    return F.coalesce(F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint"), F.lit(-1))   # nulls sort first
 
 
 def quantile_bucket(df: DataFrame, col: str, buckets: int):
@@ -47,12 +47,15 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int):
     def add(frame: DataFrame) -> DataFrame:
         x = frame.withColumn("_qb_in", F.col(col).cast("double"))
         out = Bucketizer(splits=edges, inputCol="_qb_in", outputCol="_qb_out", handleInvalid="keep").transform(x)
-        return out.withColumn("_bucket", F.col("_qb_out").cast("bigint")).drop("_qb_in", "_qb_out")
+        # Null keys sort first, so they get a bucket before all others.
+        return out.withColumn("_bucket", F.when(F.col("_qb_in").isNull(), F.lit(-1)).otherwise(
+            F.col("_qb_out")).cast("bigint")).drop("_qb_in", "_qb_out")
     return add
 
 
 def default_buckets(rows: int, per_bucket: int = 200_000) -> int:
-    return max(1, min(1 << 16, math.ceil(rows / per_bucket)))
+    """Buckets of about ``per_bucket`` rows; several at every size, so all sizes take the same path."""
+    return max(4, math.ceil(rows / per_bucket))
 
 
 def positions(df: DataFrame, order: list[str], bucket, group: list[str] | None = None,
@@ -76,9 +79,13 @@ def positions(df: DataFrame, order: list[str], bucket, group: list[str] | None =
     # large as the number of groups, so force a shuffle join; either way the data
     # ends up partitioned by (group, bucket) for the numbering window, never by
     # the single-partition offsets side.
+    keys = [*group, "_bucket"]
+    offsets = offsets.withColumnsRenamed({k: f"_o_{k}" for k in keys})
     side = F.broadcast(offsets) if not group else offsets.hint("shuffle_merge")
     inner = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    out = b.join(side, [*group, "_bucket"]) \
+    # Null-safe: rows of a null group are numbered like any other group, none is lost.
+    same = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
+    out = b.join(side, same).drop(*[f"_o_{k}" for k in keys]) \
         .withColumn(pos_col, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
     return out.drop("_bucket", "_off")
 

@@ -101,12 +101,14 @@ def pick_names(people: DataFrame, pool: DataFrame, seed: int, key_cols: list[str
     Pool members are numbered within their pool by a skew-safe position (a huge
     pool is spread over order-preserving buckets, not ranked in one task); the
     person's draw ``h % pool_size`` is then an equi-join on ``(pool…, idx)``.
-    People whose pool is empty get no row (the source raises)."""
+    People whose pool is empty are returned too, with ``reject_reason`` 'empty_pool' and
+    null pool columns (the source raises); everyone else's ``reject_reason`` is null."""
     numbered = positions(pool, [pool_order], pool_bucket, group=pool_key, pos_col="_idx", size_col="_size")
     sizes = numbered.select(*pool_key, "_size").distinct()
-    p = people.join(sizes, pool_key)
+    p = people.join(sizes, pool_key, "left")
     p = p.withColumn("_idx", draw(seed, "name", F.col("_size"), *key_cols))
-    return p.join(numbered.drop("_size"), [*pool_key, "_idx"]).drop("_idx", "_size")
+    p = p.withColumn("reject_reason", F.when(F.col("_size").isNull(), F.lit("empty_pool")))
+    return p.join(numbered.drop("_size"), [*pool_key, "_idx"], "left").drop("_idx", "_size")
 
 
 def narrative_requests(ck: DataFrame, attr_col: str = "sent") -> DataFrame:
@@ -116,4 +118,5 @@ def narrative_requests(ck: DataFrame, attr_col: str = "sent") -> DataFrame:
         r: T.render(t, name="name", demo_sent=F.col("_demo"), persona_attr=attr_col, commonsense="parsed")
         for r, t in K.SENTENCE_FORMS.items()})
     return ck.withColumn("sentence_form", form) \
-        .withColumn("narrative_prompt", T.render(K.NARRATIVE_TEMPLATE, sentence=F.col("sentence_form"))).drop("_demo")
+        .withColumn("narrative_prompt", F.when(F.col("name").isNotNull(), T.render(
+            K.NARRATIVE_TEMPLATE, sentence=F.col("sentence_form")))).drop("_demo")

@@ -1,7 +1,8 @@
 """C5 event graphs and the session-side views of them (C8: W2-W4, F5; X22).
 
-An event graph is a list of nodes ``{id, event, date, caused_by: {id,
-time_interval, experience_op, experience}}``; the root (id 1) has no edge.
+An event graph is a list of nodes ``{id, event, date, caused_by:
+{caused_by:id, caused_by:time_interval, caused_by:experience_op, caused_by:experience}}``; the root
+(id 1) has no edge.
 Node tables are exploded graph rows; sessions follow node order.
 """
 
@@ -17,46 +18,43 @@ from curatio.functions.literal import parse_literal
 from curatio.operators.core import report
 
 NODE_KEYS = ["id", "event", "date", "caused_by"]
-EDGE_KEYS = ["id", "time_interval", "experience_op", "experience"]
-# P7 spellings repaired to the canonical edge keys
-EDGE_KEY_REPAIRS = {"caused_by_id": "id", "caused_by_time_interval": "time_interval",
-                    "caused_by_experience_op": "experience_op", "caused_by_experience": "experience"}
-
-
-def repair_edge(edge_map: Column) -> Column:
-    """Canonical edge map from one with ``caused_by_*`` spellings."""
-    m = edge_map
-    for wrong, right in EDGE_KEY_REPAIRS.items():
-        m = F.when(~F.map_contains_key(m, right) & F.map_contains_key(m, wrong),
-                   F.map_concat(F.map_filter(m, lambda k, v: k != wrong),
-                                F.create_map(F.lit(right), m[wrong]))).otherwise(m)
-    return m
-
-
-def graph_is_valid(nodes: Column, repair: bool = True) -> Column:
-    """every node has the 4 node keys; every non-root node (id ≠ 1) has the 4 edge keys.
-
-    With ``repair`` (P7) an edge key also counts when only its ``caused_by_*``
-    spelling is present — exactly the keys ``repair_edge`` would produce, without
-    rebuilding the map. Each node's edge map is parsed once (``transform`` first)."""
-    wrong = {v: k for k, v in EDGE_KEY_REPAIRS.items()}
-    pairs = F.transform(nodes, lambda m: F.struct(m.alias("m"),
-                                                  F.from_json(m["caused_by"], "map<string,string>").alias("e")))
-
-    def node_ok(x):
-        m, e = x["m"], x["e"]
-        has_node = F.forall(F.array(*[F.lit(k) for k in NODE_KEYS]), lambda k: F.map_contains_key(m, k))
-        edge_checks = []
-        for k in EDGE_KEYS:
-            c = F.map_contains_key(e, k)
-            if repair:
-                c = c | F.map_contains_key(e, wrong[k])
-            edge_checks.append(F.coalesce(c, F.lit(False)))
-        has_edge = edge_checks[0]
-        for c in edge_checks[1:]:
-            has_edge = has_edge & c
-        return has_node & ((m["id"] == "1") | has_edge)
-    return F.forall(pairs, node_ok)
+EDGE_KEYS = ["caused_by:id", "caused_by:time_interval", "caused_by:experience_op", "caused_by:experience"]
+# Spellings repaired to the canonical keys
+NODE_KEY_REPAIRS = {"caused_by:": "caused_by"}
+EDGE_KEY_REPAIRS = {k.replace(":", "_"): k for k in EDGE_KEYS}
+
+
+def repair_keys(m: Column, repairs: dict[str, str]) -> Column:
+    """The map with each wrong spelling renamed, unless the right key is there too."""
+    keys = F.map_keys(m)
+    right = F.create_map(*[F.lit(x) for pair in repairs.items() for x in pair])
+    return F.transform_keys(m, lambda k, _v: F.when(
+        F.map_contains_key(right, k) & ~F.array_contains(keys, right[k]), right[k]).otherwise(k))
+
+
+def repair_nodes(nodes: Column) -> Column:
+    """P7 on a graph's nodes ``ARRAY<MAP<STRING,STRING>>``: node keys, then the keys inside ``caused_by``."""
+    def one(m):
+        m = repair_keys(m, NODE_KEY_REPAIRS)
+        return F.transform_values(m, lambda k, v: F.when((k == "caused_by") & F.from_json(
+            v, "map<string,string>").isNotNull(), F.to_json(repair_keys(F.from_json(v, "map<string,string>"), EDGE_KEY_REPAIRS)))
+            .otherwise(v))
+    return F.transform(nodes, one)
+
+
+def graph_is_valid(nodes: Column, id_int: Column) -> Column:
+    """every node has the 4 node keys; every node but the root (the integer id 1; a text '1'
+    is no root) has the 4 ``caused_by:`` keys. ``id_int``: per node, whether its id is an integer."""
+    pairs = F.zip_with(nodes, id_int, lambda m, i: F.struct(
+        m.alias("m"), i.alias("i"), F.from_json(m["caused_by"], "map<string,string>").alias("e")))
+
+    def has(m, names):
+        out = F.lit(True)
+        for k in names:
+            out = out & F.coalesce(F.map_contains_key(m, k), F.lit(False))
+        return out
+    return F.forall(pairs, lambda x: has(x["m"], NODE_KEYS) & (
+        F.coalesce((x["m"]["id"] == "1") & x["i"], F.lit(False)) | has(x["e"], EDGE_KEYS)))
 
 
 @dataclass
@@ -67,15 +65,16 @@ class EventParse:
     report: DataFrame
 
 
-def event_parse(gen: DataFrame, generation_col: str = "generation", repair: bool = True) -> EventParse:
+def event_parse(gen: DataFrame, generation_col: str = "generation", repair: bool = False) -> EventParse:
     """C5 parse: fence strip (X5a) → literal parse (X6) → reject syntax / non-list
-    → key validation (F6, with P7 repair) → report (A1)."""
+    → with ``repair`` the keys are repaired first (P7) → key validation (F6) → report (A1)."""
     p = gen.withColumn("_lit", parse_literal(T.strip_json_fence(generation_col)))
     nodes = F.from_json(F.col("_lit.js"), "array<map<string,string>>")
+    nodes = repair_nodes(nodes) if repair else nodes
     p = p.withColumn("nodes", F.when(F.col("_lit.shape") == "list", nodes))
     reason = (F.when(F.col("_lit.err").isNotNull(), F.lit("syntax:fail"))
               .when(F.col("_lit.shape") != "list", F.lit("not_a_list"))
-              .when(~graph_is_valid(F.col("nodes"), repair), F.lit("key:fail")))
+              .when(~graph_is_valid(F.col("nodes"), F.col("_lit.id_int")), F.lit("key:fail")))
     p = p.withColumn("reject_reason", reason)
     rep = report(p, "event", {
         "total": F.count("*"),

@@ -46,11 +46,12 @@ def style_draw(seed, *keys) -> Column:
 
 
 def zip_sample(people: DataFrame, pool: DataFrame, seed: int, people_key: str, pool_key: str,
-               strict: bool = False) -> DataFrame:
+               strict: bool = True) -> DataFrame:
     """``random.sample(pool, n)`` zipped with the people: both sides are put in a
     seeded order, numbered with skew-safe global positions, and equi-joined on the
-    position. People beyond the pool size find no partner; ``strict`` raises instead,
-    as the source does (two counts, returned as numbers)."""
+    position. With more people than pool rows ``strict`` raises, as the source does (two
+    counts, returned as numbers); otherwise the people beyond the pool are kept with null
+    pool columns."""
     if strict:
         n_people, n_pool = people.count(), pool.count()
         if n_people > n_pool:
@@ -59,7 +60,7 @@ def zip_sample(people: DataFrame, pool: DataFrame, seed: int, people_key: str, p
     qk = pool.withColumn("_o", order_key(seed, "zip_pool", pool_key))
     pp = positions(pk, ["_o"], hex_bucket("_o", 3), pos_col="_pos").drop("_o")
     qq = positions(qk, ["_o"], hex_bucket("_o", 3), pos_col="_pos").drop("_o")
-    return pp.join(qq, "_pos").drop("_pos")
+    return pp.join(qq, "_pos", "left").drop("_pos")
 
 
 def face_path(root: str, uid: Column) -> Column:
@@ -68,11 +69,11 @@ def face_path(root: str, uid: Column) -> Column:
 
 
 def attach_faces(episodes: DataFrame, pool: DataFrame, seed: int = 42, id_col: str = "unique_id",
-                 pool_key: str = "attr_id", root: str = "faces") -> DataFrame:
+                 pool_key: str = "attr_id", root: str = "faces", strict: bool = True) -> DataFrame:
     """C11: distinct episode ids (A6) ↔ sampled attribute rows (J5) → sentence
     and image path (P9) → joined back to every episode row (J6)."""
-    ids = episodes.select(id_col, "age", "gender", "birthplace").dropDuplicates([id_col])
-    z = zip_sample(ids, pool, seed, id_col, pool_key)
+    ids = episodes.groupBy(id_col).agg(F.min(F.struct("age", "gender", "birthplace")).alias("_p")).select(id_col, "_p.*")
+    z = zip_sample(ids, pool, seed, id_col, pool_key, strict)
     faces = z.select(id_col, attribute_sentence(F.col("attributes"), F.col("age"), F.col("gender"),
                                                 F.col("birthplace"), style_draw(seed, id_col))
                      .alias("face_description"), face_path(root, F.col(id_col)).alias("face_image_path"))
@@ -105,8 +106,8 @@ def attribute_sentence_strict(attr_json: Column, age: Column, gender: Column, bi
 
 
 def face_requests(people: DataFrame, pool: DataFrame, seed: int = 42, id_col: str = "id",
-                  pool_key: str = "attr_id") -> DataFrame:
+                  pool_key: str = "attr_id", strict: bool = True) -> DataFrame:
     """Each persona row gets a sampled attribute row (J5) and its strict sentence."""
-    z = zip_sample(people, pool, seed, id_col, pool_key)
+    z = zip_sample(people, pool, seed, id_col, pool_key, strict)
     return z.withColumn("face_prompt", attribute_sentence_strict(
         F.col("attributes"), F.col("age"), F.col("gender"), F.col("birthplace"), style_draw(seed, id_col)))

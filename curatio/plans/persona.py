@@ -24,14 +24,15 @@ class PersonaParse:
 
 
 def explode_list(gen: DataFrame, generation_col: str, n: int, pos_col: str = "piece_idx") -> DataFrame:
-    """X1 + X24: one row per numbered-list piece, parent columns kept."""
+    """X1 + X24: one row per numbered-list piece, parent columns kept; a null completion
+    gives one row with a null piece, which no pattern matches (it is rejected, not lost)."""
     return gen.select(*[c for c in gen.columns if c != generation_col],
-                      F.posexplode(T.numbered_split(generation_col, n)).alias(pos_col, "piece"))
+                      F.posexplode_outer(T.numbered_split(generation_col, n)).alias(pos_col, "piece"))
 
 
 def parse_pieces(pieces: DataFrame, piece_col: str = "piece") -> DataFrame:
     matched, sent, key, value = T.list_item_fields(piece_col)
-    return pieces.withColumn("matched", matched).withColumn("sent", sent) \
+    return pieces.withColumn("matched", F.coalesce(matched, F.lit(False))).withColumn("sent", sent) \
         .withColumn("key", key).withColumn("value", value)
 
 
@@ -159,7 +160,7 @@ def album_parse(gen: DataFrame, key: list[str], generation_col: str = "generatio
     from pyspark.sql import Window
     p = explode_list(gen, generation_col, n)
     c = F.col("piece")
-    p = p.withColumn("matched", c.rlike(ALBUM_ITEM_RE)) \
+    p = p.withColumn("matched", F.coalesce(c.rlike(ALBUM_ITEM_RE), F.lit(False))) \
         .withColumn("image_description", F.regexp_extract(c, ALBUM_ITEM_RE, 1)) \
         .withColumn("image_category", F.regexp_extract(c, ALBUM_ITEM_RE, 2))
     p = p.withColumn("kept", F.max(F.col("matched").cast("int")).over(Window.partitionBy(*key)) == 1)

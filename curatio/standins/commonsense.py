@@ -135,12 +135,12 @@ pool AS (
 ck AS (
   SELECT p.*, {S.arr(K.RELATIONS)}[c_custkey % 5 + 1] AS relation, 'enjoy ' || lower(c_mktsegment) AS parsed,
          {sql_draw(42, 'name', 's.size', 'c_custkey')} AS idx
-  FROM people p JOIN sizes s ON s.s_nationkey = p.c_nationkey AND s.gender = p.gender
+  FROM people p LEFT JOIN sizes s ON s.s_nationkey = p.c_nationkey AND s.gender = p.gender
 ), named AS (
   SELECT ck.*, pool.s_name AS name FROM ck
-  JOIN pool ON pool.s_nationkey = ck.c_nationkey AND pool.gender = ck.gender AND pool.idx = ck.idx
+  LEFT JOIN pool ON pool.s_nationkey = ck.c_nationkey AND pool.gender = ck.gender AND pool.idx = ck.idx
 )
-SELECT c_custkey, name, {S.render(K.NARRATIVE_TEMPLATE, sentence=S.case('relation', {r: S.render(t, name='name', demo_sent=DEMO_SQL, persona_attr='sent', commonsense='parsed') for r, t in K.SENTENCE_FORMS.items()}))} AS prompt
+SELECT c_custkey, name, CASE WHEN idx IS NULL THEN 'empty_pool' END AS reject_reason, CASE WHEN name IS NOT NULL THEN {S.render(K.NARRATIVE_TEMPLATE, sentence=S.case('relation', {r: S.render(t, name='name', demo_sent=DEMO_SQL, persona_attr='sent', commonsense='parsed') for r, t in K.SENTENCE_FORMS.items()}))} END AS prompt
 FROM named""")
 def narrative_names(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -153,4 +153,5 @@ def narrative_names(spark, sf_dir):
                     .alias("gender"), "s_suppkey", F.col("s_name").alias("name"))
     bucket = quantile_bucket(pool, "s_suppkey", default_buckets(s.count(), 50_000))
     named = C.pick_names(p, pool, 42, ["c_custkey"], ["c_nationkey", "gender"], "s_suppkey", bucket)
-    return C.narrative_requests(named).select("c_custkey", "name", F.col("narrative_prompt").alias("prompt"))
+    return C.narrative_requests(named).select(
+        "c_custkey", "name", "reject_reason", F.col("narrative_prompt").alias("prompt"))

@@ -127,15 +127,18 @@ def graph_generations(n: DataFrame) -> DataFrame:
     q = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     kd = F.col("k") % 10
     root = F.col("node_pos") == 0
-    edge_id_key = F.when(kd == 2, F.lit("caused_by_id")).otherwise(F.lit("id"))
+    edge_id_key = F.when(kd == 2, F.lit("caused_by_id")).otherwise(F.lit("caused_by:id"))
     edge = F.when(root, F.lit("{}")).otherwise(F.concat(
         F.lit("{'"), edge_id_key, F.lit("': "), F.col("node_pos").cast("string"),
-        F.lit(", 'time_interval': '1 day'"),
-        F.when(kd == 4, F.lit("")).otherwise(F.lit(", 'experience_op': 'cause'")),
-        F.lit(", 'experience': "), q(F.concat(F.lit("after "), F.col("prev_event"))), F.lit("}")))
-    node = F.concat(F.lit("{'id': "), (F.col("node_pos") + 1).cast("string"), F.lit(", 'event': "), q(F.col("event")),
+        F.lit(", 'caused_by:time_interval': '1 day'"),
+        F.when(kd == 4, F.lit("")).otherwise(F.lit(", 'caused_by:experience_op': 'cause'")),
+        F.lit(", 'caused_by:experience': "), q(F.concat(F.lit("after "), F.col("prev_event"))), F.lit("}")))
+    number = (F.col("node_pos") + 1).cast("string")
+    number = F.when(root & (kd == 6), q(number)).otherwise(number)          # the text '1' is no root id
+    caused = F.when(kd == 8, F.lit("caused_by:")).otherwise(F.lit("caused_by"))
+    node = F.concat(F.lit("{'id': "), number, F.lit(", 'event': "), q(F.col("event")),
                     F.when(kd == 0, F.lit("")).otherwise(F.concat(F.lit(", 'date': "), q(F.col("date")))),
-                    F.lit(", 'caused_by': "), edge, F.lit("}"))
+                    F.lit(", '"), caused, F.lit("': "), edge, F.lit("}"))
     from pyspark.sql import Window
     w = Window.partitionBy("user_id", "graph_idx").orderBy("node_pos")
     n = n.withColumn("prev_event", F.lag("event").over(w)).withColumn("node_text", node)
@@ -150,18 +153,47 @@ def graph_generations(n: DataFrame) -> DataFrame:
     return g.select("user_id", "graph_idx", "n_nodes", gen.alias("generation"))
 
 
-@query("event_validate", f"""WITH {NODES_SQL},
+def _validate_sql(defect: str) -> str:
+    return f"""WITH {NODES_SQL},
 g AS (
-  SELECT user_id, graph_idx, count(*) AS n_nodes,
-         bool_or(k % 10 = 0 OR (node_pos > 0 AND k % 10 = 4)) AS key_defect
+  SELECT user_id, graph_idx, count(*) AS n_nodes, bool_or({defect}) AS key_defect,
+         string_agg(event || ' @ ' || date, ' ; ' ORDER BY node_pos) AS events,
+         string_agg(CASE WHEN node_pos = 0 THEN 'root' ELSE CAST(node_pos AS VARCHAR) END, ',' ORDER BY node_pos) AS parents
   FROM nodes GROUP BY 1, 2
-)
-SELECT user_id, graph_idx, n_nodes,
-  CASE WHEN (user_id + graph_idx) % 13 = 0 THEN 'syntax:fail' WHEN (user_id + graph_idx) % 11 = 5 THEN 'not_a_list'
-       WHEN key_defect THEN 'key:fail' ELSE 'ok' END AS verdict
-FROM g""")
+), v AS (
+SELECT *, CASE WHEN (user_id + graph_idx) % 13 = 0 THEN 'syntax:fail' WHEN (user_id + graph_idx) % 11 = 5 THEN 'not_a_list'
+       WHEN key_defect THEN 'key:fail' ELSE 'ok' END AS verdict FROM g)
+SELECT user_id, graph_idx, n_nodes, verdict, CASE WHEN verdict = 'ok' THEN events END AS events,
+       CASE WHEN verdict = 'ok' THEN parents END AS parents FROM v"""
+
+
+def _validated(spark, sf_dir, repair: bool) -> DataFrame:
+    """Verdict of every graph and, of the accepted ones, what was parsed: events, dates and parent ids."""
+    res = EV.event_parse(graph_generations(nodes(Tables(spark, sf_dir).events)), repair=repair).annotated
+    edge = lambda m: F.from_json(m["caused_by"], "map<string,string>")
+    ok = F.col("reject_reason").isNull()
+    events = F.array_join(F.transform("nodes", lambda m: F.concat(m["event"], F.lit(" @ "), m["date"])), " ; ")
+    parents = F.array_join(F.transform("nodes", lambda m: F.coalesce(edge(m)["caused_by:id"], F.lit("root"))), ",")
+    return res.select("user_id", "graph_idx", "n_nodes", F.coalesce("reject_reason", F.lit("ok")).alias("verdict"),
+                      F.when(ok, events).alias("events"), F.when(ok, parents).alias("parents"))
+
+
+@query("event_validate", _validate_sql("k % 10 IN (0, 8) OR (node_pos > 0 AND k % 10 IN (2, 4)) OR (node_pos = 0 AND k % 10 = 6)"))
 def event_validate(spark, sf_dir):
-    gens = graph_generations(nodes(Tables(spark, sf_dir).events))
-    res = EV.event_parse(gens)
-    return res.annotated.select("user_id", "graph_idx", "n_nodes",
-                                F.coalesce("reject_reason", F.lit("ok")).alias("verdict"))
+    return _validated(spark, sf_dir, repair=False)
+
+
+@query("event_validate_repaired", _validate_sql("k % 10 = 0 OR (node_pos > 0 AND k % 10 = 4) OR (node_pos = 0 AND k % 10 = 6)"))
+def event_validate_repaired(spark, sf_dir):
+    return _validated(spark, sf_dir, repair=True)
+
+
+@query("event_report", f"""WITH v AS ({_validate_sql("k % 10 IN (0, 8) OR (node_pos > 0 AND k % 10 IN (2, 4)) OR (node_pos = 0 AND k % 10 = 6)")})
+SELECT 'event' AS stage, metric, CAST(value AS BIGINT) AS value FROM (
+  SELECT 'total' AS metric, count(*) AS value FROM v
+  UNION ALL SELECT 'syntax:fail', count(*) FILTER (WHERE verdict = 'syntax:fail') FROM v
+  UNION ALL SELECT 'not_a_list', count(*) FILTER (WHERE verdict = 'not_a_list') FROM v
+  UNION ALL SELECT 'key:fail', count(*) FILTER (WHERE verdict = 'key:fail') FROM v
+  UNION ALL SELECT 'parsed', count(*) FILTER (WHERE verdict = 'ok') FROM v)""")
+def event_report(spark, sf_dir):
+    return EV.event_parse(graph_generations(nodes(Tables(spark, sf_dir).events))).report

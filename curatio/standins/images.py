@@ -125,19 +125,20 @@ def _retrieve_ivf(spark, sf_dir):
                                                         F.round("score", 6).alias("score"))
 
 
-def _keys(conv):
+def _keys(conv, sizes: tuple[int, int, int]):
+    """Keys over the whole id range of the three tables and a few ids beyond (dangling)."""
     k = F.col("conv_id") * 8 + F.col("turn")
     kind = k % 3
-    ident = (k % 400).cast("string")
+    ident = (k % F.when(kind == 0, sizes[0]).when(kind == 1, sizes[1]).otherwise(sizes[2])).cast("string")
     key = F.when(kind == 0, F.concat(F.lit("url:"), ident)).when(kind == 1, F.concat(F.lit("face:"), ident)) \
         .otherwise(ident)
     return conv.select("conv_id", "turn", key.alias("key"))
 
 
 @query("resolve_image_keys", """WITH k AS (
-  SELECT conv_id, turn, CASE (conv_id * 8 + turn) % 3 WHEN 0 THEN 'url:' || CAST((conv_id * 8 + turn) % 400 AS VARCHAR)
-                             WHEN 1 THEN 'face:' || CAST((conv_id * 8 + turn) % 400 AS VARCHAR)
-                             ELSE CAST((conv_id * 8 + turn) % 400 AS VARCHAR) END AS key FROM conversations
+  SELECT conv_id, turn, CASE (conv_id * 8 + turn) % 3 WHEN 0 THEN 'url:' || CAST((conv_id * 8 + turn) % (SELECT max(page_id) + 11 FROM pages) AS VARCHAR)
+                             WHEN 1 THEN 'face:' || CAST((conv_id * 8 + turn) % (SELECT max(c_custkey) + 11 FROM customer) AS VARCHAR)
+                             ELSE CAST((conv_id * 8 + turn) % (SELECT max(vec_id) + 11 FROM embeddings) AS VARCHAR) END AS key FROM conversations
 ), k2 AS (
   SELECT *, CASE WHEN starts_with(key, 'url:') THEN 'url' WHEN starts_with(key, 'face:') THEN 'face' ELSE 'image' END AS kind,
          TRY_CAST(CASE WHEN starts_with(key, 'url:') THEN substr(key, 5) WHEN starts_with(key, 'face:') THEN substr(key, 6)
@@ -159,7 +160,8 @@ def resolve_image_keys(spark, sf_dir):
     pages = t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("location"))
     faces = t.customer.select(F.col("c_custkey").alias("id"),
                               F.concat(F.lit("faces/"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("location"))
-    r = I.resolve_image_keys(_keys(t.conversations), images, pages, faces)
+    sizes = tuple(df.agg(F.max("id")).first()[0] + 11 for df in (pages, faces, images))
+    r = I.resolve_image_keys(_keys(t.conversations, sizes), images, pages, faces)
     return r.select("conv_id", "turn", "key", "kind", "resolved", "status")
 
 

@@ -43,13 +43,15 @@ def _accept(batch):
 
 
 @query("stream_persona_unique", f"""WITH {PIECES_SQL}
-SELECT DISTINCT sent FROM exact""")
+SELECT sent, key, value, seq, piece_idx FROM exact
+QUALIFY row_number() OVER (PARTITION BY sent ORDER BY seq, piece_idx) = 1""")
 def stream_persona_unique(spark, sf_dir):
     """Persona completions arrive as 4 files, one per micro-batch; a sentence is
-    accepted once over all batches (cross-batch first-wins via left_anti)."""
+    accepted once over all batches (first-wins by (seq, piece_idx))."""
     base = scratch_path(spark, "persona-ingest")
     gens = persona_generations(Tables(spark, sf_dir).part)
     gens.repartition(4, "seq").write.mode("overwrite").json(f"{base}/in")
     out = ingest_unique(spark, f"{base}/in", "seq bigint, generation string, persona_entity_key string",
-                        f"{base}/out", f"{base}/checkpoint", _accept, ["sent"], ["seq", "piece_idx"])
-    return out.select("sent")
+                        f"{base}/out", f"{base}/checkpoint", _accept, ["sent"], ["seq", "piece_idx"],
+                        max_files_per_trigger=1)
+    return out.select("sent", "key", "value", "seq", F.col("piece_idx").cast("bigint").alias("piece_idx"))

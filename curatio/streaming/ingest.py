@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def _files(spark: SparkSession, in_dir: str, schema: StructType | str, fmt: str, max_files: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(in_dir)
+
+
 def ingest(spark: SparkSession, in_dir: str, schema: StructType | str, out_dir: str, checkpoint: str,
-           parse: Callable[[DataFrame], DataFrame], fmt: str = "json", max_files_per_trigger: int = 1) -> DataFrame:
+           parse: Callable[[DataFrame], DataFrame], fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:
     """Process every not-yet-seen file under ``in_dir`` (``availableNow``) and return
     the accumulated parsed output (``batch_id`` column from the folder names)."""
-    stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger) \
-        .load(in_dir)
+    stream = _files(spark, in_dir, schema, fmt, max_files_per_trigger)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         parse(batch).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
@@ -33,44 +37,23 @@ def ingest(spark: SparkSession, in_dir: str, schema: StructType | str, out_dir:
     return spark.read.parquet(out_dir)
 
 
-def accepted_once(accumulated: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """A2/A3 across batches: one row per key over everything ingested so far,
-    the earliest (by ``order``, e.g. ``batch_id``) wins — exact, unbounded history."""
-    from curatio.operators.core import dedupe_first
-    return dedupe_first(accumulated, keys, order)
-
-
-def stamp(df: DataFrame) -> DataFrame:
-    """Record the ingest time of a batch (kept out of keys, so replays stay identical)."""
-    return df.withColumn("ingested_at", F.current_timestamp())
-
-
 def ingest_unique(spark: SparkSession, in_dir: str, schema: StructType | str, out_dir: str, checkpoint: str,
                   parse: Callable[[DataFrame], DataFrame], keys: list[str], order: list[str],
-                  fmt: str = "json", max_files_per_trigger: int = 1) -> DataFrame:
-    """Like ``ingest`` but a key is accepted at most once over all batches (A2/A3).
+                  fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Like ``ingest`` but a key is accepted at most once over all batches (A2/A3): the row
+    that is first by ``order`` (e.g. the lowest ``seq``), whichever file brought it.
 
-    Each micro-batch keeps its first row per key, then drops keys already accepted by
-    *earlier* batches (``left_anti`` against the output folders with a smaller
-    ``batch_id``). A replayed batch ignores its own earlier attempt, so a crash and
-    replay writes the same rows again into the same folder."""
+    Each micro-batch writes its own first row per key into its own folder (a replay overwrites
+    it); the result is the first of those winners per key, so a later file with an earlier row
+    still wins and no batch reads what others wrote."""
     from curatio.operators.core import dedupe_first
     out = out_dir.rstrip("/")
-    stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger) \
-        .load(in_dir)
+    stream = _files(spark, in_dir, schema, fmt, max_files_per_trigger)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = dedupe_first(parse(batch), keys, order)
-        try:
-            prior = spark.read.parquet(out).filter(F.col("batch_id") < batch_id).select(*keys)
-            fresh = fresh.join(prior, keys, "left_anti")
-        except Exception as e:  # noqa: BLE001 - first batch: no output folder yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) \
-                    and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        dedupe_first(parse(batch), keys, order).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return dedupe_first(spark.read.parquet(out), keys, order)
