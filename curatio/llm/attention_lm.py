@@ -39,14 +39,15 @@ from pyspark.sql import functions as F
 from curatio.llm.common import stored, text_slices
 from curatio.llm.sentencepiece_codec import default_model, read_model
 
-CONTEXT, STRIDE = 8, 24
+CONTEXT, STRIDE = 6, 12
 LENGTH = CONTEXT + STRIDE
-SLOTS, CLASSES, WIDTH = 2048, 64, 16       # frequent subwords (the rest share one more slot), output classes, embedding
+SLOTS, CLASSES, WIDTH = 2048, 48, 16       # frequent subwords (the rest share one more slot), output classes, embedding
 TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 2, 2, 64, 0.01
 HIDDEN = np.float32(-60)                     # a masked key's weight is exp(-60) at most
 PULL = 3.0                                   # weight of the single counts in the smoothed pair counts
 SLICE = 4 << 20
-MEMO = 300_000                               # words remembered by a worker
+MEMO = 400_000                               # words remembered by a worker
+PAIRS = 500_000                              # different pairs summed by a task before they go out
 PACK = 8                                     # bits for the count in a posting
 DOC, WORD, SUBWORD, PAIR, WINDOW = range(5)
 
@@ -139,6 +140,7 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
              window if window is not None else pa.nulls(k, pa.binary())],
             names=["slice", "kind", "h", "n", "items", "id", "held", "window"])
 
+    pairs, pair_counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)    # summed over slices
     for b in text_slices(batches, SLICE):
         texts = b.column("text").to_pylist()
         held = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
@@ -179,10 +181,11 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
         learn = ~np.repeat(held, t.n_words + 1)
         outer, k = np.unique(tail[before[learn]].astype(np.int64) << 20 | head[seq[learn]], return_counts=True)
         at = np.flatnonzero(inner & (weight > 0))
-        pair, where = np.unique(np.concatenate([outer, t.pieces[at - 1].astype(np.int64) << 20 | t.pieces[at]]), return_inverse=True)
-        n = np.bincount(where, weights=np.concatenate([k, weight[at]]), minlength=len(pair)).astype(np.int64)
-        if len(pair):
-            yield rows(slice_id, PAIR, pair, n)
+        pairs, where = np.unique(np.concatenate([pairs, outer, t.pieces[at - 1].astype(np.int64) << 20 | t.pieces[at]]), return_inverse=True)
+        pair_counts = np.bincount(where, weights=np.concatenate([pair_counts, k, weight[at]]), minlength=len(pairs)).astype(np.int64)
+        if len(pairs) > PAIRS:
+            yield rows(slice_id, PAIR, pairs, pair_counts)
+            pairs, pair_counts = pairs[:0], pair_counts[:0]
         ids, first = t.subwords(end)
         size = np.diff(np.append(first, len(ids)))
         # Windows of the training documents, at places drawn from a hash of the document's first subwords and size.
@@ -196,6 +199,8 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
                 windows.append(own[at:at + LENGTH + 1].astype(np.int32).tobytes())
         if windows:
             yield rows(slice_id, WINDOW, np.arange(len(windows)), np.zeros(len(windows), dtype=np.int64), window=pa.array(windows, pa.binary()))
+    if len(pairs):
+        yield rows(np.int64(0), PAIR, pairs, pair_counts)
 
 
 class Model:
@@ -332,8 +337,8 @@ class Model:
         cls = self.of[slot]
         out = np.zeros(len(ids), dtype=np.float32)
         tables, ones = self.tables(), np.ones(CLASSES, dtype=np.float32)
-        for lo in range(0, len(text), 128):                                 # few enough to stay in a core's cache
-            t, j = text[lo:lo + 128], k[lo:lo + 128]
+        for lo in range(0, len(text), 256):                                 # few enough to stay in a core's cache
+            t, j = text[lo:lo + 256], k[lo:lo + 256]
             rel = (j * STRIDE)[:, None] + np.arange(-CONTEXT, STRIDE)[None, :]
             at = first[t][:, None] + np.clip(rel, 0, size[t][:, None] - 1)
             z, _ = self.forward(tables, prev[at], rel >= 0, CONTEXT)        # what follows a text is masked as later anyway

@@ -22,10 +22,13 @@ an empty result.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,6 +260,7 @@ def _loaded(model) -> Vocabulary:
     """The vocabulary of a broadcast model, made once per worker process (with its memo) and kept on the broadcast."""
     if not hasattr(model, "vocabulary"):
         model.vocabulary = Vocabulary(model.value)
+        gc.freeze()
     return model.vocabulary
 
 
@@ -271,8 +275,18 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = Non
         v = _loaded(model)
         for b in batches:
             for part in text_slices([b], 4 << 20, b.num_columns - 1):
-                ids = pa.array([None if t is None else v.encode(t) for t in part.column(part.num_columns - 1).to_pylist()],
-                               pa.list_(pa.int32()))
+                texts = part.column(part.num_columns - 1).to_pylist()
+                flat, ends = array("i"), [0]
+                gc.disable()                          # the memo's tuples hold no cycles; scanning them again and again is dear
+                try:
+                    for t in texts:
+                        flat.extend(v.encode(t or ""))
+                        ends.append(len(flat))
+                finally:
+                    gc.enable()
+                missing = pa.array([t is None for t in texts] + [False]) if None in texts else None
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=missing.to_numpy(zero_copy_only=False)) if missing is not None
+                                               else pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keep, out_col])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != out_col)
     return src.mapInArrow(run, f"{schema}, `{out_col}` array<int>")

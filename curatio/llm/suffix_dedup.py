@@ -249,31 +249,54 @@ def maximal_repeats(before: list[bytes], onward: list[bytes], least: int = MATCH
                 yield left, right, members
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings sorted by (gram, onward) -> members (group, key, place, left, right, first) of maximal repeats."""
-    schema = pa.schema([("gram", pa.int64()), ("number", pa.int64()), ("key", pa.int64()), ("place", pa.int64()),
-                        ("left", pa.int64()), ("right", pa.int64()), ("first", pa.bool_())])
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(gram, its rows (key, place, before, onward)) of rows sorted by (gram, onward), grams with several rows only."""
     current, rows = None, []
-    out: list[tuple] = []
-
-    def flush():
-        where = [(r[1], r[2]) for r in rows]
-        for number, (left, right, members) in enumerate(maximal_repeats([r[3] for r in rows], [r[4] for r in rows])):
-            least = min(where[m] for m in members)
-            out.extend((current, number, *where[m], left, right, where[m] == least) for m in members)
-
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("gram", "key", "place", "before", "onward"))):
-            if r[0] != current:
+        for gram, *row in zip(*(b.column(c).to_pylist() for c in ("gram", "key", "place", "before", "onward"))):
+            if gram != current:
                 if len(rows) > 1:
-                    flush()
-                current, rows = r[0], []
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
-                    out = []
-            rows.append(r)
+                    yield current, rows
+                current, rows = gram, []
+            rows.append(row)
     if len(rows) > 1:
-        flush()
+        yield current, rows
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surroundings sorted by (gram, onward) -> members (gram, number, key, place, left, right, first) of maximal repeats."""
+    schema = pa.schema([(c, pa.int64()) for c in ("gram", "number", "key", "place", "left", "right")] + [("first", pa.bool_())])
+    out: list[tuple] = []
+    for gram, rows in _grams(batches):
+        where = [(r[0], r[1]) for r in rows]
+        for number, (left, right, members) in enumerate(maximal_repeats([r[2] for r in rows], [r[3] for r in rows])):
+            least = min(where[m] for m in members)
+            out.extend((gram, number, *where[m], left, right, where[m] == least) for m in members)
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
+                out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surroundings sorted by (gram, onward) -> (key, place, left, right): the bytes around each anchor that maximal
+    repeats with an earlier member cover (all hold the anchor, so together they are one stretch)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "place", "left", "right")])
+    out: list[tuple] = []
+    for _, rows in _grams(batches):
+        where = [(r[0], r[1]) for r in rows]
+        wide: dict[int, list[int]] = {}
+        for left, right, members in maximal_repeats([r[2] for r in rows], [r[3] for r in rows]):
+            least = min(where[m] for m in members)
+            for m in members:
+                if where[m] != least:
+                    most = wide.setdefault(m, [0, 0])
+                    most[:] = max(most[0], left), max(most[1], right)
+        out.extend((*where[m], left, right) for m, (left, right) in wide.items())
+        if len(out) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
+            out = []
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
 
@@ -305,9 +328,8 @@ def _dealt(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition(n, order[0]).sortWithinPartitions(*order)
 
 
-def repeats(src: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of (key, crc, text): full repeats (key, place), members of maximal repeats (gram, number, key, place, left,
-    right, first), and repeated windows of long groups (key, place)."""
+def surroundings(src: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Of (key, crc, text): repeats in full (key, place), and the surroundings to compare (gram, key, place, kind, before, onward)."""
     rows = src.select("key", "text").mapInArrow(
         _first_pass, "gram bigint, around bigint, key bigint, place bigint, again boolean")
     split = _dealt(rows, "gram", "around", "key", "place").mapInArrow(
@@ -320,13 +342,24 @@ def repeats(src: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame,
     found = src.join(per_text, ["key", "crc"]).select("key", "crc", "text", "needs").mapInArrow(
         _surroundings, "gram bigint, key bigint, place bigint, kind bigint, before binary, onward binary")
     found = stored(found, "surroundings")
-    members = _dealt(found.filter(F.col("kind") == NEED), "gram", "onward").mapInArrow(
-        _repeats, "gram bigint, number bigint, key bigint, place bigint, left bigint, right bigint, first boolean")
+    return split.filter(F.col("kind") == FULL).select("key", "place"), found
+
+
+def repeated_windows(found: DataFrame) -> DataFrame:
+    """(key, place) of the 100-byte windows in the surroundings of long groups that also start earlier."""
     windows = found.filter(F.col("kind") == HOT).select("key", "place", "before", "onward").mapInArrow(
         _windows, "w1 bigint, w2 bigint, key bigint, place bigint")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "place")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    later = windows.join(least, ["w1", "w2"]).filter("struct(key, place) != least").select("key", "place")
-    return split.filter(F.col("kind") == FULL).select("key", "place"), members, later
+    return windows.join(least, ["w1", "w2"]).filter("struct(key, place) != least").select("key", "place")
+
+
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats with all their members: (gram, number, key, place, left, right, first); a member covers ``left``
+    bytes before and ``right`` bytes from ``place`` (low 31 bits: offset) on. Members with equal surroundings are
+    listed once, by their first; groups over the limit are split by no task here, so none is left out."""
+    _, found = surroundings(_keyed(docs, key, text_col), 1 << 62)
+    return _dealt(found, "gram", "onward").mapInArrow(
+        _members, "gram bigint, number bigint, key bigint, place bigint, left bigint, right bigint, first boolean")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,13 +375,16 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(key, n_bytes, n_removed, spans [(from, to)], kept binary) of every row of ``docs``."""
     src = _keyed(docs, key, text_col)
-    full, members, windows = repeats(src, group_limit)
+    full, found = surroundings(src, group_limit)
+    later = _dealt(found.filter(F.col("kind") == NEED), "gram", "onward").mapInArrow(
+        _later, "key bigint, place bigint, left bigint, right bigint")
+    windows = repeated_windows(found)
     # A mark is one number: place in the text, bytes before it, bytes from it on.
     off = F.shiftleft(F.col("place").bitwiseAND(F.lit(OFF).cast("bigint")), 16)
     crc = F.shiftright("place", 31).alias("crc")
     whole, onward = F.lit(BEFORE << 8 | MATCH), F.lit(MATCH)
     marks = full.select("key", crc, off.bitwiseOR(whole).alias("mark")) \
-        .unionByName(members.filter("NOT first").select(
+        .unionByName(later.select(
             "key", crc, off.bitwiseOR(F.shiftleft("left", 8)).bitwiseOR(F.col("right")).alias("mark"))) \
         .unionByName(windows.select("key", crc, off.bitwiseOR(onward).alias("mark")))
     spans = marks.groupBy("key", "crc").agg(F.collect_list("mark").alias("marks"))
