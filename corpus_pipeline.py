@@ -57,7 +57,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and whether decoding them gives the text back."""
-    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.withColumn("text", F.coalesce("text", F.lit("")))))
+    back = sentencepiece_codec.encode(docs.withColumn("text", F.coalesce("text", F.lit(""))), decoded_col="decoded")
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
                        (F.col("decoded") == F.col("text")).alias("round_trip"))
 

@@ -24,11 +24,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ from pyspark.sql import functions as F
 from curatio.llm.common import stored, text_slices
 from curatio.llm.sentencepiece_codec import default_model, read_model
 
-CONTEXT, STRIDE = 6, 12
+CONTEXT, STRIDE = 4, 12
 LENGTH = CONTEXT + STRIDE
 SLOTS, CLASSES, WIDTH = 2048, 48, 16       # frequent subwords (the rest share one more slot), output classes, embedding
-TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 2, 2, 64, 0.01
+TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 1, 2, 64, 0.01
 HIDDEN = np.float32(-60)                     # a masked key's weight is exp(-60) at most
 PULL = 3.0                                   # weight of the single counts in the smoothed pair counts
 SLICE = 4 << 20
@@ -68,14 +69,16 @@ class Words:
 
     def learn(self):
         """Subwords and hashes of the words that came since the last call."""
-        new = list(self.ids)[len(self.n):]
+        new = list(islice(self.ids, len(self.n), None))
         if new:
+            gc.disable()                                         # many small lists and no cycles: nothing to collect
             found = self.processor.encode([w.decode() for w in new], num_threads=1)
             n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             pieces = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(n.sum()))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
             self.n, self.pieces = np.append(self.n, n), np.append(self.pieces, pieces)
             self.hashes = np.append(self.hashes, hashes)
+            gc.enable()
         self.start = np.cumsum(self.n) - self.n
 
 

@@ -88,7 +88,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    back = sentencepiece_codec.encode(docs, decoded_col="decoded")
     return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 

@@ -39,7 +39,7 @@ MARK = "▁"                            # fixed value: stands for a space in pie
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)   # fixed values: kinds of pieces
 UNIGRAM, BPE = 1, 2                        # fixed values: kinds of models
 UNKNOWN_COST = 10.0                        # below the smallest score, as for any unigram model
-MEMO = 300_000
+MEMO = 600_000
 LONGEST_KEPT = 64
 
 
@@ -121,6 +121,7 @@ class Vocabulary:
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[0] = i
+        self.neighbours = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self._cut = self._stretches()
 
     def _stretches(self):
@@ -220,7 +221,14 @@ class Vocabulary:
         return out
 
     def _encode_stretch(self, s: str) -> tuple[int, ...]:
-        found = self.memo.get(s) or self.older.get(s) or tuple(self._stream(s))
+        found = self.memo.get(s) or self.older.get(s)
+        if found is None and len(s) <= LONGEST_KEPT:
+            for i in range(len(s) - 1, 0, -1):        # no piece holds these two characters: all paths meet between them
+                if s[i - 1:i + 1] not in self.neighbours:
+                    found = self._encode_stretch(s[:i]) + self._encode_stretch(s[i:])
+                    break
+        if found is None:
+            found = tuple(self._stream(s))
         if len(s) <= LONGEST_KEPT:
             if len(self.memo) >= MEMO:
                 self.memo, self.older = {}, self.memo
@@ -264,11 +272,13 @@ def _loaded(model) -> Vocabulary:
     return model.vocabulary
 
 
-def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = None, out_col: str = "ids") -> DataFrame:
-    """``docs`` with ``out_col``, the ids of each whole text."""
+def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = None, out_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with ``out_col``, the ids of each whole text, and with ``decoded_col`` the text decoded from those ids
+    (in the same task, so the ids do not travel twice)."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(read_model(model_path or default_model()))
-    keep = [c for c in docs.columns if c != out_col]
+    keep = [c for c in docs.columns if c not in (out_col, decoded_col)]
     src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
@@ -287,9 +297,13 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = Non
                 missing = pa.array([t is None for t in texts] + [False]) if None in texts else None
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=missing.to_numpy(zero_copy_only=False)) if missing is not None
                                                else pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keep, out_col])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != out_col)
-    return src.mapInArrow(run, f"{schema}, `{out_col}` array<int>")
+                more, names = [], [*keep, out_col]
+                if decoded_col:
+                    more = [pa.array([None if t is None else v.decode(flat[x:y]) for t, x, y in zip(texts, ends, ends[1:])], pa.string())]
+                    names.append(decoded_col)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *more], names=names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    return src.mapInArrow(run, f"{schema}, `{out_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else ""))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model_path: str | None = None, out_col: str = "decoded") -> DataFrame:
