@@ -216,7 +216,7 @@ class Model:
         self.slot = np.full(len(counts), SLOTS, dtype=np.int32)
         self.slot[order[:SLOTS]] = np.arange(min(SLOTS, len(order)))
         mass = np.bincount(self.slot, weights=counts + 0.5, minlength=SLOTS + 1)
-        self.share = np.where(self.slot == SLOTS, np.log((counts + 0.5) / mass[SLOTS]), 0).astype(np.float32)
+        self.share = np.where(self.slot == SLOTS, np.log((counts + 0.5) / max(mass[SLOTS], 0.5)), 0).astype(np.float32)
         single = mass / mass.sum()
         n = pairs(self.slot)
         follow = (n + PULL * single) / (n.sum(axis=1, keepdims=True) + PULL)
