@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curatio.llm import (attention_lm, chunk_dedup, fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_codec,
                          simhash, suffix_dedup, url_filter)
+from curatio.functions.draws import sql_hash32
 from curatio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,14 +36,55 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
-@query("op9_mix_sources")
+MIX_SQL = f"""WITH z AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM z GROUP BY source
+), o AS (
+  SELECT *, 2.0::DOUBLE * source_size / w AS r, sum(source_size) OVER () AS total,
+         coalesce(sum(source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+         sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM s
+), l AS (
+  SELECT *, (1.5::DOUBLE * CAST(total AS DOUBLE) - 2.0::DOUBLE * CAST(stopped AS DOUBLE)) / CAST(others AS DOUBLE) AS level FROM o
+), t AS (
+  SELECT source, source_size, CASE WHEN 2.0::DOUBLE * source_size < v * w THEN 2.0::DOUBLE * source_size ELSE v * w END AS target
+  FROM s, (SELECT level AS v FROM l WHERE level <= r ORDER BY r, source LIMIT 1)
+)
+SELECT z.doc_id, z.size, t.source_size, t.target, CAST(z.size * (floor(target / t.source_size)
+  + CAST(CAST({sql_hash32(9, 'mix', 'z.doc_id')} AS DOUBLE) / 4294967296.0::DOUBLE < target / t.source_size - floor(target / t.source_size) AS INT)) AS BIGINT) AS taken
+FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source"""
+
+
+@query("op9_mix_sources", MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.copies(docs).select("doc_id", "size", "source_size", "target",
                                       (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
-@query("op10_quality_rules")
+RULES_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d
+), u AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w
+), tri AS (SELECT rid, i, x, lead(x, 1) OVER q AS y, lead(x, 2) OVER q AS z FROM u WINDOW q AS (PARTITION BY rid ORDER BY i)
+), twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x, y, z) AS n FROM tri WHERE z IS NOT NULL
+), cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY rid
+), c AS (
+  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+         len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)}))) AS n_stop_words,
+         length(t) - length(replace(t, '!', '')) AS n_bangs
+  FROM w LEFT JOIN cover USING (rid)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND ({quality_rules.compile_rules(quality_rules.THRESHOLDS)}) AS kept FROM f"""
+
+
+@query("op10_quality_rules", RULES_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text", "n_lines", "n_stop_words", "n_bangs").select(
