@@ -249,7 +249,7 @@ class Model:
             for c in range(CLASSES):
                 own = of == c
                 if own.any():
-                    centre[c] = np.average(x[own], axis=0, weights=mass[own])
+                    centre[c] = np.average(x[own], axis=0, weights=np.maximum(mass[own], 1e-6))   # slots without ids have no mass
         return of.astype(np.int32)
 
     def flat(self) -> np.ndarray:
