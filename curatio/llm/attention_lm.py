@@ -40,10 +40,11 @@ from pyspark.sql import functions as F
 from curatio.llm.common import stored, text_slices
 from curatio.llm.sentencepiece_codec import default_model, read_model
 
-CONTEXT, STRIDE = 4, 12
+CONTEXT, STRIDE = 8, 24
 LENGTH = CONTEXT + STRIDE
-SLOTS, CLASSES, WIDTH = 2048, 48, 16       # frequent subwords (the rest share one more slot), output classes, embedding
-TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 1, 2, 64, 0.01
+SLOTS, CLASSES, WIDTH = 2048, 128, 16      # frequent subwords (the rest share one more slot), output classes, embedding
+TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 2, 3, 64, 0.01
+CHUNK = 64                                   # windows scored at a time, few enough to stay in a core's cache
 HIDDEN = np.float32(-60)                     # a masked key's weight is exp(-60) at most
 PULL = 3.0                                   # weight of the single counts in the smoothed pair counts
 SLICE = 4 << 20
@@ -267,14 +268,16 @@ class Model:
         t = {k: self.embed @ self.w[k] for k in "QKVS"}
         t["Z"] = t["S"] @ self.w["O"] + self.w["B"] + self.prior
         t["Q"] *= np.float32(1 / math.sqrt(WIDTH))
+        t["KV"] = np.concatenate([t["K"], t["V"], np.ones((len(self.embed), 1), dtype=np.float32)], axis=1)   # the ones sum the weights
         return t
 
     def forward(self, t: dict[str, np.ndarray], x: np.ndarray, valid: np.ndarray, skip: int = 0):
         """``x`` (windows, positions) slots, ``valid`` keys; class logits of the positions from ``skip`` on, and the parts."""
-        n = x.shape[1]
+        n, late = x.shape[1], x[:, skip:]
         gap = np.arange(skip, n)[:, None] - np.arange(n)[None, :]
         bias = np.where(gap >= 0, self.w["D"][np.abs(gap)], HIDDEN).astype(np.float32)
-        q, k, v = t["Q"][x[:, skip:]], t["K"][x], t["V"][x]
+        q, kv = np.take(t["Q"], late, axis=0), np.take(t["KV"], x, axis=0)
+        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:2 * WIDTH]
         a = q @ k.transpose(0, 2, 1)
         a += bias
         if not valid.all():
@@ -282,11 +285,11 @@ class Model:
             a[some] += np.where(valid[some], np.float32(0), HIDDEN)[:, None, :]
         np.clip(a, HIDDEN, -HIDDEN, out=a)
         np.exp(a, out=a)
-        total = a.sum(axis=2, keepdims=True)
-        o = a @ v
-        o /= total
-        z = o @ self.w["O"]
-        z += t["Z"][x[:, skip:]]
+        sums = a @ kv[:, :, WIDTH:]
+        total = sums[:, :, WIDTH:]
+        o = sums[:, :, :WIDTH] / total
+        z = (o.reshape(-1, WIDTH) @ self.w["O"]).reshape(*late.shape, CLASSES)
+        z += np.take(t["Z"], late, axis=0)
         return z, (q, k, v, a, total, o, gap)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
@@ -340,8 +343,8 @@ class Model:
         cls = self.of[slot]
         out = np.zeros(len(ids), dtype=np.float32)
         tables, ones = self.tables(), np.ones(CLASSES, dtype=np.float32)
-        for lo in range(0, len(text), 256):                                 # few enough to stay in a core's cache
-            t, j = text[lo:lo + 256], k[lo:lo + 256]
+        for lo in range(0, len(text), CHUNK):
+            t, j = text[lo:lo + CHUNK], k[lo:lo + CHUNK]
             rel = (j * STRIDE)[:, None] + np.arange(-CONTEXT, STRIDE)[None, :]
             at = first[t][:, None] + np.clip(rel, 0, size[t][:, None] - 1)
             z, _ = self.forward(tables, prev[at], rel >= 0, CONTEXT)        # what follows a text is masked as later anyway
