@@ -163,14 +163,18 @@ def nest_sorted(order_cols: list[str], value: Column) -> Column:
                        lambda e: e["_v"])
 
 
-def assemble_episodes(utter: DataFrame, persona_cols: list[str]) -> DataFrame:
-    """A4/A5/O1: utterances → sessions (dialogue arrays) → one row per episode with
-    sessions sorted by number; persona columns taken from the first session (min_by).
-    Two bounded nests (turns of one session, then ≤ 6 sessions of one episode)."""
-    utt = F.struct("utterance_id", "speaker", "utterance", "sharing_class", "sh_description")
-    sess = utter.groupBy("unique_id", "session_number").agg(
-        nest_sorted(["utterance_id", "item_pos"], utt).alias("dialogue"),
-        *[F.first(c).alias(c) for c in persona_cols])
+def assemble_episodes(items: DataFrame, persona_cols: list[str]) -> DataFrame:
+    """A4/A5/O1: sharing items → utterances (``sharing``: one struct per item) → sessions
+    (dialogue arrays) → one row per episode with sessions sorted by number; persona
+    columns taken from the first session (min_by). Three bounded nests (items of one
+    turn, turns of one session, ≤ 6 sessions of one episode) over one exchange: rows
+    dealt by ``unique_id`` are dealt for the finer keys too."""
+    turn = items.repartition("unique_id").groupBy("unique_id", "session_number", "utterance_id").agg(
+        *[F.min_by(c, "item_pos").alias(c) for c in ["speaker", "utterance", *persona_cols]],
+        nest_sorted(["item_pos"], F.struct("sharing_class", "sh_description")).alias("sharing"))
+    sess = turn.groupBy("unique_id", "session_number").agg(
+        nest_sorted(["utterance_id"], F.struct("utterance_id", "speaker", "utterance", "sharing")).alias("dialogue"),
+        *[F.min_by(c, "utterance_id").alias(c) for c in persona_cols])
     return sess.groupBy("unique_id").agg(
         *[F.min_by(c, "session_number").alias(c) for c in persona_cols],
         nest_sorted(["session_number"], F.struct("session_number", "dialogue")).alias("sessions"))
@@ -181,18 +185,21 @@ def assemble_episodes(utter: DataFrame, persona_cols: list[str]) -> DataFrame:
 def speaker_fix_requests(utter: DataFrame) -> DataFrame:
     """C17: one name-inference prompt per utterance with an empty speaker: the
     session's earlier turns as ``speaker: text`` (``[Sharing Image]`` when the turn
-    carries any sharing value), then ``<SPEAKER>: [Sharing Image]``. A window over
-    one session's earlier turns (a session is one generated dialogue)."""
+    carries any sharing value), then ``<SPEAKER>: [Sharing Image]``. A turn with
+    several images is one line and one request: only its first item counts. A window
+    over one session's earlier turns (a session is one generated dialogue)."""
     from pyspark.sql import Window
     has = F.col("sh_shape") != "none"
     line = F.concat(F.col("speaker_raw"), F.lit(": "),
                     F.when(has, F.lit("[Sharing Image]")).otherwise(F.col("utterance")))
-    w = Window.partitionBy("unique_id", "session_number").orderBy(*ITEM_ORDER[1:]) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    x = utter.withColumn("_before", F.collect_list(line).over(w))
+    w = Window.partitionBy("unique_id", "session_number").orderBy(*ITEM_ORDER[1:])
+    first = (F.row_number().over(w) == 1) | ~F.lag("utterance_id").over(w).eqNullSafe(F.col("utterance_id"))
+    x = utter.withColumn("_first", first)
+    x = x.withColumn("_before", F.collect_list(F.when(F.col("_first"), line))
+                     .over(w.rowsBetween(Window.unboundedPreceding, -1)))
     dialogue = F.array_join(F.concat(F.col("_before"), F.array(F.lit("<SPEAKER>: [Sharing Image]"))), "\n")
-    return x.filter(F.col("speaker_raw") == "").withColumn(
-        "prompt", T.render(K.INFER_SPEAKER_TEMPLATE, dialogue=dialogue)).drop("_before")
+    return x.filter(F.col("_first") & (F.col("speaker_raw") == "")).withColumn(
+        "prompt", T.render(K.INFER_SPEAKER_TEMPLATE, dialogue=dialogue)).drop("_before", "_first")
 
 
 def keyword_description_requests(items: DataFrame) -> DataFrame:

@@ -333,11 +333,16 @@ FINAL_SQL = f"""final AS (
 
 
 @query("episodes_nested", f"""WITH {ALBUM_SQL}, {FINAL_SQL},
+turns AS (
+  SELECT unique_id, session_number, utterance_id, max(persona_seed) AS persona_seed, max(name) AS name,
+    CAST(utterance_id AS VARCHAR) || '|' || coalesce(arg_min(speaker, item_pos), '?') || '|' || arg_min(final_utterance, item_pos)
+      || string_agg('|' || CAST(sharing_class AS VARCHAR) || '|' || final_description, '' ORDER BY item_pos) AS line
+  FROM final GROUP BY 1, 2, 3
+),
 sess AS (
   SELECT unique_id, session_number, max(persona_seed) AS persona_seed, max(name) AS name,
-    string_agg(CAST(utterance_id AS VARCHAR) || '|' || coalesce(speaker, '?') || '|' || CAST(sharing_class AS VARCHAR)
-               || '|' || final_utterance || '|' || final_description, chr(10) ORDER BY utterance_id, item_pos) AS d
-  FROM final GROUP BY 1, 2
+    string_agg(line, chr(10) ORDER BY utterance_id) AS d
+  FROM turns GROUP BY 1, 2
 )
 SELECT unique_id, arg_min(persona_seed, session_number) AS persona_seed, arg_min(name, session_number) AS name,
        count(*) AS n_sessions,
@@ -346,8 +351,9 @@ FROM sess GROUP BY unique_id""")
 def episodes_nested(spark, sf_dir):
     x = _final_items(spark, sf_dir)
     ep = E.assemble_episodes(x, ["persona_seed", "name"])
+    item = lambda i: F.concat_ws("|", i["sharing_class"].cast("string"), i["sh_description"])
     line = lambda u: F.concat_ws("|", u["utterance_id"].cast("string"), F.coalesce(u["speaker"], F.lit("?")),
-                                 u["sharing_class"].cast("string"), u["utterance"], u["sh_description"])
+                                 u["utterance"], F.transform(u["sharing"], item))
     text = F.array_join(F.transform("sessions", lambda s: F.concat(
         F.lit("S"), s["session_number"].cast("string"), F.lit("\n"),
         F.array_join(F.transform(s["dialogue"], line), "\n"))), "\n\n")

@@ -220,3 +220,19 @@ def test_topk_many_queries_per_block(spark):
         sc = sorted((-(q[qi] @ d[i].astype(np.float64)), i) for i in range(120))[:3]
         exp += [(qi, rank + 1, i) for rank, (_, i) in enumerate(sc)]
     assert got == sorted(exp)
+
+
+def test_turn_with_two_images_is_one_utterance(spark):
+    """A list-shaped turn: one dialogue entry with both items, one line and one request in the name prompts."""
+    rows = [("e", 1, 0, 0, "Ann", "Ann", "hi", "none", 1, "", "p"), ("e", 1, 1, 1, "Bob", "Bob", "see", "list", 5, "cat", "p"),
+            ("e", 1, 1, 0, "Bob", "Bob", "see", "list", 5, "dog", "p"), ("e", 1, 2, 0, "Ann", "", "and", "list", 6, "sun", "p"),
+            ("e", 1, 2, 1, "Ann", "", "and", "list", 6, "sea", "p"), ("e", 2, 0, 0, None, "Bob", "", "none", 1, "", "q")]
+    items = spark.createDataFrame(rows, "unique_id string, session_number long, utterance_id long, item_pos long, speaker string, "
+                                  "speaker_raw string, utterance string, sh_shape string, sharing_class int, sh_description string, seed string")
+    [ep] = E.assemble_episodes(items, ["seed"]).collect()
+    assert ep.seed == "p" and [s.session_number for s in ep.sessions] == [1, 2]
+    got = [(u.utterance_id, u.speaker, u.utterance, [i.sh_description for i in u.sharing]) for u in ep.sessions[0].dialogue]
+    assert got == [(0, "Ann", "hi", [""]), (1, "Bob", "see", ["dog", "cat"]), (2, "Ann", "and", ["sun", "sea"])]
+    [req] = E.speaker_fix_requests(items).collect()
+    assert req.utterance_id == 2 and req.item_pos == 0
+    assert req.prompt.count("Bob: [Sharing Image]") == 1 and "Ann: hi\nBob: [Sharing Image]\n<SPEAKER>: [Sharing Image]" in req.prompt
