@@ -2,8 +2,9 @@
 
 One pass over the texts (in slices of a task's rows) gathers everything the corpus gives: per slice and
 word a row with its training count and its postings, counts of subwords and of neighbouring pairs, and
-``TRAIN_WINDOWS`` windows of subword ids from every training document. Word counts are summed and joined back to the postings, so the
-base score needs no vocabulary in memory; a word of all documents is one row per slice.
+the training documents cut into consecutive windows of subword ids, each subword the target of one position.
+Word counts are summed and joined back to the postings, so the base score needs no vocabulary in memory; a word
+of all documents is one row per slice.
 
 Model: the ``SLOTS`` most frequent subwords have slots (the rest share one). Counts of neighbouring pairs over
 the whole training corpus give each slot's smoothed followers, an embedding (leading factors of their log
@@ -43,7 +44,7 @@ from curatio.llm.sentencepiece_codec import default_model, read_model
 CONTEXT, STRIDE = 8, 24
 LENGTH = CONTEXT + STRIDE
 SLOTS, CLASSES, WIDTH = 2048, 128, 16      # frequent subwords (the rest share one more slot), output classes, embedding
-TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 2, 3, 64, 0.01
+ROUNDS, BATCH, RATE = 3, 64, 0.01
 CHUNK = 64                                   # windows scored at a time, few enough to stay in a core's cache
 HIDDEN = np.float32(-60)                     # a masked key's weight is exp(-60) at most
 PULL = 3.0                                   # weight of the single counts in the smoothed pair counts
@@ -130,6 +131,25 @@ def _words(model) -> Words:
     return model.words
 
 
+def _kind(n_pieces: int) -> np.dtype:
+    """The number type of a subword id in a window."""
+    return np.dtype(np.uint16 if n_pieces <= 1 << 16 else np.int32)
+
+
+def _windows(ids: np.ndarray, first: np.ndarray, learn: np.ndarray, end: int, n_pieces: int) -> pa.Array:
+    """The texts with ``learn`` cut into windows of LENGTH + 1 subwords that share their border: the end mark stands
+    before each text, and every subword of a text is the target of one position."""
+    size = np.diff(np.append(first, len(ids)))
+    n = np.where(learn, -(-size // LENGTH), 0)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    width = np.minimum(LENGTH, np.repeat(size, n) - k * LENGTH) + 1
+    ends = np.cumsum(width)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(np.repeat(first, n) + k * LENGTH - ends + width, width)
+    flat = np.concatenate([[end], ids])[at].astype(_kind(n_pieces))      # texts are closed by the end: it stands before the next one
+    offsets = (np.concatenate([[0], ends]) * flat.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
 def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """(id, held, text) -> rows (slice, kind, h, n, items, id, held, window) of the kinds above."""
     words = _words(model)
@@ -191,18 +211,9 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
             yield rows(slice_id, PAIR, pairs, pair_counts)
             pairs, pair_counts = pairs[:0], pair_counts[:0]
         ids, first = t.subwords(end)
-        size = np.diff(np.append(first, len(ids)))
-        # Windows of the training documents, at places drawn from a hash of the document's first subwords and size.
-        windows = []
-        for d in np.flatnonzero(~held).tolist():
-            a, s = int(first[d]), int(size[d])
-            own = np.concatenate([[end], ids[a:a + s]])
-            draw = xxhash.xxh3_64_intdigest(own[:64].tobytes(), s)
-            for k in range(TRAIN_WINDOWS):
-                at = (draw >> (20 * k)) % max(1, len(own) - LENGTH)
-                windows.append(own[at:at + LENGTH + 1].astype(np.int32).tobytes())
-        if windows:
-            yield rows(slice_id, WINDOW, np.arange(len(windows)), np.zeros(len(windows), dtype=np.int64), window=pa.array(windows, pa.binary()))
+        windows = _windows(ids, first, ~held, end, words.processor.get_piece_size())
+        if len(windows):
+            yield rows(slice_id, WINDOW, np.arange(len(windows)), np.zeros(len(windows), dtype=np.int64), window=windows)
     if len(pairs):
         yield rows(np.int64(0), PAIR, pairs, pair_counts)
 
@@ -318,12 +329,11 @@ class Model:
             g[name] = np.tensordot(e, d, axes=([0, 1], [0, 1]))
         return g
 
-    def train(self, windows: np.ndarray, rate: float = RATE) -> None:
-        """One run over ``windows`` (rows of LENGTH + 1 slots, -1 after the end) with Adam."""
+    def train(self, parts: Iterator[np.ndarray], rate: float = RATE) -> None:
+        """One run with Adam over ``parts``, each up to BATCH windows (rows of LENGTH + 1 slots, -1 after the end)."""
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        for step, lo in enumerate(range(0, len(windows), BATCH), 1):
-            part = windows[lo:lo + BATCH]
+        for step, part in enumerate(parts, 1):
             valid = part[:, 1:] >= 0
             g = self.gradients(np.maximum(part[:, :-1], 0), np.maximum(part[:, 1:], 0), valid)
             for k in self.w:
@@ -356,14 +366,28 @@ class Model:
         return np.add.reduceat(out.astype(np.float64), first) / math.log(10) if len(first) else np.zeros(0)
 
 
-def _slots(windows: list[bytes], slot: np.ndarray) -> np.ndarray:
+def _slots(windows: pa.Array, slot: np.ndarray) -> np.ndarray:
+    """Rows of LENGTH + 1 slots, -1 after the end."""
+    kind = _kind(len(slot))
+    ends = np.frombuffer(windows.buffers()[1], dtype=np.int32)[windows.offset:windows.offset + len(windows) + 1] // kind.itemsize
     out = np.full((len(windows), LENGTH + 1), -1, dtype=np.int32)
-    for i, row in enumerate(windows):
-        ids = np.frombuffer(row, dtype=np.int32)
-        out[i, :len(ids)] = slot[ids]
+    out[np.arange(LENGTH + 1) < np.diff(ends)[:, None]] = slot[np.frombuffer(windows.buffers()[2], dtype=kind)[ends[0]:ends[-1]]]
     return out
 
 
+def _parts(batches: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The rows of ``batches`` in groups of BATCH; only the last may be smaller."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else np.concatenate([rest, b])
+        full = len(b) // BATCH * BATCH
+        for lo in range(0, full, BATCH):
+            yield b[lo:lo + BATCH]
+        rest = b[full:]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def fit(gathered: DataFrame, n_pieces: int, end: int, rounds: int = ROUNDS) -> Model:
     """Statistics of the whole training corpus, then ``rounds`` of averaged training on all windows."""
     spark = gathered.sparkSession
@@ -392,14 +416,20 @@ def fit(gathered: DataFrame, n_pieces: int, end: int, rounds: int = ROUNDS) -> M
         now = model.flat()
 
         def local(batches):
-            rows = [r for b in batches for r in b.column("window").to_pylist()]
-            if rows:
-                own = Model.__new__(Model)
-                own.__dict__.update(fixed.value)
-                own.w = dict(own.w)
-                own.load(now)
-                own.train(_slots(rows, own.slot))
-                yield pa.RecordBatch.from_arrays([pa.array([np.append(own.flat().astype(np.float64) * len(rows), len(rows)).tolist()],
+            own, seen = Model.__new__(Model), 0
+            own.__dict__.update(fixed.value)
+            own.w = dict(own.w)
+            own.load(now)
+
+            def slots():
+                nonlocal seen
+                for b in batches:
+                    if b.num_rows:
+                        seen += b.num_rows
+                        yield _slots(b.column("window"), own.slot)
+            own.train(_parts(slots()))
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(own.flat().astype(np.float64) * seen, seen).tolist()],
                                                            pa.list_(pa.float64()))], names=["w"])
         sums = stored(dealt.mapInArrow(local, "w array<double>"), "weights").select(F.posexplode("w")) \
             .groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()

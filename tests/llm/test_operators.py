@@ -218,6 +218,22 @@ def test_attention_model(spark, odd_docs, no_docs):
     assert attention_lm.score(no_docs).count() == 0
 
 
+def test_attention_windows_hold_every_training_subword_once():
+    rng, end = np.random.default_rng(3), 2
+    texts = [rng.integers(3, 300, n) for n in (0, 1, 31, 32, 500, 64, 7)]
+    ids = np.concatenate([np.append(t, end) for t in texts]).astype(np.int32)
+    size = np.array([len(t) + 1 for t in texts])
+    learn = np.array([True, True, True, True, True, False, True])
+    windows = attention_lm._windows(ids, np.cumsum(size) - size, learn, end, 300)
+    slots = attention_lm._slots(windows.slice(0), np.arange(300))
+    targets = [int(x) for row in slots for x in row[1:] if x >= 0]
+    assert targets == [int(x) for t, ok in zip(texts, learn) if ok for x in [*t, end]]
+    before = [int(a) for row in slots for a, b in zip(row, row[1:]) if b >= 0]
+    assert before == [int(x) for t, ok in zip(texts, learn) if ok for x in [end, *t]]
+    parts = list(attention_lm._parts(iter([slots[:5], slots[5:6], slots[6:]])))
+    assert np.array_equal(np.concatenate(parts), slots)
+
+
 def test_mixing(spark, odd_docs, no_docs):
     rows = mixing.copies(odd_docs).collect()
     sizes = Counter()
