@@ -6,9 +6,10 @@ the training documents cut into consecutive windows of subword ids, each subword
 Word counts are summed and joined back to the postings, so the base score needs no vocabulary in memory; a word
 of all documents is one row per slice.
 
-Model: the ``SLOTS`` most frequent subwords have slots (the rest share one). Counts of neighbouring pairs over
-the whole training corpus give each slot's smoothed followers, an embedding (leading factors of their log
-ratios) and one of ``CLASSES`` output classes (clusters of embeddings). One causal attention layer with learned
+Model: every subword of the training corpus has a slot of its own; those that never occur in it, which it cannot
+tell apart, share the rest. Counts of neighbouring pairs over the whole training corpus, held as one entry per
+different pair, give each slot's smoothed followers, an embedding (leading factors of their log ratios) and one
+of ``CLASSES`` output classes (clusters of embeddings). One causal attention layer with learned
 distance biases reads the embeddings and corrects the class probabilities the pair counts give; a subword's
 probability is its class's times its share, by the pair counts, of the class. Every partition trains a copy of
 the layer on its windows (Adam) and the copies are averaged, ``ROUNDS`` times; only weights travel.
@@ -43,7 +44,7 @@ from curatio.llm.sentencepiece_codec import default_model, read_model
 
 CONTEXT, STRIDE = 8, 24
 LENGTH = CONTEXT + STRIDE
-SLOTS, CLASSES, WIDTH = 2048, 128, 16      # frequent subwords (the rest share one more slot), output classes, embedding
+SLOTS, CLASSES, WIDTH = 2048, 128, 16      # slots of subwords at least (up to here pairs are looked up in a table), output classes, embedding
 ROUNDS, BATCH, RATE = 3, 64, 0.01
 CHUNK = 64                                   # windows scored at a time, few enough to stay in a core's cache
 HIDDEN = np.float32(-60)                     # a masked key's weight is exp(-60) at most
@@ -222,30 +223,57 @@ class Model:
     """Pair statistics, classes and the attention layer's weights ``w``."""
 
     def __init__(self, counts: np.ndarray, pairs, end: int):
-        """``counts`` of each subword id in the training corpus; ``pairs(slot)`` gives the matrix of neighbouring slots."""
+        """``counts`` of each subword id in the training corpus; ``pairs(slot)`` gives the counts of neighbouring slots:
+        a matrix, or arrays of first slots, second slots and counts with each pair once."""
         order = [end] + [i for i in np.argsort(-counts, kind="stable").tolist() if i != end]
         self.end = end
-        self.slot = np.full(len(counts), SLOTS, dtype=np.int32)
-        self.slot[order[:SLOTS]] = np.arange(min(SLOTS, len(order)))
-        mass = np.bincount(self.slot, weights=counts + 0.5, minlength=SLOTS + 1)
-        self.share = np.where(self.slot == SLOTS, np.log((counts + 0.5) / max(mass[SLOTS], 0.5)), 0).astype(np.float32)
-        single = mass / mass.sum()
-        n = pairs(self.slot)
-        follow = (n + PULL * single) / (n.sum(axis=1, keepdims=True) + PULL)
-        self.follow = np.log(follow).astype(np.float32)
+        seen = int(np.count_nonzero(counts)) + (counts[end] == 0)
+        self.slots = max(SLOTS, int(seen))
+        self.slot = np.full(len(counts), self.slots, dtype=np.int32)
+        self.slot[order[:self.slots]] = np.arange(min(self.slots, len(order)))
+        mass = np.bincount(self.slot, weights=counts + 0.5, minlength=self.slots + 1)
+        self.share = np.where(self.slot == self.slots, np.log((counts + 0.5) / max(mass[self.slots], 0.5)), 0).astype(np.float32)
+        single = np.maximum(mass / mass.sum(), 1e-30)                       # slots without ids have no mass
+        found = pairs(self.slot)
+        x, y, n = found if isinstance(found, tuple) else (*np.nonzero(found), found[np.nonzero(found)])
+        key = x.astype(np.int64) * (self.slots + 1) + y
+        order = np.argsort(key)
+        self.key, x, y, n = key[order], x[order], y[order], np.asarray(n, dtype=np.float64)[order]
+        after = np.bincount(x, weights=n, minlength=self.slots + 1)
+        # log follow(x, y) = log((n + PULL single y) / (after x + PULL)): a part of x, a part of y, and a gain where n > 0
+        self.by_x, self.by_y = -np.log(after + PULL).astype(np.float32), np.log(PULL * single).astype(np.float32)
+        self.gain = np.log1p(n / (PULL * single[y])).astype(np.float32)
+        self.table = None
+        if self.slots == SLOTS:
+            self.table = np.zeros((SLOTS + 1) ** 2, dtype=np.float32)
+            self.table[self.key] = self.gain
         rng = np.random.default_rng(8)
-        joint = n + single[:, None] * single * 0.1 * n.sum() + 1e-3
-        ratio = np.log(joint * joint.sum() / np.outer(joint.sum(axis=1), joint.sum(axis=0))).astype(np.float32)
-        ratio *= np.sqrt(np.minimum(1, mass / (mass.mean() + 1e-9)))[:, None].astype(np.float32)
-        left = rng.standard_normal((SLOTS + 1, WIDTH)).astype(np.float32)
+        # The log ratio of the joint counts n + 0.1 N single x single y is likewise a part of x, one of y, and one where n > 0.
+        pull = 0.1 * max(n.sum(), 1e-3)
+        more = np.log1p(n / (pull * single[x] * single[y]))
+        part_x = np.log(single * pull / (after + pull * single)) + np.log(n.sum() + pull)
+        part_y = np.log(single / (np.bincount(y, weights=n, minlength=self.slots + 1) + pull * single))
+        weight = np.sqrt(np.minimum(1, mass / (mass.mean() + 1e-9)))[:, None]
+
+        def spread(i, j, v):
+            return np.stack([np.bincount(i, weights=more * v[j, k], minlength=self.slots + 1) for k in range(v.shape[1])], axis=1)
+
+        def followed(v):                                                    # the weighted ratio times v
+            return weight * (spread(x, y, v) + part_x[:, None] * v.sum(axis=0) + part_y @ v)
+
+        def preceded(v):                                                    # its transpose times v
+            v = weight * v
+            return spread(y, x, v) + part_x @ v + part_y[:, None] * v.sum(axis=0)
+        left = rng.standard_normal((self.slots + 1, WIDTH))
         for _ in range(8):                                                  # subspace iteration
-            left, _ = np.linalg.qr(ratio @ (ratio.T @ left))
-        self.embed = np.concatenate([left, (ratio.T @ left) / (np.linalg.norm(ratio.T @ left, axis=0) + 1e-6)], axis=1)
+            left, _ = np.linalg.qr(followed(preceded(left)))
+        right = preceded(left)
+        self.embed = np.concatenate([left, right / (np.linalg.norm(right, axis=0) + 1e-6)], axis=1)
         self.embed = (self.embed / (self.embed.std(axis=0) + 1e-6)).astype(np.float32)[:, :2 * WIDTH]
         self.of = self._clusters(self.embed, mass, rng)
-        one = np.zeros((SLOTS + 1, CLASSES), dtype=np.float64)
-        one[np.arange(SLOTS + 1), self.of] = 1
-        self.prior = np.log(follow @ one + 1e-30).astype(np.float32)        # log p(class | slot before)
+        near = np.bincount(x.astype(np.int64) * CLASSES + self.of[y], weights=n, minlength=(self.slots + 1) * CLASSES).reshape(-1, CLASSES)
+        near = near + PULL * np.bincount(self.of, weights=single, minlength=CLASSES)
+        self.prior = np.log(near / (after + PULL)[:, None] + 1e-30).astype(np.float32)        # log p(class | slot before)
         d = 2 * WIDTH
         small = lambda *s: (rng.standard_normal(s) * 0.05).astype(np.float32)
         self.w = {"Q": small(d, WIDTH), "K": small(d, WIDTH), "V": small(d, WIDTH), "S": small(d, WIDTH),
@@ -274,12 +302,25 @@ class Model:
             self.w[k] = np.asarray(flat[at:at + n], dtype=np.float32).reshape(self.w[k].shape)
             at += n
 
-    def tables(self) -> dict[str, np.ndarray]:
-        """What every slot's embedding turns into, so that a position is a lookup."""
-        t = {k: self.embed @ self.w[k] for k in "QKVS"}
-        t["Z"] = t["S"] @ self.w["O"] + self.w["B"] + self.prior
+    def follow(self, prev: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """log p(slot | slot before) by the smoothed pair counts."""
+        key = prev.astype(np.int64) * (self.slots + 1) + slot
+        if self.table is not None:
+            gain = self.table[key]
+        elif len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            gain = np.where(self.key[at] == key, self.gain[at], np.float32(0))
+        else:
+            gain = np.float32(0)
+        return self.by_x[prev] + self.by_y[slot] + gain
+
+    def tables(self, own=slice(None)) -> dict[str, np.ndarray]:
+        """What the embedding of every slot (or of the slots ``own``) turns into, so that a position is a lookup."""
+        embed = self.embed[own]
+        t = {k: embed @ self.w[k] for k in "QKVS"}
+        t["Z"] = t["S"] @ self.w["O"] + self.w["B"] + self.prior[own]
         t["Q"] *= np.float32(1 / math.sqrt(WIDTH))
-        t["KV"] = np.concatenate([t["K"], t["V"], np.ones((len(self.embed), 1), dtype=np.float32)], axis=1)   # the ones sum the weights
+        t["KV"] = np.concatenate([t["K"], t["V"], np.ones((len(embed), 1), dtype=np.float32)], axis=1)   # the ones sum the weights
         return t
 
     def forward(self, t: dict[str, np.ndarray], x: np.ndarray, valid: np.ndarray, skip: int = 0):
@@ -305,11 +346,13 @@ class Model:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over valid positions (keys and targets share ``valid``)."""
-        w, t = self.w, self.tables()
-        z, (q, k, v, a, total, o, gap) = self.forward(t, x, valid)
+        own, at = np.unique(x, return_inverse=True)                         # only the slots of this batch, however many there are
+        at = at.reshape(x.shape)
+        w, t = self.w, self.tables(own)
+        z, (q, k, v, a, total, o, gap) = self.forward(t, at, valid)
         a /= total
         e = self.embed[x]
-        h = t["S"][x] + o
+        h = t["S"][at] + o
         z -= z.max(axis=2, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=2, keepdims=True)
@@ -362,7 +405,7 @@ class Model:
             chosen = np.take_along_axis(z, cls[where][:, :, None], axis=2)[:, :, 0]
             np.exp(z, out=z)
             out[where[ok]] = (chosen - np.log(z @ ones))[ok]
-        out += self.follow[prev, slot] - self.prior[prev, cls] + self.share[ids]     # the subword's share of its class
+        out += self.follow(prev, slot) - self.prior[prev, cls] + self.share[ids]     # the subword's share of its class
         return np.add.reduceat(out.astype(np.float64), first) / math.log(10) if len(first) else np.zeros(0)
 
 
@@ -396,22 +439,15 @@ def fit(gathered: DataFrame, n_pieces: int, end: int, rounds: int = ROUNDS) -> M
         counts[r["h"]] = r["n"]
 
     def pairs(slot: np.ndarray) -> np.ndarray:
-        """Pair counts of slots: summed by pair of ids, then by pair of slots; at most (SLOTS + 1)^2 reach the driver."""
-        table = spark.createDataFrame([(i, int(c)) for i, c in enumerate(slot.tolist()) if c < SLOTS], "i long, c int")
-        a, b = table.toDF("a", "s1"), table.toDF("b", "s2")
-        found = gathered.filter(F.col("kind") == PAIR).groupBy("h").agg(F.sum("n").alias("n")) \
-            .select(F.shiftright("h", 20).alias("a"), F.col("h").bitwiseAND(F.lit((1 << 20) - 1)).alias("b"), "n") \
-            .join(F.broadcast(a), "a", "left").join(F.broadcast(b), "b", "left") \
-            .groupBy(F.coalesce("s1", F.lit(SLOTS)).alias("x"), F.coalesce("s2", F.lit(SLOTS)).alias("y")).agg(F.sum("n").alias("n"))
-        out = np.zeros((SLOTS + 1, SLOTS + 1))
-        rows = found.toPandas()
-        out[rows["x"].to_numpy(dtype=np.int64), rows["y"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
-        return out
+        """Pair counts of slots; every subword of a pair has its own slot. One row per different pair reaches the driver."""
+        rows = gathered.filter(F.col("kind") == PAIR).groupBy("h").agg(F.sum("n").alias("n")).toPandas()
+        h = rows["h"].to_numpy(dtype=np.int64)
+        return slot[h >> 20], slot[h & (1 << 20) - 1], rows["n"].to_numpy(dtype=np.float64)
 
     model = Model(counts, pairs, end)
     windows = gathered.filter(F.col("kind") == WINDOW).select("window")
     dealt = stored(windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("window")), "windows")
-    fixed = spark.sparkContext.broadcast(model.__dict__)
+    fixed = spark.sparkContext.broadcast({k: v for k, v in model.__dict__.items() if k not in ("key", "gain", "table")})   # training needs no pairs
     for _ in range(rounds):
         now = model.flat()
 

@@ -234,6 +234,29 @@ def test_attention_windows_hold_every_training_subword_once():
     assert np.array_equal(np.concatenate(parts), slots)
 
 
+def test_attention_model_tells_all_subwords_apart(monkeypatch):
+    rng, size = np.random.default_rng(4), 3000
+    counts = rng.integers(1, 50, size).astype(float)
+    n = np.zeros((size + 1, size + 1))
+    n[rng.integers(0, size, 20000), rng.integers(0, size, 20000)] = rng.integers(1, 9, 20000)
+
+    def pairs(slot):
+        x, y = np.nonzero(n)
+        return x, y, n[x, y]
+    m = attention_lm.Model(counts, pairs, 2)
+    assert len(set(m.slot.tolist())) == size and (m.slot < m.slots).all() and not m.share.any()
+    x, y = np.divmod(rng.integers(0, size * size, 5000), size)
+    mass = np.bincount(m.slot, weights=counts + 0.5, minlength=m.slots + 1)
+    want = np.log((n[x, y] + attention_lm.PULL * mass[y] / mass.sum()) / (n.sum(axis=1)[x] + attention_lm.PULL))
+    assert m.follow(x, y) == pytest.approx(want, abs=1e-4)
+    # the table of small vocabularies gives the same; class probabilities are the sums of their subwords'
+    monkeypatch.setattr(attention_lm, "SLOTS", size)
+    t = attention_lm.Model(counts, pairs, 2)
+    assert t.table is not None and m.table is None and t.follow(x, y) == pytest.approx(m.follow(x, y))
+    row = np.exp(m.follow(np.full(size, 7), np.arange(size)).astype(float))
+    assert np.bincount(m.of[:size], weights=row, minlength=attention_lm.CLASSES) == pytest.approx(np.exp(m.prior[7].astype(float)), abs=1e-5)
+
+
 def test_mixing(spark, odd_docs, no_docs):
     rows = mixing.copies(odd_docs).collect()
     sizes = Counter()
