@@ -12,7 +12,8 @@ different pair, give each slot's smoothed followers, an embedding (leading facto
 of ``CLASSES`` output classes (clusters of embeddings). One causal attention layer with learned
 distance biases reads the embeddings and corrects the class probabilities the pair counts give; a subword's
 probability is its class's times its share, by the pair counts, of the class. Every partition trains a copy of
-the layer on its windows (Adam) and the copies are averaged, ``ROUNDS`` times; only weights travel.
+the layer on its windows (Adam, batch by batch) and the copies are averaged, ``ROUNDS`` times; only weights travel.
+Equal windows of a slice are rows with weights up to ``SPREAD``, dealt out apart from each other.
 
 Scoring reads the texts once more: documents are cut into overlapping windows of ``CONTEXT`` + ``STRIDE``
 positions; a window scores its last ``STRIDE`` positions, so each token is scored once, and all windows of
@@ -52,6 +53,7 @@ PULL = 3.0                                   # weight of the single counts in th
 SLICE = 4 << 20
 MEMO = 400_000                               # words remembered by a worker
 PAIRS = 500_000                              # different pairs summed by a task before they go out
+SPREAD = 16                                  # equal windows of a slice that go as one row with a weight
 PACK = 8                                     # bits for the count in a posting
 DOC, WORD, SUBWORD, PAIR, WINDOW = range(5)
 
@@ -151,6 +153,16 @@ def _windows(ids: np.ndarray, first: np.ndarray, learn: np.ndarray, end: int, n_
     return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
+def _weighted(windows: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(windows, weights, part): equal ones as rows of a weight up to SPREAD; ``part`` numbers the rows of a window."""
+    found = windows.value_counts()
+    count = found.field("counts").to_numpy().astype(np.int64)
+    rows = -(-count // SPREAD)
+    which = np.repeat(np.arange(len(count)), rows)
+    part = np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows)
+    return found.field("values").take(pa.array(which)), count[which] // rows[which] + (part < count[which] % rows[which]), part
+
+
 def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """(id, held, text) -> rows (slice, kind, h, n, items, id, held, window) of the kinds above."""
     words = _words(model)
@@ -212,9 +224,9 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
             yield rows(slice_id, PAIR, pairs, pair_counts)
             pairs, pair_counts = pairs[:0], pair_counts[:0]
         ids, first = t.subwords(end)
-        windows = _windows(ids, first, ~held, end, words.processor.get_piece_size())
+        windows, weights, part = _weighted(_windows(ids, first, ~held, end, words.processor.get_piece_size()))
         if len(windows):
-            yield rows(slice_id, WINDOW, np.arange(len(windows)), np.zeros(len(windows), dtype=np.int64), window=windows)
+            yield rows(slice_id, WINDOW, part, weights, window=windows)
     if len(pairs):
         yield rows(np.int64(0), PAIR, pairs, pair_counts)
 
@@ -344,8 +356,8 @@ class Model:
         z += np.take(t["Z"], late, axis=0)
         return z, (q, k, v, a, total, o, gap)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean cross entropy over valid positions (keys and targets share ``valid``)."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradients of the mean cross entropy over valid positions (keys and targets share ``valid``), windows weighted."""
         own, at = np.unique(x, return_inverse=True)                         # only the slots of this batch, however many there are
         at = at.reshape(x.shape)
         w, t = self.w, self.tables(own)
@@ -358,7 +370,8 @@ class Model:
         p /= p.sum(axis=2, keepdims=True)
         i, j = np.indices(x.shape)
         p[i, j, self.of[y]] -= 1
-        p *= (valid / max(1, valid.sum()))[:, :, None].astype(np.float32)
+        mass = valid if weight is None else valid * weight[:, None]
+        p *= (mass / max(1, mass.sum()))[:, :, None].astype(np.float32)
         g = {"B": p.sum(axis=(0, 1)), "O": np.tensordot(h, p, axes=([0, 1], [0, 1]))}
         dh = p @ w["O"].T
         g["S"] = np.tensordot(e, dh, axes=([0, 1], [0, 1]))
@@ -373,12 +386,12 @@ class Model:
         return g
 
     def train(self, parts: Iterator[np.ndarray], rate: float = RATE) -> None:
-        """One run with Adam over ``parts``, each up to BATCH windows (rows of LENGTH + 1 slots, -1 after the end)."""
+        """One run with Adam over ``parts``, each up to BATCH rows of LENGTH + 1 slots (-1 after the end) and a weight."""
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         for step, part in enumerate(parts, 1):
-            valid = part[:, 1:] >= 0
-            g = self.gradients(np.maximum(part[:, :-1], 0), np.maximum(part[:, 1:], 0), valid)
+            x, y = part[:, :LENGTH], part[:, 1:LENGTH + 1]
+            g = self.gradients(np.maximum(x, 0), np.maximum(y, 0), y >= 0, part[:, LENGTH + 1])
             for k in self.w:
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.01 * (g[k] ** 2 - s[k])
@@ -445,8 +458,11 @@ def fit(gathered: DataFrame, n_pieces: int, end: int, rounds: int = ROUNDS) -> M
         return slot[h >> 20], slot[h & (1 << 20) - 1], rows["n"].to_numpy(dtype=np.float64)
 
     model = Model(counts, pairs, end)
-    windows = gathered.filter(F.col("kind") == WINDOW).select("window")
-    dealt = stored(windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("window")), "windows")
+    # Dealt by window, slice and part, so that equal windows spread over all tasks; in an order of its own in each.
+    mixed = F.xxhash64("window", "slice", "h")
+    windows = gathered.filter(F.col("kind") == WINDOW).select("window", F.col("n").cast("int").alias("n"), mixed.alias("mixed"))
+    dealt = stored(windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mixed")
+                   .sortWithinPartitions("mixed", "window", "n").select("window", "n"), "windows")
     fixed = spark.sparkContext.broadcast({k: v for k, v in model.__dict__.items() if k not in ("key", "gain", "table")})   # training needs no pairs
     for _ in range(rounds):
         now = model.flat()
@@ -461,8 +477,9 @@ def fit(gathered: DataFrame, n_pieces: int, end: int, rounds: int = ROUNDS) -> M
                 nonlocal seen
                 for b in batches:
                     if b.num_rows:
-                        seen += b.num_rows
-                        yield _slots(b.column("window"), own.slot)
+                        n = b.column("n").to_numpy()
+                        seen += int(n.sum())
+                        yield np.concatenate([_slots(b.column("window"), own.slot), n[:, None]], axis=1)
             own.train(_parts(slots()))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(own.flat().astype(np.float64) * seen, seen).tolist()],

@@ -257,6 +257,30 @@ def test_attention_model_tells_all_subwords_apart(monkeypatch):
     assert np.bincount(m.of[:size], weights=row, minlength=attention_lm.CLASSES) == pytest.approx(np.exp(m.prior[7].astype(float)), abs=1e-5)
 
 
+def test_attention_training_spreads_equal_windows(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    windows, weights, part = attention_lm._weighted(pa.array([b"aa", b"bb", *[b"aa"] * 99], pa.binary()))
+    total = Counter()
+    for w, n in zip(windows.to_pylist(), weights.tolist()):
+        total[w] += n
+    assert total == {b"aa": 100, b"bb": 1} and max(weights) <= attention_lm.SPREAD
+    assert len(set(zip(windows.to_pylist(), part.tolist()))) == len(windows) == 8
+    # a weight counts like that many copies
+    m = attention_lm.Model(np.ones(300), lambda slot: np.ones((attention_lm.SLOTS + 1,) * 2), 2)
+    x = np.random.default_rng(1).integers(0, 200, (2, attention_lm.LENGTH + 1))
+    ones = m.gradients(x[[0, 0, 0, 1], :-1], x[[0, 0, 0, 1], 1:], np.ones((4, attention_lm.LENGTH), dtype=bool))
+    once = m.gradients(x[:, :-1], x[:, 1:], np.ones((2, attention_lm.LENGTH), dtype=bool), np.array([3, 1]))
+    assert all(once[k] == pytest.approx(ones[k], abs=1e-5) for k in ones)
+    # copies of one text do not meet in one task
+    kept = {}
+    store = attention_lm.stored
+    monkeypatch.setattr(attention_lm, "stored", lambda df, name: kept.setdefault(name, store(df, name)) if name == "windows" else store(df, name))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same five words again").alias("text"))
+    assert attention_lm.score(docs.repartition(2)).count() == 4000
+    rows = kept["windows"].select(F.input_file_name().alias("f"), "n").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    assert sum(r.n for r in rows) == 4000 and max(r.n for r in rows) < 2400 and len(rows) > 2
+
+
 def test_mixing(spark, odd_docs, no_docs):
     rows = mixing.copies(odd_docs).collect()
     sizes = Counter()
