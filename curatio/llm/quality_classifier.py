@@ -4,7 +4,7 @@ Every text becomes a short vector of ratios (one pass over the texts, stored). P
 (a row labelled 1, a row labelled 0); weights minimise the logistic loss of the feature differences
 plus a small ridge, by Newton steps on a bounded, hash-chosen sample of labelled training rows
 (``max_train`` feature vectors reach the driver; the bound is a parameter). The threshold is the
-quantile of the sample's ranking scores at the sample's share of label 0, and a score is
+quantile of the ranking scores of all usable labelled rows at their share of label 0, and a score is
 ``sigmoid(rank - threshold + logit(CUT))``: at least ``CUT`` exactly when the rank reaches the threshold.
 Scoring is one projection over the stored vectors.
 
@@ -22,7 +22,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm.common import stored, text_slices
@@ -96,12 +96,37 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 5, pairs_per_row: int = PAIRS_
     return w, float((rank[at - 1] + rank[at]) / 2)           # the quantile, half-way to the next rank
 
 
+def _rank(w: np.ndarray) -> Column:
+    return sum((F.get("x", F.lit(i)) * F.lit(float(c)) for i, c in enumerate(w)), F.lit(0.0))
+
+
+def cut_point(ranked: DataFrame, buckets: int = 4096) -> float:
+    """The quantile of ``rank`` at the share of ``y`` = 0, half-way to the next rank, over all rows: counts per bucket
+    of the range that holds both ranks, until they lie in two buckets or are equal."""
+    n, bad, lo, hi = ranked.agg(F.count("*"), F.count_if(F.col("y") == 0), F.min("rank"), F.max("rank")).first()
+    at, below = min(n - 1, max(1, bad)), 0
+    while lo < hi:
+        bucket = F.least(F.floor((F.col("rank") - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+        rows = ranked.filter(F.col("rank").between(lo, hi)).groupBy(bucket.alias("b")) \
+            .agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).orderBy("b").collect()
+        ends = below + np.cumsum([r["n"] for r in rows])
+        i, j = (int(np.searchsorted(ends, k, side="right")) for k in (at - 1, at))
+        if i != j:
+            return (rows[i]["hi"] + rows[j]["lo"]) / 2
+        below, lo, hi = int(ends[i]) - rows[i]["n"], rows[i]["lo"], rows[i]["hi"]
+    return lo
+
+
 def train(vecs: DataFrame, labels: DataFrame, key: str, label: str, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_train`` labelled rows, those with the smallest key hashes."""
+    """Weights from at most ``max_train`` labelled rows, those with the smallest key hashes; the threshold from all."""
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("y"))
-    sample = vecs.join(known, "key").orderBy(F.xxhash64("key", F.lit(5)), "key", "x").limit(max_train).select("x", "y").collect()
+    usable = vecs.join(known, "key")
+    sample = usable.orderBy(F.xxhash64("key", F.lit(5)), "key", "x").limit(max_train).select("x", "y").collect()
     x = np.array([r["x"] for r in sample], dtype=np.float64).reshape(len(sample), len(FEATURES))
-    return fit(x, np.array([r["y"] for r in sample], dtype=np.int64))
+    w, threshold = fit(x, np.array([r["y"] for r in sample], dtype=np.int64))
+    if len(sample) == max_train and np.any(w):                # there may be more rows than these
+        threshold = cut_point(stored(usable.select(_rank(w).alias("rank"), "y"), "ranks"))
+    return w, threshold
 
 
 def scored(vecs: DataFrame, model: tuple[np.ndarray, float], cut: float = CUT) -> DataFrame:
@@ -110,8 +135,7 @@ def scored(vecs: DataFrame, model: tuple[np.ndarray, float], cut: float = CUT) -
     if not np.any(w):
         score = F.lit(0.5)
     else:
-        rank = sum((F.get("x", F.lit(i)) * F.lit(float(c)) for i, c in enumerate(w)), F.lit(0.0))
-        score = 1 / (1 + F.exp(-(rank - F.lit(threshold)) - F.lit(math.log(cut / (1 - cut)))))
+        score = 1 / (1 + F.exp(-(_rank(w) - F.lit(threshold)) - F.lit(math.log(cut / (1 - cut)))))
     return vecs.withColumn("score", F.coalesce(score, F.lit(0.5))) \
         .withColumn("predicted", (F.col("score") >= cut).cast("int"))
 

@@ -116,6 +116,22 @@ def test_quality_classifier(spark, odd_docs, no_docs):
     assert quality_classifier.classify(no_docs, labels).count() == 0
 
 
+def test_quality_threshold_covers_all_labelled_rows(spark):
+    docs = _docs(spark).select("doc_id", "text")
+    vecs = quality_classifier.vectors(docs, "doc_id", "text")
+    labels = docs.select("doc_id", (F.xxhash64("doc_id") % 10 > -3).cast("int").alias("quality"))
+    w, threshold = quality_classifier.train(vecs, labels, "doc_id", "quality", max_train=40)
+    rows = vecs.join(labels.withColumnRenamed("doc_id", "key"), "key").collect()
+    rank, at = np.sort([np.dot(r.x, w) for r in rows]), sum(r.quality == 0 for r in rows)
+    assert len(rows) > 80 and 0 < at < len(rows) and np.any(w)
+    assert threshold == pytest.approx((rank[at - 1] + rank[at]) / 2, abs=1e-9)
+    values = [0.0] * 30 + [1e-9, 2e-9] + [5.0] * 40 + [7.0]
+    for bad in (0, 1, 29, 30, 31, 32, 33, 72, 73):
+        ranked = spark.createDataFrame([(v, int(i >= bad)) for i, v in enumerate(values)], "rank double, y int")
+        k = min(len(values) - 1, max(1, bad))
+        assert quality_classifier.cut_point(ranked, 4) == (values[k - 1] + values[k]) / 2
+
+
 def _removed(rows):
     """Brute force over 100-byte strings: {key: (n_removed, spans, digest)}."""
     seen, out = set(), {}
