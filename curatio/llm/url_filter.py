@@ -5,11 +5,13 @@
 2. Level by level, a segment is generalised to ``*`` where it is a number (an ending such as
    ``.html`` stays) or where its parent has more than ``MAX_BRANCHES`` different children that
    repeat less than twice on average.
-3. Sibling branches that both hold labelled pages and whose share of bad pages differs from their
-   parent's by less than ``Z`` standard errors are merged into the branch ``~``; a branch without
-   labels stays by itself.
-4. A template is rejected when its smoothed purity (bad + ALPHA * prior) / (labelled + ALPHA) is at
-   least ``REJECT``; prior is the share of bad pages among all labelled ones.
+3. At every depth, sibling branches that hold labelled pages (two at least, counted with all that lies
+   below) and whose share of bad pages differs from their parent's by less than ``Z`` standard errors are
+   merged into the branch ``~``, and what lies below them with it; a branch without labels stays by itself.
+4. A template's smoothed purity is (bad + ALPHA * prior) / (labelled + ALPHA); prior is the share of bad
+   pages among all labelled ones. A template without labels takes its nearest ancestor's that has some, up
+   to the host. It is rejected when that is at least ``REJECT``; a host without labels keeps the prior as
+   its purity and nothing of it is rejected.
 
 Labels are pages an explicit rule decides, or a column ``bad`` (0/1/null) the caller gives.
 All steps are grouped counts (partial sums first: a host with a third of all pages is one row per
@@ -76,24 +78,41 @@ def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, max_branches: int =
     return tree.select("host", "path", "_branch", "n", "labelled", "bad")
 
 
+def _prefixes(branches: DataFrame, branch: str, *keep: str) -> DataFrame:
+    """A row per branch and depth: ``_depth`` segments of it as ``_prefix`` (depth 0: the host)."""
+    parts = F.split(branch, "/", MAX_DEPTH + 1)
+    return branches.select("host", branch, *keep, F.posexplode(parts).alias("_depth", "_seg")) \
+        .withColumn("_prefix", F.array_join(F.slice(parts, F.lit(1), F.col("_depth") + 1), "/"))
+
+
 def judge(tree: DataFrame, z: float = Z, alpha: float = ALPHA) -> DataFrame:
-    """(host, path, template, purity) of every distinct (host, path) of ``templates``."""
-    # The last segment's generalisation is the leaf; its siblings share the branch above it.
-    parent = F.regexp_replace("_branch", r"/[^/]*$", "")
-    leaves = tree.groupBy("host", "_branch").agg(F.sum("labelled").alias("labelled"),
-                                                F.sum(F.coalesce("bad", F.lit(0))).alias("bad")) \
-        .withColumn("_parent", parent)
-    above = leaves.groupBy("host", "_parent").agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_b"))
-    share = F.try_divide("_b", "_n")
-    error = F.sqrt(F.try_divide(F.greatest(share * (1 - share), F.lit(0.0)), F.col("labelled")))
-    similar = F.abs(F.try_divide("bad", "labelled") - share) <= z * error
-    marked = leaves.join(above, ["host", "_parent"]).withColumn("template", F.when(
-        F.coalesce(similar, F.lit(False)), F.concat("_parent", F.lit("/~"))).otherwise(F.col("_branch")))
-    pooled = marked.groupBy("host", "template").agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_b"))
-    prior = marked.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("p")).first()["p"]
-    purity = (F.col("_b") + alpha * (prior or 0.0)) / (F.col("_n") + alpha)
-    scored = marked.select("host", "_branch", "template").join(
-        pooled.select("host", "template", purity.alias("purity")), ["host", "template"])
+    """(host, path, template, purity, labelled_host) of every distinct (host, path) of ``templates``."""
+    leaves = stored(tree.groupBy("host", "_branch").agg(F.sum("labelled").alias("labelled"),
+                                                       F.sum(F.coalesce("bad", F.lit(0))).alias("bad")), "leaves")
+    inner = _prefixes(leaves, "_branch", "labelled", "bad").filter("_depth > 0")
+    nodes = inner.groupBy("host", "_depth", "_prefix").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")) \
+        .filter("labelled > 0").withColumn("_parent", F.array_join(F.slice(F.split("_prefix", "/", MAX_DEPTH + 1), F.lit(1), F.col("_depth")), "/"))
+    above = nodes.groupBy("host", "_depth", "_parent").agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_b"), F.count("*").alias("_kids"))
+    share = F.col("_b") / F.col("_n")
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / F.col("labelled"))
+    alike = nodes.join(above, ["host", "_depth", "_parent"]) \
+        .filter((F.col("_kids") > 1) & (F.abs(F.col("bad") / F.col("labelled") - share) <= z * error)) \
+        .select("host", "_depth", "_prefix", F.lit(True).alias("_alike"))
+    depths = inner.select("host", "_branch", "_depth", "_prefix").join(alike, ["host", "_depth", "_prefix"]) \
+        .groupBy("host", "_branch").agg(F.collect_set("_depth").alias("_merged"))          # MAX_DEPTH at most
+    merged = F.coalesce("_merged", F.array().cast("array<int>"))
+    template = F.array_join(F.transform(F.split("_branch", "/", MAX_DEPTH + 1), lambda s, i: F.when(
+        F.array_contains(merged, i), F.lit("~")).otherwise(s)), "/")
+    marked = stored(leaves.join(depths, ["host", "_branch"], "left").withColumn("template", template).drop("_merged"), "marked")
+    prior = marked.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("p")).first()["p"] or 0.0
+    spread = _prefixes(marked.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")),
+                       "template", "labelled", "bad")
+    pooled = spread.groupBy("host", "_depth", "_prefix").agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_b")).filter("_n > 0") \
+        .select("host", "_depth", "_prefix", ((F.col("_b") + alpha * prior) / (F.col("_n") + alpha)).alias("_purity"))
+    nearest = spread.select("host", "template", "_depth", "_prefix").join(pooled, ["host", "_depth", "_prefix"]) \
+        .groupBy("host", "template").agg(F.max_by("_purity", "_depth").alias("_purity"))
+    scored = marked.select("host", "_branch", "template").join(nearest, ["host", "template"], "left").select(
+        "host", "_branch", "template", F.coalesce("_purity", F.lit(prior)).alias("purity"), F.col("_purity").isNotNull().alias("labelled_host"))
     return tree.select("host", "path", "_branch").join(scored, ["host", "_branch"]).drop("_branch")
 
 
@@ -110,6 +129,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
         label = F.coalesce(label, F.col(bad_col).cast("int"))
     labelled = cut.withColumn("_bad", label)
     judged = stored(judge(templates(labelled)), "templates")
-    verdict = F.coalesce("_by_rule", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("_by_rule", F.when(F.col("labelled_host") & (F.col("purity") >= reject), F.lit("block")).otherwise(F.lit("allow")))
     return labelled.join(judged, ["host", "path"], "left").select(
         *kept, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -73,6 +73,20 @@ def test_url_rules_and_templates(spark):
     assert url_filter.filter_urls(rows.filter("false"), queries.URL_RULES).count() == 0
 
 
+def test_url_branches_merge_at_every_depth_and_lend_their_purity(spark):
+    rows = [(f"http://{h}/{b}/{c}{i}/x{i}", bad) for h, b, bad in (("h", "en", 1), ("h", "de", 1), ("g", "fr", 0), ("g", "es", 0))
+            for c in "pq" for i in range(10)]
+    rows += [("http://h/en/new/page", None), ("http://h/it/new", None), ("http://g/it/new", None), ("http://n/it/new", None)]
+    rows += [("http://hot/one/page", 1)] * 2000                                   # lifts the share of all labelled pages over 0.9
+    got = {r.url: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "url string, bad int"), [], bad_col="bad").collect()}
+    assert got["http://h/en/p1/x1"].template.startswith("/~/") and got["http://h/de/q2/x2"].template.startswith("/~/")
+    assert got["http://h/en/new/page"].template == "/~/new/page" and got["http://h/it/new"].template == "/it/new"
+    prior = 2040 / 2080
+    assert prior > url_filter.REJECT and got["http://n/it/new"].purity == pytest.approx(prior)
+    assert got["http://h/it/new"].purity == pytest.approx((40 + 4 * prior) / 44) and got["http://g/it/new"].purity == pytest.approx(4 * prior / 44)
+    assert [got[f"http://{u}"].verdict for u in ("h/en/new/page", "h/it/new", "g/it/new", "n/it/new")] == ["block", "block", "allow", "allow"]
+
+
 def test_fingerprints(spark, odd_docs, no_docs):
     fps = {}
     docs = fingerprints.imatch(_docs(spark).select("doc_id", "text"), bits=None).collect()
