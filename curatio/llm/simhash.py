@@ -1,10 +1,10 @@
-"""SimHash near-duplicates: byte-position inverted index with count filtering, then connected components.
+"""SimHash near-duplicates: inverted index over combinations of byte positions, then connected components.
 
 Fingerprints are 64 bits over hashed word shingles. Two fingerprints with at most ``MAX_BITS`` = 4
 differing bits differ in at most 4 of their 8 bytes, so they share at least 4 positional bytes. The
 index therefore has a list per (4 byte positions, their values); every pair that can link meets in
-one. In a list a pair's shared positional bytes are tallied, pairs reaching the minimum are kept and
-their bit distance is verified. Only distinct fingerprints are indexed (copies share one), and a list
+one. This replaces a tally over lists per single byte position, whose 256 values would make every list
+hot; members of a list share the minimum already, so only their bit distance is verified. Only distinct fingerprints are indexed (copies share one), and a list
 yields a spanning forest of its links, at most its length, never all pairs.
 
 A list longer than ``list_limit`` is not held by a task: its members are passed on, and the other 32
@@ -85,10 +85,8 @@ def index_keys(fp: Column) -> Column:
 
 
 def _distance_ok(one: np.uint64, others: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which of ``others`` share the minimum of positional bytes with ``one`` and are within ``max_bits``."""
-    x = others ^ one
-    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - max_bits
-    return shared & (np.bitwise_count(x) <= max_bits)
+    """Which of ``others`` are within ``max_bits`` of ``one``."""
+    return np.bitwise_count(others ^ one) <= max_bits
 
 
 def forest(members: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
