@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import (attention_lm, chunk_dedup, fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_codec,
-                         simhash, suffix_dedup, url_filter)
+from curatio.llm import (attention_lm, ball_tree, chunk_dedup, fingerprints, kmeans_tree, mixing, quality_classifier, quality_rules,
+                         sentencepiece_codec, simhash, spelling_variants, suffix_dedup, url_filter)
 from curatio.functions.draws import sql_hash32
 from curatio.llm.common import table
 
@@ -152,3 +152,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return attention_lm.score(docs, held_out=remainder("doc_id", 7) == 2)
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants.group_variants(docs, drop_every=97)
+
+
+@query("op12_kmeans_tree")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kmeans_tree.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS ts FROM documents
+), s AS (SELECT CAST(count(*) FILTER (len(ts) > 0) AS BIGINT) AS nd, CAST(sum(len(ts)) AS BIGINT) AS nt FROM d
+), m AS (SELECT rid, doc_id, 25 + (75 * CAST(len(ts) AS BIGINT) * nd) // nt AS m FROM d, s WHERE len(ts) > 0
+), i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+), f AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL
+), w AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s GROUP BY t, nd
+), v AS (SELECT rid, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS v FROM f JOIN m USING (rid) JOIN w USING (t)
+), r AS (SELECT item_id, rid, doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM i JOIN v USING (t) GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+@query("op13_ball_tree", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ball_tree.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
