@@ -51,7 +51,9 @@ def _got(df):
 def _texts(seed: int):
     r = random.Random(seed)
     words = ["".join(r.choice("abÉé") for _ in range(r.randint(4, 9))) for _ in range(120)] + ["aaaaa", "aaaaaa", "aaaaaaa", "Baaaaa"]
-    return [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 80))) + "-") for i in range(90)]
+    often = [1 / (1 + i % 9) ** 2 for i in range(len(words))]
+    return [(i, " ".join(r.choices(words, often, k=r.randint(0, 80))) + "-") for i in range(90)] + \
+        [(90, "stoney " * 3 + "stones " * 7 + "stonen " * 2 + "stonem " * 1 + "tones " * 15)]
 
 
 def test_spelling_variants_equal_brute_force(spark):
@@ -94,7 +96,7 @@ def _vectors(spark, seed=0, n=1500, dims=16):
     centres = r.normal(size=(12, dims))
     x = (centres[r.integers(0, 12, n)] + 0.3 * r.normal(size=(n, dims))).astype(np.float32)
     x[1::7] *= 3
-    x[700:1200] = x[700]                      # a third of all rows are copies of one vector
+    x[n // 2:n // 2 + n // 3] = x[n // 2]     # a third of all rows are copies of one vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     nan, inf = float("nan"), float("inf")
     rows += [(2000, None), (2020, []), (2040, [0.0] * dims), (2060, [nan] + [1.0] * (dims - 1)), (2080, [inf] + [1.0] * (dims - 1)),
@@ -125,11 +127,8 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
         hits += sum(s >= least - 1e-9 for _, _, s in own)
     assert hits / (20 * len(got)) >= 0.9
     # a query among the copies finds the smallest other keys of its copies first
-    assert [v for _, v, s in got[720] if abs(s - x[700] @ x[700]) < 1e-9][:5] == _first([i for i, s in _true(x, ids, 720, 20) if abs(s - x[700] @ x[700]) < 1e-9])
-
-
-def _first(keys):
-    return keys[:5]
+    equal = x[760] @ x[760]
+    assert [v for _, v, s in got[760] if abs(s - equal) < 1e-9][:5] == [v for v, s in _true(x, ids, 760, 20) if abs(s - equal) < 1e-9][:5]
 
 
 def test_all_leaves_visited_equal_brute_force(spark):
@@ -211,21 +210,21 @@ def test_bounds_prune_and_lose_nothing():
     rows = []
     for group in range(40):                     # documents in clusters over their own terms
         for _ in range(30):
-            ids = np.sort(r.choice(12, 6, replace=False)) + 12 * group
-            rows.append((ids.astype(np.int64), r.integers(400_000, 1_000_000, 6)))
-    starts = np.arange(0, 6 * len(rows) + 1, 6)
+            ids = np.sort(r.choice(12, 11, replace=False)) + 12 * group
+            rows.append((ids.astype(np.int64), r.integers(800_000, 1_000_000, 11)))
+    starts = np.arange(0, 11 * len(rows) + 1, 11)
     ids, values = np.concatenate([x for x, _ in rows]), np.concatenate([v for _, v in rows])
     tree = ball_tree.BallTree(starts, ids, values.astype(float), 480)
     scored = []
     for group in range(0, 40, 7):
         q = np.zeros(480, np.int64)
-        q[12 * group:12 * group + 12] = r.integers(1, 9000, 12)
+        q[12 * group:12 * group + 12] = r.integers(1, 5, 12)
         exact = np.array([int((q[x] * v).sum()) for x, v in rows])
-        bounds = tree.centre @ q.astype(float) + np.sqrt(float((q.astype(float) ** 2).sum())) * tree.radius
+        bounds = tree.bounds(np.arange(480), q)
         for node, own in enumerate(tree.rows):
             if own is not None:
-                assert (exact[own] <= bounds[node] * (1 + ball_tree.SAFE) + 1).all()
+                assert (exact[own] <= bounds[node]).all()
         best = ball_tree.Best(10)
-        scored.append(tree.search(bounds * (1 + ball_tree.SAFE) + 1, lambda own: best.add(own, exact[own]), best.least))
+        scored.append(tree.search(bounds, lambda leaf: best.add(tree.rows[leaf], exact[tree.rows[leaf]]), best.least))
         assert sorted(best.scores.tolist()) == sorted(exact)[-10:]
     assert max(scored) < len(rows) / 2
