@@ -37,6 +37,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +168,8 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
     """(id, held, text) -> rows (slice, kind, h, n, items, id, held, window) of the kinds above."""
     words = _words(model)
     end = words.processor.eos_id()
+    task = TaskContext.get()
+    own, done = task.partitionId() if task else 0, 0
 
     def rows(slice_id, what, h, n, items=None, ids=None, held=None, window=None):
         k = len(h)
@@ -181,11 +184,7 @@ def _gather(batches: Iterator[pa.RecordBatch], model, kind: pa.DataType) -> Iter
     for b in text_slices(batches, SLICE):
         texts = b.column("text").to_pylist()
         held = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        name = xxhash.xxh3_64()
-        for i, t in zip(b.column("id").to_pylist(), texts):
-            name.update(f"{i}:".encode())
-            name.update((t or "").encode())
-        slice_id = np.int64(name.intdigest() - (1 << 63))
+        slice_id, done = np.int64(own << 32 | done), done + 1     # no other slice's, whatever the rows hold
         t = Tokens(texts, words)
         docs = len(texts)
         crc = np.array([zlib.crc32((x or "").encode()) for x in texts], dtype=np.uint32).view(np.int32)

@@ -311,6 +311,25 @@ def test_attention_training_spreads_equal_windows(spark, tmp_path, monkeypatch):
     assert sum(r.n for r in rows) == 4000 and max(r.n for r in rows) < 2400 and len(rows) > 2
 
 
+def test_attention_base_columns_equal_brute_force(spark, odd_docs):
+    """Also where two slices hold equal rows."""
+    import math
+    import re
+    import zlib
+    docs = _docs(spark).limit(40).select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text")).coalesce(1)
+    for table in (docs, docs.union(docs)):
+        rows = [tuple(r) for r in table.collect()]
+        held = {key: zlib.crc32(str("" if key is None else key).encode()) % 7 == 2 for key, _ in rows}
+        lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+        tokens = [(key, text, [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower)), None]) for key, text in rows]
+        c = Counter(t for key, _, ts in tokens if not held[key] for t in ts)
+        n, v = sum(c.values()), len(c)
+        want = Counter((key, held[key], len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), 6))
+                       for key, _, ts in tokens)
+        got = attention_lm.score(table, held_out=queries.remainder("doc_id", 7) == 2).collect()
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+
+
 def test_mixing(spark, odd_docs, no_docs):
     rows = mixing.copies(odd_docs).collect()
     sizes = Counter()
