@@ -40,7 +40,7 @@ LEAF = 24                    # sample vectors of a leaf at most
 ROUNDS = 12                  # k-means rounds of a node
 CALIBRATION = 128            # queries whose true neighbours set the number of visits
 TARGET = 0.96                # their recall
-REGION_ROWS = 8192
+REGION_ROWS = 4096
 REGION_QUERIES = 50_000
 
 
@@ -310,7 +310,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 [*(c.take(pa.array(row, pa.int64())) for c in b.columns), pa.array(where, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaves, pa.int32()))], ["id", "hash", "v", "region", "leaves"])
 
-    visits_of = stored(asked.mapInArrow(ask, "id bigint, hash bigint, v array<double>, region bigint, leaves array<int>"), "visits")
+    spread = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "hash")
+    visits_of = stored(spread.mapInArrow(ask, "id bigint, hash bigint, v array<double>, region bigint, leaves array<int>"), "visits")
     parts = visits_of.groupBy("region").agg(F.ceil(F.count("*") / region_queries).cast("int").alias("parts"))
     held = placed.mapInArrow(deal, "id bigint, v array<double>, leaf int, region bigint").join(parts, "region")
     held = held.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
