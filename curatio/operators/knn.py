@@ -1,26 +1,36 @@
-"""Exact top-k inner-product retrieval per (query, source), blocked.
-
-All query × vector scores are needed for an exact answer, but none of them is
-ever materialised as rows. Queries are cut into ``nq`` query blocks and each
-source's vectors into ``ceil(count/db_block)`` vector blocks; every (query block,
-vector block) pair is one cogroup group, whose task runs a dense matmul in
-numpy and emits only its local top-k per query. A final ``row_number() <= k``
-over the few local winners per (query, source) gives the answer.
-
-Sizes are chosen from counts (actions that return numbers): replication is
-``|Q| × #vector-blocks + |D| × nq``; a source that holds a third of all
-vectors is simply more blocks. Nothing is collected to the driver.
+"""Exact top-k inner-product retrieval per (query, source), by scans of the vectors.
+
+The database is never shuffled or copied. Queries are taken in batches whose size in bytes is checked
+(``batch_bytes``); for each batch the vectors are read once, every task multiplies its Arrow batches with the
+query matrix, keeps the best k per (query, source) it has seen and hands on only those at its end. A partial and
+a final ``row_number() <= k`` join the tasks' winners. What a winner is called (``carry``: its image path) travels
+with it, so no lookup of paths follows (J9).
+
+A source with a third of all vectors is simply read by more tasks; a query batch is bounded whatever the number
+of requests. Scores are summed component by component, so equal vectors tie exactly; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
+
+# Ship this module's functions to Python workers by value: a worker whose path does
+# not include the package (a driver started from another folder) can still run them.
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+BATCH_BYTES = 64 << 20       # bytes of one query batch
+ROWS_AT_ONCE = 4096          # vectors multiplied at a time
+QUERIES_AT_ONCE = 256        # queries multiplied at a time: the score matrix held is the product of both
 
 
 def l2_normalise(v: Column) -> Column:
@@ -36,169 +46,92 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-_OUT = Ty.StructType([
-    Ty.StructField("qid", Ty.LongType()), Ty.StructField("source", Ty.StringType()),
-    Ty.StructField("vec_id", Ty.LongType()), Ty.StructField("score", Ty.DoubleType()),
-])
-
-
-_Q_CHUNK = 256
-
-
-def _block_topk(k: int):
-    def fn(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(d) == 0:
-            return pd.DataFrame({c: [] for c in _OUT.names})
-        qm = np.vstack(q["qvec"].to_numpy()).astype(np.float64)
-        dm = np.vstack(d["vec"].to_numpy()).astype(np.float64)
-        vid = d["vec_id"].to_numpy(np.int64)
-        qids = q["qid"].to_numpy(np.int64)
-        kk = min(k, dm.shape[0])
-        out_q, out_v, out_s = [], [], []
-        # queries in chunks: the score matrix held at once is chunk × block, not block × block
-        for lo in range(0, len(qm), _Q_CHUNK):
-            scores = qm[lo:lo + _Q_CHUNK] @ dm.T
-            # rank by (score desc, vec_id asc); exact ties kept deterministic
-            order = np.lexsort((np.broadcast_to(vid, scores.shape), -scores), axis=1)[:, :kk]
-            rows = np.repeat(np.arange(scores.shape[0]), kk)
-            cols = order.reshape(-1)
-            out_q.append(qids[lo:lo + _Q_CHUNK][rows])
-            out_v.append(vid[cols])
-            out_s.append(scores[rows, cols])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "source": d["source"].iloc[0],
-                             "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-    return fn
-
-
-def topk_per_source(queries: DataFrame, db: DataFrame, k: int = 5, q_block: int = 4096,
-                    db_block: int = 16384) -> DataFrame:
-    """``queries(qid BIGINT, qvec ARRAY<DOUBLE>)`` × ``db(source, vec_id BIGINT, vec ARRAY)`` →
-    ``(qid, source, rank, vec_id, score)`` with ``rank <= k`` ordered by score desc, vec_id asc."""
-    nq_rows = queries.count()
-    nq = max(1, math.ceil(nq_rows / q_block))
-    counts = db.groupBy("source").agg(F.count("*").alias("_n"))
-    # dense block numbering over all sources: sources × blocks is a small table
-    w = Window.orderBy("source")
-    blocks = counts.withColumn("_nb", F.ceil(F.col("_n") / db_block).cast("bigint")) \
-        .withColumn("_off", F.coalesce(F.sum("_nb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    nb_total = blocks.select(F.sum("_nb")).scalar()
-    # one row per source: broadcast (bounded by the number of sources), data streams
-    d = db.join(F.broadcast(blocks.select("source", "_nb", "_off")), "source") \
-        .withColumn("_b", F.col("_off") + F.pmod(F.xxhash64("vec_id"), F.col("_nb"))) \
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint")))) \
-        .withColumn("pair", F.col("_qb") * nb_total + F.col("_b")) \
-        .select("pair", "source", "vec_id", F.col("vec").cast("array<double>").alias("vec"))
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(nq))) \
-        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), nb_total - 1))) \
-        .withColumn("pair", F.col("_qb") * nb_total + F.col("_b")) \
-        .select("pair", "qid", "qvec")
-    local = q.groupBy("pair").cogroup(d.groupBy("pair")).applyInPandas(_block_topk(k), schema=_OUT)
-    wr = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(wr).cast("bigint")).filter(F.col("rank") <= k)
-
-
-# ---- IVF (cell) index with an exact bound ------------------------------------------------
-
-def _keyed_scan(q: DataFrame, d: DataFrame, keys: list[str], k: int, q_block: int, d_block: int) -> DataFrame:
-    """Local top-k per (qid, source) of every query row against the vectors that
-    share its ``keys``. A key with many vectors or many queries is cut into
-    sub-blocks (sizes from per-key counts, small tables broadcast by bound)."""
-    dc = d.groupBy(*keys).agg(F.ceil(F.count("*") / d_block).cast("bigint").alias("_nd"))
-    qc = q.groupBy(*keys).agg(F.ceil(F.count("*") / q_block).cast("bigint").alias("_nq"))
-    sizes = dc.join(qc, keys)
-    dd = d.join(F.broadcast(sizes), keys) \
-        .withColumn("_ds", F.pmod(F.xxhash64("vec_id"), F.col("_nd"))) \
-        .withColumn("_qs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq") - 1)))
-    qq = q.join(F.broadcast(sizes), keys) \
-        .withColumn("_qs", F.pmod(F.xxhash64("qid"), F.col("_nq"))) \
-        .withColumn("_ds", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nd") - 1)))
-    gk = [*keys, "_qs", "_ds"]
-    return qq.select(*gk, "qid", "qvec").groupBy(*gk).cogroup(
-        dd.select(*gk, *[c for c in ("source",) if c not in gk], "vec_id",
-                  F.col("vec").cast("array<double>").alias("vec")).groupBy(*gk)
-    ).applyInPandas(_block_topk_multi(k), schema=_OUT)
-
-
-def _block_topk_multi(k: int):
-    """Like ``_block_topk`` but the vector block may mix sources (one top-k per source)."""
-    single = _block_topk(k)
-
-    def fn(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(d) == 0:
-            return pd.DataFrame({c: [] for c in _OUT.names})
-        return pd.concat([single(q, part) for _, part in d.groupby("source", sort=False)], ignore_index=True)
-    return fn
-
-
-def topk_ivf(queries: DataFrame, db: DataFrame, k: int = 5, cells: int | None = None, nprobe: int = 4,
-             seed: int = 42, q_block: int = 4096, d_block: int = 16384) -> DataFrame:
-    """J10 through a cell index, returning the *exact* top-k per (query, source).
-
-    1. Cells: ``pyspark.ml`` KMeans over the vectors (distributed, iterative);
-       per (source, cell) the radius ``r = max ||x - c||``.
-    2. Probe: each query scans its ``nprobe`` best cells by ``q·c`` (an Arrow
-       UDF against the centre matrix, whose size is cells × dim).
-    3. Bound: with ``τ`` the k-th best score found for (query, source) (−∞ if
-       fewer than k), any other cell of that source with ``q·c + r ≥ τ`` may
-       hold a better vector (``q·x ≤ q·c + ||q||·||x−c||``, unit ``q``), so it is
-       scanned as well. Nothing is capped: the result equals brute force.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = db.sparkSession
-    n = db.count()
-    cells = cells or max(1, min(4096, int(math.sqrt(max(n, 1)))))
-    dv = db.withColumn("_f", array_to_vector(F.col("vec").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=8, initMode="random", featuresCol="_f",
-                   predictionCol="cell").fit(dv)
-    centers = np.array(model.clusterCenters(), dtype=np.float64)          # cells × dim (bounded)
-    cen = spark.createDataFrame([(i, centers[i].tolist()) for i in range(len(centers))],
-                                "cell int, center array<double>")
-    # the index table (vector → cell) is read by three passes: materialise it once
-    # (reliable checkpoint in the shared spark.checkpoint.dir, survives executor loss)
-    from curatio.session import checkpoint_dir
-    checkpoint_dir(spark)
-    assigned = model.transform(dv).select("source", "vec_id", "vec", F.col("cell").cast("int")).checkpoint()
-    dist = F.sqrt(F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), "center", lambda a, b: (a - b) * (a - b)),
-                              F.lit(0.0).cast("double"), lambda acc, x: acc + x))
-    radius = assigned.join(F.broadcast(cen), "cell").groupBy("source", "cell").agg(F.max(dist).alias("r"))
-
-    cmat = centers
-
-    @F.pandas_udf(Ty.ArrayType(Ty.DoubleType()))
-    def cell_scores(qv: pd.Series) -> pd.Series:
-        m = np.vstack(qv.to_numpy()).astype(np.float64) @ cmat.T
-        return pd.Series(list(m))
-
-    qs = queries.withColumn("_cs", cell_scores("qvec"))
-    ranked = F.transform(F.array_sort(F.transform(F.col("_cs"), lambda s, i: F.struct((-s).alias("neg"), i.alias("cell")))),
-                         lambda e: e["cell"])
-    probe = qs.select("qid", "qvec", F.explode(F.slice(ranked, 1, nprobe)).alias("cell"))
-    first = _keyed_scan(probe, assigned, ["cell"], k, q_block, d_block)
-    wr = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "vec_id")
-    # ≤ k rows per (query, source): small; read twice (τ and the final union)
-    first_top = first.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k).checkpoint()
-    tau = first_top.groupBy("qid", "source").agg(
-        F.when(F.count("*") >= k, F.min("score")).alias("tau"))
-    # every (query, source, cell) still able to beat τ, excluding cells already probed.
-    # The (source, cell, r) list is bounded by sources × cells: one scalar value; each
-    # query filters it against its own τ map (joined 1:1 on qid) before exploding, so
-    # only cells that can still win become rows.
-    all_cells = radius.agg(F.collect_list(F.struct("source", "cell", "r"))).scalar()
-    tau_map = tau.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("source", "tau"))).alias("_tau"))
-    probed = F.slice(ranked, 1, nprobe)
-    eps = 1e-9   # rounding slack: only ever adds cells
-    t = F.col("_tau")
-    extra = qs.select("qid", "qvec", "_cs", probed.alias("_probed")).join(tau_map, "qid", "left") \
-        .withColumn("_all", all_cells) \
-        .select("qid", "qvec", F.explode(F.array_distinct(F.transform(
-            F.filter("_all", lambda c: ~F.array_contains(F.col("_probed"), c["cell"])
-                     & (F.element_at(t, c["source"]).isNull()
-                        | (F.get(F.col("_cs"), c["cell"]) + c["r"] + eps >= F.element_at(t, c["source"])))),
-            lambda c: c["cell"]))).alias("cell"))
-    # one row per (query, cell) however many sources need the cell: the cell scan yields a
-    # top-k per source anyway (a superset of the needed candidates, still exact)
-    second = _keyed_scan(extra, assigned, ["cell"], k, q_block, d_block)
-    allc = first_top.drop("rank").unionByName(second)
-    return allc.withColumn("rank", F.row_number().over(wr).cast("bigint")).filter(F.col("rank") <= k)
+def _matrix(column, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dims)
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, component after component."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the k best vectors of each query, ties to the smaller id."""
+    out = []
+    for lo in range(0, len(q), QUERIES_AT_ONCE):
+        part = q[lo:lo + QUERIES_AT_ONCE]
+        rough = part @ x.T
+        if len(x) > k:      # all that reach the k-th best rough score, rounding allowed for
+            least = np.partition(rough, len(x) - k, axis=1)[:, -k]
+            size = np.sqrt((part ** 2).sum(axis=1)) * math.sqrt((x ** 2).sum(axis=1).max())
+            a, b = np.nonzero(rough >= (least - 1e-9 * size)[:, None])
+        else:
+            a, b = np.nonzero(np.ones_like(rough, bool))
+        out.append(_ranked(a + lo, b, _sums(part[a], x[b]), ids, k))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _ranked(a, b, score, ids, k):
+    order = np.lexsort((ids[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], score[keep]
+
+
+def _scan(q_ids: pa.Array, q: np.ndarray, k: int, carry: list[str], names: list[str]):
+    """Arrow step over (source, vec_id, vec, carry...): the task's k best per (query, source)."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple] = {}          # source -> (query, row of kept, score), kept rows (vec_id, carry...)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+                t = pa.Table.from_batches([whole.slice(lo, ROWS_AT_ONCE)])
+                for source in t["source"].unique().to_pylist():
+                    own = t.filter(pa.compute.equal(t["source"], source) if source is not None else pa.compute.is_null(t["source"]))
+                    own = own.combine_chunks()
+                    ids = np.asarray(own["vec_id"])
+                    a, b, s = _best(q, _matrix(own["vec"].combine_chunks(), q.shape[1]), ids, k)
+                    rows = own.select(["vec_id", *carry])
+                    if source in best:
+                        a0, b0, s0, held = best[source]
+                        a, b, s = np.concatenate([a0, a]), np.concatenate([b0, b + held.num_rows]), np.concatenate([s0, s])
+                        rows = pa.concat_tables([held, rows]).combine_chunks()
+                        a, b, s = _ranked(a, b, s, np.asarray(rows["vec_id"]), k)
+                    used, b = np.unique(b, return_inverse=True)
+                    best[source] = a, b, s, rows.take(pa.array(used)).combine_chunks()
+        for source, (a, b, s, rows) in best.items():
+            found = rows.take(pa.array(b)).combine_chunks()
+            columns = [q_ids.take(pa.array(a)), pa.array([source] * len(a), pa.string()), *(found[c].combine_chunks() for c in ["vec_id", *carry])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s)], names)
+    return scan
+
+
+def topk_per_source(queries: DataFrame, db: DataFrame, k: int = 5, batch_bytes: int = BATCH_BYTES,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+    """``queries(qid, qvec ARRAY<DOUBLE>)`` × ``db(source, vec_id BIGINT, vec ARRAY, carry...)`` →
+    ``(qid, source, rank, vec_id, carry..., score)`` with ``rank <= k`` ordered by score desc, vec_id asc.
+    Null vectors match nothing; all others need one length."""
+    spark = queries.sparkSession
+    queries = queries.filter(F.col("qvec").isNotNull()).select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    rows, dims = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
+    schema = {f.name: f.dataType.simpleString() for f in db.schema}
+    names = ["qid", "source", "vec_id", *carry, "score"]
+    out = f"qid {queries.schema['qid'].dataType.simpleString()}, source string, vec_id bigint, " + \
+        "".join(f"{c} {schema[c]}, " for c in carry) + "score double"
+    vectors = db.filter(F.col("vec").isNotNull()).select("source", F.col("vec_id").cast("bigint").alias("vec_id"),
+                                                         F.col("vec").cast("array<double>").alias("vec"), *carry)
+    batches = max(1, math.ceil(rows * 8 * (dims or 0) / batch_bytes))
+    found = None
+    for n in range(batches if rows else 0):
+        part = queries.filter(F.pmod(F.xxhash64("qid", "qvec"), F.lit(batches)) == n).toArrow()      # about batch_bytes
+        if part.num_rows:
+            ids, matrix = part["qid"].combine_chunks(), _matrix(part["qvec"].combine_chunks(), dims)
+            hits = vectors.mapInArrow(_scan(ids, matrix, k, list(carry), names), out)
+            found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = spark.createDataFrame([], out)
+    place = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(place).cast("bigint")).filter(F.col("rank") <= k) \
+        .select("qid", "source", "rank", "vec_id", *carry, "score")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from curatio import constants as K
 from curatio.functions import text as T
 
-ROUTER_RE = r"(?s)(.*)\nModified Image Description:" + T.PY_SPACE + r"*(.*)"
-
 
 def module_code(name: Column) -> Column:
     """Router label → module code (NULL if unknown)."""
@@ -45,8 +43,8 @@ def route_parse(gen: DataFrame, generation_col: str = "generation") -> DataFrame
     x = gen.withColumn("_g", g)
     g = F.col("_g")
     personalised = g.contains("Personalized Text-to-Image Generator")
-    # ROUTER_RE without a backtracking regex (a failing unanchored search over a long
-    # text is quadratic in java.util.regex): the pattern matches iff the marker occurs;
+    # "(.*)\n<marker><spaces>(.*)" over all lines without a backtracking regex (a failing search
+    # over a long text is quadratic in java.util.regex): it matches iff the marker occurs;
     # the greedy module group ends at the *last* marker; the description is the rest
     # after leading whitespace.
     marker = "\n" + K.ROUTER_DESCRIPTION_MARK
@@ -68,6 +66,26 @@ def route_parse(gen: DataFrame, generation_col: str = "generation") -> DataFrame
         .withColumn("reject_reason", reason).drop("_g")
 
 
+def retrieve_images(requests: DataFrame, vectors: DataFrame, db: DataFrame, k: int = 5, uuid_col: str = "image_uuid",
+                    module_col: str = "image_alignment_module", **scan) -> DataFrame:
+    """C14: requests of the image database get ``db_searched_results``, a map from source to its k best images
+    (``image_path_from_db``, ``clip_score`` as text); all other requests stay as they are (null map), and so does
+    a retrieval request without a vector.
+
+    ``vectors``: ``(uuid, vec)``, the text embedding of each request (normalised here, X17); ``db``: ``(source,
+    vec_id, vec, image_path)``. Only retrieval requests are searched (F11); one scan of ``db`` per query batch;
+    the k winners per source carry their path (J9) and are nested per request (k and the sources bound the nest)."""
+    from curatio.operators import knn
+    from curatio.plans.worklist import backend_of
+    target = requests.filter(backend_of(module_col) == "image_db").select(F.col(uuid_col).alias("qid"))
+    asked = target.join(vectors.select(F.col(uuid_col).alias("qid"), knn.l2_normalise(F.col("vec")).alias("qvec")), "qid").distinct()
+    top = knn.topk_per_source(asked, db, k, carry=("image_path",), **scan)
+    hit = F.struct("rank", F.col("image_path").alias("image_path_from_db"), F.col("score").cast("string").alias("clip_score"))
+    per_source = top.groupBy("qid", "source").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda h: h.dropFields("rank")).alias("hits"))
+    found = per_source.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("source", "hits"))).alias("db_searched_results"))
+    return requests.join(found.withColumnRenamed("qid", uuid_col), uuid_col, "left")
+
+
 def resolve_image_keys(keys: DataFrame, images: DataFrame, pages: DataFrame, faces: DataFrame,
                        key_col: str = "key") -> DataFrame:
     """Keys ``url:<id>`` → pages, ``face:<id>`` → faces, plain ``<id>`` → images.

@@ -24,9 +24,9 @@ def router_outputs(docs):
            .when(m == 1, F.concat(F.lit(f"{P}\n{MARK}  A photo of a person [img] "), text))
            .when(m == 2, F.concat(F.lit(f"Module: {P}\n{MARK} x [img] y [img]  "), text, F.lit(" [img] z")))
            .when(m == 3, F.concat(F.lit(f"Module: {P}\nNo description here: "), text))
-           .when(m == 4, F.lit("Module: Image Database Retrieval"))
+           .when(m == 4, F.concat(F.lit("Module: Image Database Retrieval\n"), text))
            .when(m == 5, F.concat(F.lit(f"Module: Web Search\n{MARK} "), text))
-           .when(m == 6, F.lit("Module: Text-to-Image Generator"))
+           .when(m == 6, F.concat(F.lit("Module: Text-to-Image Generator\n"), text))
            .otherwise(F.concat(F.lit("Module: "), text)))
     return docs.select("doc_id", gen.alias("generation"))
 
@@ -61,9 +61,9 @@ _IMG = f"""CASE WHEN len(string_split(d, '[img]')) = 1 THEN d || ' [img]'
     WHEN 1 THEN '{P}' || chr(10) || '{MARK}  A photo of a person [img] ' || text
     WHEN 2 THEN 'Module: {P}' || chr(10) || '{MARK} x [img] y [img]  ' || text || ' [img] z'
     WHEN 3 THEN 'Module: {P}' || chr(10) || 'No description here: ' || text
-    WHEN 4 THEN 'Module: Image Database Retrieval'
+    WHEN 4 THEN 'Module: Image Database Retrieval' || chr(10) || text
     WHEN 5 THEN 'Module: Web Search' || chr(10) || '{MARK} ' || text
-    WHEN 6 THEN 'Module: Text-to-Image Generator'
+    WHEN 6 THEN 'Module: Text-to-Image Generator' || chr(10) || text
     ELSE 'Module: ' || text END AS generation FROM documents
 ), g1 AS (SELECT doc_id, {_G} AS g FROM g0),
 g2 AS (
@@ -103,26 +103,50 @@ s AS (SELECT qid, source, vec_id, image_path, list_dot_product(qv, dv) AS score
 r AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT qid, source, CAST(rank AS BIGINT) AS rank, vec_id, image_path, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def retrieve_topk(spark, sf_dir):
-    """C14: every image embedding is also a query (normalised, X17); top-5 per source."""
+    """J10 alone: every image embedding is also a query (normalised, X17); top-5 per source."""
+    return _retrieve_all(spark, sf_dir)
+
+
+def _retrieve_all(spark, sf_dir, **scan):
     emb = Tables(spark, sf_dir).embeddings
-    db = _image_db(emb)
     queries = emb.select(F.col("vec_id").alias("qid"), knn.l2_normalise(F.col("embedding")).alias("qvec"))
-    top = knn.topk_per_source(queries, db.select("source", "vec_id", "vec"), k=5)
-    paths = db.select("source", "vec_id", "image_path")  # J9: key join to the path list
-    return top.join(paths, ["source", "vec_id"]).select("qid", "source", "rank", "vec_id", "image_path",
-                                                        F.round("score", 6).alias("score"))
+    top = knn.topk_per_source(queries, _image_db(emb), k=5, carry=("image_path",), **scan)
+    return top.select("qid", "source", "rank", "vec_id", "image_path", F.round("score", 6).alias("score"))
+
 
+MODULES = ["t2i", "p-t2i", "web", "retrieval", "t2i"]
 
-def _retrieve_ivf(spark, sf_dir):
-    """C14 through the cell index (KMeans cells, nprobe=2, then every cell whose
-    bound can still beat the k-th score): same rows as the exact query."""
+
+@query("retrieve_images", """WITH req AS (
+  SELECT 'img-' || CAST(vec_id AS VARCHAR) AS image_uuid, (['t2i', 'p-t2i', 'web', 'retrieval', 't2i'])[vec_id % 5 + 1] AS image_alignment_module,
+         CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), q AS (
+  SELECT image_uuid, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS qv
+  FROM req WHERE image_alignment_module = 'retrieval'
+), d AS (SELECT 'src' || CAST(label AS VARCHAR) AS source, vec_id, CAST(embedding AS DOUBLE[]) AS dv,
+                'img/' || CAST(label AS VARCHAR) || '/' || CAST(vec_id AS VARCHAR) || '.jpg' AS image_path FROM embeddings),
+s AS (SELECT image_uuid, source, vec_id, image_path, list_dot_product(qv, dv) AS score FROM q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_uuid, source ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT req.image_uuid, image_alignment_module, source, CAST(coalesce(rank, 0) AS BIGINT) AS rank, image_path AS image_path_from_db,
+       round(score, 6) AS clip_score
+FROM req LEFT JOIN (SELECT * FROM r WHERE rank <= 5) r ON r.image_uuid = req.image_uuid""")
+def retrieve_images(spark, sf_dir):
+    """C14: each embedding is an image request, its module by ``vec_id % 5``; only those routed to the image
+    database are searched, the others come back untouched (one row without a source, rank 0)."""
     emb = Tables(spark, sf_dir).embeddings
-    db = _image_db(emb)
-    queries = emb.select(F.col("vec_id").alias("qid"), knn.l2_normalise(F.col("embedding")).alias("qvec"))
-    top = knn.topk_ivf(queries, db.select("source", "vec_id", "vec"), k=5, nprobe=2)
-    paths = db.select("source", "vec_id", "image_path")
-    return top.join(paths, ["source", "vec_id"]).select("qid", "source", "rank", "vec_id", "image_path",
-                                                        F.round("score", 6).alias("score"))
+    uuid = F.concat(F.lit("img-"), F.col("vec_id").cast("string")).alias("image_uuid")
+    requests = emb.select(uuid, F.element_at(F.array(*[F.lit(m) for m in MODULES]), (F.col("vec_id") % 5 + 1).cast("int"))
+                          .alias("image_alignment_module"))
+    out = I.retrieve_images(requests, emb.select(uuid, F.col("embedding").alias("vec")), _image_db(emb))
+    per = out.select("image_uuid", "image_alignment_module", F.explode_outer("db_searched_results").alias("source", "hits"))
+    rows = per.select("image_uuid", "image_alignment_module", "source", F.posexplode_outer("hits").alias("pos", "hit"))
+    return rows.select("image_uuid", "image_alignment_module", "source", F.coalesce(F.col("pos") + 1, F.lit(0)).cast("bigint").alias("rank"),
+                       "hit.image_path_from_db", F.round(F.col("hit.clip_score").cast("double"), 6).alias("clip_score"))
+
+
+def _retrieve_batches(spark, sf_dir):
+    """The same rows in several query batches (one scan of the vectors each)."""
+    return _retrieve_all(spark, sf_dir, batch_bytes=300_000)
 
 
 def _keys(conv, sizes: tuple[int, int, int]):
@@ -189,9 +213,9 @@ def catalog_union(spark, sf_dir):
     return I.image_catalog([web, docs, emb])
 
 
-def _register_ivf():
+def _register_batches():
     from curatio.standins.registry import QUERIES
-    query("retrieve_topk_ivf", QUERIES["retrieve_topk"][1])(_retrieve_ivf)
+    query("retrieve_topk_ivf", QUERIES["retrieve_topk"][1])(_retrieve_batches)
 
 
-_register_ivf()
+_register_batches()

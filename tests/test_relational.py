@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curatio import constants as K
 from curatio.operators import knn
+from curatio.plans import images
 from curatio.operators.core import dedupe_first
 from curatio.operators.position import hex_bucket, ntile_from_position, positions, quantile_bucket
 from curatio.plans import episodes as E
@@ -106,7 +107,7 @@ def test_topk_matches_numpy_bruteforce(spark):
     q = q / np.linalg.norm(q, axis=1, keepdims=True)
     q[0] = d[5] / np.linalg.norm(d[5])
     qs = spark.createDataFrame([(i, q[i].tolist()) for i in range(20)], "qid long, qvec array<double>")
-    got = knn.topk_per_source(qs, db, k=5, q_block=7, db_block=40).collect()
+    got = knn.topk_per_source(qs, db.repartition(3), k=5, batch_bytes=7 * 64).collect()
     got = sorted((r["qid"], r["source"], r["rank"], r["vec_id"]) for r in got)
     exp = []
     for qi in range(20):
@@ -160,21 +161,31 @@ def test_dedupe_first_same_under_repartition(spark):
     assert a == b and all(r["seq"] == r["k"] for r in a)
 
 
-def test_ivf_equals_exact(spark):
+def test_retrieve_images_touches_retrieval_requests_only(spark):
     rng = np.random.default_rng(3)
-    centers = rng.normal(size=(6, 8))
-    d = np.vstack([centers[i % 6] + 0.3 * rng.normal(size=8) for i in range(400)])
-    d = (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
-    src = ["a" if i % 3 else "b" for i in range(400)]
-    db = spark.createDataFrame([(src[i], i, d[i].tolist()) for i in range(400)],
-                               "source string, vec_id long, vec array<float>")
+    d = rng.normal(size=(400, 8)).astype(np.float32)
+    d[11] = d[13] = d[17]                                  # equal vectors tie: smaller ids first
+    db = spark.createDataFrame([("a" if i % 3 else "b", i, d[i].tolist(), f"p/{i}.jpg") for i in range(400)] + [("a", 900, None, "p/900.jpg")],
+                               "source string, vec_id long, vec array<float>, image_path string").repartition(3)
     q = rng.normal(size=(30, 8))
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
-    qs = spark.createDataFrame([(i, q[i].tolist()) for i in range(30)], "qid long, qvec array<double>")
-    exact = sorted((r["qid"], r["source"], r["rank"], r["vec_id"]) for r in knn.topk_per_source(qs, db, k=5).collect())
-    for cells, nprobe in [(8, 1), (20, 2), (3, 3)]:
-        ivf = knn.topk_ivf(qs, db, k=5, cells=cells, nprobe=nprobe, q_block=7, d_block=50).collect()
-        assert sorted((r["qid"], r["source"], r["rank"], r["vec_id"]) for r in ivf) == exact, (cells, nprobe)
+    q[3] = d[17]
+    modules = ["retrieval" if i % 3 == 0 else "web" for i in range(30)] + ["retrieval"]
+    reqs = spark.createDataFrame([(f"r{i}", m, f"text {i}") for i, m in enumerate(modules)],
+                                 "image_uuid string, image_alignment_module string, image_description string")
+    vecs = spark.createDataFrame([(f"r{i}", q[i].tolist()) for i in range(30)], "image_uuid string, vec array<double>")
+    got = {r.image_uuid: r for r in images.retrieve_images(reqs, vecs, db, k=3, batch_bytes=200).collect()}
+    assert len(got) == 31 and got["r1"].image_description == "text 1"
+    for i, m in enumerate(modules):
+        res = got[f"r{i}"].db_searched_results
+        if m == "web" or i == 30:                          # r30 has no vector
+            assert res is None
+            continue
+        qn = q[i] / np.linalg.norm(q[i])
+        for s in "ab":
+            ids = [j for j in range(400) if ("a" if j % 3 else "b") == s]
+            want = sorted((-round(float(qn @ d[j].astype(np.float64)), 9), j) for j in ids)[:3]
+            assert [h.image_path_from_db for h in res[s]] == [f"p/{j}.jpg" for _, j in want]
+            assert [round(float(h.clip_score), 9) for h in res[s]] == [-x for x, _ in want]
 
 
 def py_attr_strict(attr, age, gender, birthplace, style):
