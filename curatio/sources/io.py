@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Files holding one JSON array each (one row per element)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_array(spark: SparkSession, path: str | list[str], schema: StructType | str, strict: bool = True) -> DataFrame:
+    """Files holding one JSON array each (one row per element); ``strict`` fails on a malformed document.
+    A folder of documents written by ``write_json_documents`` reads with its partition columns in ``schema``."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
@@ -29,27 +30,50 @@ def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
-def _partition_int(name: str) -> F.Column:
+def _partition_int(name: str) -> Column:
     """An int partition value from a path segment ``name:<n>``, ``name%3A<n>`` or ``name=<n>``."""
     return F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(name)}(?::|%3A|=)(\d+)", 1).cast("int")
 
 
+def _files_under(spark: SparkSession, root: str, keep: Column | None) -> list[str]:
+    """Paths of the files under ``root`` that ``keep`` (on ``_metadata.file_path``) lets through: a listing, no
+    content is read. The driver holds the paths of the kept files."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if keep is not None:
+        listing = listing.filter(keep)
+    return [r["path"] for r in listing.select("path").collect()]
+
+
+def _is_missing(e: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)
+
+
 def read_partition_tree(spark: SparkSession, root: str, schema: StructType | str, fmt: str = "json",
                         partitions: tuple[str, ...] = ("persona_seed", "session_num"),
                         only: dict[str, int] | None = None) -> DataFrame:
-    """Read every file under ``root`` recursively (globs break on ``:`` paths),
-    derive partition ints from the file path, prune with ``only``. Empty folders
-    simply contribute no files; an absent root gives an empty frame (S8)."""
+    """Every file under ``root`` at any depth (globs break on ``:`` paths), partition ints derived from the file
+    path. With ``only`` the files are listed first and those of other partitions are never opened. Empty folders
+    contribute no files; an absent root or no matching file gives an empty frame (S8)."""
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     try:
-        df = spark.read.schema(schema).format(fmt).option("recursiveFileLookup", True).load(root)
+        reader = spark.read.schema(wanted).format(fmt)
+        if only:
+            keep = F.lit(True)
+            for p, v in only.items():
+                keep = keep & (_partition_int(p) == v)
+            files = _files_under(spark, root, keep)
+            df = reader.load(files) if files else None
+        else:
+            df = reader.option("recursiveFileLookup", True).load(root)
     except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return read_or_empty(spark, None, schema)
-        raise
+        if not _is_missing(e):
+            raise
+        df = None
+    if df is None:
+        df = spark.createDataFrame([], wanted)
+        return df.select("*", *[F.lit(None).cast("int").alias(p) for p in partitions])
     for p in partitions:
         df = df.withColumn(p, _partition_int(p))
-    for p, v in (only or {}).items():
-        df = df.filter(F.col(p) == v)
     return df
 
 
@@ -80,7 +104,7 @@ def read_or_empty(spark: SparkSession, path: str | None, schema: StructType | st
         try:
             return spark.read.schema(schema).format(fmt).load(path)
         except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            if not _is_missing(e):
                 raise
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
@@ -90,7 +114,7 @@ def read_or_empty(spark: SparkSession, path: str | None, schema: StructType | st
 # ---- sinks ------------------------------------------------------------------------------
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """K1/K2: overwrite; with ``partition_by`` only the partitions present are replaced
+    """K1: overwrite; with ``partition_by`` only the partitions present are replaced
     (dynamic partition overwrite), so re-running one seed leaves the others alone."""
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
@@ -98,6 +122,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     w.save(path)
 
 
+def write_json_documents(df: DataFrame, path: str, by: str = "persona_seed", order: list[str] | None = None) -> None:
+    """K2: one JSON-array document per ``by`` value, ``<path>/<by>=<n>/part-*.json``: rows in ``order``, UTF-8 as it
+    is, null fields kept as null.
+
+    A document is one task's run of lines, ``[{...}``, ``,{...}`` and the last one closed, so no document is
+    ever held whole; Spark's commit publishes a document complete or not at all, and a rerun replaces the
+    documents of the values present, no others. Null ``by`` values form a document of their own."""
+    rows = [c for c in df.columns if c != by]
+    line = F.to_json(F.struct(*rows), {"ignoreNullFields": "false"})
+    place = Window.partitionBy(by).orderBy(*(order or rows))
+    text = F.concat(F.when(F.row_number().over(place) == 1, "[").otherwise(","), line,
+                    F.when(F.lead(F.lit(1)).over(place).isNull(), "]").otherwise(""))
+    df.select(by, text.alias("value")).write.mode("overwrite").partitionBy(by).option("partitionOverwriteMode", "dynamic").text(path)
+
+
 def write_rejects(df: DataFrame, path: str, reason_col: str = "reject_reason") -> None:
     """K5: rejected rows partitioned by reason."""
     write_table(df.filter(F.col(reason_col).isNotNull()), path, partition_by=[reason_col])

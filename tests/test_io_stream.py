@@ -21,6 +21,54 @@ def test_partition_tree_with_colon_paths(spark, tmp_dir):
     assert got == [("a0", 0, 2), ("a1", 1, 2), ("b0", 0, 2), ("b1", 1, 2)]
     only = io.read_partition_tree(spark, tmp_dir, "id string", only={"persona_seed": 1})
     assert sorted(r["id"] for r in only.collect()) == ["a1", "b1"]
+    assert len(df.inputFiles()) == 2 and len(only.inputFiles()) == 1       # the other seed's file is never opened
+    with open(os.path.join(tmp_dir, "persona_seed:0", "session_num:2", "final_output.jsonl"), "w") as f:
+        f.write("not json")
+    strict = io.read_partition_tree(spark.newSession(), tmp_dir, "id string", only={"persona_seed": 1, "session_num": 2})
+    assert sorted(r["id"] for r in strict.collect()) == ["a1", "b1"]
+    none = io.read_partition_tree(spark, tmp_dir, "id string", only={"persona_seed": 5})
+    assert none.count() == 0 and none.columns == ["id", "persona_seed", "session_num"]
+
+
+def test_json_documents_one_array_per_seed(spark, tmp_dir):
+    rows = [(7, 0, 'é "x"\n]', None), (3, 0, "", 1.5), (5, 1, None, 2.0), (9, None, "no seed", None)] + [(i, 2, "t" * 50, float(i)) for i in range(10, 700)]
+    df = spark.createDataFrame(rows, "id int, persona_seed int, t string, v double").repartition(5)
+    out = os.path.join(tmp_dir, "docs")
+    io.write_json_documents(df, out, order=["id"])
+
+    def documents():
+        found = {}
+        for folder in os.listdir(out):
+            parts = [f for f in os.listdir(os.path.join(out, folder)) if f.startswith("part-")] if "=" in folder else []
+            for part in parts:
+                with open(os.path.join(out, folder, part), encoding="utf-8") as f:
+                    text = f.read()
+                found[folder.split("=")[1]] = json.loads(text), text
+            assert len(parts) < 2
+        return found
+    found = documents()
+    assert found["0"][0] == [{"id": 3, "t": "", "v": 1.5}, {"id": 7, "t": 'é "x"\n]', "v": None}] and "é" in found["0"][1]
+    assert found["1"][0] == [{"id": 5, "t": None, "v": 2.0}] and found["__HIVE_DEFAULT_PARTITION__"][0][0]["id"] == 9
+    assert [r["id"] for r in found["2"][0]] == list(range(10, 700))
+    io.write_json_documents(df.filter("id = 5").withColumn("t", F.lit("new")), out)       # one seed again: the others stay
+    again = documents()
+    assert again["1"][0] == [{"id": 5, "t": "new", "v": 2.0}] and again["2"] == found["2"]
+    back = io.read_json_array(spark, out, "id int, t string, v double, persona_seed int")
+    assert back.count() == len(rows) and back.filter("persona_seed = 2").count() == 690
+    io.write_json_documents(df.filter("false"), os.path.join(tmp_dir, "empty"))
+
+
+def test_jsonl_is_strict(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "x.jsonl")
+    with open(path, "w") as f:
+        f.write('{"a": 1}\n{"a": \n')
+    assert io.read_jsonl(spark, path, "a int", strict=False).count() == 2
+    try:
+        io.read_jsonl(spark, path, "a int").collect()
+    except Exception as e:  # noqa: BLE001
+        assert "MALFORMED" in str(e).upper()
+    else:
+        raise AssertionError("a malformed line was read")
 
 
 def test_read_or_empty_and_missing_tree(spark, tmp_dir):
