@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from curatio.standins import (persona, commonsense, events, dialogue, faces,  # noqa: F401
-                                  images, worklists, texts, streams, requests, stages, sources)
+                                  images, worklists, texts, streams, requests, stages, sources, assembly)
