@@ -61,12 +61,6 @@ EXCLUDED_CATEGORIES = [
     "Personal Characteristic ⊃ Physical Attribute", "Location ⊃ Birthplace",
 ]
 # country -> alpha-2 code
-COUNTRY_ALPHA2 = {
-    "United States of America": "US", "China": "CN", "Japan": "JP", "India": "IN", "United Arab Emirates": "AE",
-    "France": "FR", "Germany": "DE", "Italy": "IT", "South Korea": "KR", "Saudi Arabia": "SA", "Kazakhstan": "KZ",
-    "Brazil": "BR", "Mexico": "MX", "Egypt": "EG", "Argentina": "AR", "Russia": "RU", "United Kingdom": "GB",
-    "Spain": "ES", "Canada": "CA",
-}
 
 # ---- fixed values: prompt formats -------------------------------------------------
 PERSONA_TEMPLATE = (
@@ -86,7 +80,6 @@ DEMO_SENTENCE = "I am a {age}-year-old {gender}. I was born in {birthplace}, I c
 NARRATIVE_TEMPLATE = "{sentence}\n\nRewrite this sentence with more specific details in two or three sentences: "
 EVENT_TEMPLATE = "{name}'s initial personal event: {event}\n\nGiven the {name}'s initial personal event, generate the temporal event graph containing more than five events.\nTemporal Event Graph: "
 ALBUM_TEMPLATE = "{sentence}\n\nImage descriptions stored on {name}'s mobile device:\n1. "
-FACE_TEMPLATE = "Profile Information:\n- Age: {age}\n- Gender: {gender}\n- Nationality: {nationality}\n\nHuman Description: "
 PLAN_TEMPLATE = "Name: {name}\nGender: {gender}\nAge: {age}\nImage Description: {image_description}\nModule:"
 SUMMARY_TEMPLATE = (
     "The current time and date are {current_date}. {name} and AI assistant talked today and had the following "

@@ -80,10 +80,6 @@ def render(template: str, **slots) -> Column:
     return F.concat(*out) if out else F.lit("")
 
 
-def template_slots(template: str) -> list[str]:
-    return re.findall(r"\{(\w+)\}", template)
-
-
 def count_substr(c, sub: str) -> Column:
     """Python ``str.count(sub)`` for a non-empty literal ``sub``."""
     c = col_(c)

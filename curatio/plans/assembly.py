@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from curatio import constants as K
 from curatio.functions import text as T
 from curatio.functions.draws import stable_id
-from curatio.plans.episodes import INT_TEXT, flatten_line, inferred_speaker, normalise_speaker
+from curatio.plans.episodes import INT_TEXT, enumerate_album, flatten_line, inferred_speaker, normalise_speaker
 
 PERSONA = ["name", "age", "gender", "birthplace", "residence", "persona_category", "persona_sent", "persona_key", "persona_value",
            "commonsense_relation", "narrative_sentence_form", "event_sequence"]
@@ -129,20 +129,15 @@ def episodes(sessions: DataFrame, names: DataFrame | None = None, descriptions:
     def session(s, i):
         before = F.size("_start") + _new_before(F.col("_s"), i)
         device = F.slice(album, F.lit(1), before)
-        whole = F.when(i == F.size("_s") - 1, enumerated(album))
+        whole = F.when(i == F.size("_s") - 1, enumerate_album(album))
         return F.struct(
-            s["session_number"].alias("session_number"), *[s[c].alias(c) for c in SLOTS], enumerated(device).alias("mobile_device"),
+            s["session_number"].alias("session_number"), *[s[c].alias(c) for c in SLOTS], enumerate_album(device).alias("mobile_device"),
             F.transform(s["dialogue"], lambda u, j: turn(u, s["session_number"], before + _new_before(s["dialogue"], j))).alias("dialogue"),
             whole.alias("last_added_mobile_device_image"))
 
     return ep.select("unique_id", *[first["persona"][c].alias(c) for c in PERSONA], F.transform("_s", session).alias("episode"))
 
 
-def enumerated(album: Column) -> Column:
-    """``[{image_id, image_description}]``."""
-    return F.transform(album, lambda d, i: F.struct(i.alias("image_id"), d.alias("image_description")))
-
-
 def _rewrite(ep: DataFrame, turn) -> DataFrame:
     """Every turn of every session replaced by ``turn(session, u)``."""
     return ep.withColumn("episode", F.transform("episode", lambda s: s.withField("dialogue", F.transform(s["dialogue"], lambda u: turn(s, u)))))

@@ -95,20 +95,36 @@ def commonsense_parse(gen: DataFrame, generation_col: str = "generation", attr_c
 
 
 def pick_names(people: DataFrame, pool: DataFrame, seed: int, key_cols: list[str],
-               pool_key: list[str], pool_order: str, pool_bucket) -> DataFrame:
-    """A uniform draw from the name pool of the person's (country, gender).
+               pool_key: list[str], pool_order: str, pool_bucket, combined: dict[str, list[str]] | None = None) -> DataFrame:
+    """A uniform draw from the name pool of the person's (country, gender). ``combined`` names values of the
+    last key column whose pool is other pools one behind the other (``Non-binary``: male, then female names).
 
     Pool members are numbered within their pool by a skew-safe position (a huge
     pool is spread over order-preserving buckets, not ranked in one task); the
-    person's draw ``h % pool_size`` is then an equi-join on ``(pool…, idx)``.
+    person's draw ``h % pool_size`` is then an equi-join on ``(pool…, idx)``. A combined pool is not copied: the
+    draw falls into one of its parts, and the place in that part is looked up.
     People whose pool is empty are returned too, with ``reject_reason`` 'empty_pool' and
     null pool columns (the source raises); everyone else's ``reject_reason`` is null."""
     numbered = positions(pool, [pool_order], pool_bucket, group=pool_key, pos_col="_idx", size_col="_size")
-    sizes = numbered.select(*pool_key, "_size").distinct()
-    p = people.join(sizes, pool_key, "left")
-    p = p.withColumn("_idx", draw(seed, "name", F.col("_size"), *key_cols))
-    p = p.withColumn("reject_reason", F.when(F.col("_size").isNull(), F.lit("empty_pool")))
-    return p.join(numbered.drop("_size"), [*pool_key, "_idx"], "left").drop("_idx", "_size")
+    sizes = numbered.groupBy(*pool_key).agg(F.first("_size").alias("_size"))
+    label = pool_key[-1]
+    uses = F.array(F.struct(F.col(label).alias("label"), F.lit(0).alias("at")), *[
+        F.when(F.col(label) == part, F.struct(F.lit(name).alias("label"), F.lit(i).alias("at")))
+        for name, parts in (combined or {}).items() for i, part in enumerate(parts)])
+    used = sizes.select(*pool_key[:-1], F.col(label).alias("_part"), "_size", F.explode(F.filter(uses, lambda u: u.isNotNull())).alias("u"))
+    pools = used.groupBy(*pool_key[:-1], F.col("u.label").alias(label)).agg(
+        F.sum("_size").alias("_total"), F.array_sort(F.collect_list(F.struct("u.at", "_part", "_size"))).alias("_parts"))
+    p = people.join(pools, pool_key, "left")
+    p = p.withColumn("_idx", draw(seed, "name", F.col("_total"), *key_cols))
+    p = p.withColumn("reject_reason", F.when(F.col("_total").isNull(), F.lit("empty_pool")))
+    # the part the draw falls into, and the place in it
+    start = F.struct(F.lit(None).cast("string").alias("part"), F.lit(None).cast("bigint").alias("idx"), F.col("_idx").alias("left"))
+    found = F.aggregate("_parts", start, lambda a, s: F.when(a["part"].isNotNull(), a).when(
+        a["left"] < s["_size"], F.struct(s["_part"].cast("string").alias("part"), a["left"].alias("idx"), a["left"].alias("left")))
+        .otherwise(F.struct(a["part"].alias("part"), a["idx"].alias("idx"), (a["left"] - s["_size"]).alias("left"))))
+    p = p.withColumn("_found", found).withColumn("_part", F.col("_found.part")).withColumn("_idx", F.col("_found.idx"))
+    names = numbered.withColumn("_part", F.col(label).cast("string")).drop("_size", label)
+    return p.join(names, [*pool_key[:-1], "_part", "_idx"], "left").drop("_idx", "_total", "_parts", "_found", "_part")
 
 
 def narrative_requests(ck: DataFrame, attr_col: str = "sent") -> DataFrame:

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatio.functions import text as T
 from curatio.functions.literal import parse_literal
 from curatio.operators.core import report
 
+# fixed values: node and edge keys of an event graph
 NODE_KEYS = ["id", "event", "date", "caused_by"]
 EDGE_KEYS = ["caused_by:id", "caused_by:time_interval", "caused_by:experience_op", "caused_by:experience"]
 # Spellings repaired to the canonical keys
@@ -92,15 +93,17 @@ def session_views(nodes: DataFrame, graph_key: list[str]) -> DataFrame:
     ``session_number = node_pos + 1``, ``last_date`` = previous node's date,
     ``history_before`` = '- date: event' lines of earlier nodes (the prompt's),
     ``history_event`` = the same including the current node (the source's column)."""
-    w = Window.partitionBy(*graph_key).orderBy("node_pos")
-    line = F.concat(F.lit("- "), F.col("date"), F.lit(": "), F.col("event"))
-    return (nodes.withColumn("session_number", (F.col("node_pos") + 1).cast("bigint"))
-            .withColumn("last_date", F.lag("date").over(w))
-            .withColumn("last_event", F.lag("event").over(w))
-            .withColumn("history_before", F.array_join(
-                F.collect_list(line).over(w.rowsBetween(Window.unboundedPreceding, -1)), "\n"))
-            .withColumn("history_event", F.array_join(
-                F.collect_list(line).over(w.rowsBetween(Window.unboundedPreceding, 0)), "\n")))
+    others = [c for c in nodes.columns if c not in graph_key]
+    row = F.struct("node_pos", *[c for c in others if c != "node_pos"])
+    graph = nodes.groupBy(*graph_key).agg(F.array_sort(F.collect_list(row)).alias("_n"))
+    lines = F.transform("_n", lambda n: F.concat(F.lit("- "), n["date"], F.lit(": "), n["event"]))
+    # one array of lines per graph, sliced per node (null lines drop out, as a missing date or event has none)
+    x = graph.withColumn("_lines", lines).select(*graph_key, "_n", "_lines", F.posexplode("_n").alias("_i", "_r"))
+    upto = lambda n: F.array_join(F.slice("_lines", F.lit(1), n), "\n")
+    return x.select(
+        *graph_key, *[F.col(f"_r.{c}").alias(c) for c in others], (F.col("_r.node_pos") + 1).cast("bigint").alias("session_number"),
+        F.get("_n", F.col("_i") - 1)["date"].alias("last_date"), F.get("_n", F.col("_i") - 1)["event"].alias("last_event"),
+        upto(F.col("_i")).alias("history_before"), upto(F.col("_i") + 1).alias("history_event"))
 
 
 def eligible(graphs: DataFrame, target_session: int, size_col: str = "n_events") -> DataFrame:
@@ -108,6 +111,7 @@ def eligible(graphs: DataFrame, target_session: int, size_col: str = "n_events")
     return graphs.filter(F.col(size_col) >= target_session)
 
 
+# fixed value: the interval format
 INTERVAL_RE = r"(\d+) (hour|day|week|month|year)"
 
 

@@ -188,8 +188,9 @@ def session_round_requests(state: DataFrame, n: int) -> DataFrame:
 def session_round_parse(rows: DataFrame) -> DataFrame:
     """C8 parse of one round; an accepted session's album goes on with its new images appended."""
     from curatio.plans.dialogue import dialogue_parse, new_album_images
+    from curatio.plans.episodes import extend_album
     parsed = dialogue_parse(rows).annotated.withColumn("reject_reason", F.when(F.col("verdict") != "ok", F.col("verdict")))
-    grown = F.concat("album", F.coalesce(new_album_images(F.col("utterances")), F.array().cast("array<string>")))
+    grown = extend_album(F.col("album"), F.coalesce(new_album_images(F.col("utterances")), F.array().cast("array<string>")))
     return parsed.withColumn("album_before", F.size("album").cast("bigint")) \
         .withColumn("album", F.when(F.col("reject_reason").isNull(), grown).otherwise(F.col("album"))).drop("verdict", "shape", "n_items")
 

@@ -66,6 +66,7 @@ def backend_counts(worklist: DataFrame) -> DataFrame:
 
 @dataclass
 class Attached:
+    rows: DataFrame       # every request with its first completion, if any, and ``pending``
     attached: DataFrame   # requests with their first completion
     pending: DataFrame    # requests without any completion (still to call)
 
@@ -76,16 +77,17 @@ def attach_completions(requests: DataFrame, completions: DataFrame, key: str = "
     request) joined onto the requests; requests without one are pending."""
     first = dedupe_first(completions, [key], [seq] if isinstance(seq, str) else list(seq)) \
         .withColumn("_has", F.lit(True))
-    # one left join serves both outputs (the two filters share the join's exchanges)
-    joined = requests.join(first, key, "left")
-    has = F.col("_has").isNotNull()
-    return Attached(joined.filter(has).drop("_has"), joined.filter(~has).select(*requests.columns))
+    # each output that is run on its own runs the join: take ``rows`` where both are wanted
+    rows = requests.join(first, key, "left").withColumn("pending", F.col("_has").isNull()).drop("_has")
+    return Attached(rows, rows.filter(~F.col("pending")).drop("pending"), rows.filter("pending").select(*requests.columns))
 
 
-def token_usage(attached: DataFrame, by: list[str]) -> DataFrame:
-    """A10: token sums per group (the source stores them per call only)."""
-    return attached.groupBy(*by).agg(F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
-                                     F.sum("completion_tokens").cast("bigint").alias("completion_tokens"))
+def token_usage(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A10 over ``Attached.rows``: requests, attached, pending and token sums per group in one aggregate (the source
+    stores tokens per call only)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    return rows.groupBy(*by).agg(F.count("*").alias("n_requests"), F.count_if(~F.col("pending")).alias("n_attached"),
+                                 F.count_if("pending").alias("n_pending"), total("prompt_tokens"), total("completion_tokens"))
 
 
 def shard(df: DataFrame, order: list[str], bucket, k: int = K.DEFAULT_SHARDS,

@@ -155,3 +155,30 @@ def narrative_names(spark, sf_dir):
     named = C.pick_names(p, pool, 42, ["c_custkey"], ["c_nationkey", "gender"], "s_suppkey", bucket)
     return C.narrative_requests(named).select(
         "c_custkey", "name", "reject_reason", F.col("narrative_prompt").alias("prompt"))
+
+
+@query("narrative_names_combined", f"""WITH {PEOPLE_SQL},
+pool AS (
+  SELECT s_nationkey, s_suppkey % 2 AS g, s_name, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) - 1 AS idx FROM supplier
+), sizes AS (SELECT s_nationkey, count(*) FILTER (WHERE g = 0) AS m, count(*) FILTER (WHERE g = 1) AS f FROM pool GROUP BY 1
+), who AS (
+  SELECT people.*, CASE WHEN c_custkey % 3 = 0 THEN 'Non-binary' ELSE gender END AS label FROM people
+), drawn AS (
+  SELECT who.*, m, {sql_draw(42, 'name', "nullif(CASE label WHEN 'Non-binary' THEN m + f WHEN 'Male' THEN m ELSE f END, 0)", 'c_custkey')} AS i
+  FROM who LEFT JOIN sizes ON s_nationkey = c_nationkey
+)
+SELECT c_custkey, label AS gender, s_name AS name, CASE WHEN i IS NULL THEN 'empty_pool' END AS reject_reason
+FROM drawn LEFT JOIN pool ON pool.s_nationkey = c_nationkey
+  AND g = CASE WHEN label = 'Female' OR (label = 'Non-binary' AND i >= m) THEN 1 ELSE 0 END
+  AND idx = CASE WHEN label = 'Non-binary' AND i >= m THEN i - m ELSE i END""")
+def narrative_names_combined(spark, sf_dir):
+    """J4 with every third person drawing from male ++ female names."""
+    t = Tables(spark, sf_dir)
+    p = people(t).withColumn("gender", F.when(F.col("c_custkey") % 3 == 0, "Non-binary").otherwise(F.col("gender")))
+    s = t.supplier
+    pool = s.select(F.col("s_nationkey").alias("c_nationkey"),
+                    F.element_at(F.array(*[F.lit(g) for g in K.GENDERS]), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("gender"),
+                    "s_suppkey", F.col("s_name").alias("name"))
+    bucket = quantile_bucket(pool, "s_suppkey", default_buckets(s.count(), 50_000))
+    named = C.pick_names(p, pool, 42, ["c_custkey"], ["c_nationkey", "gender"], "s_suppkey", bucket, {"Non-binary": ["Male", "Female"]})
+    return named.select("c_custkey", "gender", "name", "reject_reason")

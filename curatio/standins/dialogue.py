@@ -419,18 +419,29 @@ def literal_generations(utt):
 
 
 @query("literal_parse", f"""WITH {UTT_SQL},
-s AS (SELECT unique_id, session_number, max(conv_id) AS conv_id, count(*) AS n_turns FROM utt GROUP BY 1, 2)
+s AS (
+  SELECT unique_id, session_number, max(conv_id) AS conv_id, count(*) AS n_turns,
+    string_agg(CAST(utterance_id AS VARCHAR) || ' ' || speaker_raw || ': ' || utterance, chr(10) ORDER BY utterance_id, item_pos) AS content
+  FROM utt GROUP BY 1, 2
+)
 SELECT unique_id, session_number,
   CASE WHEN (conv_id + session_number) % 6 IN (0, 4) THEN 'syntax:fail'
        WHEN (conv_id + session_number) % 6 = 3 OR n_turns = 1 THEN 'parse:fail' ELSE 'ok' END AS verdict,
   CASE WHEN (conv_id + session_number) % 6 IN (0, 4) THEN NULL
        WHEN (conv_id + session_number) % 6 = 3 THEN 'dict' ELSE 'list' END AS shape,
-  CAST(CASE WHEN (conv_id + session_number) % 6 IN (0, 3, 4) THEN -1 ELSE n_turns END AS BIGINT) AS n_items
+  CAST(CASE WHEN (conv_id + session_number) % 6 IN (0, 3, 4) THEN -1 ELSE n_turns END AS BIGINT) AS n_items,
+  CASE WHEN (conv_id + session_number) % 6 NOT IN (0, 3, 4) THEN content END AS content
 FROM s""")
 def literal_parse(spark, sf_dir):
     gens = literal_generations(utterances(Tables(spark, sf_dir).conversations))
     r = DG.dialogue_parse(gens).annotated
-    return r.select("unique_id", "session_number", "verdict", "shape", F.col("n_items").cast("bigint"))
+    return r.select("unique_id", "session_number", "verdict", "shape", F.col("n_items").cast("bigint"), _spoken().alias("content"))
+
+
+def _spoken(*more) -> F.Column:
+    """Whole text of the parsed utterances, each with ``more(utterance)`` behind it."""
+    line = lambda u: F.concat(u["utterance_id"], F.lit(" "), u["speaker"], F.lit(": "), u["utterance"], *[m(u) for m in more])
+    return F.array_join(F.transform("utterances", line), "\n")
 
 
 def _full_sharing():
@@ -461,7 +472,10 @@ VALIDATE_SQL = f"""WITH {UTT_SQL},
 s AS (
   SELECT unique_id, session_number, max(conv_id) AS conv_id, count(*) AS n_turns,
     sum(CASE WHEN sh_rationale = '' AND sh_description = '' AND sh_source = '' AND sh_keywords = '' AND coalesce(sh_id, '') = '' THEN 1 ELSE 0 END) AS n_empty,
-    sum(CASE WHEN sh_rationale <> '' AND sh_description = '' AND sh_source = '' AND sh_keywords = '' AND coalesce(sh_id, '') = '' THEN 1 ELSE 0 END) AS n_rat
+    sum(CASE WHEN sh_rationale <> '' AND sh_description = '' AND sh_source = '' AND sh_keywords = '' AND coalesce(sh_id, '') = '' THEN 1 ELSE 0 END) AS n_rat,
+    string_agg(CAST(utterance_id AS VARCHAR) || ' ' || speaker_raw || ': ' || utterance || CASE WHEN (conv_id * 3 + session_number) % 5 = 4
+      THEN ' | ' || sh_rationale || ' | ' || sh_description || ' | ' || sh_source || ' | ' || sh_keywords || ' | ' || coalesce(sh_id, '-') ELSE '' END,
+      chr(10) ORDER BY utterance_id, item_pos) AS content
   FROM utt GROUP BY 1, 2
 ), v AS (
   SELECT *, CASE WHEN n_turns = 1 THEN 'parse:fail' WHEN (conv_id * 3 + session_number) % 5 IN (1, 2, 3) THEN 'key:fail'
@@ -469,16 +483,38 @@ s AS (
 )
 SELECT unique_id, session_number, verdict, CAST(n_turns AS BIGINT) AS n_items,
   CAST(CASE WHEN verdict = 'ok' AND (conv_id * 3 + session_number) % 5 = 4 THEN n_empty ELSE 0 END AS BIGINT) AS n_all_empty,
-  CAST(CASE WHEN verdict = 'ok' AND (conv_id * 3 + session_number) % 5 = 4 THEN n_rat ELSE 0 END AS BIGINT) AS n_only_rationale
+  CAST(CASE WHEN verdict = 'ok' AND (conv_id * 3 + session_number) % 5 = 4 THEN n_rat ELSE 0 END AS BIGINT) AS n_only_rationale,
+  CASE WHEN verdict = 'ok' THEN content END AS content
 FROM v"""
 
 
 @query("dialogue_validate", VALIDATE_SQL)
 def dialogue_validate(spark, sf_dir):
     gens = validation_generations(utterances(Tables(spark, sf_dir).conversations))
-    r = DG.sharing_stats(DG.dialogue_parse(gens).annotated)
+    return validated(DG.dialogue_parse(gens).annotated)
+
+
+def validated(annotated):
+    """Verdicts and counts and, of accepted generations, everything that was parsed."""
+    def sharing(u):
+        m = F.from_json(u["sharing_info"], "map<string,string>")
+        return F.when(F.size(m) > 0, F.concat(*[F.concat(F.lit(" | "), F.coalesce(m[k], F.lit("-"))) for k in (
+            "rationale", "image_description", "image_source", "keywords", "image_id_from_mobile")])).otherwise("")
+    r = DG.sharing_stats(annotated)
     return r.select("unique_id", "session_number", "verdict", F.col("n_items").cast("bigint"),
-                    F.col("n_all_empty").cast("bigint"), F.col("n_only_rationale").cast("bigint"))
+                    F.col("n_all_empty").cast("bigint"), F.col("n_only_rationale").cast("bigint"),
+                    F.when(F.col("verdict") == "ok", _spoken(sharing)).alias("content"))
+
+
+@query("dialogue_report", f"""WITH v AS ({VALIDATE_SQL})
+SELECT 'dialogue' AS stage, metric, CAST(value AS BIGINT) AS value FROM (
+  SELECT 'dialogue_syntax:fail' AS metric, 0 AS value
+  UNION ALL SELECT 'dialogue_parse:fail', count(*) FILTER (WHERE verdict = 'parse:fail') FROM v
+  UNION ALL SELECT 'dialogue_key_existence:fail', count(*) FILTER (WHERE verdict = 'key:fail') FROM v
+  UNION ALL SELECT 'dialogue:total', count(*) FROM v)""")
+def dialogue_report(spark, sf_dir):
+    """A1 under the dialogue stage's metric names."""
+    return DG.dialogue_parse(validation_generations(utterances(Tables(spark, sf_dir).conversations))).report
 
 
 # ---- J7 / W9 / X23 / P6 -------------------------------------------------------------------

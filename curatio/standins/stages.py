@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatio import constants as K
+from curatio.operators.core import union_reports
 from curatio.plans import stage as ST
 from curatio.session import scratch_path
 from curatio.sources.testdata import Tables
@@ -127,10 +128,7 @@ SELECT stage, metric, CAST(value AS BIGINT) AS value FROM (
       (SELECT count(*) FROM asked WHERE bad), 0, (SELECT count(*) FROM asked)]))""")
 def stage_reports(spark, sf_dir):
     """The reports of all stages of the chain (A1, K4), each counted in its stage's one write."""
-    out = None
-    for got in _chain(spark, sf_dir).values():
-        out = got.report if out is None else out.unionByName(got.report)
-    return out
+    return union_reports(*[got.report for got in _chain(spark, sf_dir).values()])
 
 
 # ---- C8: six rounds ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from curatio.plans import dialogue as DG
 from curatio.session import scratch_path
 from curatio.sources.testdata import Tables
-from curatio.standins.dialogue import VALIDATE_SQL, utterances, validation_generations
+from curatio.standins.dialogue import VALIDATE_SQL, utterances, validated, validation_generations
 from curatio.standins.registry import query
 from curatio.streaming.ingest import ingest
 
@@ -17,9 +17,7 @@ SCHEMA = "unique_id string, session_number bigint, conv_id bigint, generation st
 
 
 def _parse(batch):
-    r = DG.sharing_stats(DG.dialogue_parse(batch).annotated)
-    return r.select("unique_id", "session_number", "verdict", F.col("n_items").cast("bigint"),
-                    F.col("n_all_empty").cast("bigint"), F.col("n_only_rationale").cast("bigint"))
+    return validated(DG.dialogue_parse(batch).annotated)
 
 
 @query("stream_ingest_parse", VALIDATE_SQL)
@@ -53,5 +51,5 @@ def stream_persona_unique(spark, sf_dir):
     gens.repartition(4, "seq").write.mode("overwrite").json(f"{base}/in")
     out = ingest_unique(spark, f"{base}/in", "seq bigint, generation string, persona_entity_key string",
                         f"{base}/out", f"{base}/checkpoint", _accept, ["sent"], ["seq", "piece_idx"],
-                        max_files_per_trigger=1)
+                        max_files_per_trigger=1, buckets=8)
     return out.select("sent", "key", "value", "seq", F.col("piece_idx").cast("bigint").alias("piece_idx"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curatio import constants as K
 from curatio.functions import text as T
 from curatio.functions.draws import order_key, sql_order_key
+from curatio.operators import core
 from curatio.operators.core import dedupe_first, prefix_columns
 from curatio.sources.testdata import Tables
 from curatio.standins import sqlutil as S
@@ -44,6 +45,22 @@ def sample_n(spark, sf_dir):
     return d.orderBy(order_key(42, "sample", "doc_id")).limit(100)
 
 
+@query("sample_share", f"""SELECT doc_id, n_chars, lang FROM (
+  SELECT *, row_number() OVER (ORDER BY {sql_order_key(43, 'share', 'doc_id')}) AS r, count(*) OVER () AS n FROM documents) WHERE r <= n // 10""")
+def sample_share(spark, sf_dir):
+    """O3 for a large n: a tenth of all documents, by counts per key range and one filter."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "n_chars", "lang")
+    return core.sample_n(d, d.count() // 10, order_key(43, "share", "doc_id"))
+
+
+@query("utf8_repair", "SELECT doc_id, text || chr(65533) || '!' AS text, CAST(0 AS BIGINT) AS was_valid FROM documents")
+def utf8_repair(spark, sf_dir):
+    """Documents as bytes with a broken byte before the end."""
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF21")))
+    d = Tables(spark, sf_dir).documents.select("doc_id", raw.alias("raw"))
+    return d.select("doc_id", T.repair_utf8("raw").alias("text"), T.is_valid_utf8("raw").cast("bigint").alias("was_valid"))
+
+
 def _tagged(d):
     m = F.col("doc_id") % 3
     return d.select("doc_id", F.when(m == 0, F.concat(F.lit("<RET> <h>"), "text", F.lit("</h> trailing")))

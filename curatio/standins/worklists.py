@@ -96,18 +96,7 @@ def completion_attach(spark, sf_dir):
                              (F.floor("l_extendedprice").cast("bigint") % 1000).alias("completion_tokens"))
     # (order, line number) repeats in lineitem: tie-break on the token values
     a = W.attach_completions(req, comp, seq=["seq", "prompt_tokens", "completion_tokens"])
-    att = a.attached.groupBy("persona_seed").agg(
-        F.count("*").alias("n_attached"),
-        F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
-        F.sum("completion_tokens").cast("bigint").alias("completion_tokens"))
-    pend = a.pending.groupBy("persona_seed").agg(F.count("*").alias("n_pending"))
-    out = att.join(pend, "persona_seed", "full")
-    return out.select("persona_seed",
-                      (F.coalesce("n_attached", F.lit(0)) + F.coalesce("n_pending", F.lit(0))).alias("n_requests"),
-                      F.coalesce("n_attached", F.lit(0)).alias("n_attached"),
-                      F.coalesce("n_pending", F.lit(0)).alias("n_pending"),
-                      F.coalesce("prompt_tokens", F.lit(0)).cast("bigint").alias("prompt_tokens"),
-                      F.coalesce("completion_tokens", F.lit(0)).cast("bigint").alias("completion_tokens"))
+    return W.token_usage(a.rows, ["persona_seed"])
 
 
 SHARDS = 200
@@ -132,7 +121,8 @@ def ntile_shards(spark, sf_dir):
     per = sharded.join(lines, sharded["o_orderkey"] == lines["l_orderkey"], "left").groupBy("chunk_idx").agg(
         F.count("*").alias("n_orders"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.min("o_orderkey").alias("min_orderkey"), F.max("o_orderkey").alias("max_orderkey"))
-    return per.withColumn("pending", (F.col("chunk_idx") > last).cast("bigint"))
+    todo = W.resume_filter(per, last).select("chunk_idx", F.lit(1).cast("bigint").alias("pending"))
+    return per.join(todo, "chunk_idx", "left").withColumn("pending", F.coalesce("pending", F.lit(0).cast("bigint")))
 
 
 @query("seed_buckets", f"""SELECT p_partkey, pos, pos // 100 AS persona_seed FROM (

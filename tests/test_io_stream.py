@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from curatio.sources import io
-from curatio.streaming.ingest import ingest
+from curatio.streaming.ingest import ingest, ingest_unique
 
 
 def test_partition_tree_with_colon_paths(spark, tmp_dir):
@@ -178,3 +178,35 @@ def test_session_requests_for_target(spark):
     got = session_requests_for(df, ["g"], 4).collect()
     assert [(r["g"], r["session_number"]) for r in got] == [(2, 4)]
     assert session_requests_for(df, ["g"], 6).count() == 0
+
+
+def test_ingest_without_files_is_empty(spark, tmp_dir):
+    os.makedirs(os.path.join(tmp_dir, "in"))
+    args = (spark, os.path.join(tmp_dir, "in"), "id long, g long")
+    got = ingest(*args, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"), lambda b: b.withColumn("x", F.col("id")))
+    assert got.count() == 0 and got.columns == ["id", "g", "x", "batch_id"]
+    got = ingest_unique(*args, os.path.join(tmp_dir, "out2"), os.path.join(tmp_dir, "ck2"), lambda b: b, ["g"], ["id"])
+    assert got.count() == 0 and got.columns == ["id", "g"]
+
+
+def test_unique_ingest_touches_only_its_keys(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("in", "out", "ck"))
+
+    def go():
+        rows = ingest_unique(spark, src, "k string, seq long, v string", out, ck, lambda b: b, ["k"], ["seq"], buckets=64)
+        return sorted(((r["k"], r["seq"], r["v"]) for r in rows.collect()), key=str)
+
+    def add(rows):
+        spark.createDataFrame(rows, "k string, seq long, v string").coalesce(1).write.mode("append").json(src)
+    add([(f"k{i % 50}", 100 + i, f"a{i}") for i in range(200)])
+    first = go()
+    assert set(first) == {(f"k{i}", 100 + i, f"a{i}") for i in range(50)} and len(first) == 50
+    add([("k3", 5, "earlier"), ("k4", 900, "later"), ("new", 1, "n"), (None, 2, "null key")])
+    second = go()
+    want = {k: (k, s, v) for k, s, v in first} | {"k3": ("k3", 5, "earlier"), "new": ("new", 1, "n")}
+    assert {x for x in second if x[0] is not None} == set(want.values()) and (None, 2, "null key") in second
+    batches = sorted(os.listdir(os.path.join(out, "rows")))
+    assert len(batches) == 2
+    parts = [d for d in os.listdir(os.path.join(out, "rows", batches[1])) if d.startswith("bucket=")]
+    assert len(parts) <= 4                                     # four keys, so four parts at most
+    assert go() == second                                      # nothing new

@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from curatio import constants as K
@@ -247,3 +248,37 @@ def test_turn_with_two_images_is_one_utterance(spark):
     [req] = E.speaker_fix_requests(items).collect()
     assert req.utterance_id == 2 and req.item_pos == 0
     assert req.prompt.count("Bob: [Sharing Image]") == 1 and "Ann: hi\nBob: [Sharing Image]\n<SPEAKER>: [Sharing Image]" in req.prompt
+
+
+def test_sample_n_is_the_prefix_of_the_seeded_order(spark, monkeypatch):
+    from curatio.functions.draws import order_key
+    from curatio.operators import core
+    monkeypatch.setattr(core, "SAMPLE_REST", 3)
+    rows = [(i % 900, i % 7) for i in range(1500)]                    # repeated keys, repeated rows
+    df = spark.createDataFrame(rows, "id long, v long").repartition(5)
+    keys = sorted((r["k"], r["id"], r["v"]) for r in df.select(order_key(1, "s", "id").alias("k"), "id", "v").collect())
+    for digits in (1, 4):
+        monkeypatch.setattr(core, "SAMPLE_DIGITS", digits)
+        for n in (0, 1, 17, 900, 1499, 1500, 2000):
+            got = sorted((r["id"], r["v"]) for r in core.sample_n(df, n, order_key(1, "s", "id")).collect())
+            assert got == sorted((i, v) for _, i, v in keys[:n]), (digits, n)
+    assert core.sample_n(df.filter("false"), 5, order_key(1, "s", "id")).count() == 0
+    with pytest.raises(ValueError, match="fewer"):
+        core.sample_n(df, 1501, order_key(1, "s", "id"), strict=True)
+    assert core.sample_n(df, 1500, order_key(1, "s", "id"), strict=True).count() == 1500
+
+
+def test_combined_pool_is_male_then_female(spark):
+    from hashlib import md5
+
+    from curatio.plans import commonsense as C
+    people = spark.createDataFrame([(i, i % 4, ["Male", "Female", "Non-binary"][i % 3]) for i in range(300)], "id long, nation int, gender string")
+    rows = [(n, g, f"{n}{g[0]}{i}", i) for n in range(3) for g, k in (("Male", 3 * n), ("Female", 5)) for i in range(k)]      # nation 0: no men; 3: nobody
+    pool = spark.createDataFrame(rows, "nation int, gender string, name string, o long")
+    got = {r["id"]: r for r in C.pick_names(people, pool, 7, ["id"], ["nation", "gender"], "o", F.lit(0).cast("bigint"), {"Non-binary": ["Male", "Female"]}).collect()}
+    assert len(got) == 300
+    for i in range(300):
+        n, g = i % 4, ["Male", "Female", "Non-binary"][i % 3]
+        names = [x[2] for part in (["Male", "Female"] if g == "Non-binary" else [g]) for x in rows if x[0] == n and x[1] == part]
+        want = names[int(md5(f"7|name|{i}".encode()).hexdigest()[:8], 16) % len(names)] if names else None
+        assert got[i]["name"] == want and got[i]["reject_reason"] == (None if names else "empty_pool") and got[i]["gender"] == g
