@@ -174,3 +174,13 @@ PERSONA_SYSTEM_MESSAGE = (
     'sentences and entity values. The persona sentence can express a positive sentiment (like) or a negative one '
     '(dislike). \n\nFor example, \n\n{example}'
 )
+
+# fixed values: prompt, token and debug columns a session row loses before episodes are assembled
+DROPPED_COLUMNS = [
+    "persona-attr_system_message", "persona-attr_prompt", "birthplace_alpha2_code", "residence_alpha2_code", "persona-attr_generation",
+    "commonsense_prompt", "commonsense_system_message", "commonsense_generation", "narrative_prompt", "event-graph_prompt",
+    "event-graph_generation", "mobile-device_prompt", "dialogue_prompt", "dialogue_generation", "persona-attr:prompt_tokens",
+    "persona-attr:completion_tokens", "commonsense:prompt_tokens", "commonsense:completion_tokens", "narrative:prompt_tokens",
+    "narrative:completion_tokens", "event-graph:prompt_tokens", "event-graph:completion_tokens", "mobile-device:prompt_tokens",
+    "mobile-device:completion_tokens", "dialogue:prompt_tokens", "dialogue:completion_tokens",
+]

@@ -26,6 +26,11 @@ def hex_bucket(c: Column | str, digits: int = 4) -> Column:
     return F.coalesce(F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint"), F.lit(-1))   # nulls sort first
 
 
+def hex_digits(rows: int, per_bucket: int = 50_000) -> int:
+    """Digits for ``hex_bucket`` so that a bucket holds about ``per_bucket`` rows at most, however many there are."""
+    return max(2, math.ceil(math.log(max(rows / per_bucket, 1), 16)))
+
+
 def quantile_bucket(df: DataFrame, col: str, buckets: int):
     """Monotone bucket of a numeric order key from approximate quantiles.
 

@@ -19,13 +19,16 @@ generated sessions; its arrays are bounded by that.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curatio import constants as K
 from curatio.functions import text as T
 from curatio.functions.draws import stable_id
+from curatio.operators.core import strict_drop
 from curatio.plans.episodes import INT_TEXT, enumerate_album, flatten_line, inferred_speaker, normalise_speaker
+from curatio.sources.io import read_partition_tree
 
 PERSONA = ["name", "age", "gender", "birthplace", "residence", "persona_category", "persona_sent", "persona_key", "persona_value",
            "commonsense_relation", "narrative_sentence_form", "event_sequence"]
@@ -33,6 +36,18 @@ SLOTS = ["history_event", "event", "date", "time_interval", "experience"]
 TEXT_LIST = "array<string>"
 
 
+def read_sessions(spark: SparkSession, root: str, schema: StructType | str, only: dict[str, int] | None = None) -> DataFrame:
+    """C9's input: the session files under ``root`` (S4; ``only`` prunes before the scan), with the composite key
+    ``<seed>:<id>-<relation>`` (P2), without the prompt and token columns, all of which must be there (P1)."""
+    rows = read_partition_tree(spark, root, schema, only=only)
+    return strict_drop(rows.withColumn("unique_id", session_key("persona_seed", "id", "commonsense_relation")), K.DROPPED_COLUMNS)
+
+
+def session_key(seed, ident, relation) -> Column:
+    """P2."""
+    return F.format_string("%s:%s-%s", *[T.col_(c).cast("string") for c in (seed, ident, relation)])
+
+
 def classify(s: Column) -> Column:
     """first matching rule 1..7 of the sharing cascade on one sharing item."""
     empty = lambda c: F.coalesce(s[c], F.lit("")) == ""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curatio import constants as K
 from curatio.functions import text as T
 from curatio.functions.draws import draw, order_key
-from curatio.operators.position import hex_bucket, positions
+from curatio.operators.position import hex_bucket, hex_digits, positions
 
 ATTR_MAP_TYPE = "map<string,map<string,string>>"
 
@@ -52,14 +52,13 @@ def zip_sample(people: DataFrame, pool: DataFrame, seed: int, people_key: str, p
     position. With more people than pool rows ``strict`` raises, as the source does (two
     counts, returned as numbers); otherwise the people beyond the pool are kept with null
     pool columns."""
-    if strict:
-        n_people, n_pool = people.count(), pool.count()
-        if n_people > n_pool:
-            raise ValueError(f"sample larger than population: {n_people} > {n_pool}")
+    n_people, n_pool = people.count(), pool.count()
+    if strict and n_people > n_pool:
+        raise ValueError(f"sample larger than population: {n_people} > {n_pool}")
     pk = people.withColumn("_o", order_key(seed, "zip_people", people_key))
     qk = pool.withColumn("_o", order_key(seed, "zip_pool", pool_key))
-    pp = positions(pk, ["_o"], hex_bucket("_o", 3), pos_col="_pos").drop("_o")
-    qq = positions(qk, ["_o"], hex_bucket("_o", 3), pos_col="_pos").drop("_o")
+    pp = positions(pk, ["_o"], hex_bucket("_o", hex_digits(n_people)), pos_col="_pos").drop("_o")
+    qq = positions(qk, ["_o"], hex_bucket("_o", hex_digits(n_pool)), pos_col="_pos").drop("_o")
     return pp.join(qq, "_pos", "left").drop("_pos")
 
 

@@ -154,6 +154,12 @@ class AlbumParse:
     report: DataFrame
 
 
+def album_requests(people: DataFrame, sentence_col: str = "narrative", name_col: str = "name") -> DataFrame:
+    """C6 requests (P3): the images a person with this narrative may have on the device."""
+    from curatio import constants as K
+    return people.withColumn("album_prompt", T.render(K.ALBUM_TEMPLATE, sentence=sentence_col, name=name_col))
+
+
 def album_parse(gen: DataFrame, key: list[str], generation_col: str = "generation", n: int = 5) -> AlbumParse:
     """C6 parse: split on ``\\n1.``…``\\n5.`` (X1), match ``desc (Category: cat)`` (X3),
     keep an instance iff at least one piece matched; rejects are still reported."""
@@ -185,12 +191,12 @@ def attach_system_messages(requests: DataFrame, blocks: DataFrame, seed: int = 4
     positions); both picks are equi-joins on drawn indexes."""
     from curatio import constants as K
     from curatio.functions.draws import draw, order_key
-    from curatio.operators.position import hex_bucket, positions
+    from curatio.operators.position import hex_bucket, hex_digits, positions
     n_blocks = n_blocks or K.PERSONA_RELATIONS_TRIALS
     keys = blocks.select(F.col("category").alias("fewshot_category"), F.col("key").alias("fewshot_key")).distinct() \
         .withColumn("_o", order_key(seed, "fewshot_keys", "fewshot_category", "fewshot_key"))
-    keys = positions(keys, ["_o"], hex_bucket("_o", 3), pos_col="_kidx").drop("_o")
-    n_keys = keys.select(F.count("*")).scalar()
+    n_keys = keys.count()
+    keys = positions(keys, ["_o"], hex_bucket("_o", hex_digits(n_keys)), pos_col="_kidx").drop("_o")
     r = requests.withColumn("_kidx", draw(seed, "fewshot_key", n_keys, "category", "trial", "prompt_idx")) \
         .withColumn("fewshot_block", draw(seed, "fewshot_block", n_blocks, "category", "trial", "prompt_idx"))
     b = blocks.select(F.col("category").alias("fewshot_category"), F.col("key").alias("fewshot_key"),

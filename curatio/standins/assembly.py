@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from curatio import constants as K
 from curatio.plans import assembly as A
+from curatio.session import scratch_path
+from curatio.sources.io import write_table
 from curatio.sources.testdata import Tables
 from curatio.standins import sqlutil as S
 from curatio.standins.dialogue import ALBUM_SQL, INFER_SQL, SPEAKER_SQL, UTT_SQL, session_date, utterances
@@ -166,3 +168,32 @@ FROM one WHERE speaker_raw = ''""")
 def name_requests(spark, sf_dir):
     """C17: the words of the turns before stand in the prompt, an image where a turn shares one."""
     return A.name_requests(sessions(Tables(spark, sf_dir).conversations)).select("unique_id", "session_number", "utterance_id", "prompt")
+
+
+@query("session_frames", f"""WITH {UTT_SQL}
+SELECT DISTINCT CAST(conv_id // 100 AS INTEGER) AS persona_seed, CAST(session_number AS INTEGER) AS session_num, CAST(conv_id AS VARCHAR) || '-' || (turn // 12) AS id,
+  'relation ' || (conv_id % 5) AS commonsense_relation, (conv_id // 100) || ':' || conv_id || '-' || (turn // 12) || '-relation ' || (conv_id % 5) AS unique_id,
+  session_number FROM utt""")
+def session_frames(spark, sf_dir):
+    """Session files of a partition tree, read back with their key and without prompt and token columns."""
+    utt = utterances(Tables(spark, sf_dir).conversations)
+    rows = utt.select("persona_seed", F.col("session_number").alias("session_num"),
+                      F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") / 12).cast("bigint").cast("string")).alias("id"),
+                      F.concat(F.lit("relation "), (F.col("conv_id") % 5).cast("string")).alias("commonsense_relation"), "session_number",
+                      *[F.lit("x").alias(c) for c in K.DROPPED_COLUMNS]).distinct()
+    path = scratch_path(spark, "sessions")
+    write_table(rows, path, "json", ["persona_seed", "session_num"])
+    schema = "id string, commonsense_relation string, session_number bigint, " + ", ".join(f"`{c}` string" for c in K.DROPPED_COLUMNS)
+    return A.read_sessions(spark, path, schema).select("persona_seed", "session_num", "id", "commonsense_relation", "unique_id", "session_number")
+
+
+@query("session_summary_requests", f"""WITH {LIST_UTT_SQL}, lines AS (
+  SELECT unique_id, session_number, max(name) AS name, string_agg(speaker_raw || ': ' || CASE WHEN sh_shape = 'none' THEN utterance
+      ELSE '[Sharing Image of ' || sh_description || ']' END, chr(10) ORDER BY utterance_id, item_pos) FILTER (WHERE sh_shape <> 'other') AS dialogue
+  FROM utt GROUP BY 1, 2
+)
+SELECT unique_id, session_number, {S.render(K.SUMMARY_TEMPLATE, current_date="'2024.01.' || lpad(CAST(session_number AS VARCHAR), 2, '0')", name='name', dialogue="coalesce(dialogue, '')")} AS prompt
+FROM lines""")
+def session_summary_requests(spark, sf_dir):
+    """C16 over whole nested sessions: one line per turn, or per image it shares."""
+    return A.summary_requests(sessions(Tables(spark, sf_dir).conversations))

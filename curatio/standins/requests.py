@@ -9,6 +9,8 @@ from curatio import constants as K
 from curatio.functions import text as T
 from curatio.plans import episodes as E
 from curatio.plans import events as EV
+from curatio.plans.assembly import route_requests as plan_prompts
+from curatio.plans.persona import album_requests as album_list_requests
 from curatio.sources.testdata import Tables
 from curatio.standins import sqlutil as S
 from curatio.standins.dialogue import CLASS_SQL, UTT_SQL, utterances
@@ -35,7 +37,7 @@ def event_requests(spark, sf_dir):
 FROM customer""")
 def album_requests(spark, sf_dir):
     n = _narratives(Tables(spark, sf_dir))
-    return n.select("c_custkey", T.render(K.ALBUM_TEMPLATE, sentence="narrative", name="name").alias("prompt"))
+    return album_list_requests(n).select("c_custkey", F.col("album_prompt").alias("prompt"))
 
 
 @query("route_requests", f"""SELECT doc_id, {S.render(K.PLAN_TEMPLATE, name="'Person' || CAST(doc_id AS VARCHAR)",
@@ -45,9 +47,9 @@ def route_requests(spark, sf_dir):
     """C13 requests: every image request (here: a document's whole text as the description)."""
     d = Tables(spark, sf_dir).documents
     g = F.element_at(F.array(*[F.lit(x) for x in K.GENDERS]), (F.col("doc_id") % 2 + 1).cast("int"))
-    return d.select("doc_id", T.render(K.PLAN_TEMPLATE, name=F.concat(F.lit("Person"), F.col("doc_id").cast("string")),
-                                       gender=g, age=20 + F.col("doc_id") % 60, image_description="text")
-                    .alias("prompt"))
+    requests = d.select("doc_id", F.concat(F.lit("Person"), F.col("doc_id").cast("string")).alias("name"), g.alias("gender"),
+                        (20 + F.col("doc_id") % 60).alias("age"), F.col("text").alias("image_description"))
+    return plan_prompts(requests).select("doc_id", "prompt")
 
 
 def _profile(df):

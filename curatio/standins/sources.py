@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatio.functions.draws import order_key, sql_order_key
-from curatio.operators.position import hex_bucket
+from curatio.operators.position import hex_bucket, hex_digits
 from curatio.plans import images as I
 from curatio.plans import worklist as W
 from curatio.session import scratch_path
@@ -24,7 +24,7 @@ FROM p""")
 def seed_documents(spark, sf_dir):
     """K6 seeds of 100 rows, each written as one JSON-array document (K2) and read back (S1) with its seed."""
     cust = Tables(spark, sf_dir).customer.withColumn("_k", order_key(42, "doc", "c_custkey"))
-    seeds = W.seed_buckets(cust, ["_k"], hex_bucket("_k", 3)).select(
+    seeds = W.seed_buckets(cust, ["_k"], hex_bucket("_k", hex_digits(cust.count()))).select(
         "c_custkey", F.concat("c_name", F.lit(' "é\\\n]')).alias("text"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"), "pos", "persona_seed")
     path = scratch_path(spark, "documents")
     io.write_json_documents(seeds, path, order=["pos"])

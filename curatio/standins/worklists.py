@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatio.functions.draws import order_key, sql_order_key
-from curatio.operators.position import hex_bucket, quantile_bucket, default_buckets
+from curatio.operators.position import default_buckets, hex_bucket, hex_digits, quantile_bucket
 from curatio.plans import worklist as W
 from curatio.sources.testdata import Tables
 from curatio.standins.registry import query
@@ -129,5 +129,5 @@ def ntile_shards(spark, sf_dir):
   SELECT p_partkey, row_number() OVER (ORDER BY {sql_order_key(42, 'seed', 'p_partkey')}) - 1 AS pos FROM part)""")
 def seed_buckets(spark, sf_dir):
     p = Tables(spark, sf_dir).part.select("p_partkey").withColumn("_k", order_key(42, "seed", "p_partkey"))
-    out = W.seed_buckets(p, ["_k"], hex_bucket("_k", 3))
+    out = W.seed_buckets(p, ["_k"], hex_bucket("_k", hex_digits(p.count())))
     return out.select("p_partkey", "pos", "persona_seed")
