@@ -8,9 +8,8 @@ Input grain is one row per sharing item of an utterance::
 
 The source pipeline walks every episode with a Python loop that threads an
 album list through turns and sessions. Here the album is a relation: a running
-count of appended images gives each new image its position, and a reference to
-an album entry is an equi-join on ``(unique_id, pos)`` — no per-episode fold, no
-collect. Windows are partitioned by ``unique_id`` (an episode has at most six
+count of appended images gives each new image its position, and a reference is a
+position in the episode's whole album, looked up in the same window. Windows are partitioned by ``unique_id`` (an episode has at most six
 sessions of one generated dialogue each, so a partition is small).
 """
 
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 
 from curatio import constants as K
 from curatio.functions import text as T
-from curatio.operators.core import spread_null_key
 
 ITEM_ORDER = ["session_number", "utterance_id", "item_pos"]
 
@@ -97,14 +95,20 @@ def album_state(items: DataFrame, initial: DataFrame) -> AlbumState:
     for them); ``none`` shape items carry no album effect.
     """
     kept = items.filter(F.col("sh_shape") != "other").withColumn("sharing_class", sharing_class())
-    n0 = initial.groupBy("unique_id").agg(F.count("*").alias("n0"))
+    first = initial.groupBy("unique_id").agg(nest_sorted(["pos"], F.col("description")).alias("_first"))
     w = Window.partitionBy("unique_id").orderBy(*ITEM_ORDER)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_new = (F.col("sharing_class") == 6).cast("bigint")
-    x = (kept.join(n0, "unique_id", "left")
-         .withColumn("n0", F.coalesce("n0", F.lit(0)).cast("bigint"))
+    # one exchange by episode: the running count, the whole album (initial entries, then new ones in order) and
+    # every lookup in it; an append-only list holds at a smaller position what it held when it was shorter
+    x = (kept.join(first, "unique_id", "left")
+         .withColumn("_first", F.coalesce("_first", F.array().cast("array<string>")))
+         .withColumn("n0", F.size("_first").cast("bigint"))
+         .withColumn("_added", F.collect_list(F.when(F.col("sharing_class") == 6, F.struct("sh_description"))).over(whole))
          .withColumn("len_before", F.col("n0") + F.coalesce(
              F.sum(is_new).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-         .withColumn("album_pos", F.when(F.col("sharing_class") == 6, F.col("len_before"))))
+         .withColumn("_album", F.concat("_first", F.transform("_added", lambda a: a["sh_description"])))
+         .withColumn("album_pos", F.when(F.col("sharing_class") == 6, F.col("len_before"))).drop("_first", "_added"))
     album = initial.select("unique_id", F.col("pos").cast("bigint"), "description",
                            F.lit(0).cast("bigint").alias("session_added")) \
         .unionByName(x.filter(F.col("sharing_class") == 6)
@@ -115,31 +119,25 @@ def album_state(items: DataFrame, initial: DataFrame) -> AlbumState:
     x = x.withColumn("_kind", F.when(is3, kind)).withColumn("_ref", F.when(is3, ref))
     idx = F.when(F.col("_ref") < 0, F.col("len_before") + F.col("_ref")).otherwise(F.col("_ref"))
     x = x.withColumn("ref_idx", F.when((idx >= 0) & (idx < F.col("len_before")), idx))
-    look = album.select("unique_id", F.col("pos").alias("_rk"), F.col("description").alias("resolved_description"))
-    # most items have no reference: spread their NULL key so no reducer gets them all
-    x = x.withColumn("_rk", spread_null_key(F.col("ref_idx"), "unique_id", *ITEM_ORDER)) \
-        .join(look, ["unique_id", "_rk"], "left").drop("_rk")
+    x = x.withColumn("resolved_description", F.get("_album", F.col("ref_idx").cast("int")))
     status = (F.when(~is3, F.lit(None).cast("string")).when(F.col("_kind") != "ref", F.col("_kind"))
               .when(F.col("ref_idx").isNotNull(), "resolved").otherwise("out_of_range"))
     x = x.withColumn("ref_status", status).drop("_kind", "_ref")
 
     # per session: album size at start / end, last-session flag, start album text
-    per = x.groupBy("unique_id", "session_number").agg(F.sum(is_new).alias("_added"), F.max("n0").alias("n0"))
+    per = x.groupBy("unique_id", "session_number").agg(F.sum(is_new).alias("_added"), F.max("n0").alias("n0"), F.first("_album").alias("_album"))
     ws = Window.partitionBy("unique_id").orderBy("session_number")
     per = (per.withColumn("n_start", F.col("n0") + F.coalesce(
         F.sum("_added").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("n_end", F.col("n_start") + F.col("_added"))
         .withColumn("is_last", (F.col("session_number") == F.max("session_number").over(
             Window.partitionBy("unique_id"))).cast("bigint")))
-    # start album = the first n_start entries (append-only ⇒ a prefix): one sorted
-    # array per episode, sliced per session (no session × entry pairs)
-    arr = album.groupBy("unique_id").agg(
-        nest_sorted(["pos"], F.concat(F.col("pos").cast("string"), F.lit(". "), F.col("description"))).alias("_arr"))
-    sessions = per.join(arr, "unique_id", "left").select(
+    # start album = the first n_start entries (append-only ⇒ a prefix)
+    lines = F.transform("_album", lambda d, i: F.concat(i.cast("string"), F.lit(". "), d))
+    sessions = per.select(
         "unique_id", "session_number", F.col("n_start").cast("bigint"), F.col("n_end").cast("bigint"), "is_last",
-        F.array_join(F.slice(F.coalesce("_arr", F.array().cast("array<string>")), 1, F.col("n_start").cast("int")),
-                     "\n").alias("start_album"))
-    return AlbumState(x, album, sessions)
+        F.array_join(F.slice(lines, F.lit(1), F.col("n_start").cast("int")), "\n").alias("start_album"))
+    return AlbumState(x.drop("_album"), album, sessions)
 
 
 # ---- P12 / P10 / A4 --------------------------------------------------------------------
