@@ -42,6 +42,7 @@ CALIBRATION = 128            # queries whose true neighbours set the number of v
 TARGET = 0.96                # their recall
 REGION_ROWS = 4096
 REGION_QUERIES = 50_000
+AT_ONCE = 512                # queries scored together
 
 
 class Tree:
@@ -86,7 +87,7 @@ class Tree:
 
     def visit(self, near: np.ndarray) -> Iterator[int]:
         """Leaves in best-bin-first order for one point, from its row of ``distances``."""
-        heap = [(0.0, 0)]
+        heap, near = [(0.0, 0)], near.tolist()
         while heap:
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
@@ -130,9 +131,9 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _top(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, pairs: list, k: int):
-    """The k best of (query row, vector row, rough score) pieces per query, exact scores, ties by key."""
-    a, b, s = (np.concatenate(c) for c in zip(*pairs, strict=True))
+def _top(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, found: tuple, k: int):
+    """The k best of (query row, vector row, rough score) per query, exact scores, ties by key."""
+    a, b, s = found
     fits = q_id[a] != x_id[b]
     a, b, s = a[fits], b[fits], s[fits]
     order = np.lexsort((-s, a))
@@ -149,16 +150,22 @@ def _top(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, pairs
     return a[keep], b[keep], s[keep]
 
 
-def _rough(q: np.ndarray, x: np.ndarray, k: int, rows: np.ndarray, at: int):
-    """Candidates of a block of vectors: all that reach the k-th best rough score (k + 1 for the query's own row)."""
-    s = q[rows] @ x.T
-    if s.shape[1] > k + 1:
-        least = np.partition(s, s.shape[1] - k - 1, axis=1)[:, -k - 1]
-        size = np.sqrt((q[rows] ** 2).sum(axis=1)) * math.sqrt((x ** 2).sum(axis=1).max())
-        a, b = np.nonzero(s >= (least - 1e-9 * size)[:, None])
-    else:
-        a, b = np.nonzero(np.ones_like(s, bool))
-    return rows[a], b + at, s[a, b]
+def _rough(q: np.ndarray, x: np.ndarray, k: int, seen: np.ndarray | None = None):
+    """Candidates among vectors: all that reach the k-th best rough score (k + 1 for the query's own row); ``seen``
+    (queries, vectors) leaves out the vectors of leaves that a query does not visit."""
+    out = []
+    for lo in range(0, len(q), AT_ONCE):
+        part = q[lo:lo + AT_ONCE]
+        s = part @ x.T
+        if seen is not None:
+            s[~seen[lo:lo + AT_ONCE]] = -np.inf
+        least = np.full(len(part), -np.inf)
+        if s.shape[1] > k + 1:
+            least = np.partition(s, s.shape[1] - k - 1, axis=1)[:, -k - 1]
+        size = np.sqrt((part ** 2).sum(axis=1)) * math.sqrt((x ** 2).sum(axis=1).max())
+        a, b = np.nonzero((s >= (least - 1e-9 * size)[:, None]) & (s > -np.inf))
+        out.append((a + lo, b, s[a, b]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 FOUND = "query_id bigint, query_hash bigint, vec_id bigint, score double"
@@ -174,7 +181,7 @@ def _scan(queries, dims: int, k: int):
         for b in batches:
             if b.num_rows:
                 x, x_id = _matrix(b.column("v"), dims), np.asarray(b.column("id"))
-                a, r, s = _top(q, q_id, x, x_id, [_rough(q, x, k, np.arange(len(q)), 0)], k)
+                a, r, s = _top(q, q_id, x, x_id, _rough(q, x, k), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_id[a]), pa.array(q_hash[a]), pa.array(x_id[r]), pa.array(s),
                                                   pa.array(np.asarray(b.column("leaf"))[r])],
                                                  ["query_id", "query_hash", "vec_id", "score", "leaf"])
@@ -184,7 +191,7 @@ def _scan(queries, dims: int, k: int):
 def _region_search(dims: int, k: int):
     """Arrow step over rows sorted by (region, part, kind): a region's vectors, then the queries that visit it."""
     def search(batches):
-        now, held, x = None, [], None
+        now, held, x = None, [], None               # the region's vectors: at most about REGION_ROWS
         for b in batches:
             if not b.num_rows:
                 continue
@@ -204,24 +211,20 @@ def _region_search(dims: int, k: int):
                 if x is None:
                     all_of = pa.concat_tables(held).combine_chunks().sort_by("leaf")
                     x, x_id = _matrix(all_of["v"].combine_chunks(), dims), np.asarray(all_of["id"])
-                    leaf, first = np.unique(np.asarray(all_of["leaf"]), return_index=True)
-                    bounds = dict(zip(leaf.tolist(), zip(first, [*first[1:], len(x)], strict=True), strict=True))
-                yield from answer(own, x, x_id, bounds)
+                    leaf, of_leaf = np.unique(np.asarray(all_of["leaf"]), return_inverse=True)
+                for at in range(0, own.num_rows, AT_ONCE):
+                    yield from answer(own.slice(at, AT_ONCE).combine_chunks(), x, x_id, leaf, of_leaf)
 
-    def answer(own, x, x_id, bounds):
+    def answer(own, x, x_id, leaf, of_leaf):
         q, q_id = _matrix(own["v"].combine_chunks(), dims), np.asarray(own["id"])
         of = np.repeat(np.arange(len(q)), np.asarray(pa.compute.list_value_length(own["leaves"])))
-        leaves = np.asarray(own["leaves"].combine_chunks().flatten())
-        order = np.argsort(leaves, kind="stable")
-        leaves, of = leaves[order], of[order]
-        pairs = []
-        for leaf in np.unique(leaves):
-            if int(leaf) in bounds:
-                lo, hi = bounds[int(leaf)]
-                rows = of[np.searchsorted(leaves, leaf):np.searchsorted(leaves, leaf, side="right")]
-                pairs.append(_rough(q, x[lo:hi], k, rows, lo))
-        if pairs:
-            a, r, s = _top(q, q_id, x, x_id, pairs, k)
+        asked = np.asarray(own["leaves"].combine_chunks().flatten())
+        at = np.minimum(np.searchsorted(leaf, asked), len(leaf) - 1)
+        here = leaf[at] == asked
+        visits = np.zeros((len(q), len(leaf)), bool)
+        visits[of[here], at[here]] = True
+        if here.any():
+            a, r, s = _top(q, q_id, x, x_id, _rough(q, x, k, visits[:, of_leaf]), k)
             yield pa.RecordBatch.from_arrays([pa.array(q_id[a]), pa.array(np.asarray(own["hash"])[a]), pa.array(x_id[r]), pa.array(s)],
                                              ["query_id", "query_hash", "vec_id", "score"])
     return search
@@ -286,6 +289,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             turn = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % blocks[leaf].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region[leaf] + turn.astype(np.int64))], ["id", "v", "leaf", "region"])
 
+    rows_of, first_region, n_blocks = size.tolist(), region.tolist(), blocks.tolist()
+
     def ask(batches):
         for b in batches:
             if not b.num_rows:
@@ -298,9 +303,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 for leaf in tree.visit(near[i]):
                     if seen >= visits and left > k:
                         break
-                    seen, left = seen + 1, left + size[leaf]
-                    for r in range(region[leaf], region[leaf] + blocks[leaf]):
-                        own.setdefault(int(r), []).append(leaf)
+                    seen, left = seen + 1, left + rows_of[leaf]
+                    for r in range(first_region[leaf], first_region[leaf] + n_blocks[leaf]):
+                        own.setdefault(r, []).append(leaf)
                 for r, found in own.items():
                     row.append(i)
                     where.append(r)
