@@ -1,30 +1,36 @@
 """Document fingerprints by I-Match with randomised lexicon subsets, in SQL expressions only.
 
-A term is one of ``TERMS`` hash buckets of the lower-cased words. The lexicon holds the terms whose
-document frequency lies in [LOW, HIGH] of all documents (an inverse-document-frequency band, counted
-over the whole table); it reaches the tasks as a bitmap of ``TERMS`` bits, a size that does not
-depend on the data. A document's distinct lexicon terms are sorted, and each of 64 randomised subsets
-of the lexicon is hashed over them: 8 resolutions with cells of 1/8 to 1/1024 of the lexicon, 8
-disjoint cells of each. Small cells agree between texts that share much, large ones between texts
-that share nearly all, whatever their length. A subset without terms of the document is empty (0).
+A term is the 64-bit hash of a lower-cased word. The lexicon holds the terms whose document frequency
+lies in [LOW, HIGH] of all documents (an inverse-document-frequency band, counted over the whole table).
+The band bounds it: a term in it is in ``LOW`` of the documents or more, so there are at most (mean number
+of distinct terms of a document) / ``LOW`` of them, however many documents there are. Up to ``table_terms``
+terms go into the plan as one hash table, an array of short arrays; a larger lexicon stays a table
+and is joined to the terms of the different texts. A document's distinct lexicon terms are sorted, and
+each of 64 randomised subsets of the lexicon is hashed over them: 8 resolutions with cells of 1/8 to
+1/1024 of the lexicon, 8 disjoint cells of each. Small cells agree between texts that share much, large
+ones between texts that share nearly all, whatever their length. A subset without terms of the document
+is empty (0).
 
 Likeness of two fingerprints: 1 if they are equal; else the largest share, over the resolutions with
 four filled subsets or more, of filled subsets that agree; over all subsets if there is no such one.
 
 Cases: null text counts as empty; a text without lexicon terms is fingerprinted by all its terms, one
 without words has the all-empty fingerprint; equal texts have equal fingerprints; an empty table
-gives an empty result.
+gives an empty result; a caller's column named like an added one is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import sys
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.llm.common import LOWER, UPPER
-from curatio.operators.position import quantile_bucket
+from curatio.llm.common import LOWER, UPPER, stored
 
-TERMS = 1 << 20
+TABLE_TERMS = 1 << 18
+MAX_RANGES = 1 << 14
 LOW, HIGH = 0.002, 0.05
 RESOLUTIONS, CELLS = 8, 8
 BLANKS = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
@@ -39,26 +45,36 @@ def term_ids(t: str) -> str:
     split = r"split(u, '[\\x20\\x09-\\x0D]+')"
     words = _let("u", f"btrim(translate({t}, '{UPPER}', '{LOWER}'), {BLANKS})",
                  f"CASE WHEN u = '' THEN cast(array() AS array<string>) ELSE {split} END")
-    return f"array_distinct(transform({words}, w -> pmod(xxhash64(w), {TERMS}L)))"
+    return f"array_distinct(transform({words}, w -> xxhash64(w)))"
+
+
+def _text(text_col: str) -> str:
+    return f"coalesce(cast(`{text_col}` AS string), '')"
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """Bitmap (64-bit words) of the terms whose document frequency is in the band; at most ``TERMS`` rows reach the driver."""
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """The terms (column ``term``) whose document frequency is in the band, as a stored table."""
     n = docs.count()
-    t = f"coalesce(cast(`{text_col}` AS string), '')"
-    freq = docs.select(F.explode(F.expr(_let("t", t, term_ids("t")))).alias("term")).groupBy("term").count()
-    band = freq.filter(F.col("count").between(max(2.0, low * n), high * n)).groupBy(F.shiftright("term", 6).alias("w")) \
-        .agg(F.expr("bit_or(shiftleft(1L, cast(term & 63 AS int)))").alias("bits"))
-    bits = [0] * (TERMS // 64)
-    for w, b in band.collect():
-        bits[w] = b
-    return bits
-
-
-def fingerprint(t: str, bits: list[int]) -> str:
-    """SQL: array of 64 ints, the fingerprint of text ``t``."""
-    table = f"cast(split('{','.join(map(str, bits))}', ',') AS array<bigint>)"           # folded to one literal
-    known = f"filter(ids, x -> shiftright(get({table}, cast(shiftright(x, 6) AS int)), cast(x & 63 AS int)) & 1L = 1L)"
+    freq = docs.select(F.explode(F.expr(_let("t", _text(text_col), term_ids("t")))).alias("term")).groupBy("term").count()
+    return stored(freq.filter(F.col("count").between(max(2.0, low * n), high * n)).select("term"), "lexicon")
+
+
+def hash_table(terms: DataFrame) -> str:
+    """SQL: the terms by their low bits, an array of short arrays (folded to one literal)."""
+    own = [r.term for r in terms.collect()]
+    cells: list[list[int]] = [[] for _ in range(1 << max(1, len(own)).bit_length())]
+    for x in own:
+        cells[x & len(cells) - 1].append(x)
+    return f"from_json('{str(cells).replace(' ', '')}', 'array<array<bigint>>')"
+
+
+def known_terms(table: str) -> str:
+    """SQL: those of the terms ``ids`` that the hash table of the lexicon holds."""
+    return f"filter(ids, x -> array_contains(get({table}, cast(x & (size({table}) - 1) AS int)), x))"
+
+
+def fingerprint(ids: str, known: str) -> str:
+    """SQL: array of 64 ints, the fingerprint of a text with the terms ``ids``, of which the lexicon holds ``known``."""
     levels = []
     for r in range(RESOLUTIONS):
         cell = f"(shiftrightunsigned(xxhash64(x, {r}), 8) & {(CELLS << r) - 1}L)"
@@ -69,7 +85,7 @@ def fingerprint(t: str, bits: list[int]) -> str:
                                   "ELSE cast(shiftright(xxhash64(own), 32) AS int) END END") + ")"))
     body = f"concat({', '.join(levels)})"
     chosen = _let("k", known, "CASE WHEN size(k) = 0 THEN ids ELSE k END")
-    return _let("ids", term_ids(t), _let("terms", f"sort_array({chosen})", body))
+    return _let("ids", ids, _let("terms", f"sort_array({chosen})", body))
 
 
 def as_text(fp: str) -> str:
@@ -89,31 +105,59 @@ def likeness(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1D ELSE {_let('z', both, f'coalesce(array_max({level}), {overall})')} END"
 
 
-def with_next(docs: DataFrame, key: str, carry: list[str], rows_per_bucket: int = 1000) -> DataFrame:
+def _dealer(df: DataFrame, key: str, out: str, ranges: int):
+    """Range ``out`` of each row by approximate quantiles of ``key``; a value that several quantiles fall on is a range of its own."""
+    from pyspark.ml.feature import Bucketizer
+    found = df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    splits = set(found) | {math.nextafter(a, math.inf) for a, b in zip(found, found[1:]) if a == b}
+    inner = sorted(x for x in splits if math.isfinite(x)) or [sys.float_info.max]
+    return Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=key, outputCol=out)
+
+
+def with_next(docs: DataFrame, key: str, carry: list[str], rows_per_range: int = 1000, max_ranges: int = MAX_RANGES) -> DataFrame:
     """``docs`` with ``next_<c>`` of each carried column: the row after it by descending ``key`` (after the last: the first).
 
-    Rows are dealt once, into ranges of the key (approximate quantiles); the first row of each range is also
-    sent to the range before it, so a window inside the range sees every neighbour. Null keys come last.
+    Null keys come last; rows of one key follow by a hash of their first carried column, then the columns. Rows are
+    dealt once, to parts of at most ``2 * max_ranges + 1`` ranges of the key; a range that one key fills is split by that hash
+    into parts of a usual range's rows, at most ``max_ranges`` more in all. The first row of each part is also sent
+    to the part before it, so a window inside a part sees every neighbour. One row per range or part is broadcast.
     """
+    added = [f"next_{c}" for c in carry]
+    own = [c for c in docs.columns if c not in added]
+    n = docs.count()
+    ranges = max(2, min(max_ranges, -(-n // rows_per_range)))
     k = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
-    keyed = docs.withColumn("_k", k)
-    buckets = max(2, -(-docs.count() // rows_per_bucket))
-    dealt = quantile_bucket(keyed.select("_k"), "_k", buckets)
-    tops = dealt(keyed.select("_k")).groupBy("_bucket").agg(F.max("_k").alias("_top"))
-    order = Window.orderBy("_bucket")                                   # one row per range
-    edges = tops.select("_bucket", "_top", F.coalesce(
-        F.lead("_bucket").over(order), F.min("_bucket").over(Window.partitionBy())).alias("_above"))
-    sent = dealt(keyed).join(F.broadcast(edges), "_bucket").withColumn("_to", F.explode(F.when(
-        F.col("_k") == F.col("_top"), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("tail")),
-                                              F.struct(F.col("_above").alias("b"), F.lit(1).alias("tail"))))
-        .otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("tail"))))))
-    w = Window.partitionBy("_to.b").orderBy("_to.tail", F.desc("_k"), *carry)
-    out = sent.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry}).filter("_to.tail = 0")
-    return out.select(*docs.columns, *[f"next_{c}" for c in carry])
-
-
-def imatch(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint", bits: list[int] | None = None) -> DataFrame:
-    """``docs`` with ``out_col``: the fingerprint as an array of 64 ints."""
-    bits = lexicon(docs, text_col) if bits is None else bits
-    t = f"coalesce(cast(`{text_col}` AS string), '')"
-    return docs.withColumn(out_col, F.expr(_let("t", t, fingerprint("t", bits))))
+    rows = docs.select(F.struct(*own).alias("row"), F.bitwise_not(k).alias("after"), k.cast("double").alias("at"),
+                       F.shiftrightunsigned(F.xxhash64(carry[0]), 1).alias("tie"))
+    dealt = _dealer(rows.select("at"), "at", "r", ranges).transform(rows)
+    size = F.ceil(F.count("*") * F.lit(ranges) / F.lit(max(1, n)))
+    stats = dealt.groupBy("r").agg(F.when(F.min("after") == F.max("after"), size).otherwise(1).cast("bigint").alias("parts"))
+    parts = dealt.join(F.broadcast(stats), "r").withColumns({
+        "r": -F.col("r").cast("bigint"), "s": F.shiftright(F.shiftright("tie", 39) * F.col("parts"), 24)})
+    tops = parts.groupBy("r", "s").agg(F.min(F.struct("after", "tie")).alias("top"))
+    order, everything = Window.orderBy("r", "s"), Window.partitionBy()                  # one row per part
+    edges = tops.withColumn("p", F.struct("r", "s")).select("r", "s", "top", F.coalesce(
+        F.lag("p").over(order), F.max("p").over(everything)).alias("before"))
+    here = F.struct(F.col("r"), F.col("s"), F.lit(0).alias("tail"))
+    there = F.struct(F.col("before.r").alias("r"), F.col("before.s").alias("s"), F.lit(1).alias("tail"))
+    sent = parts.join(F.broadcast(edges), ["r", "s"]).select("row", "after", "tie", F.explode(
+        F.when(F.struct("after", "tie") == F.col("top"), F.array(here, there)).otherwise(F.array(here))).alias("to"))
+    values = {c: F.col("row").getField(c) for c in carry}
+    w = Window.partitionBy("to.r", "to.s").orderBy("to.tail", "after", "tie", *values.values())
+    out = sent.select("row", "to.tail", *[F.lead(v).over(w).alias(f"next_{c}") for c, v in values.items()]).filter("tail = 0")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in own], *added)
+
+
+def imatch(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint", terms: DataFrame | None = None,
+           table_terms: int = TABLE_TERMS) -> DataFrame:
+    """``docs`` with ``out_col``: the fingerprint as an array of 64 ints. ``terms``: the lexicon (default: that of ``docs``)."""
+    terms = lexicon(docs, text_col) if terms is None else terms
+    t = _text(text_col)
+    if terms.count() <= table_terms:
+        return docs.withColumn(out_col, F.expr(_let("t", t, fingerprint(term_ids("t"), known_terms(hash_table(terms))))))
+    name = F.sha2(F.expr(t), 256).alias("_imatch_text")
+    known = docs.select(name, F.explode(F.expr(_let("t", t, term_ids("t")))).alias("term")).distinct() \
+        .join(terms, "term", "left_semi").groupBy("_imatch_text").agg(F.collect_list("term").alias("_imatch_known"))
+    joined = docs.select("*", name).join(known, "_imatch_text", "left")
+    held = "coalesce(`_imatch_known`, cast(array() AS array<bigint>))"
+    return joined.withColumn(out_col, F.expr(_let("t", t, fingerprint(term_ids("t"), held)))).drop("_imatch_text", "_imatch_known")

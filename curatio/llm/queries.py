@@ -94,13 +94,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_imatch")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = fingerprints.lexicon(docs)
-    pairs = fingerprints.with_next(fingerprints.imatch(docs, out_col="fp", bits=bits), "doc_id", ["text", "fp"])
+    terms = fingerprints.lexicon(docs)
+    pairs = fingerprints.with_next(fingerprints.imatch(docs, out_col="fp", terms=terms), "doc_id", ["text", "fp"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = pairs.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(
         F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    both = fingerprints.imatch(edited, "edited", "edited_fp", bits)
+    both = fingerprints.imatch(edited, "edited", "edited_fp", terms)
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                        F.expr(fingerprints.as_text("fp")).alias("fingerprint"),
                        F.expr(fingerprints.as_text("edited_fp")).alias("edited_fingerprint"),

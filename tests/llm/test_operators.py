@@ -89,7 +89,7 @@ def test_url_branches_merge_at_every_depth_and_lend_their_purity(spark):
 
 def test_fingerprints(spark, odd_docs, no_docs):
     fps = {}
-    docs = fingerprints.imatch(_docs(spark).select("doc_id", "text"), bits=None).collect()
+    docs = fingerprints.imatch(_docs(spark).select("doc_id", "text")).collect()
     for r in docs:
         assert len(r.fingerprint) == 64 and fps.setdefault(r.text, r.fingerprint) == r.fingerprint
     got = queries.op3(spark, SF).collect()

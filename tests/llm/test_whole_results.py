@@ -95,7 +95,7 @@ def _hash(*values) -> int:
 
 def _ids(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    return {_hash(x) % fingerprints.TERMS for x in w}
+    return {_hash(x) for x in w}
 
 
 def _fingerprint(ids, lexicon):
@@ -132,6 +132,31 @@ def test_fingerprints_equal_brute_force(spark):
         assert got[k].near_next == pytest.approx(_likeness(fps[k], fps[after])) and got[k].near_edited == pytest.approx(_likeness(fps[k], edited))
 
 
+def test_fingerprints_of_a_large_lexicon(spark):
+    """A lexicon beyond the hash table is joined: same fingerprints."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, None), (-1, ""), (-2, "xyzzy plugh")], docs.schema))
+    terms = fingerprints.lexicon(docs)
+    fps = [sorted((r.doc_id is None, r.doc_id or 0, tuple(r.fp)) for r in fingerprints.imatch(docs, out_col="fp", terms=terms, table_terms=n).collect())
+           for n in (0, fingerprints.TABLE_TERMS)]
+    assert fps[0] == fps[1] and len(fps[0]) == docs.count()
+
+
+def test_next_rows_of_hot_and_null_keys(spark):
+    """A third of the rows without key, a third under one key, a caller's column named like an added one."""
+    rows = [(None if i % 3 == 0 else 500 if i % 3 == 1 else i, f"t{i}", "mine") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, next_text string")
+    got = fingerprints.with_next(docs, "doc_id", ["text"], 50)
+    assert got.columns == ["doc_id", "text", "next_text"]
+    got = got.collect()
+    after = {r.text: r.next_text for r in got}
+    key = {t: -(1 << 63) if k is None else k for k, t, _ in rows}
+    line = [max(key, key=lambda t: (key[t], -((_hash(t) & (1 << 64) - 1) >> 1)))]
+    while after[line[-1]] != line[0]:
+        line.append(after[line[-1]])
+    assert line == sorted(key, key=lambda t: (-key[t], (_hash(t) & (1 << 64) - 1) >> 1)) and len(got) == len(line) == 900
+
+
 # ---- URL filter -------------------------------------------------------------------------------
 
 def _host_path(url):
