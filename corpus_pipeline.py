@@ -36,10 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     names = list(_row_key())
     found = simhash.near_duplicates(docs, carry=_row_key())
     first = found.groupBy("root").agg(F.min(F.struct(*names)).alias("f")).select("f.*")
-    kept = docs.withColumns(_row_key()).join(stored(first, "first"), names)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = Window.partitionBy(*names).orderBy(*(others or ["doc_id"]))
-    return kept.withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(*docs.columns)
+    one = Window.partitionBy(*names).orderBy(*(others or ["doc_id"]))           # before the join: repeated rows go in the scan's tasks
+    rows = docs.withColumns(_row_key()).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    return rows.join(stored(first, "first"), names, "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
