@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.llm.common import stored, text_slices
@@ -263,22 +263,50 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]
         yield current, rows
 
 
+def _held(before: bytes, onward: bytes, left: int, right: int) -> bool:
+    """Whether the anchor is the anchor of a 100-byte string inside the repeat: then every occurrence of the repeat has it."""
+    data = np.frombuffer(before[:left][::-1] + onward[:right], dtype=np.uint8)
+    return left in anchors(data, gram_hashes(data), np.array([0]), np.array([len(data) - MATCH + 1]))
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings sorted by (gram, onward) -> members (gram, number, key, place, left, right, first) of maximal repeats."""
-    schema = pa.schema([(c, pa.int64()) for c in ("gram", "number", "key", "place", "left", "right")] + [("first", pa.bool_())])
+    """Surroundings sorted by (gram, onward) -> members (gram, number, key, place, left, right) of the maximal repeats around
+    the anchors, and each surrounding that no other one contains as a group of its own (its copies are the members)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("gram", "number", "key", "place", "left", "right")])
     out: list[tuple] = []
     for gram, rows in _grams(batches):
-        where = [(r[0], r[1]) for r in rows]
-        for number, (left, right, members) in enumerate(maximal_repeats([r[2] for r in rows], [r[3] for r in rows])):
-            least = min(where[m] for m in members)
-            out.extend((gram, number, *where[m], left, right, where[m] == least) for m in members)
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
-                out = []
+        before, onward = [r[2] for r in rows], [r[3] for r in rows]
+        number, whole = 0, set()
+        for left, right, members in maximal_repeats(before, onward):
+            whole.update(m for m in members if left == len(before[m]) and right == len(onward[m]))
+            if _held(before[members[0]], onward[members[0]], left, right):
+                out.extend((gram, number, rows[m][0], rows[m][1], left, right) for m in members)
+                number += 1
+        alone = [m for m in range(len(rows)) if m not in whole]
+        out.extend((gram, number + n, rows[m][0], rows[m][1], len(before[m]), len(onward[m])) for n, m in enumerate(alone))
+        if len(out) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
+            out = []
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
 
 
+def _anchored_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 100-byte windows of surroundings whose anchor is the surroundings' own: (w1, w2, key, place of its start)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "key", "place")])
+    for b in batches:
+        out = []
+        for key, place, before, onward in zip(*(b.column(c).to_pylist() for c in ("key", "place", "before", "onward"))):
+            whole = before[::-1] + onward
+            grams = gram_hashes(np.frombuffer(whole, dtype=np.uint8)) & np.uint64(0xFFFFFFFFFFFFFFFF ^ POS)
+            for s in range(len(whole) - MATCH + 1):
+                if s + int(grams[s:s + BEFORE + 1].argmin()) == len(before):
+                    d = xxhash.xxh3_128_digest(whole[s:s + MATCH])
+                    out.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), key, place - len(before) + s))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings sorted by (gram, onward) -> (key, place, left, right): the bytes around each anchor that maximal
     repeats with an earlier member cover (all hold the anchor, so together they are one stretch)."""
@@ -353,13 +381,109 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     return windows.join(least, ["w1", "w2"]).filter("struct(key, place) != least").select("key", "place")
 
 
-def repeat_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Maximal repeats with all their members: (gram, number, key, place, left, right, first); a member covers ``left``
-    bytes before and ``right`` bytes from ``place`` (low 31 bits: offset) on. Members with equal surroundings are
-    listed once, by their first; groups over the limit are split by no task here, so none is left out."""
-    _, found = surroundings(_keyed(docs, key, text_col), 1 << 62)
-    return _dealt(found, "gram", "onward").mapInArrow(
-        _members, "gram bigint, number bigint, key bigint, place bigint, left bigint, right bigint, first boolean")
+def _place(place: str = "place") -> tuple[Column, Column]:
+    """crc and offset of a place."""
+    return F.shiftright(place, 31), F.col(place).bitwiseAND(F.lit(OFF).cast("bigint"))
+
+
+def _anchor_groups(src: DataFrame, group_limit: int) -> DataFrame:
+    """(g1, g2, key, crc, start, stop): every string of 100 bytes or more around an anchor that has several occurrences and
+    is maximal within the anchors' surroundings, with all its occurrences."""
+    rows = src.select("key", "text").mapInArrow(_first_pass, "gram bigint, around bigint, key bigint, place bigint, again boolean")
+    anchor = stored(rows.select("around", "key", "place").distinct(), "occurrences")
+    found = surroundings(src, group_limit)[1].dropDuplicates(["key", "place"])         # a repeated row's are there twice
+    lead = found.join(anchor, ["key", "place"])
+    # grams with several surroundings: the interval tree's groups, every surrounding with its copies
+    tree = _dealt(found.filter(F.col("kind") == NEED), "gram", "onward").mapInArrow(
+        _members, "gram bigint, number bigint, key bigint, place bigint, left bigint, right bigint") \
+        .join(anchor, ["key", "place"]).select(F.col("gram").alias("g1"), F.col("number").alias("g2"), "left", "right", "around") \
+        .join(anchor, "around").select("g1", "g2", "key", "place", "left", "right")
+    # grams with one surrounding: its copies
+    copied = anchor.groupBy("around").count().filter("count > 1").join(lead.select("around"), "around", "left_anti")
+    crc, off = _place()
+    size = src.select("key", "crc", F.octet_length("text").cast("bigint").alias("size")).distinct()
+    alone = anchor.join(copied, "around", "left_semi").withColumn("crc", crc).join(size, ["key", "crc"]).select(
+        F.col("around").alias("g1"), F.lit(-1).cast("bigint").alias("g2"), "key", "place",
+        F.least(off, F.lit(BEFORE)).alias("left"), F.least(F.col("size") - off, F.lit(MATCH)).alias("right"))
+    # grams with too many surroundings for one task: the 100-byte windows of all occurrences, by their digests
+    windows = lead.filter(F.col("kind") == HOT).select("around", "before", "onward").join(anchor, "around") \
+        .mapInArrow(_anchored_windows, "w1 bigint, w2 bigint, key bigint, place bigint").distinct() \
+        .select(F.col("w1").alias("g1"), F.col("w2").alias("g2"), "key", "place",
+                F.lit(0).cast("bigint").alias("left"), F.lit(MATCH).cast("bigint").alias("right"))
+    both = tree.unionByName(alone).unionByName(windows)
+    return both.select("g1", "g2", "key", crc.alias("crc"), (off - F.col("left")).alias("start"), (off + F.col("right")).alias("stop"))
+
+
+def _edges(span: int):
+    """(key, crc, text, needs [(g1, g2, start, stop)]) -> (g1, g2, before (reversed), onward): ``span`` bytes at both ends."""
+    schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("before", pa.binary()), ("onward", pa.binary())])
+
+    def read(batches):
+        for b in text_slices(batches, SLICE):
+            for text, needs in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("needs").to_pylist()):
+                for at in range(0, len(needs), max(1, (4 << 20) // span)):
+                    part = [(n["g1"], n["g2"], text[max(0, n["start"] - span):n["start"]][::-1], text[n["stop"]:n["stop"] + span])
+                            for n in needs[at:at + max(1, (4 << 20) // span)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
+    return read
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest and largest edge of each group -> how far all its occurrences agree (e_left, e_right)."""
+    for b in batches:
+        low, high, down, up = (b.column(c).to_pylist() for c in ("b1", "b2", "o1", "o2"))
+        yield pa.RecordBatch.from_arrays([b.column("g1"), b.column("g2"), pa.array(map(_common, low, high), pa.int64()),
+                                          pa.array(map(_common, down, up), pa.int64())], names=["g1", "g2", "e_left", "e_right"])
+
+
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Maximal repeats of 100 bytes or more with all their occurrences: (group, key, crc, start, n_bytes, first).
+
+    Groups around anchors (exact copies are occurrences like any other) that have the same occurrences at the same
+    distances and meet are one repeat; then each is widened to both sides while all its occurrences agree, 64 bytes in
+    the first round, twice as many in each further one (the bytes all share are those of the smallest and the largest).
+    A null key is the smallest bigint; rows of equal key and text are one document; crc tells texts of one key apart.
+
+    Limit: a repeat is found if one stretch of it has no occurrences beyond its own: the surroundings of one of its anchors
+    (168 bytes), or one 100-byte string where the anchor's gram has over ``group_limit`` surroundings. A repeat that overlaps
+    others so that every such stretch also occurs elsewhere (long runs of one short period) is reported as those only.
+    """
+    src = _keyed(docs, key, text_col).select("key", "crc", "text")
+    members = stored(_anchor_groups(src, group_limit), "members")
+    first = members.groupBy("g1", "g2").agg(F.min(F.struct("key", "crc", "start")).alias("f"), F.count("*").alias("n"),
+                                            F.max(F.col("stop") - F.col("start")).alias("size")).filter("n > 1")
+    shift = F.col("start") - F.col("f.start")
+    marks = members.join(first, ["g1", "g2"]).groupBy("g1", "g2", "f", "n", "size").agg(
+        F.bit_xor(F.xxhash64("key", "crc", shift)).alias("s1"), F.bit_xor(F.xxhash64(shift, "crc", "key")).alias("s2"))
+    same = ["f.key", "f.crc", "n", "s1", "s2"]                              # occurrences at the same distances
+    line = Window.partitionBy(*same).orderBy("f.start", "g1", "g2")
+    end = F.col("f.start") + F.col("size")
+    fresh = F.col("f.start") > F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    parts = marks.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("stretch", F.sum("fresh").over(line))
+    parts = parts.groupBy(*same, "stretch").agg(F.min(F.struct("f.start", "g1", "g2")).alias("h"), F.max(end).alias("stop"))
+    groups = stored(parts.select("h.g1", "h.g2", "key", "crc", "n", "s1", "s2", F.col("h.start").alias("start"),
+                                 (F.col("stop") - F.col("h.start")).alias("size"), F.lit(0).cast("bigint").alias("back"),
+                                 F.lit(True).alias("open")), "groups")
+    own = members.select("g1", "g2", "key", "crc", "start")
+    span = 64
+    while not groups.filter("open").isEmpty():
+        needs = own.join(groups.filter("open").select("g1", "g2", "size", "back"), ["g1", "g2"]).groupBy("key", "crc").agg(F.collect_list(
+            F.struct("g1", "g2", (F.col("start") - F.col("back")).alias("start"),
+                     (F.col("start") - F.col("back") + F.col("size")).alias("stop"))).alias("needs"))
+        edges = src.join(needs, ["key", "crc"]).mapInArrow(_edges(span), "g1 bigint, g2 bigint, before binary, onward binary")
+        wider = edges.groupBy("g1", "g2").agg(F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("onward").alias("o1"),
+                                              F.max("onward").alias("o2")).mapInArrow(
+            _shared, "g1 bigint, g2 bigint, e_left bigint, e_right bigint")
+        left, right = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("e_left", "e_right"))
+        groups = stored(groups.join(wider, ["g1", "g2"], "left").withColumns({
+            "size": F.col("size") + left + right, "back": F.col("back") + left, "open": F.greatest(left, right) == span})             .drop("e_left", "e_right"), "groups")
+        span *= 2
+    one = groups.withColumn("start", F.col("start") - F.col("back")).groupBy("key", "crc", "n", "s1", "s2", "start", "size") \
+        .agg(F.min(F.struct("g1", "g2", "back")).alias("g"))
+    one = one.select("g.*", "size", F.struct("key", "crc", "start").alias("f"))
+    return own.join(one, ["g1", "g2"]).withColumn("start", F.col("start") - F.col("back")).select(
+        F.xxhash64("g1", "g2").alias("group"), F.col("key").alias(key), "crc", "start", F.col("size").alias("n_bytes"),
+        (F.struct("key", "crc", "start") == F.col("f")).alias("first"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -175,7 +175,7 @@ def test_suffix_repeats_equal_brute_force(spark, odd_docs, no_docs, limit):
 def test_repeat_groups_list_all_members(spark):
     text = prose(11, 30)
     docs = spark.createDataFrame([(i, prose(70 + i, 15) + text + prose(80 + i, 15)) for i in range(5)], "doc_id long, text string")
-    groups = suffix_dedup.repeat_groups(docs).groupBy("gram", "number").agg(F.count("*").alias("n")).collect()
+    groups = suffix_dedup.repeat_groups(docs).groupBy("group").agg(F.count("*").alias("n")).collect()
     assert groups and max(g.n for g in groups) == 5
 
 

@@ -13,7 +13,9 @@ import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
-from curatio.llm import chunk_dedup, fingerprints, queries, quality_classifier, sentencepiece_codec, url_filter
+from curatio.llm import chunk_dedup, fingerprints, queries, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
+
+from .conftest import prose
 
 
 # ---- chunk deduplication ----------------------------------------------------------------------
@@ -301,3 +303,46 @@ def test_pipeline_equals_brute_force(spark):
             want[key, lang, source, ids, len(ids), True] += times
     got = Counter((r.doc_id, r.lang, r.source, tuple(r.ids), r.n_tokens, r.round_trip) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+# ---- maximal repeat groups --------------------------------------------------------------------
+
+def _maximal_repeats(texts, least):
+    """{(length, occurrences)} by sorting all suffixes of all texts (key -> bytes)."""
+    suffixes = sorted((t[i:], k, i) for k, t in texts.items() for i in range(len(t) - least + 1))
+    shared = []
+    for (a, *_), (b, *_) in zip(suffixes, suffixes[1:]):
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        shared.append(n)
+    out = set()
+    for i, n in enumerate(shared):
+        if n >= least:
+            lo, hi = i, i + 1
+            while lo > 0 and shared[lo - 1] >= n:
+                lo -= 1
+            while hi < len(shared) and shared[hi] >= n:
+                hi += 1
+            at = [(k, p) for _, k, p in suffixes[lo:hi + 1]]
+            before = {texts[k][p - 1] if p else ("start", k, p) for k, p in at}
+            if len(before) > 1 or any(isinstance(x, tuple) for x in before):
+                out.add((n, frozenset(at)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [2, 20_000])
+def test_repeat_groups_equal_brute_force(spark, limit):
+    """Exact copies, a long passage inside a longer one, a copy inside another text, repeats in one text, repeated rows."""
+    long, copy, page = prose(301, 70), prose(302, 90), prose(303, 25)
+    texts = {1: copy, 2: copy, 3: copy, 4: prose(304, 9) + copy + prose(305, 9),
+             5: prose(306, 12) + long + page + prose(307, 12), 6: prose(308, 7) + long + page + prose(309, 8), 7: long + prose(310, 9),
+             8: prose(311, 9) + page + page + prose(312, 3) + page, 9: "ab" * 90, 10: "", 11: prose(313, 60), 12: prose(314, 5)}
+    docs = spark.createDataFrame([*texts.items(), (1, copy), (13, None)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in suffix_dedup.repeat_groups(docs, group_limit=limit).collect():
+        got[r.group].append((r.doc_id, r.start, r.n_bytes, r.first))
+    found = [(rows[0][2], frozenset((k, s) for k, s, _, _ in rows)) for rows in got.values()]
+    assert len(found) == len(set(found)) and all(sum(f for *_, f in rows) == 1 for rows in got.values())
+    want = _maximal_repeats({k: t.encode() for k, t in texts.items()}, suffix_dedup.MATCH)
+    assert set(found) <= want and len([w for w in want if {k for k, _ in w[1]} != {9}]) == 6
+    assert {k for _, at in want - set(found) for k, _ in at} <= {9}          # the stated limit: a run of one short period
+    assert max(n for n, _ in found) > 500 and suffix_dedup.repeat_groups(docs.filter("false")).isEmpty()
