@@ -60,7 +60,3 @@ def sql_draw(seed, purpose: str, n, *keys: str) -> str:
 
 def sql_order_key(seed, purpose: str, *keys: str) -> str:
     return f"md5({sql_key(seed, purpose, *keys)})"
-
-
-def sql_stable_id(*keys: str) -> str:
-    return "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "))"

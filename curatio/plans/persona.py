@@ -71,12 +71,12 @@ def persona_parse(gen: DataFrame, generation_col: str = "generation", target_key
 
 def _age_columns(seed, keys):
     from curatio import constants as K
-    from curatio.functions.draws import draw
+    from curatio.functions.draws import draw, draw_range
     lo_arr = F.array(*[F.lit(int(r.split("-")[0])) for r in K.AGE_RANGES])
     hi_arr = F.array(*[F.lit(int(r.split("-")[1])) for r in K.AGE_RANGES])
     ai = (draw(seed, "age_range", len(K.AGE_RANGES), *keys) + 1).cast("int")
     lo, hi = F.element_at(lo_arr, ai), F.element_at(hi_arr, ai)
-    return (lo + draw(seed, "age", hi - lo + 1, *keys)).cast("bigint")
+    return draw_range(seed, "age", lo, hi, *keys).cast("bigint")
 
 
 def persona_requests(categories: DataFrame, countries: DataFrame, excluded: list[str] | None = None,

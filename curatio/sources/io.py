@@ -30,6 +30,11 @@ def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The ``(metric, value)`` rows of a report that ``write_report`` left; an absent report is empty."""
+    return read_or_empty(spark, path, "metric string, value bigint", "csv", sep="\t", quote="", mode="FAILFAST")
+
+
 def _partition_int(name: str) -> Column:
     """An int partition value from a path segment ``name:<n>``, ``name%3A<n>`` or ``name=<n>``."""
     return F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(name)}(?::|%3A|=)(\d+)", 1).cast("int")
@@ -98,11 +103,11 @@ def list_images(spark: SparkSession, root: str, glob: str = "*.jpg") -> DataFram
         .option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
 
 
-def read_or_empty(spark: SparkSession, path: str | None, schema: StructType | str, fmt: str = "parquet") -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str | None, schema: StructType | str, fmt: str = "parquet", **options) -> DataFrame:
     """An absent previous-stage output reads as an empty frame."""
     if path:
         try:
-            return spark.read.schema(schema).format(fmt).load(path)
+            return spark.read.schema(schema).format(fmt).options(**options).load(path)
         except Exception as e:  # noqa: BLE001
             if not _is_missing(e):
                 raise
@@ -137,6 +142,13 @@ def write_json_documents(df: DataFrame, path: str, by: str = "persona_seed", ord
     df.select(by, text.alias("value")).write.mode("overwrite").partitionBy(by).option("partitionOverwriteMode", "dynamic").text(path)
 
 
+def write_text_files(df: DataFrame, path: str, by: str, order: list[str], value_col: str = "value") -> None:
+    """One text file per ``by`` value, ``<path>/<by>=<n>/part-*.txt``: a line per row in ``order``. Rows are dealt by the
+    value, so one with many rows is one task's run of lines; a rerun replaces the files of the values present."""
+    lines = df.repartition(by).sortWithinPartitions(by, *order).select(by, F.col(value_col).alias("value"))
+    lines.write.mode("overwrite").partitionBy(by).option("partitionOverwriteMode", "dynamic").text(path)
+
+
 def write_rejects(df: DataFrame, path: str, reason_col: str = "reject_reason") -> None:
     """K5: rejected rows partitioned by reason."""
     write_table(df.filter(F.col(reason_col).isNotNull()), path, partition_by=[reason_col])

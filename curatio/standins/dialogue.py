@@ -392,10 +392,6 @@ def _esc(c):
     return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
 
 
-def _esc_sql(x: str) -> str:
-    return f"replace(replace(replace(replace({x}, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n'), chr(13), '\\r')"
-
-
 def _session_literal(utt, item, wrap):
     g = utt.groupBy("unique_id", "session_number", "conv_id").agg(
         F.count("*").alias("n_turns"),

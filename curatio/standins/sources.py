@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatio.functions.draws import order_key, sql_order_key
+from curatio.operators.core import report
 from curatio.operators.position import hex_bucket, hex_digits
 from curatio.plans import images as I
 from curatio.plans import worklist as W
@@ -32,7 +33,38 @@ def seed_documents(spark, sf_dir):
     return back.withColumn("segment", F.coalesce("segment", F.lit("-")))
 
 
-@query("seed_tree", """SELECT c_custkey, c_name, CAST(c_custkey % 7 AS INTEGER) AS persona_seed, CAST(c_custkey % 3 AS INTEGER) AS session_num
+@query("seed_texts", f"""WITH p AS (
+  SELECT c_name || ' "é\\' || c_mktsegment AS line, row_number() OVER (ORDER BY {sql_order_key(42, 'text', 'c_custkey')}) - 1 AS pos FROM customer
+)
+SELECT CAST(pos // 100 AS INTEGER) AS persona_seed, count(*) AS n_lines, string_agg(line || chr(10), '' ORDER BY pos) AS text FROM p GROUP BY 1""")
+def seed_texts(spark, sf_dir):
+    """Seeds of 100 rows, each the lines of one text file, read back whole (S3): no text is longer than a seed."""
+    cust = Tables(spark, sf_dir).customer.withColumn("_k", order_key(42, "text", "c_custkey"))
+    seeds = W.seed_buckets(cust, ["_k"], hex_bucket("_k", hex_digits(cust.count())))
+    path = scratch_path(spark, "texts")
+    io.write_text_files(seeds.withColumn("value", F.concat("c_name", F.lit(' "é\\'), "c_mktsegment")), path, "persona_seed", ["pos"])
+    whole = io.read_whole_text(spark, path)
+    return whole.select(F.col("persona_seed").cast("int").alias("persona_seed"),
+                        F.regexp_count("value", F.lit("\n")).cast("bigint").alias("n_lines"), F.col("value").alias("text"))
+
+
+@query("report_file", """SELECT metric, CAST(value AS BIGINT) AS value FROM (
+  SELECT unnest(['total', 'short', 'not: en', 'characters']) AS metric, unnest([n, short, other, chars]) AS value
+  FROM (SELECT count(*) AS n, count(*) FILTER (WHERE length(text) < 200) AS short, count(*) FILTER (WHERE lang <> 'en') AS other,
+    coalesce(sum(length(text)), 0) AS chars FROM documents))""")
+def report_file(spark, sf_dir):
+    """A stage's counts (A1) as a file of ``metric<TAB>value`` lines (K4), written twice and read back."""
+    docs = Tables(spark, sf_dir).documents
+    counts = report(docs, "documents", {
+        "total": F.count("*"), "short": F.count_if(F.length("text") < 200), "not: en": F.count_if(F.col("lang") != "en"),
+        "characters": F.coalesce(F.sum(F.length("text")), F.lit(0))})
+    path = scratch_path(spark, "report")
+    for _ in range(2):                                                                     # a rerun leaves one report
+        io.write_report(counts, path)
+    return io.read_report(spark, path)
+
+
+@query("seed_tree","""SELECT c_custkey, c_name, CAST(c_custkey % 7 AS INTEGER) AS persona_seed, CAST(c_custkey % 3 AS INTEGER) AS session_num
 FROM customer""")
 def seed_tree(spark, sf_dir):
     """A partition tree read seed by seed: for each the files of the others are listed, not opened."""

@@ -98,6 +98,30 @@ def test_write_buckets_and_rejects(spark, tmp_dir):
     assert sorted(r[0] for r in back.select("persona_seed").distinct().collect()) == [0, 1, 2]
 
 
+def test_report_file(spark, tmp_dir):
+    from curatio.operators.core import report
+    path = os.path.join(tmp_dir, "report")
+    assert io.read_report(spark, path).count() == 0                 # no stage has written one
+    df = spark.range(30)
+    for n in (30, 7):                                                # a rerun replaces the report
+        io.write_report(report(df.filter(F.col("id") < n), "s", {"total": F.count("*"), 'odd "x": y': F.count_if(F.col("id") % 2 == 1)}), path)
+    parts = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(parts) == 1
+    with open(os.path.join(path, parts[0])) as f:
+        assert f.read().splitlines() == ["total\t7", 'odd "x": y\t3']
+    assert [tuple(r) for r in io.read_report(spark, path).collect()] == [("total", 7), ('odd "x": y', 3)]
+
+
+def test_text_files_keep_their_lines_in_order(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "texts")
+    rows = [(s, n, f"{s}é {n}") for s in (1, 2, 3) for n in range(20)]
+    df = spark.createDataFrame(rows, "seed int, pos int, value string").repartition(7)
+    io.write_text_files(df, path, "seed", ["pos"])
+    io.write_text_files(df.filter("seed = 2").withColumn("value", F.upper("value")), path, "seed", ["pos"])      # one seed again
+    got = {r["seed"]: r["value"] for r in io.read_whole_text(spark, path).collect()}
+    assert got == {s: "".join((f"{s}é {n}".upper() if s == 2 else f"{s}é {n}") + "\n" for n in range(20)) for s in (1, 2, 3)}
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     spark.range(40).select(F.col("id"), (F.col("id") % 3).alias("g")).repartition(4) \
