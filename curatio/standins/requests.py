@@ -66,7 +66,7 @@ _COMMON_SQL = dict(name="name", age="age", gender="gender", birthplace="birthpla
                    mobile_device="mobile_device", date="date", event="event")
 
 
-@query("session_requests", f"""WITH {NODES_SQL},
+SESSION_SQL = f"""WITH {NODES_SQL},
 v AS (
   SELECT user_id, graph_idx, node_pos + 1 AS session_number, event, date,
     lag(date) OVER w AS last_date, lag(event) OVER w AS last_event,
@@ -83,14 +83,27 @@ SELECT user_id, graph_idx, session_number,
   CASE WHEN session_number = 1 THEN {S.render(K.FIRST_DIALOGUE_TEMPLATE, **_COMMON_SQL)}
        ELSE {S.render(K.NEXT_DIALOGUE_TEMPLATE, history_event='history_before', time_interval='time_interval',
                       last_date='last_date', experience='experience', **_COMMON_SQL)} END AS prompt
-FROM p""")
-def session_requests(spark, sf_dir):
-    """Requests for every session of every event graph at once."""
+FROM p"""
+
+
+def _sessions(spark, sf_dir):
     v = EV.session_views(nodes(Tables(spark, sf_dir).events), ["user_id", "graph_idx"])
-    v = _profile(v).withColumn("time_interval", F.lit("1 day")) \
+    return _profile(v).withColumn("time_interval", F.lit("1 day")) \
         .withColumn("experience", F.concat(F.lit("after "), F.col("last_event")))
-    return EV.session_requests(v).select("user_id", "graph_idx", "session_number",
-                                         F.col("dialogue_prompt").alias("prompt"))
+
+
+@query("session_requests", SESSION_SQL)
+def session_requests(spark, sf_dir):
+    """Requests for every session of every event graph at once."""
+    return EV.session_requests(_sessions(spark, sf_dir)).select("user_id", "graph_idx", "session_number",
+                                                                F.col("dialogue_prompt").alias("prompt"))
+
+
+@query("session_requests_target", f"SELECT * FROM ({SESSION_SQL}) WHERE session_number = 4")
+def session_requests_target(spark, sf_dir):
+    """C8 for one target session: requests of the graphs that have a fourth event."""
+    return EV.session_requests_for(_sessions(spark, sf_dir), ["user_id", "graph_idx"], 4) \
+        .select("user_id", "graph_idx", "session_number", F.col("dialogue_prompt").alias("prompt"))
 
 
 @query("speaker_fix_requests", f"""WITH {UTT_SQL},
