@@ -5,7 +5,8 @@ the row as a parse failure. ``ast.literal_eval`` gives the same accept/reject
 split on literal text without executing anything (JSON ``true``/``null`` are
 rejected, Python quotes, ``None`` and trailing commas accepted). The result is
 re-emitted as JSON so the rest of the stage reads it with ``from_json``.
-Arrow-batched (pandas UDF); placed after filters so nothing is parsed twice.
+Arrow-batched (Arrow UDF, ``ROWS_AT_ONCE`` texts as Python objects at a time, so that a worker holds little
+beside its batch); placed after filters so nothing is parsed twice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import ast
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -33,6 +34,10 @@ LITERAL_SCHEMA = Ty.StructType([
     Ty.StructField("err", Ty.StringType()), Ty.StructField("id_int", Ty.ArrayType(Ty.BooleanType())),
 ])
 
+NAMES = LITERAL_SCHEMA.names
+ARROW_TYPE = pa.struct(list(zip(NAMES, [pa.string(), pa.string(), pa.string(), pa.list_(pa.bool_())], strict=True)))
+ROWS_AT_ONCE = 256
+
 
 def _shape(v) -> str:
     if isinstance(v, dict):
@@ -60,10 +65,16 @@ def parse_one(text):
     return _shape(v), js, None, id_int
 
 
-@F.pandas_udf(LITERAL_SCHEMA)
-def _parse_literal(texts: pd.Series) -> pd.DataFrame:
-    rows = [parse_one(t) for t in texts]
-    return pd.DataFrame(rows, columns=["shape", "js", "err", "id_int"])
+def parse_texts(texts: pa.Array) -> pa.Array:
+    """``parse_one`` of every text as structs."""
+    parts = [pa.array([dict(zip(NAMES, parse_one(t), strict=True)) for t in texts.slice(lo, ROWS_AT_ONCE).to_pylist()], ARROW_TYPE)
+             for lo in range(0, len(texts), ROWS_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], ARROW_TYPE)
+
+
+@F.arrow_udf(LITERAL_SCHEMA)
+def _parse_literal(texts: pa.Array) -> pa.Array:
+    return parse_texts(texts)
 
 
 def parse_literal(c) -> Column:
