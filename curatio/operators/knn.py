@@ -31,7 +31,7 @@ from pyspark import cloudpickle as _cloudpickle
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 BATCH_BYTES = 64 << 20       # bytes of one query batch at most
-CHUNK_BYTES = 64 << 20       # bytes of the vectors a task holds
+CHUNK_BYTES = 32 << 20       # bytes of the vectors a task holds; its worker needs about five times as much at most
 BLOCK_BYTES = 16 << 20       # bytes of the queries of a cell: its winners are sorted in one task
 CELL_PAIRS = 1 << 26         # pairs that are worth a cell of their own
 SCORES_AT_ONCE = 1 << 21     # scores held at a time
@@ -69,7 +69,7 @@ def _sums(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
 
 def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, score) of the k best vectors of each query, ties to the smaller id."""
-    out, longest = [], math.sqrt((x ** 2).sum(axis=1).max())
+    out, longest = [], math.sqrt(np.einsum("ij,ij->i", x, x).max())
     step = max(1, min(QUERIES_AT_ONCE, SCORES_AT_ONCE // len(x)))
     for lo in range(0, len(q), step):
         part = q[lo:lo + step]
@@ -91,13 +91,19 @@ def _ranked(a, b, score, ids, k):
     return a[keep], b[keep], score[keep]
 
 
-def _first_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Rows without the copies of a vector that k smaller ids beat whatever the query."""
+def _first_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray | None:
+    """Rows without the copies of a vector that k smaller ids beat whatever the query; None if that leaves all."""
     whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8)))[:, 0]
-    _, vector = np.unique(whole, return_inverse=True)
+    order = np.argsort(whole, kind="stable")             # numbers in place of the vectors: no sorted copy of them
+    vector = np.zeros(len(order), dtype=np.int64)
+    for lo in range(0, len(order) - 1, SUMS_AT_ONCE):
+        near = order[lo:lo + SUMS_AT_ONCE + 1]
+        vector[lo + 1:lo + len(near)] = whole[near[1:]] != whole[near[:-1]]
+    vector[order] = np.cumsum(vector)
     order = np.lexsort((ids, vector))
     vector = vector[order]
-    return np.sort(order[np.arange(len(order)) - np.searchsorted(vector, vector) < k])
+    keep = order[np.arange(len(order)) - np.searchsorted(vector, vector) < k]
+    return np.sort(keep) if len(keep) < len(x) else None
 
 
 def _chunk(held: list[pa.Table], dims: int, k: int, carry: list[str]) -> list[tuple]:
@@ -106,8 +112,11 @@ def _chunk(held: list[pa.Table], dims: int, k: int, carry: list[str]) -> list[tu
     for source in t["source"].unique().to_pylist():
         own = t.filter(pa.compute.equal(t["source"], source) if source is not None else pa.compute.is_null(t["source"]))
         x, ids = _matrix(own["vec"].combine_chunks(), dims), np.asarray(own["vec_id"])
-        keep = _first_copies(x, ids, k)
-        out.append((source, x[keep], ids[keep], own.select(["vec_id", *carry]).take(pa.array(keep)).combine_chunks()))
+        rows, keep = own.select(["vec_id", *carry]), _first_copies(x, ids, k)
+        del own
+        if keep is not None:
+            x, ids, rows = x[keep], ids[keep], rows.take(pa.array(keep))
+        out.append((source, x, ids, rows.combine_chunks()))
     return out
 
 
