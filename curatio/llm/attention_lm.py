@@ -334,67 +334,107 @@ class Model:
         t["KV"] = np.concatenate([t["K"], t["V"], np.ones((len(embed), 1), dtype=np.float32)], axis=1)   # the ones sum the weights
         return t
 
-    def forward(self, t: dict[str, np.ndarray], x: np.ndarray, valid: np.ndarray, skip: int = 0):
-        """``x`` (windows, positions) slots, ``valid`` keys; class logits of the positions from ``skip`` on, and the parts."""
-        n, late = x.shape[1], x[:, skip:]
-        gap = np.arange(skip, n)[:, None] - np.arange(n)[None, :]
-        bias = np.where(gap >= 0, self.w["D"][np.abs(gap)], HIDDEN).astype(np.float32)
-        q, kv = np.take(t["Q"], late, axis=0), np.take(t["KV"], x, axis=0)
-        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:2 * WIDTH]
-        a = q @ k.transpose(0, 2, 1)
-        a += bias
-        if not valid.all():
+    def room(self, name: str, dtype, *shape: int) -> np.ndarray:
+        """An array that the last batch of this shape used as well: a new one costs as much time as a pass over it."""
+        rooms = self.__dict__.setdefault("rooms", {})
+        if name not in rooms or rooms[name].shape != shape or rooms[name].dtype != dtype:
+            rooms[name] = np.empty(shape, dtype=dtype)
+        return rooms[name]
+
+    def rows(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rows ``at`` of a table."""
+        return np.take(table, at, axis=0, out=self.room(name, table.dtype, *at.shape, table.shape[1]), mode="clip")
+
+    def attend(self, q: np.ndarray, kv: np.ndarray, valid: np.ndarray | None = None):
+        """Causal attention of the last positions (``q``) over all (``kv``: keys, values and ones): the weights, not
+        yet summing to one, their sums, and the values' means."""
+        late, n = q.shape[1], kv.shape[1]
+        gap = np.arange(n - late, n)[:, None] - np.arange(n)[None, :]
+        a = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1), out=self.room("a", q.dtype, len(q), late, n))
+        a += np.where(gap >= 0, self.w["D"][np.abs(gap)], HIDDEN).astype(np.float32)
+        if valid is not None and not valid.all():
             some = ~valid.all(axis=1)
             a[some] += np.where(valid[some], np.float32(0), HIDDEN)[:, None, :]
         np.clip(a, HIDDEN, -HIDDEN, out=a)
         np.exp(a, out=a)
-        sums = a @ kv[:, :, WIDTH:]
+        sums = np.matmul(a, kv[:, :, WIDTH:], out=self.room("sums", q.dtype, len(q), late, WIDTH + 1))
         total = sums[:, :, WIDTH:]
-        o = sums[:, :, :WIDTH] / total
-        z = (o.reshape(-1, WIDTH) @ self.w["O"]).reshape(*late.shape, CLASSES)
-        z += np.take(t["Z"], late, axis=0)
-        return z, (q, k, v, a, total, o, gap)
+        return a, total, np.divide(sums[:, :, :WIDTH], total, out=self.room("o", q.dtype, len(q), late, WIDTH)), gap
+
+    def shifts(self, t: dict[str, np.ndarray], x: np.ndarray, valid: np.ndarray, skip: int = 0) -> np.ndarray:
+        """``x`` (windows, positions) slots, ``valid`` keys; what attention adds to the class logits ``t["Z"]`` of the
+        slots at the positions from ``skip`` on, one row a position."""
+        o = self.attend(self.rows("q", t["Q"], x[:, skip:]), self.rows("kv", t["KV"], x), valid)[2].reshape(-1, WIDTH)
+        return np.matmul(o, self.w["O"], out=self.room("z", o.dtype, len(o), CLASSES))
+
+    def forward(self, t: dict[str, np.ndarray], x: np.ndarray, valid: np.ndarray, skip: int = 0):
+        """Class logits of the positions from ``skip`` on, and the shifts in them."""
+        z = self.shifts(t, x, valid, skip).reshape(len(x), -1, CLASSES)
+        return z + np.take(t["Z"], x[:, skip:], axis=0), z
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        """Gradients of the mean cross entropy over valid positions (keys and targets share ``valid``), windows weighted."""
-        own, at = np.unique(x, return_inverse=True)                         # only the slots of this batch, however many there are
-        at = at.reshape(x.shape)
-        w, t = self.w, self.tables(own)
-        z, (q, k, v, a, total, o, gap) = self.forward(t, at, valid)
-        a /= total
-        e = self.embed[x]
-        h = t["S"][at] + o
-        z -= z.max(axis=2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=2, keepdims=True)
-        i, j = np.indices(x.shape)
-        p[i, j, self.of[y]] -= 1
+        """Gradients of the mean cross entropy over valid positions (targets; a window ends with its last one), windows weighted."""
+        if "odds" not in self.__dict__:
+            self.odds = np.exp(self.prior)
+        w, (n, length), flat = self.w, x.shape, x.ravel()
+        scale = np.float32(1 / math.sqrt(WIDTH))
+        e, kind, d = self.rows("e", self.embed, flat), self.embed.dtype, WIDTH
+        # Of every position query, shift, key, value and a one: the ones sum the weights.
+        t = self.room("t", kind, len(e), 4 * d + 1)
+        np.matmul(e, np.concatenate([w["Q"] * scale, w["S"], w["K"], w["V"]], axis=1), out=t[:, :-1])
+        t[:, -1] = 1
+        t = t.reshape(n, length, -1)
+        q, k, v = t[:, :, :d], t[:, :, 2 * d:3 * d], t[:, :, 3 * d:]
+        a, total, o, gap = self.attend(q, t[:, :, 2 * d:])                  # keys after the end are later than all valid positions
+        h = self.room("h", kind, n, length, d + 1)
+        np.add(t[:, :, d:2 * d], o, out=h[:, :, :d])
+        h[:, :, d] = 1
+        h = h.reshape(-1, d + 1)
+        out = np.concatenate([w["O"], w["B"][None, :]])
+        z = np.matmul(h, out, out=self.room("z", kind, len(h), CLASSES))
+        # The class probabilities but for their sums.
+        if max(z.max(), -z.min()) <= -HIDDEN:
+            np.exp(z, out=z)
+            z *= self.rows("odds", self.odds, flat)
+        else:
+            z += np.take(self.prior, flat, axis=0)
+            np.exp(z - z.max(axis=1, keepdims=True), out=z)
+        sums = z @ np.ones(CLASSES, dtype=kind)
+        z.ravel()[np.arange(0, z.size, CLASSES) + self.of[y.ravel()]] -= sums
         mass = valid if weight is None else valid * weight[:, None]
-        p *= (mass / max(1, mass.sum()))[:, :, None].astype(np.float32)
-        g = {"B": p.sum(axis=(0, 1)), "O": np.tensordot(h, p, axes=([0, 1], [0, 1]))}
-        dh = p @ w["O"].T
-        g["S"] = np.tensordot(e, dh, axes=([0, 1], [0, 1]))
-        dv = a.transpose(0, 2, 1) @ dh
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        rate = (mass.ravel() / max(1, mass.sum()) / sums).astype(kind)[:, None]
+        dh = np.matmul(z, np.ascontiguousarray(w["O"].T), out=self.room("dh", kind, len(z), d))
+        dh *= rate
+        h *= rate
+        last = h.T @ z
+        dh = dh.reshape(n, length, d)
+        pull = self.room("pull", kind, n, length, d + 1)
+        np.divide(dh, total, out=pull[:, :, :d])
+        np.negative(np.einsum("ijk,ijk->ij", pull[:, :, :d], o), out=pull[:, :, d])
+        ds = np.matmul(pull, v.transpose(0, 2, 1), out=self.room("ds", kind, n, length, length))
+        ds *= a
+        g = self.room("g", kind, n, length, 4 * d)                          # of query, shift, key and value
+        np.matmul(ds, k, out=g[:, :, :d])
+        g[:, :, d:2 * d] = dh
+        np.matmul(ds.transpose(0, 2, 1), q, out=g[:, :, 2 * d:3 * d])
+        np.matmul(a.transpose(0, 2, 1), pull[:, :, :d], out=g[:, :, 3 * d:])
         each, ok = ds.sum(axis=0), gap >= 0
-        g["D"] = np.bincount(gap[ok], weights=each[ok], minlength=LENGTH).astype(np.float32)
-        dq, dk = ds @ k * np.float32(1 / math.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q
-        for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-            g[name] = np.tensordot(e, d, axes=([0, 1], [0, 1]))
-        return g
+        parts = e.T @ g.reshape(-1, 4 * d)
+        return {"Q": parts[:, :d] * scale, "S": parts[:, d:2 * d], "K": parts[:, 2 * d:3 * d], "V": parts[:, 3 * d:],
+                "O": last[:d], "B": last[d], "D": np.bincount(gap[ok], weights=each[ok], minlength=LENGTH).astype(np.float32)}
 
     def train(self, parts: Iterator[np.ndarray], rate: float = RATE) -> None:
         """One run with Adam over ``parts``, each up to BATCH rows of LENGTH + 1 slots (-1 after the end) and a weight."""
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        now = self.flat()
+        m, s = np.zeros_like(now), np.zeros_like(now)
         for step, part in enumerate(parts, 1):
             x, y = part[:, :LENGTH], part[:, 1:LENGTH + 1]
-            g = self.gradients(np.maximum(x, 0), np.maximum(y, 0), y >= 0, part[:, LENGTH + 1])
-            for k in self.w:
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] ** 2 - s[k])
-                self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+            found = self.gradients(np.maximum(x, 0), np.maximum(y, 0), y >= 0, part[:, LENGTH + 1])
+            g = np.concatenate([found[k].ravel() for k in sorted(self.w)])
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g ** 2 - s)
+            now = now - np.float32(rate) * (m / np.float32(1 - 0.9 ** step)) / (np.sqrt(s / np.float32(1 - 0.99 ** step)) + np.float32(1e-8))
+            self.load(now)
 
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each text (``ids`` of all texts, each closed by the end; ``first``: their starts)."""
@@ -407,17 +447,26 @@ class Model:
         slot, prev = self.slot[ids], self.slot[before]
         cls = self.of[slot]
         out = np.zeros(len(ids), dtype=np.float32)
-        tables, ones = self.tables(), np.ones(CLASSES, dtype=np.float32)
+        t = self.tables()
+        top = t["Z"].max(axis=1)
+        odds = np.exp(t["Z"] - top[:, None])
         for lo in range(0, len(text), CHUNK):
-            t, j = text[lo:lo + CHUNK], k[lo:lo + CHUNK]
+            i, j = text[lo:lo + CHUNK], k[lo:lo + CHUNK]
             rel = (j * STRIDE)[:, None] + np.arange(-CONTEXT, STRIDE)[None, :]
-            at = first[t][:, None] + np.clip(rel, 0, size[t][:, None] - 1)
-            z, _ = self.forward(tables, prev[at], rel >= 0, CONTEXT)        # what follows a text is masked as later anyway
-            where, ok = at[:, CONTEXT:], rel[:, CONTEXT:] < size[t][:, None]
-            chosen = np.take_along_axis(z, cls[where][:, :, None], axis=2)[:, :, 0]
-            np.exp(z, out=z)
-            out[where[ok]] = (chosen - np.log(z @ ones))[ok]
-        out += self.follow(prev, slot) - self.prior[prev, cls] + self.share[ids]     # the subword's share of its class
+            at = first[i][:, None] + np.clip(rel, 0, size[i][:, None] - 1)
+            z = self.shifts(t, prev[at], rel >= 0, CONTEXT)                 # what follows a text is masked as later anyway
+            where, ok = at[:, CONTEXT:].ravel(), (rel[:, CONTEXT:] < size[i][:, None]).ravel()
+            chosen = z[np.arange(len(z)), cls[where]]
+            if max(z.max(), -z.min()) <= -HIDDEN:
+                np.exp(z, out=z)
+                chosen -= np.log(np.einsum("ij,ij->i", z, self.rows("odds", odds, prev[where])))
+            else:
+                z += t["Z"][prev[where]] - top[prev[where], None]
+                high = z.max(axis=1)
+                chosen -= np.log(np.exp(z - high[:, None]).sum(axis=1)) + high
+            out[where[ok]] = chosen[ok]
+        # the class's part of the slot before, and the subword's share of its class
+        out += t["Z"][prev, cls] - top[prev] + self.follow(prev, slot) - self.prior[prev, cls] + self.share[ids]
         return np.add.reduceat(out.astype(np.float64), first) / math.log(10) if len(first) else np.zeros(0)
 
 

@@ -248,6 +248,41 @@ def test_attention_model(spark, odd_docs, no_docs):
     assert attention_lm.score(no_docs).count() == 0
 
 
+def test_attention_steps_and_scores_reuse_their_arrays():
+    """Also where class logits are far beyond what exp can take."""
+    import tracemalloc
+    m = attention_lm.Model(np.arange(1, 301.0), lambda slot: np.ones((attention_lm.SLOTS + 1,) * 2), 2)
+    rng = np.random.default_rng(1)
+    ids = rng.integers(3, 300, 20).astype(np.int32)
+    before, slot = np.append(m.end, ids[:-1]), m.slot[ids]
+    x, y = rng.integers(0, 300, (2, attention_lm.BATCH, attention_lm.LENGTH))
+    valid = np.arange(attention_lm.LENGTH) < rng.integers(1, attention_lm.LENGTH + 1, (attention_lm.BATCH, 1))
+    weight = rng.integers(1, 5, attention_lm.BATCH)
+    for size in (0.2, 300):
+        m.w["O"], m.w["B"] = [(rng.standard_normal(m.w[k].shape) * size).astype(np.float32) for k in "OB"]
+
+        def chances(x, valid):
+            z = m.forward(m.tables(), x, valid)[0].astype(float)
+            z = np.exp(z - z.max(axis=2, keepdims=True))
+            return z / z.sum(axis=2, keepdims=True)
+        p, share = chances(x, valid), valid * weight[:, None]
+        want = (share[:, :, None] * (p - (np.arange(attention_lm.CLASSES) == m.of[y][:, :, None]))).sum(axis=(0, 1)) / share.sum()
+        m.gradients(x, y, valid, weight)
+        tracemalloc.start()
+        g = m.gradients(x, y, valid, weight)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert g["B"] == pytest.approx(want, abs=1e-4) and all(np.isfinite(v).all() for v in g.values())
+        if size < 1:
+            assert peak < x.size * attention_lm.CLASSES                    # bytes: a quarter of the logits; a step makes no array of their size
+            p = chances(m.slot[before][None, :], np.ones((1, 20), dtype=bool))[0]
+            prev = m.slot[before]
+            want = (np.log(p[np.arange(20), m.of[slot]]) + m.follow(prev, slot) - m.prior[prev, m.of[slot]] + m.share[ids]).sum() / np.log(10)
+            assert m.score(ids, np.array([0]))[0] == pytest.approx(want, rel=1e-5)
+        else:
+            assert np.isfinite(m.score(ids, np.array([0]))).all()
+
+
 def test_attention_windows_hold_every_training_subword_once():
     rng, end = np.random.default_rng(3), 2
     texts = [rng.integers(3, 300, n) for n in (0, 1, 31, 32, 500, 64, 7)]
